@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, patched_frames, prefix_counts, sharding
+from . import mixing, packing, patched_frames, prefix_counts, resampling, rules, sharding
 from .base import small_batches, table
 
 
@@ -20,11 +20,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return patched_frames.written_and_read(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), limit=512)
@@ -36,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op5_token_files, op8_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op2_sharding, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
