@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, patched_frames, prefix_counts, resampling, rules, sharding, toxicity
+from . import mixing, order_minhash, packing, patched_frames, prefix_counts, resampling, rules, sharding, toxicity
 from .base import small_batches, table
 
 
@@ -16,6 +16,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return order_minhash.classes(table(spark, sf_dir, "documents")).drop("print")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -55,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
