@@ -23,10 +23,10 @@ STRIDES = (1000003, 1000033, 1000037, 1000039)
 BUCKET = 2000
 
 
-def sized(frame: DataFrame) -> DataFrame:
-    """doc_id, source and size in words (0 for a null text); the texts end here, in the scan."""
+def sized(frame: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source and size in words (0 for a null text), and what else is named; else the texts end here, in the scan."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint")
-    return documents(frame, F.col("source").cast("string").alias("source")).select("doc_id", "source", size.alias("size"))
+    return documents(frame, F.col("source").cast("string").alias("source"), *more).withColumn("size", size.alias("size")).drop("text")
 
 
 def targets(sources: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
@@ -72,8 +72,8 @@ def place(b: Column) -> Column:
     return (F.col("stride") * b + F.col("shift")) % F.col("blocks")
 
 
-def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), shards: int = 16, seed: str = "mix", block: int | None = None, detail: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document; with detail also its picked blocks and their shards.
+def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), shards: int = 16, seed: str = "mix", block: int | None = None, detail: bool = False, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every document; with detail also its picked blocks and their shards, with carry its whole row.
 
     A null source is a source of its own; null texts have no words and are not taken. Streams are prefix sums
     in two steps, over buckets of a source's seeded order and within them, so that a source with most of the
@@ -81,7 +81,7 @@ def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[
     """
     space = Workspace(frame.sparkSession, "mixing")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sized(frame).withColumn("key", key).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    rows = sized(frame, *[F.struct("*").alias("row")] * carry).withColumn("key", key).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     saved = space.save(rows, "sizes")
     digits = max(1, math.ceil(math.log(max(saved.count(), 1) / BUCKET + 1, 16)))
     saved = saved.withColumn("bucket", F.substring("key", 1, digits))
@@ -102,12 +102,28 @@ def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[
 
     taken = F.when(F.col("size") > 0, F.aggregate(span, F.lit(0).cast("bigint"), lambda sofar, b: sofar + overlap(b) * picks(b))).otherwise(F.lit(0).cast("bigint"))
     out = placed.withColumn("taken", taken)
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken"] + ["row"] * carry
     if detail:
         def seat(b: Column, turn: Column) -> Column:
             at = turn * F.col("blocks") + place(b)
-            return F.struct(b.alias("block"), (F.size(F.filter("quotas", lambda q: q <= at)) + 1).alias("shard"), F.greatest(F.lit(0), b * F.col("block") - F.col("first")).alias("from_word"), overlap(b).alias("words"))
+            return F.struct(b.alias("block"), turn.alias("turn"), (F.size(F.filter("quotas", lambda q: q <= at)) + 1).alias("shard"), F.greatest(F.lit(0), b * F.col("block") - F.col("first")).alias("from_word"), overlap(b).alias("words"))
 
         turns = F.flatten(F.transform(F.filter(span, lambda b: picks(b) > 0), lambda b: F.transform(F.sequence(F.lit(0).cast("bigint"), picks(b) - 1), lambda turn: seat(b, turn))))
         out, columns = out.withColumn("picked", F.when(F.col("size") > 0, turns)), [*columns, "picked"]
     return out.select(*columns)
+
+
+def mixed(frame: DataFrame, **options) -> DataFrame:
+    """The mix itself: of each document one row for each time that its source is gone through, with the words of its picked blocks; all its columns stay.
+
+    A text all of whose words are picked stays as it is; else it has the picked words and the white space after each.
+    """
+    found = mix(frame, detail=True, carry=True, **options)
+    turned = found.where("taken > 0").withColumn("turn", F.explode(F.array_distinct(F.transform("picked", lambda p: p["turn"]))))
+    own = F.filter("picked", lambda p: p["turn"] == F.col("turn"))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORDS + r"[\x20\x09-\x0D]*"), F.lit(0))
+    turned = turned.withColumn("own", own).withColumn("all_words", F.aggregate("own", F.lit(0).cast("bigint"), lambda n, p: n + p["words"]) == F.col("size"))
+    cut = turned.withColumn("words", F.when(~F.col("all_words"), words))
+    parts = F.flatten(F.transform("own", lambda p: F.slice("words", (p["from_word"] + 1).cast("int"), p["words"].cast("int"))))
+    text = F.when(F.col("all_words"), F.col("row.text")).otherwise(F.array_join(parts, ""))
+    return cut.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in frame.columns))
