@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, order_minhash, packing, patched_frames, prefix_counts, resampling, rules, sharding, toxicity
+from . import mixing, order_minhash, packing, patched_frames, posting_lists, prefix_counts, resampling, rules, sharding, toxicity
 from .base import small_batches, table
 
 
@@ -54,13 +54,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), limit=512)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), cap=2048, end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_nearest_neighbours, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
