@@ -1,0 +1 @@
+"""Nothing here yet: the query language and the documents' pipeline have no streams."""
