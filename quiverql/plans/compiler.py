@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import QueryError
+from ..errors import QueryError, QueryLimitError
 from ..functions import typed as V
 from ..functions.typed import BOOLEAN, EDGE, INTEGER, NODE, NULL, PATH, STRING, Kind, Typed
 from ..graph import ORD, PROPERTIES, PropertyGraph
@@ -50,8 +50,8 @@ class Result:
 
 
 class Compiler:
-    def __init__(self, graph: PropertyGraph, parameters: dict, order: bool, provenance: bool):
-        self.graph, self.spark, self.parameters, self.order, self.provenance, self.made = graph, graph.spark, parameters, order, provenance, 0
+    def __init__(self, graph: PropertyGraph, parameters: dict, order: bool, provenance: bool, most_rows: int | None = None):
+        self.graph, self.spark, self.parameters, self.order, self.provenance, self.most_rows, self.made = graph, graph.spark, parameters, order, provenance, most_rows, 0
         self.wanted: dict[str, set[str]] = {}
 
     def fresh(self, kind: str) -> str:
@@ -72,6 +72,8 @@ class Compiler:
         rows = Rows(None, extras=extras)
         for scoped in clauses:
             rows = self.match(rows, scoped) if isinstance(scoped.clause, Match) else self.project(rows, scoped)
+            if self.most_rows is not None and rows.frame.limit(self.most_rows + 1).count() > self.most_rows:
+                raise QueryLimitError("A clause makes too many rows; filter earlier.")
         columns = [(name, value.kind) for name, value in rows.names.items()]
         frame = rows.frame.select(*(value.col.alias(f"c{k}") for k, value in enumerate(rows.names.values())), *extras)
         return Result(frame, columns)
@@ -177,7 +179,12 @@ class Compiler:
 
     def optional_beside(self, rows: Rows, clause: Match, shared: set[str]) -> Rows:
         """An optional match that knows one node of the rows at most: made once for all nodes, then joined by that node."""
+        wanted = self.wanted
+        # what is asked of the shared node elsewhere, its rows have already
+        asked = {n: {p.key for p in (clause.where.all() if clause.where else ()) if isinstance(p, Property) and p.of == Variable(n)} for n in shared}
+        self.wanted = wanted | asked
         inner = self.matched(Rows(None, extras=rows.extras), clause)
+        self.wanted = wanted
         new = {n: v for n, v in inner.names.items() if n not in shared}
         here = {n: self.column(inner, v) for n, v in new.items()}
         attributes = {k: v for k, v in inner.attributes.items() if k[0] in here.values()}
@@ -206,9 +213,17 @@ class Compiler:
         first = bound[0] if bound else 0
         first_known = pattern.nodes[0].name in rows.names
         at: list[str] = [""] * len(pattern.nodes)
-        at[first] = self.seek(rows, pattern.nodes[first]) if bound else self.scan(rows, pattern.nodes[0])
+        if bound:
+            at[first] = self.seek(rows, pattern.nodes[first])
+        elif not self.bare(pattern):
+            at[0] = self.scan(rows, pattern.nodes[0])
         hops: list[dict] = [{}] * len(pattern.edges)
         for k in range(first, len(pattern.edges)):
+            if not at[k]:
+                at[k] = self.fresh("n")
+                self.begin(rows, at[k], pattern.nodes[k])
+                at[k + 1], hops[k] = self.expand(rows, at[k], pattern.edges[k], pattern.nodes[k + 1], False, used, True)
+                continue
             at[k + 1], hops[k] = self.expand(rows, at[k], pattern.edges[k], pattern.nodes[k + 1], False, used)
         for k in range(first - 1, -1, -1):
             at[k], hops[k] = self.expand(rows, at[k + 1], pattern.edges[k], pattern.nodes[k], True, used)
@@ -232,6 +247,16 @@ class Compiler:
             rows.frame = rows.frame.withColumn(SEEN_NODES, F.concat(F.col(SEEN_NODES), *nodes)).withColumn(SEEN_EDGES, F.concat(F.col(SEEN_EDGES), *edges))
         return rows
 
+    def bare(self, pattern: Pattern) -> bool:
+        """Whether nothing is asked of the first node but its edge, so that the edges alone can start the pattern."""
+        node = pattern.nodes[0]
+        asked = node.type or node.properties or any(k != "id" for k in self.wanted.get(node.name, ()))
+        return bool(pattern.edges) and not pattern.edges[0].hops and not asked and not self.order
+
+    def begin(self, rows: Rows, here: str, node: NodePattern) -> None:
+        if node.name:
+            rows.names[node.name] = self.at(here, NODE)
+
     def attribute_ord(self, rows: Rows, name: str) -> Column:
         if (name, ORD) not in rows.attributes:
             here, there = self.fresh("a"), self.fresh("j")
@@ -303,20 +328,26 @@ class Compiler:
                 out = out & (~F.array_contains(other, F.col(edge)) if many else F.col(other) != F.col(edge))
         return out
 
-    def expand(self, rows: Rows, start: str, pattern: EdgePattern, node: NodePattern, backwards: bool, used: list) -> tuple[str, dict]:
+    def expand(self, rows: Rows, start: str, pattern: EdgePattern, node: NodePattern, backwards: bool, used: list, begins: bool = False) -> tuple[str, dict]:
+        """Rows with the edge and the node at its other end; begins: start is made from the edge too."""
         if pattern.hops:
             here, hop = self.expand_many(rows, start, pattern, backwards, used)
         else:
-            edge, away, here, nth = self.fresh("e"), self.fresh("j"), self.fresh("n"), self.fresh("o")
+            edge, away, here, nth = self.fresh("e"), start if begins else self.fresh("j"), self.fresh("n"), self.fresh("o")
             found, places = self.steps(pattern, backwards, edge, away, here, nth)
-            condition = (F.col(start) == F.col(away)) & self.unused(used, edge, pattern.types)
+            condition = self.unused(used, edge, pattern.types)
+            if not begins:
+                condition = (F.col(start) == F.col(away)) & condition
             if pattern.name in rows.names:
                 old = rows.names[pattern.name]
                 condition &= (old.col == F.col(edge)) if old.kind is EDGE else F.lit(False)
             if node.name in rows.names:
                 old = rows.names[node.name]
                 condition &= (old.col == F.col(here)) if old.kind is NODE else F.lit(False)
-            rows.frame = rows.frame.join(found, condition).drop(away)
+            if begins:
+                rows.frame = found.where(condition) if rows.frame is None else rows.frame.join(found, condition)
+            else:
+                rows.frame = rows.frame.join(found, condition).drop(away)
             rows.attributes |= places
             if pattern.name and pattern.name not in rows.names:
                 rows.names[pattern.name] = self.at(edge, EDGE)
