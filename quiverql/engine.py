@@ -26,17 +26,19 @@ MOST_PARAMETERS = 64_000
 
 @dataclass(frozen=True)
 class QueryLimits:
-    """Of execute. Of a clause's rows more than intermediate_rows are an error; None: not counted (it takes a job a clause)."""
+    """Of execute. More rows than max_intermediate_rows after a clause are an error; None: they aren't counted, which takes a job a clause."""
 
     max_hops: int = MOST_HOPS
     max_rows: int = 1000
     max_result_bytes: int = 4 * 1024 * 1024
+    max_intermediate_rows: int | None = None
     timeout_seconds: float | None = None
 
 
 class GraphEngine:
-    """Reads a property graph by GraphQuery statements."""
+    """Reads a property graph by statements of the query language."""
 
+    #: Fixed value: the language's name in results.
     language = "GraphQuery/1"
 
     def __init__(self, graph: PropertyGraph, limits: QueryLimits | None = None):
@@ -64,8 +66,8 @@ class GraphEngine:
         clauses, parameters = self.checked(text, parameters)
         return self.compiled(clauses, parameters, self.order_matters(clauses), False).named()
 
-    def compiled(self, clauses: list[Scoped], parameters: dict, order: bool, provenance: bool) -> Result:
-        return Compiler(self.graph, parameters, order, provenance).compile(clauses)
+    def compiled(self, clauses: list[Scoped], parameters: dict, order: bool, provenance: bool, most_rows: int | None = None) -> Result:
+        return Compiler(self.graph, parameters, order, provenance, most_rows).compile(clauses)
 
     @staticmethod
     def order_matters(clauses: list[Scoped]) -> bool:
@@ -89,7 +91,7 @@ class GraphEngine:
         started = time.monotonic()
         try:
             clauses, parameters = self.checked(text, parameters)
-            result = self.compiled(clauses, parameters, True, True)
+            result = self.within_time(lambda: self.compiled(clauses, parameters, True, True, self.limits.max_intermediate_rows))
             rows, total = self.within_time(lambda: self.collected(result))
             return self.envelope(result, rows, total, started)
         except RecursionError as e:

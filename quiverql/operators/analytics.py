@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
@@ -103,25 +103,29 @@ def steps(edges: DataFrame, directed: bool = False) -> DataFrame:
 
 
 def levels(ways: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
-    """id, depth and parent of all nodes that ways reach from start (id), up to a depth. The parent is the one first found: by the order it was found in, then by edge order.
+    """id, depth, parent and place of all nodes that ways reach from start (id), up to a depth.
 
-    place keeps that order: a node's parent's place, then its edge's. As many jobs as levels.
+    The parent is the one first found, by the order it was found in and then by edge order. place is that
+    order, an array: the parent's place and the edge's ord; so no level is ranked in one task. A job a level.
     """
-    seen = kept(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("place")).distinct())
+    seen = kept(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<bigint>").alias("place")).distinct())
     frontier, depth = seen, 0
-    by = Window.orderBy("before", "ord", "id")
     while most is None or depth < most:
         depth += 1
-        met = frontier.select(F.col("id").alias("near"), F.col("place").alias("before")).join(ways, "near").join(seen.select(F.col("id").alias("far")), "far", "left_anti")
-        first = met.groupBy(F.col("far").alias("id")).agg(F.min(F.struct("before", "ord", "near")).alias("m")).select("id", "m.*")
-        # places matter for ties between parents only; ranks of one level
-        frontier = kept(first.select("id", F.lit(depth).alias("depth"), F.col("near").alias("parent"), "before", "ord").withColumn("place", F.row_number().over(by).cast("bigint")).drop("before", "ord"))
+        frontier = kept(next_level(frontier, seen, ways, depth))
         if frontier.isEmpty():
             break
         seen = kept(seen.unionByName(frontier))
     return seen
 
 
+def next_level(frontier: DataFrame, seen: DataFrame, ways: DataFrame, depth: int) -> DataFrame:
+    """What the frontier's ways reach that wasn't seen, each node once; the least way is found before the shuffle."""
+    met = frontier.select(F.col("id").alias("near"), F.col("place").alias("before")).join(ways, "near").join(seen.select(F.col("id").alias("far")), "far", "left_anti")
+    first = met.groupBy(F.col("far").alias("id")).agg(F.min(F.struct("before", "ord", "near")).alias("m"))
+    return first.select("id", F.lit(depth).alias("depth"), F.col("m.near").alias("parent"), F.array_append("m.before", F.col("m.ord")).alias("place"))
+
+
 def k_hop(graph: PropertyGraph, start: str, hops: int, edges: DataFrame | None = None) -> DataFrame:
     """id and depth of the nodes within that many hops, in either direction, over enabled edges."""
     begun = graph.nodes.where(F.col("id") == start).select("id")
@@ -131,13 +135,11 @@ def k_hop(graph: PropertyGraph, start: str, hops: int, edges: DataFrame | None =
 def shortest_path(graph: PropertyGraph, start: str, goal: str, directed: bool = False, edges: DataFrame | None = None) -> list[str]:
     """The nodes of a shortest path; empty if there is none. The search ends with the level that has the goal; the path, not the graph, comes to the driver."""
     ways = steps(graph.edges if edges is None else edges, directed)
-    seen = kept(graph.nodes.where(F.col("id") == start).select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("place")))
-    frontier, found = seen, start == goal
-    by = Window.orderBy("before", "ord", "id")
+    seen = frontier = kept(levels(ways, graph.nodes.where(F.col("id") == start).select("id"), 0))
+    depth, found = 0, start == goal
     while not found:
-        met = frontier.select(F.col("id").alias("near"), F.col("place").alias("before")).join(ways, "near").join(seen.select(F.col("id").alias("far")), "far", "left_anti")
-        first = met.groupBy(F.col("far").alias("id")).agg(F.min(F.struct("before", "ord", "near")).alias("m")).select("id", "m.*")
-        frontier = kept(first.withColumn("place", F.row_number().over(by).cast("bigint")).select("id", F.col("near").alias("parent"), "place"))
+        depth += 1
+        frontier = kept(next_level(frontier, seen, ways, depth))
         if frontier.isEmpty():
             return []
         seen = kept(seen.unionByName(frontier))

@@ -77,6 +77,9 @@ def test_limits(graph):
         GraphEngine(graph, QueryLimits(max_result_bytes=5)).execute("MATCH (n) RETURN n")
     with pytest.raises(QueryLimitError):
         engine.execute("RETURN 9223372036854775807 + 1")
+    with pytest.raises(QueryLimitError):
+        GraphEngine(graph, QueryLimits(max_intermediate_rows=48)).execute("MATCH (a), (b) RETURN count(*)")
+    assert GraphEngine(graph, QueryLimits(max_intermediate_rows=49, timeout_seconds=60)).execute("MATCH (a), (b) RETURN count(*)")["rows"] == [[49]]
     for wrong in ([1], {"a": float("nan")}, {1: 2}, {"a": object()}):
         with pytest.raises(QueryError):
             engine.execute("RETURN 1", wrong)
