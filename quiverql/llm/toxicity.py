@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import lgamma, log
@@ -104,13 +103,17 @@ def apart(texts: list[str]) -> list[int]:
     return keep
 
 
-def telling(tokens: list[list[str]], toxic: np.ndarray, cells: dict[str, list[int]]) -> set[int]:
-    """Features that stand in toxic documents so nearly alone that chance would hardly give one such feature among all."""
-    bad, good, share = Counter(), Counter(), float(toxic.mean())
-    for own, flag in zip(tokens, toxic, strict=True):
-        (bad if flag else good).update({c for w in set(own) for c in cells[w]})
-    all_of = log(len(bad | good) / 0.005)
-    return {c for c, k in bad.items() if k >= 9 * good[c] and k * log(1 / share) - (lgamma(k + good[c] + 1) - lgamma(k + 1) - lgamma(good[c] + 1)) > all_of}
+def telling(docs: list[np.ndarray], toxic: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each feature stands in toxic documents so nearly alone that chance would hardly give one such feature among all."""
+    found, share = np.zeros((2, FEATURES), np.int64), float(toxic.mean())
+    for own, flag in zip(docs, toxic, strict=True):
+        found[int(flag), np.unique(table[np.unique(own)])] += 1
+    good, bad = found
+    out, all_of = np.zeros(FEATURES, bool), log(int((found.sum(axis=0) > 0).sum()) / 0.005)
+    for c in np.flatnonzero((bad > 0) & (bad >= 9 * good)).tolist():
+        k, g = int(bad[c]), int(good[c])
+        out[c] = k * log(1 / share) - (lgamma(k + g + 1) - lgamma(k + 1) - lgamma(g + 1)) > all_of
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -147,15 +150,18 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 30) ->
     texts, toxic = [texts[k] for k in keep], np.asarray(toxic, np.int64)[keep]
     if not len(texts) or not toxic.any() or toxic.all():
         return out
-    tokens = [t.split() for t in texts]
-    cells = {w: features(w) for w in {w for own in tokens for w in own}}
-    tells = telling(tokens, toxic, cells)
-    tells = {w: any(c in tells for c in own) for w, own in cells.items()}
-    labels = np.array([flag and tells[w] for own, flag in zip(tokens, toxic, strict=True) for w in own], float)
-    known = np.array([not flag or tells[w] for own, flag in zip(tokens, toxic, strict=True) for w in own], float)
-    nth = {w: k for k, w in enumerate(cells)}
-    table, sizes = np.array(list(cells.values()), np.int64), np.array([len(own) for own in tokens], np.int64)
-    word = np.array([nth[w] for own in tokens for w in own], np.int64)
+    # words become numbers at once; the driver holds no list of tokens
+    nth: dict[str, int] = {}
+    docs = [np.array([nth.setdefault(w, len(nth)) for w in t.split()], np.int32) for t in texts]
+    if not nth:
+        return out
+    table = np.array([features(w) for w in nth], np.int32)
+    words = len(nth)
+    del nth
+    tells = telling(docs, toxic, table)[table].any(axis=1)
+    sizes, word = np.array([len(own) for own in docs], np.int64), np.concatenate(docs)
+    flags = np.repeat(toxic > 0, sizes)
+    labels, known = (flags & tells[word]).astype(float), (~flags | tells[word]).astype(float)
     truth, place = windows(labels, sizes, 0.0)
     known = windows(known, sizes, 0.0)[0] > 0
     steps = {"weights": np.full(FEATURES, 1e-8), "bias": 1e-8, "moves": np.full((2, 2), 1e-8)}
@@ -173,12 +179,12 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 30) ->
         forward, backward = ratios(grid, out.moves)
         odds = forward * backward
         flat = np.where(known, truth - odds / (1 + odds), 0.0).T.reshape(-1)[place]
-        by_word = np.bincount(word, flat, len(cells))
+        by_word = np.bincount(word, flat, words)
         slope = np.bincount(table.ravel(), np.repeat(by_word, table.shape[1]), FEATURES) - 0.05 * out.weights
         t, left = np.exp(out.moves), np.vstack([edge, forward])
         right = np.vstack([np.exp(np.clip(grid, -30, 30)) * backward, edge])
-        joint = np.stack([t[0, 0] + 0 * left, t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right])
-        expected = (joint / joint.sum(axis=0)).sum(axis=(1, 2)).reshape(2, 2)
+        total = t[0, 0] + t[0, 1] * right + t[1, 0] * left + t[1, 1] * left * right
+        expected = np.array([[(t[0, 0] / total).sum(), (t[0, 1] * right / total).sum()], [(t[1, 0] * left / total).sum(), (t[1, 1] * left * right / total).sum()]])
         out.weights, out.bias = climb("weights", out.weights, slope), climb("bias", out.bias, flat.sum())
         out.moves = np.clip(climb("moves", out.moves, seen - expected - out.moves), -8, 8)
     emission = out.weights[table].sum(axis=1) + out.bias
