@@ -24,6 +24,8 @@ SAMPLE, PER_LIST, LISTS = 2_000_000, 128, 4096
 REPLICAS, BOUNDARY = 6, 1.15
 #: Lists that a query may read, how much farther than the nearest they may be, and stored vectors that it reads at least.
 PROBES, RATIO, ENOUGH = 48, 1.6, 1000
+#: Rows of a distance matrix on the driver.
+ROWS = 2048
 #: Neighbours in the graph, width of a search, vectors searched at once.
 DEGREE, BEAM, BATCH = 16, 64, 256
 #: Stored vectors and queries that one task holds at a time.
@@ -95,16 +97,20 @@ def balanced(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     """Centroids by Lloyd's rounds in which full lists are farther away; empty ones restart at the points worst served."""
     rng = np.random.default_rng(7)
     points = sample[rng.choice(len(sample), lists, replace=False)]
-    sizes, norm = np.full(lists, len(sample) / lists), (sample**2).sum(axis=1)[:, None]
+    sizes, scale = np.full(lists, len(sample) / lists), 0.0
     for _ in range(rounds):
-        gap = np.maximum(0, norm - 2 * sample @ points.T + (points**2).sum(axis=1))
-        scale = np.median(gap.min(axis=1))
-        own = (gap + 0.3 * scale * np.maximum(0, sizes / sizes.mean() - 1)).argmin(axis=1)
+        push, own, gaps, best = 0.3 * scale * np.maximum(0, sizes / sizes.mean() - 1), np.empty(len(sample), np.int64), np.empty(len(sample)), np.empty(len(sample))
+        for k in range(0, len(sample), ROWS):  # some rows of the distance matrix at a time
+            part = slice(k, k + ROWS)
+            gap = np.maximum(0, (sample[part] ** 2).sum(axis=1)[:, None] - 2 * sample[part] @ points.T + (points**2).sum(axis=1))
+            own[part] = (gap + push).argmin(axis=1)
+            gaps[part], best[part] = gap[np.arange(len(gap)), own[part]], gap.min(axis=1)
+        scale = float(np.median(best))
         sizes = np.bincount(own, minlength=lists).astype(float)
         sums = np.zeros_like(points)
         np.add.at(sums, own, sample)
         points = sums / np.maximum(sizes, 1)[:, None]
-        worst = np.argsort(-gap[np.arange(len(sample)), own])[: int((sizes == 0).sum())]
+        worst = np.argsort(-gaps)[: int((sizes == 0).sum())]
         points[sizes == 0] = sample[worst]
     return points
 
@@ -115,7 +121,8 @@ def fitted(rows: DataFrame) -> Centroids | None:
     if first is None:
         return None
     bound = max(256, SAMPLE // len(first.vector))
-    sample = np.unique(np.array([r.vector for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("vector").collect()], float), axis=0)
+    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("vector").toArrow().column("vector").combine_chunks()
+    sample = np.unique(found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1), axis=0)
     lists = int(np.clip(rows.count() // PER_LIST, 1, min(LISTS, max(1, len(sample) // 4))))
     points = balanced(sample, lists)
     return Centroids(points, linked(points))
