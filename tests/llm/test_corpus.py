@@ -229,6 +229,23 @@ def test_near_duplicates_against_all_pairs(spark):
     assert order_minhash.classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_among_texts_that_share_a_passage(spark):
+    rng = random.Random(4)
+    passage, texts, pairs = [f"p{k}" for k in range(55)], [], []
+    for k in range(800):
+        own = [f"u{k}_{j}" for j in range(20)]
+        texts.append(" ".join(passage + own))
+        if k % 8 == 0:
+            for j in rng.sample(range(20), 3):
+                own[j] = f"new{k}_{j}"
+            pairs.append((k, 1000 + k, " ".join(passage + own)))
+    rows = [*((k, t, "x") for k, t in enumerate(texts)), *((i, t, "x") for _, i, t in pairs)]
+    # nearly all of these is in the others, which are longer
+    rows += [(5000 + k, " ".join(w if j != 2 * k else f"c{k}" for j, w in enumerate(passage)), "x") for k in range(25)]
+    found = {r.doc_id: r.class_id for r in order_minhash.classes(docs(spark, rows)).collect()}
+    assert found == {k: k for k in range(800)} | {i: k for k, i, _ in pairs} | {5000 + k: 5000 for k in range(25)}
+
+
 def test_order_matters_to_sketches():
     known = order_minhash.Words()
     a = [f"a{k}" for k in range(100)]
