@@ -1,4 +1,4 @@
-"""One query for each operator of the inventory, with the SQL that gives the same rows."""
+"""Queries for operators of the inventory, with the SQL that gives the same rows; presets, cluster vote, display, evidence, levels, connections, citations and provenance ids have none."""
 
 from __future__ import annotations
 
