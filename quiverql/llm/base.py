@@ -5,21 +5,36 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; texts are a few kB each and may be very long.
-ARROW_ROWS = "512"
+#: Bytes of texts that an operator turns into Python objects at a time; a longer text stands alone.
+SLICE = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of text columns to a few MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, about SLICE bytes of strings and binaries at a time; empty batches are left out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        nth = np.cumsum(held) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(low, high - low)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,11 +54,14 @@ _own: tempfile.TemporaryDirectory | None = None
 
 
 class Workspace:
-    """Tables written to the shared folder. They cut lineage and outlive lost executors; they go when dropped, or else when the driver's Python ends."""
+    """Tables written to the shared folder. They cut lineage and outlive lost executors; they go when dropped, at the end of the scratch() around them, or else when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{shared_folder(spark)}/quiverql/{name}-{uuid.uuid4().hex[:12]}", 0
-        atexit.register(self.drop)
+        if _scopes:
+            _scopes[-1].append(self)
+        else:
+            atexit.register(self.drop)
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         self.made += 1
@@ -64,6 +82,20 @@ class Workspace:
                 raise  # at exit, the session may have ended before
 
 
+_scopes: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch():
+    """Drops at its end the tables of all workspaces made within; results that read them must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for space in _scopes.pop():
+            space.drop()
+
+
 def documents(frame: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns only, whatever other columns there are; text is string, doc_id bigint."""
     return frame.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

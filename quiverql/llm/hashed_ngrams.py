@@ -3,6 +3,8 @@
 The n-grams are those of 1 to ORDER neighbouring bytes of a text's UTF-8, hashed into one table of CELLS
 cells; they need no word list and hold for every language. A model is one whole number for each cell: the log
 of the target's over the raw corpus' probability, in UNITs, so that sums agree however texts are batched.
+On request a second multinomial of two cells follows: three-word n-grams of a text that are its first of their
+kind, and those that came before in it.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import documents
+from .base import documents, slices
 
 ORDER, CELLS, UNIT = 3, 1 << 16, 1 << 20
-#: Trusted documents that a target model is counted on at most, those with the lowest hash of doc_id.
-TRUSTED = 50_000
+#: Words of the n-grams whose occurrences are told apart.
+WORDS = 3
 
 
 def spread(joined: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -61,23 +63,38 @@ def means(texts: list[str | None], model: np.ndarray) -> np.ndarray:
     return total / np.maximum(count, 1) / UNIT
 
 
-def counted(frame: DataFrame) -> DataFrame:
-    """cell, raw and target: n-grams in all texts and in those with trusted = true. A task sends each cell once at most."""
+def occurrences(text: str | None) -> tuple[int, int]:
+    """How many of a text's n-grams of words are the first of their kind in it, and how many are not."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    n = max(0, len(words) - WORDS + 1)
+    new = len(set(zip(*(words[k:] for k in range(WORDS)), strict=False)))
+    return new, n - new
+
+
+def counted(frame: DataFrame, words: bool = False) -> DataFrame:
+    """cell, raw and target: n-grams in all texts and in those with trusted = true. A task sends each cell once at most.
+
+    With words, cells CELLS and CELLS + 1 have the first and the further occurrences of n-grams of words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
-        for batch in batches:
+        raw, target = np.zeros(CELLS + 2, np.int64), np.zeros(CELLS + 2, np.int64)
+        for batch in slices(batches):
             texts, trusted = batch.column("text").to_pylist(), batch.column("trusted").to_pylist()
             for flag in (True, False):
-                for _, sizes, joined in chunks([t for t, own in zip(texts, trusted, strict=True) if own is flag]):
+                mine = [t for t, own in zip(texts, trusted, strict=True) if own is flag]
+                found = np.zeros(CELLS + 2, np.int64)
+                for _, sizes, joined in chunks(mine):
                     ends, alive = np.cumsum(sizes), np.ones(len(joined) + 1, bool)
                     for n, at in spread(joined):
                         if n > 1:
                             alive[(ends - n + 1)[sizes >= n - 1]] = False
-                        found = np.bincount(at[alive[: len(at)]], minlength=CELLS)
-                        raw += found
-                        if flag:
-                            target += found
+                        found[:CELLS] += np.bincount(at[alive[: len(at)]], minlength=CELLS)
+                if words and mine:
+                    found[CELLS:] = np.array([occurrences(t) for t in mine]).sum(axis=0)
+                raw += found
+                if flag:
+                    target += found
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["cell", "raw", "target"])
 
@@ -85,23 +102,35 @@ def counted(frame: DataFrame) -> DataFrame:
     return parts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def with_trust(frame: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """Documents and trusted: whether a label of the document has quality 1. At most bound ids are broadcast; the texts stay where they are."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("good", F.lit(True))
-    return documents(frame).join(F.broadcast(good), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("trusted"))
+def with_trust(frame: DataFrame, labels: DataFrame, bound: int | None = None) -> DataFrame:
+    """text and trusted: whether a label of the document has quality 1.
+
+    Without a bound all labels are joined as Spark sees fit; with one, at most bound ids of them (those with
+    the lowest hash) are broadcast, and the texts stay where they are.
+    """
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("good_id")).where("good_id is not null").distinct()
+    if bound is not None:
+        good = F.broadcast(good.orderBy(F.xxhash64("good_id"), "good_id").limit(bound))
+    return documents(frame).join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("trusted"))
 
 
-def fitted(frame: DataFrame, labels: DataFrame, smooth: float = 50.0) -> np.ndarray:
-    """The model. To the driver come as many rows as there are cells; without trusted texts it is zero.
+def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float) -> np.ndarray:
+    """The log ratio of two multinomials in UNITs.
 
     Both counts of a cell are joined by smooth target counts and the raw counts they stand for, so cells that
     are rare in both say nothing.
     """
-    raw, target = np.zeros(CELLS), np.zeros(CELLS)
-    for cell, n, m in counted(with_trust(frame, labels)).collect():
-        raw[cell], target[cell] = n, m
     if not target.sum():
-        return np.zeros(CELLS, np.int64)
+        return np.zeros(len(target), np.int64)
     share = target.sum() / raw.sum()
     ratio = np.log((target + smooth) / (raw * share + smooth))
-    return np.round((ratio - np.log((target.sum() + smooth * CELLS) / (raw.sum() * share + smooth * CELLS))) * UNIT).astype(np.int64)
+    return np.round((ratio - np.log((target.sum() + smooth * len(target)) / (raw.sum() * share + smooth * len(target)))) * UNIT).astype(np.int64)
+
+
+def fitted(frame: DataFrame, labels: DataFrame, bound: int | None = None, words: bool = False, smooth: float = 50.0) -> np.ndarray:
+    """The model; with words its last two cells are those of occurrences. To the driver come as many rows as there are cells; without trusted texts it is zero."""
+    raw, target = np.zeros(CELLS + 2), np.zeros(CELLS + 2)
+    for cell, n, m in counted(with_trust(frame, labels, bound), words).collect():
+        raw[cell], target[cell] = n, m
+    own = log_ratio(target[:CELLS], raw[:CELLS], smooth)
+    return np.concatenate([own, log_ratio(target[CELLS:], raw[CELLS:], smooth)]) if words else own

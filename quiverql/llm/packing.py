@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .base import Workspace, documents
+from .base import Workspace, documents, slices
 
 
 def exact_complements(counts: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
@@ -123,7 +123,7 @@ def pieces(frame: DataFrame, path: str, cap: int, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, part, seen = bpe.encoder(path), TaskContext.get().partitionId(), np.zeros(cap + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = made.encode(text)
@@ -156,7 +156,7 @@ def pack(frame: DataFrame, path: str, cap: int = 2048, end_id: int = 0) -> DataF
     ranked = saved.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sequence, offset = places.of(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 

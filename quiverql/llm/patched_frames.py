@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .base import Workspace, documents, shuffle_partitions
+from .base import Workspace, documents, shuffle_partitions, slices
 
 MAGIC, BLOCK, LANES, DEEP = 0x31524650, 256, 8, 32
 #: Ids after which a segment ends with the document at hand.
@@ -135,7 +135,7 @@ def segments(frame: DataFrame, path: str, end_id: int, percentile: float = 0.9)
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.append(made.encode(text))
                 docs.append(doc_id)
@@ -169,7 +169,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     placed = files.join(F.broadcast(bases), "part").select((F.col("base") + F.col("part_start")).alias("at"), "doc_ids", "counts", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 raw, counts = unpack(row["payload"]).astype("<u4").tobytes(), np.array(row["counts"], np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .base import documents
+from .base import documents, slices
 
 #: Entries of a worker's tables of words, pieces and pairs; a full table is emptied (that costs time, not results).
 MEMO = 250_000
@@ -270,7 +270,7 @@ def token_counts(frame: DataFrame, path: str, limit: int = 512, index: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             tables = [made.prefixes(t) for t in texts] if index else None
             counts = np.array([t[-1] for t in tables] if index else made.counts(texts), np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, order_minhash, packing, patched_frames, posting_lists, prefix_counts, resampling, rules, sharding, toxicity
-from .base import small_batches, table
+from .base import table
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -17,7 +17,6 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return order_minhash.classes(table(spark, sf_dir, "documents")).drop("print")
 
 
@@ -26,7 +25,6 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -35,22 +33,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return patched_frames.written_and_read(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), limit=512)
 
 
@@ -59,7 +53,6 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), cap=2048, end_id=0)
 
 

@@ -1,10 +1,10 @@
 """Quality classifier by importance resampling: the ratio of hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-A document's log weight is its mean log ratio for an n-gram times STRENGTH, the number of n-grams it speaks
-for (else long texts would outweigh short ones by length alone). The k documents with the highest log weight
-plus Gumbel noise are a sample of k without replacement by weight; k is the number of documents whose mean is
-above the margin, so the sample grows and shrinks with what is good in the corpus, and noise decides only
-among those within some hundredths of the margin.
+A document's importance weight is the ratio of two generative models of it, target over raw: hashed n-grams of
+bytes, whose ORDER overlapping orders count as one reading of the text, and first and further occurrences of
+n-grams of words. The k documents with the highest log weight plus standard Gumbel noise are a sample of k
+without replacement by weight. k is a share of the corpus: a parameter, or else the share of quality 1 among
+the labelled documents.
 """
 
 from __future__ import annotations
@@ -19,24 +19,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashed_ngrams
-from .base import Workspace, documents
+from .base import Workspace, documents, slices
+from .hashed_ngrams import CELLS, ORDER, UNIT
 
-STRENGTH, MARGIN = 1000.0, -0.25
+#: Trusted documents that the target model is fitted on at most, those with the lowest hash of doc_id.
+TRUSTED = 50_000
 #: Keys are compared as whole numbers of this part.
 PART = 10**6
 
 
-def noise(doc_id: int | None, text: str | None, seed: str) -> float:
-    """Standard Gumbel noise that depends on the row alone."""
-    raw = f"{seed}:{doc_id}:{len(text or '')}".encode()
-    u = (int.from_bytes(hashlib.blake2b(raw, digest_size=7).digest(), "little") + 0.5) / 2**56
+def noise(doc_id: int | None, text: str, seed: str) -> float:
+    """Standard Gumbel noise that depends on the row's id and text alone."""
+    raw = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7, key=f"{seed}:{doc_id}".encode()[:64]).digest()
+    u = (int.from_bytes(raw, "little") + 0.5) / 2**56
     return -np.log(-np.log(u))
 
 
-def keys(doc_ids: list, texts: list, model: np.ndarray, seed: str) -> tuple[np.ndarray, np.ndarray]:
-    """Mean log ratios and sampling keys."""
-    mean = hashed_ngrams.means(texts, model)
-    return mean, np.round((STRENGTH * mean + [noise(d, t, seed) for d, t in zip(doc_ids, texts, strict=True)]) * PART).astype(np.int64)
+def log_weights(texts: list[str | None], model: np.ndarray) -> np.ndarray:
+    """Log of the importance weights; 0 for null and empty texts."""
+    again = np.array([hashed_ngrams.occurrences(t) for t in texts], np.int64).reshape(-1, 2)
+    return (hashed_ngrams.totals(texts, model[:CELLS])[0] / ORDER + again @ model[CELLS:]) / UNIT
+
+
+def keys(doc_ids: list, texts: list, model: np.ndarray, seed: str) -> tuple[np.ndarray, list[int | None]]:
+    """Log weights and sampling keys; null and empty texts have no key."""
+    weight = log_weights(texts, model)
+    return weight, [int(round((w + noise(d, t, seed)) * PART)) if t else None for d, t, w in zip(doc_ids, texts, weight.tolist(), strict=True)]
 
 
 @dataclass
@@ -47,17 +55,17 @@ class Resampler:
 
 
 def scored(frame: DataFrame, model: np.ndarray, seed: str) -> DataFrame:
-    """doc_id, mean_log_ratio and sample_key of every row."""
+    """doc_id, log_weight and sample_key of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mean, key = keys(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), model, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(mean), pa.array(key)], names=["doc_id", "mean_log_ratio", "sample_key"])
+        for batch in slices(batches):
+            weight, key = keys(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), model, seed)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight), pa.array(key, pa.int64())], names=["doc_id", "log_weight", "sample_key"])
 
-    return documents(frame).mapInArrow(run, "doc_id bigint, mean_log_ratio double, sample_key bigint")
+    return documents(frame).mapInArrow(run, "doc_id bigint, log_weight double, sample_key bigint")
 
 
 def highest(frame: DataFrame, column: str, k: int, cells: int = 4096) -> int | None:
-    """The k-th highest value of a column of whole numbers, by counting ever narrower ranges; at most cells rows come to the driver at a time."""
+    """The k-th highest value of a column of whole numbers, the least if there are fewer, by counting ever narrower ranges; at most cells rows come to the driver at a time."""
     low, high = frame.agg(F.min(column), F.max(column)).first()
     if low is None or k < 1:
         return None
@@ -74,32 +82,42 @@ def highest(frame: DataFrame, column: str, k: int, cells: int = 4096) -> int | N
     return low
 
 
-def fit(frame: DataFrame, labels: DataFrame, seed: str = "resample") -> tuple[Resampler, DataFrame]:
+def good_share(frame: DataFrame, labels: DataFrame) -> float:
+    """The share of quality 1 among the documents with a label of quality 0 or 1; 1 if there are none. Of contradictory labels the better counts."""
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    share = frame.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(known, "doc_id").agg(F.avg("quality")).first()[0]
+    return 1.0 if share is None else share
+
+
+def fit(frame: DataFrame, labels: DataFrame, share: float | None = None, seed: str = "resample") -> tuple[Resampler, DataFrame]:
     """The resampler of these documents and their scores (a written table)."""
-    model = hashed_ngrams.fitted(frame, labels)
+    model = hashed_ngrams.fitted(frame, labels, TRUSTED, words=True)
     saved = Workspace(frame.sparkSession, "resampling").save(scored(frame, model, seed), "scores")
-    k = saved.where(F.col("mean_log_ratio") >= MARGIN).count()
+    k = round((good_share(frame, labels) if share is None else share) * saved.count())
     return Resampler(model, highest(saved, "sample_key", k), seed), saved
 
 
-def resample(frame: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, mean_log_ratio, sample_key and kept of every row.
+def resample(frame: DataFrame, labels: DataFrame, share: float | None = None, seed: str = "resample") -> DataFrame:
+    """doc_id, log_weight, sample_key and kept of every row.
 
-    Null and empty texts have mean 0 and stay; equal keys at the edge all stay. Rows with equal id and text
-    have equal keys. Without labels of quality 1 the ratio is 0 and all stay; no documents give no rows.
+    k is share (by default that of quality 1 among labelled documents) of all rows. Null and empty texts say
+    nothing of themselves: their log weight is 0, they have no key and are not kept. Rows with equal id and
+    text have equal keys; equal keys at the edge all stay. Without trusted documents the ratio is 1 for all,
+    and with no labels at all every text stays. No documents give no rows.
     """
-    found, saved = fit(frame, labels)
-    return saved.withColumn("kept", F.col("sample_key") >= F.lit(found.lowest if found.lowest is not None else 0))
+    found, saved = fit(frame, labels, share, seed)
+    stays = F.lit(False) if found.lowest is None else F.coalesce(F.col("sample_key") >= F.lit(found.lowest), F.lit(False))
+    return saved.withColumn("kept", stays)
 
 
-def kept(frame: DataFrame, labels: DataFrame) -> DataFrame:
+def kept(frame: DataFrame, labels: DataFrame, share: float | None = None, seed: str = "resample") -> DataFrame:
     """The rows that resample keeps, with all their columns; rows are judged again where they are, so texts aren't moved."""
-    found, _ = fit(frame, labels)
-    model, lowest, seed = found.model, found.lowest, found.seed
+    found, _ = fit(frame, labels, share, seed)
+    model, lowest = found.model, found.lowest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, key = keys(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), model, seed)
-            yield batch.filter(pa.array(key >= (0 if lowest is None else lowest)))
+        for batch in slices(batches):
+            _, key = keys(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text").to_pylist(), model, seed)
+            yield batch.filter(pa.array([k is not None and lowest is not None and k >= lowest for k in key], pa.bool_()))
 
     return frame.mapInArrow(run, frame.schema)

@@ -1,10 +1,11 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; forward-backward marginals give document scores and spans.
 
 Labels are of documents, so training tokens are labelled first: a token of a toxic training document is toxic
-if one of its features (the word, or a prefix) is found in toxic training documents almost alone. The field
-has two states, emissions that are sums of hashed feature weights, and learned transitions; it runs over
-windows of WINDOW tokens, each followed by a clean one. A document's score is a logistic function of the
-largest and the summed marginal of its tokens.
+if one of its features (the word, or a prefix) is found in toxic training documents almost alone; of its other
+tokens nothing is known, and the field is fitted with those left open. The field has two states, emissions
+that are sums of hashed feature weights, and learned transitions; a document is one chain from its first token
+to its last, with a clean token before and after. A document's score is a logistic function of the largest and
+the summed marginal of its tokens.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import documents
+from .base import Workspace, documents, slices
 
-WINDOW, FEATURES, PREFIXES = 64, 1 << 18, (3, 4, 5, 6, 7, 8)
-#: Labelled documents that the model is fitted on at most, of either label, and the most characters of one.
-TOXIC, CLEAN, LONGEST = 1000, 2000, 100_000
+FEATURES, PREFIXES = 1 << 18, (3, 4, 5, 6, 7, 8)
+#: Tokens that are gone through one after the other; the parts of a chain are computed side by side and then joined, exactly.
+STEPS = 64
+#: Labelled documents that the model is fitted on at most, of either label, and their characters in all; the last of these is taken whole.
+TOXIC, CLEAN, CHARACTERS = 1000, 2000, 24_000_000
 #: Words whose emission a worker remembers; a full table is emptied.
 MEMO = 200_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -45,42 +48,75 @@ class Field:
     logistic: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0]))
 
 
-def ratios(emissions: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward messages as toxic over clean, of windows whose tokens are the rows; a clean token stands before and after."""
+def dealt(flat: np.ndarray, sizes: np.ndarray, fill: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains as columns of STEPS tokens, no column of two chains, the place of each token, and each chain's columns."""
+    columns = -(-sizes // STEPS)
+    start = (np.cumsum(columns) - columns) * STEPS
+    place = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
+    grid = np.full(int(columns.sum()) * STEPS, fill)
+    grid[place] = flat
+    return np.ascontiguousarray(grid.reshape(-1, STEPS).T), place, columns
+
+
+def edges(grid: np.ndarray, columns: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic over clean before each column (forward) and after it (backward), given all of its chain to that side."""
+    into, onto = np.zeros(grid.shape[1]), np.full(grid.shape[1], t[1, 0] / t[0, 0])
+    if not len(columns) or columns.max() < 2:
+        return into, onto
+    # how each column takes either state before it to either state at its end
+    clean, toxic = np.repeat([[1.0], [0.0]], grid.shape[1], axis=1), np.repeat([[0.0], [1.0]], grid.shape[1], axis=1)
+    for k, x in enumerate(grid):
+        clean, toxic = clean * t[0, 0] + toxic * t[1, 0], x * (clean * t[0, 1] + toxic * t[1, 1])
+        if k % 4 == 3:
+            scale = np.maximum(clean, toxic).max(axis=0)
+            clean, toxic = clean / scale, toxic / scale
+    first = np.cumsum(columns) - columns
+    for k in range(1, columns.max()):
+        at = first[columns > k] + k
+        before = into[at - 1]
+        into[at] = (toxic[0, at - 1] + before * toxic[1, at - 1]) / (clean[0, at - 1] + before * clean[1, at - 1])
+        at = (first + columns)[columns > k] - 1 - k
+        after = onto[at + 1]
+        onto[at] = (clean[1, at + 1] + toxic[1, at + 1] * after) / (clean[0, at + 1] + toxic[0, at + 1] * after)
+    return into, onto
+
+
+def ratios(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token of chains side by side its emission factor, and forward and backward messages as toxic over clean."""
     t, x = np.exp(moves), np.exp(np.clip(emissions, -30, 30))
-    forward, backward = np.empty_like(x), np.empty_like(x)
-    last = np.zeros(x.shape[1])
-    for k in range(len(x)):
-        last = x[k] * (t[0, 1] + last * t[1, 1]) / (t[0, 0] + last * t[1, 0])
+    grid, place, columns = dealt(x, sizes, 0.0)
+    forward, backward = np.empty_like(grid), np.empty_like(grid)
+    last, after = edges(grid, columns, t)
+    for k in range(STEPS):
+        last = grid[k] * (t[0, 1] + last * t[1, 1]) / (t[0, 0] + last * t[1, 0])
         forward[k] = last
-    after = np.full(x.shape[1], t[1, 0] / t[0, 0])
-    for k in range(len(x) - 1, -1, -1):
+    for k in range(STEPS - 1, -1, -1):
         backward[k] = after
-        y = x[k] * after
+        y = grid[k] * after
         after = (t[1, 0] + t[1, 1] * y) / (t[0, 0] + t[0, 1] * y)
-    return forward, backward
-
-
-def windows(flat: np.ndarray, sizes: np.ndarray, fill: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of documents side by side as columns of WINDOW tokens, no column of two documents, and the place of each token."""
-    columns = -(-sizes // WINDOW)
-    start = np.concatenate([[0], np.cumsum(columns)[:-1]]) * WINDOW if len(sizes) else np.empty(0, np.int64)
-    place = np.repeat(start - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(flat)) if len(flat) else np.empty(0, np.int64)
-    grid = np.full(int(columns.sum()) * WINDOW, fill)
-    grid[place] = flat
-    return grid.reshape(-1, WINDOW).T, place
+    return x, forward.T.reshape(-1)[place], backward.T.reshape(-1)[place]
 
 
 def marginals(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """The probability that each token is toxic."""
-    if not len(emissions):
-        return emissions
-    grid, place = windows(emissions, sizes, -30.0)
-    forward, backward = ratios(grid, moves)
-    odds = (forward * backward).T.reshape(-1)[place]
+    _, forward, backward = ratios(emissions, sizes, moves)
+    odds = forward * backward
     return odds / (1 + odds)
 
 
+def expected(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals, and how often each state is expected to follow each, with the clean ones around every chain."""
+    x, forward, backward = ratios(emissions, sizes, moves)
+    odds, t, ends = forward * backward, np.exp(moves), np.cumsum(sizes)[sizes > 0] - 1
+    left = np.concatenate([[0.0], forward[:-1]])
+    left[ends[:-1] + 1] = 0.0
+    # every token after its predecessor, and the clean one after the last
+    left, right = np.concatenate([left, forward[ends]]), np.concatenate([x * backward, np.zeros(len(ends))])
+    total = t[0, 0] + t[0, 1] * right + t[1, 0] * left + t[1, 1] * left * right
+    counts = np.array([[(t[0, 0] / total).sum(), (t[0, 1] * right / total).sum()], [(t[1, 0] * left / total).sum(), (t[1, 1] * left * right / total).sum()]])
+    return odds / (1 + odds), counts
+
+
 def pooled(chance: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Largest and log of one plus the summed marginal of each document."""
     out, full = np.zeros((len(sizes), 2)), sizes > 0
@@ -143,8 +179,8 @@ def chances(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 30) -> Field:
     """The field of labelled documents; share: of toxic ones among all, of which the texts may be a sample by label.
 
-    In toxic documents only tokens with a telling feature are labelled; of the others there nothing is known,
-    so they have no say. All tokens of clean documents are clean.
+    The slope of the log likelihood is what is expected with known tokens held to their label, less what is
+    expected without. Known are the tokens of clean documents and the telling ones of toxic documents.
     """
     out, keep = Field(), apart(texts)
     texts, toxic = [texts[k] for k in keep], np.asarray(toxic, np.int64)[keep]
@@ -160,33 +196,23 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 30) ->
     del nth
     tells = telling(docs, toxic, table)[table].any(axis=1)
     sizes, word = np.array([len(own) for own in docs], np.int64), np.concatenate(docs)
-    flags = np.repeat(toxic > 0, sizes)
-    labels, known = (flags & tells[word]).astype(float), (~flags | tells[word]).astype(float)
-    truth, place = windows(labels, sizes, 0.0)
-    known = windows(known, sizes, 0.0)[0] > 0
+    open_ = np.repeat(toxic > 0, sizes) & ~tells[word]
+    held = np.where(np.repeat(toxic > 0, sizes), 30.0, -30.0)
     steps = {"weights": np.full(FEATURES, 1e-8), "bias": 1e-8, "moves": np.full((2, 2), 1e-8)}
 
     def climb(name: str, value, slope):
         steps[name] = steps[name] + slope * slope
         return value + 0.5 * slope / np.sqrt(steps[name])
 
-    edge = np.zeros((1, truth.shape[1]))
-    before, after = np.vstack([edge, truth]), np.vstack([truth, edge])
-    seen = np.array([[((before == i) & (after == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     for _ in range(rounds):
-        emission = out.weights[table].sum(axis=1) + out.bias
-        grid = windows(emission[word], sizes, -30.0)[0]
-        forward, backward = ratios(grid, out.moves)
-        odds = forward * backward
-        flat = np.where(known, truth - odds / (1 + odds), 0.0).T.reshape(-1)[place]
+        emission = (out.weights[table].sum(axis=1) + out.bias)[word]
+        free, moved = expected(emission, sizes, out.moves)
+        known, truly = expected(np.where(open_, emission, held), sizes, out.moves)
+        flat = known - free
         by_word = np.bincount(word, flat, words)
         slope = np.bincount(table.ravel(), np.repeat(by_word, table.shape[1]), FEATURES) - 0.05 * out.weights
-        t, left = np.exp(out.moves), np.vstack([edge, forward])
-        right = np.vstack([np.exp(np.clip(grid, -30, 30)) * backward, edge])
-        total = t[0, 0] + t[0, 1] * right + t[1, 0] * left + t[1, 1] * left * right
-        expected = np.array([[(t[0, 0] / total).sum(), (t[0, 1] * right / total).sum()], [(t[1, 0] * left / total).sum(), (t[1, 1] * left * right / total).sum()]])
         out.weights, out.bias = climb("weights", out.weights, slope), climb("bias", out.bias, flat.sum())
-        out.moves = np.clip(climb("moves", out.moves, seen - expected - out.moves), -8, 8)
+        out.moves = np.clip(climb("moves", out.moves, truly - moved - out.moves), -8, 8)
     emission = out.weights[table].sum(axis=1) + out.bias
     out.logistic = logistic(np.column_stack([np.ones(len(texts)), pooled(marginals(emission[word], sizes, out.moves), sizes)]), toxic)
     own = toxic.mean()
@@ -195,11 +221,25 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 30) ->
 
 
 def training(frame: DataFrame, labels: DataFrame, fold: int = 5) -> tuple[list[str], np.ndarray, float]:
-    """At most TOXIC and CLEAN labelled texts outside the held-out fold, those with the lowest hash of doc_id, and the share of toxic ones there."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").dropDuplicates(["doc_id"])
+    """Labelled texts outside the held-out fold, their labels, and the share of toxic ones there.
+
+    At most TOXIC and CLEAN documents, those with the lowest hash of doc_id, as long as the ones before have
+    fewer than CHARACTERS in all; each is taken whole. Of contradictory labels of one doc_id toxic counts, of
+    several texts the one with the least MD5; a null text is an empty one.
+    """
+    usable = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n = {row[0]: row[1] for row in usable.groupBy("toxic").count().collect()}
-    chosen = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for k, bound in ((1, TOXIC), (0, CLEAN))]
-    rows = documents(frame).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").where(F.length("text").between(1, LONGEST)).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    order = ["hashed", "doc_id"]
+    usable = usable.withColumn("hashed", F.xxhash64("doc_id"))
+    chosen = [usable.where(F.col("toxic") == k).orderBy(*order).limit(bound) for k, bound in ((1, TOXIC), (0, CLEAN))]
+    texts = documents(frame).withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic", "hashed").agg(F.min_by("text", F.md5("text")).alias("text")).withColumn("n", F.length("text"))
+    space = Workspace(frame.sparkSession, "toxicity")
+    texts = space.save(texts, "training")
+    before = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = texts.select("doc_id", "hashed", "n").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < CHARACTERS).select("doc_id")
+    rows = texts.join(F.broadcast(sizes), "doc_id").select("doc_id", "text", "toxic").collect()
+    space.drop()
     rows.sort()
     return [r.text for r in rows], np.array([r.toxic for r in rows]), n.get(1, 0) / max(1, sum(n.values()))
 
@@ -236,9 +276,9 @@ class Tagger:
 def scored(frame: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted and spans of every whole text.
 
-    The model is small (FEATURES weights) and goes with the tasks; texts aren't moved. Null and empty texts
-    get the score of no toxic token; without labels of both kinds every text does. Repeated rows get equal
-    scores; a null doc_id is not held out; no documents give no rows.
+    The model is small (FEATURES weights) and goes with the tasks; texts aren't moved, and each is one chain,
+    however long. Null and empty texts get the score of no toxic token; without labels of both kinds every text
+    does. Repeated rows get equal scores; a null doc_id is not held out; no documents give no rows.
     """
     texts, toxic, share = training(frame, labels, fold)
     model = fit(texts, toxic, share)
@@ -246,7 +286,7 @@ def scored(frame: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
-        for batch in batches:
+        for batch in slices(batches):
             score, spans = tagger.tag(batch.column("text").to_pylist())
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, SPANS)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", "spans"])
