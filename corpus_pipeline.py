@@ -61,12 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written and read again."""
-    from quiverql.llm.base import Workspace, table
+    """All stages over documents; what each returns is written and read again, and its own tables go then."""
+    from quiverql.llm.base import Workspace, scratch, table
 
     space, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES):
-            docs = space.save(docs, f"stage-{at}")
-    return docs
+    for at, (_, stage) in enumerate(STAGES[:-1], 1):
+        with scratch():
+            docs = space.save(stage(spark, docs, sf_dir), f"stage-{at}")
+    return STAGES[-1][1](spark, docs, sf_dir)
