@@ -26,13 +26,19 @@ MOST_PARAMETERS = 64_000
 
 @dataclass(frozen=True)
 class QueryLimits:
-    """Of execute. More rows than max_intermediate_rows after a clause are an error; None: they aren't counted, which takes a job a clause."""
+    """Of execute, whose results are small. query has none of these limits but max_hops.
+
+    More rows than max_intermediate_rows after a clause, or than max_steps after all clauses together, are an
+    error; None for the first: they aren't counted, which saves a job a clause. A job alone may take a second,
+    so the time allowed is longer than an engine in memory would allow.
+    """
 
     max_hops: int = MOST_HOPS
     max_rows: int = 1000
     max_result_bytes: int = 4 * 1024 * 1024
-    max_intermediate_rows: int | None = None
-    timeout_seconds: float | None = None
+    max_intermediate_rows: int | None = 20_000
+    max_steps: int = 250_000
+    timeout_seconds: float | None = 120.0
 
 
 class GraphEngine:
@@ -92,6 +98,8 @@ class GraphEngine:
         try:
             clauses, parameters = self.checked(text, parameters)
             result = self.within_time(lambda: self.compiled(clauses, parameters, True, True, self.limits.max_intermediate_rows))
+            if sum(result.counted) > self.limits.max_steps:
+                raise QueryLimitError("The clauses make too many rows in all; filter earlier.")
             rows, total = self.within_time(lambda: self.collected(result))
             return self.envelope(result, rows, total, started)
         except RecursionError as e:
@@ -143,6 +151,9 @@ class GraphEngine:
             nodes.update(row[SEEN_NODES])
             edges.update(row[SEEN_EDGES])
         stats = {"rows": len(out), "total_rows": total, "elapsed_ms": round(1000 * (time.monotonic() - started), 2)}
+        if self.limits.max_intermediate_rows is not None:
+            made = [*result.counted, total]
+            stats |= {"work": sum(made), "peak_intermediate_rows": max(made)}
         return {"language": self.language, "columns": [n for n, _ in result.columns], "rows": out, "graph": {"node_ids": sorted(nodes), "edge_ids": sorted(edges)}, "truncated": len(out) < total, "stats": stats}
 
     def looked_up(self, kind: Kind, ids: set[str]) -> dict[str, dict]:

@@ -174,14 +174,28 @@ def narrowed(value: Typed, group: str, message: str, at: int) -> Typed:
     return wrong([value], message, at, kind)
 
 
+#: Beyond this no float is a whole number of 64 bits.
+WHOLE = float(2**63)
+
+
+def number_text(value: Column) -> Column:
+    """Text of a float: that of the whole number that it equals, if there is one of 64 bits."""
+    return F.when((F.rint(value) == value) & (F.abs(value) < WHOLE), value.try_cast("bigint").cast("string")).otherwise(value.cast("string"))
+
+
+def is_whole(value: Typed) -> Column:
+    """Whether the VARIANT of a row is a whole number of 64 bits."""
+    return F.schema_of_variant(value.col).rlike("^(TINYINT|SMALLINT|INT|BIGINT)")
+
+
 def canonical(value: Typed) -> Column:
     """Text that is equal for equal values only, whatever their kinds; null for null."""
     name = value.kind.name
     if name in ("integer", "float"):
-        return F.concat(F.lit("number "), (value.col.cast("double") + F.lit(0.0)).cast("string"))
+        return F.concat(F.lit("number "), value.col.cast("string") if name == "integer" else number_text(value.col))
     if name == "any":
         other = F.concat(group_of(value), F.lit(" "), F.to_json(value.col))
-        return F.when(group_of(value) == "number", F.concat(F.lit("number "), (as_group(value, "number") + F.lit(0.0)).cast("string"))).when(group_of(value) == "string", F.concat(F.lit("string "), as_group(value, "string"))).when(group_of(value) == "boolean", F.concat(F.lit("boolean "), as_group(value, "boolean").cast("string"))).otherwise(other)
+        return F.when(is_whole(value), F.concat(F.lit("number "), F.try_variant_get(value.col, "$", "bigint").cast("string"))).when(group_of(value) == "number", F.concat(F.lit("number "), number_text(as_group(value, "number")))).when(group_of(value) == "string", F.concat(F.lit("string "), as_group(value, "string"))).when(group_of(value) == "boolean", F.concat(F.lit("boolean "), as_group(value, "boolean").cast("string"))).otherwise(other)
     if name == "list":
         if value.kind.item is NULL:
             return F.concat(F.lit("list "), F.to_json(value.col))
@@ -205,6 +219,8 @@ def equal(a: Typed, b: Typed) -> Typed:
     if NULL in (a.kind, b.kind):
         return Typed(F.lit(None).cast("boolean"), BOOLEAN, fails)
     plain = ("number", "string", "boolean", "node", "edge", "path")
+    if {a.kind, b.kind} == {INTEGER, FLOAT}:
+        return Typed(exactly("==", a, b), BOOLEAN, fails)
     if a.kind.group == b.kind.group and (a.kind.group in plain or a.kind == b.kind and a.kind.group == "list" and a.kind.item.group in plain):
         return Typed(a.col == b.col, BOOLEAN, fails)
     if ANY in (a.kind, b.kind) or a.kind.group == b.kind.group:
@@ -212,6 +228,18 @@ def equal(a: Typed, b: Typed) -> Typed:
     return Typed(null_if_any([a, b], F.lit(False)), BOOLEAN, fails)
 
 
+def exactly(op: str, a: Typed, b: Typed) -> Column:
+    """A comparison of a whole number and a float, in whole numbers as far as the float is among those of 64 bits."""
+    if a.kind is FLOAT:
+        a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "=="}[op]
+    near = F.abs(b.col) < WHOLE
+    if op == "==":
+        return F.when(near & (F.rint(b.col) == b.col), a.col == b.col.try_cast("bigint")).when(b.col.isNotNull() & a.col.isNotNull(), F.lit(False))
+    edge = (F.ceil if op in ("<", ">=") else F.floor)(F.when(near, b.col))
+    inside = {"<": a.col < edge, "<=": a.col <= edge, ">": a.col > edge, ">=": a.col >= edge}[op]
+    return F.when(near, inside).when(a.col.isNotNull(), b.col > 0 if op in ("<", "<=") else b.col < 0)
+
+
 def ordered(op: str, a: Typed, b: Typed, at: int) -> Typed:
     """<, <=, > and >= of two numbers, strings or booleans."""
     do: Callable[[Column, Column], Column] = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}[op]
@@ -225,6 +253,8 @@ def ordered(op: str, a: Typed, b: Typed, at: int) -> Typed:
             if all(v.kind is ANY or v.kind.group == group for v in (a, b)):
                 out = out.when((groups[0] == group) & (groups[1] == group), do(as_group(a, group), as_group(b, group)))
         return Typed(null_if_any([a, b], out.otherwise(error(message, at))), BOOLEAN, True)
+    if {a.kind, b.kind} == {INTEGER, FLOAT}:
+        return Typed(exactly(op, a, b), BOOLEAN, a.fails or b.fails)
     if a.kind.group == b.kind.group and a.kind.group in ("number", "string", "boolean"):
         return Typed(do(a.col, b.col), BOOLEAN, a.fails or b.fails)
     return wrong([a, b], message, at, BOOLEAN)
@@ -302,12 +332,13 @@ def indexed(a: Typed, index: Typed, at: int) -> Typed:
         return literal(None)
     name, fails = a.kind.name, a.fails or index.fails
     if name in ("list", "string") and index.kind is INTEGER:
+        # an index beyond 32 bits is outside anyway
+        at_ = index.col.try_cast("int")
         if name == "list":
-            at_ = index.col.cast("int")
-            return Typed(F.when(at_ >= 0, F.get(a.col, at_)).otherwise(F.when(at_ < 0, F.try_element_at(a.col, F.when(at_ < 0, at_).otherwise(F.lit(1))))), a.kind.item, fails)
+            return Typed(item_at(a.col, at_), a.kind.item, fails)
         size = F.length(a.col)
-        place = F.when(index.col >= 0, index.col + 1).otherwise(size + index.col + 1).cast("int")
-        return Typed(F.when((index.col < size) & (index.col >= -size), F.substring(a.col, place, F.lit(1))), STRING, fails)
+        place = (F.when(at_ >= 0, at_).otherwise(size + at_) + 1).cast("int")
+        return Typed(F.when((at_ < size) & (at_ >= -size), F.substring(a.col, F.when((at_ < size) & (at_ >= -size), place), F.lit(1))), STRING, fails)
     if name == "map" and index.kind is STRING:
         if a.kind.fields is None:
             return Typed(F.try_element_at(a.col, index.col), a.kind.item or NULL, fails)
@@ -318,11 +349,42 @@ def indexed(a: Typed, index: Typed, at: int) -> Typed:
         for (key, _), col in zip(a.kind.fields, cols, strict=True):
             out = out.when(index.col == key, col)
         return Typed(out, kind, fails)
-    if a.kind is ANY or index.kind is ANY:
-        return wrong([a, index], "Values of mixed kinds can't be indexed.", at)
+    if index.kind is ANY:
+        return indexed_by_any(a, index, message, at)
+    if a.kind is ANY and index.kind in (INTEGER, STRING):
+        return Typed(null_if_any([a, index], any_at(a, index, group_of(a)).otherwise(error(message, at))), ANY, True)
     return wrong([a, index], message, at)
 
 
+def item_at(items: Column, at_: Column) -> Column:
+    return F.when(at_ >= 0, F.get(items, F.when(at_ >= 0, at_))).otherwise(F.try_element_at(items, F.when(at_ < 0, at_)))
+
+
+def any_at(a: Typed, index: Typed, group: Column) -> Column:
+    """The item of a VARIANT at an index of a known kind, as the first branches of a case."""
+    if index.kind is STRING:
+        inner = F.try_element_at(a.col.try_cast("map<string,variant>"), index.col)
+        return F.when(group == "map", F.when(~F.is_variant_null(inner), inner))
+    inner = item_at(a.col.try_cast("array<variant>"), index.col.try_cast("int"))
+    text = indexed(Typed(as_group(a, "string"), STRING), index, 0).col
+    return F.when(group == "list", F.when(~F.is_variant_null(inner), inner)).when(group == "string", text.cast("variant"))
+
+
+def indexed_by_any(a: Typed, index: Typed, message: str, at: int) -> Typed:
+    """The item of a value at an index that may be of several kinds."""
+    whole, text = Typed(F.try_variant_get(index.col, "$", "bigint"), INTEGER), Typed(as_group(index, "string"), STRING)
+    if a.kind is not ANY:
+        own, fits = (text, group_of(index) == "string") if a.kind.name == "map" else (whole, is_whole(index))
+        if a.kind.name not in ("map", "list", "string"):
+            return wrong([a, index], message, at)
+        found = indexed(a, own, at)
+        return Typed(null_if_any([a, index], F.when(fits, found.col).otherwise(error(message, at))), found.kind, True)
+    group = group_of(a)
+    by_place = F.when(group.isin("list", "string"), any_at(a, whole, group)).otherwise(error(message, at))
+    by_key = F.when(group == "map", any_at(a, text, group)).otherwise(error(message, at))
+    return Typed(null_if_any([a, index], F.when(is_whole(index), by_place).when(group_of(index) == "string", by_key).otherwise(error(message, at))), ANY, True)
+
+
 def field(a: Typed, key: str, at: int) -> Typed:
     """a.key of a map."""
     if a.kind is NULL:
@@ -380,6 +442,6 @@ def from_spark(e: Exception) -> QueryError | None:
         limit, at, message = text[text.index(MARK) :].split("|", 3)[1:]
         message = message.split("\n")[0].split(" SQLSTATE")[0].rstrip(" '\"")
         return (QueryLimitError if limit == "1" else QueryError)(message, int(at) if at else None)
-    if "ARITHMETIC_OVERFLOW" in text or "NUMERIC_VALUE_OUT_OF_RANGE" in text:
+    if any(name in text for name in ("ARITHMETIC_OVERFLOW", "NUMERIC_VALUE_OUT_OF_RANGE", "CAST_OVERFLOW")):
         return QueryLimitError("A whole number is beyond 64 bits.")
     return None

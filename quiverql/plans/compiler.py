@@ -40,10 +40,11 @@ class Rows:
 
 @dataclass
 class Result:
-    """frame: the rows in order, with a column c0, c1, ... for each name, and the extras asked for."""
+    """frame: the rows in order, with a column c0, c1, ... for each name, and the extras asked for. counted: the rows after each clause but the last, if they were counted."""
 
     frame: DataFrame
     columns: list[tuple[str, Kind]]
+    counted: list[int]
 
     def named(self) -> DataFrame:
         return self.frame.select(*(F.col(f"c{k}").alias(name) for k, (name, _) in enumerate(self.columns)))
@@ -52,6 +53,7 @@ class Result:
 class Compiler:
     def __init__(self, graph: PropertyGraph, parameters: dict, order: bool, provenance: bool, most_rows: int | None = None):
         self.graph, self.spark, self.parameters, self.order, self.provenance, self.most_rows, self.made = graph, graph.spark, parameters, order, provenance, most_rows, 0
+        self.counted: list[int] = []
         self.wanted: dict[str, set[str]] = {}
 
     def fresh(self, kind: str) -> str:
@@ -72,11 +74,14 @@ class Compiler:
         rows = Rows(None, extras=extras)
         for scoped in clauses:
             rows = self.match(rows, scoped) if isinstance(scoped.clause, Match) else self.project(rows, scoped)
-            if self.most_rows is not None and rows.frame.limit(self.most_rows + 1).count() > self.most_rows:
-                raise QueryLimitError("A clause makes too many rows; filter earlier.")
+            # the last clause has no more rows than the one before it
+            if self.most_rows is not None and scoped is not clauses[-1]:
+                self.counted.append(rows.frame.limit(self.most_rows + 1).count())
+                if self.counted[-1] > self.most_rows:
+                    raise QueryLimitError("A clause makes too many rows; filter earlier.")
         columns = [(name, value.kind) for name, value in rows.names.items()]
         frame = rows.frame.select(*(value.col.alias(f"c{k}") for k, value in enumerate(rows.names.values())), *extras)
-        return Result(frame, columns)
+        return Result(frame, columns, self.counted)
 
     # attributes
 

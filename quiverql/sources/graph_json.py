@@ -12,8 +12,8 @@ from ..graph import ORD, PROPERTIES, PropertyGraph
 
 #: Bytes of a JSON graph, and its version.
 MOST_BYTES, VERSION = 50 * 1024 * 1024, 1
-#: A number that reading made infinite, as it is written again.
-INFINITE = r'[\[:,]"?-?Infinity"?[\],}]'
+#: What is no number in JSON: escaped characters, and then strings.
+ESCAPED, QUOTED, NUMBER = r"(?s)\\.", '"[^"]*"', r"-?\d[\d.eE+-]*"
 NODE_KEYS, EDGE_KEYS = ("id", "label", "type"), ("id", "source", "target", "type")
 
 
@@ -27,8 +27,9 @@ def load_json(spark: SparkSession, path: str) -> PropertyGraph:
     size = source.agg(F.sum("length")).first()[0] or 0
     if size > MOST_BYTES:
         raise ValueError("The graph's file is larger than 50 MiB.")
-    parsed = source.select(F.try_parse_json("text").alias("v"))
-    shape = parsed.select(*(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")).alias(k) for k in ("nodes", "edges", "metadata")), F.try_variant_get("v", "$.schema_version", "variant").alias("version"), F.schema_of_variant("v").alias("whole"), F.to_json("v").rlike(INFINITE).alias("infinite")).first()
+    parsed = source.select(F.try_parse_json("text").alias("v"), F.regexp_replace(F.regexp_replace("text", ESCAPED, ""), QUOTED, "").alias("bare"))
+    infinite = F.exists(F.regexp_extract_all("bare", F.lit(NUMBER), F.lit(0)), lambda n: F.abs(n.try_cast("double")) == float("inf"))
+    shape = parsed.select(*(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")).alias(k) for k in ("nodes", "edges", "metadata")), F.try_variant_get("v", "$.schema_version", "variant").alias("version"), F.schema_of_variant("v").alias("whole"), infinite.alias("infinite")).first()
     if shape is None or shape.whole is None or shape.infinite:
         raise ValueError("The file is no JSON, or has a number that isn't finite.")
     version = shape.version.toPython() if shape and shape.version is not None else None

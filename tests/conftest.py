@@ -36,29 +36,32 @@ def data():
 
 @pytest.fixture(scope="session")
 def graph(spark):
-    """Seven nodes and seven edges; properties that are missing stay missing."""
-    from quiverql import PropertyGraph
-
+    """Ports on a round trip, ships that call there and what they load; one ship has itself in tow. What isn't known is left out."""
     nodes = [
-        ("doc", "Example", "Document", {}), ("section", "Services", "Section", {"level": 1}),
-        ("first", "First passage", "Passage", {"text": "Alpha uses Beta.", "score": 10, "enabled": False}), ("second", "Second passage", "Passage", {"text": "ALPHA stores data.", "score": 0}),
-        ("alpha", "alpha", "Concept", {"occurrences": 2}), ("beta", "beta", "Concept", {"occurrences": 1}), ("orphan", "orphan", "Concept", {}),
+        ("oslo", "Oslo", "Port", {"depth": 12, "note": "Deep and cold", "open": True}), ("kiel", "Kiel", "Port", {"depth": 9, "open": False}), ("cadiz", "Cádiz", "Port", {"note": "Warm water"}),
+        ("gull", "Gull", "Ship", {"knots": 18, "note": "Refit 1998", "open": True}), ("heron", "Heron", "Ship", {"knots": 22}), ("tern", "Tern", "Ship", {"knots": 18}),
+        ("salt", "Salt", "Cargo", {"tons": 40}), ("tin", "Tin", "Cargo", {"tons": 15}), ("cork", "cork", "Cargo", {}),
     ]
     edges = [
-        ("ds", "doc", "section", "CONTAINS", {}), ("sp1", "section", "first", "CONTAINS", {}), ("sp2", "section", "second", "CONTAINS", {}),
-        ("pa1", "first", "alpha", "MENTIONS", {}), ("pb1", "first", "beta", "MENTIONS", {}), ("pa2", "second", "alpha", "MENTIONS", {}),
-        ("ab", "alpha", "beta", "CO_OCCURS_WITH", {"weight": 2, "evidence": ["first"]}),
+        ("r1", "oslo", "kiel", "ROUTE", {"days": 2, "stops": ["Aarhus"]}), ("r2", "kiel", "cadiz", "ROUTE", {"days": 6}), ("r3", "cadiz", "oslo", "ROUTE", {"days": 7}),
+        ("c1", "gull", "oslo", "CALLS", {"days": 1}), ("c2", "gull", "kiel", "CALLS", {}), ("c3", "heron", "kiel", "CALLS", {"days": 3}), ("c4", "heron", "cadiz", "CALLS", {}),
+        ("l1", "gull", "salt", "LOADS", {}), ("l2", "heron", "salt", "LOADS", {}), ("l3", "heron", "tin", "LOADS", {}), ("t1", "tern", "tern", "TOWS", {}),
     ]
     return make_graph(spark, nodes, edges)
 
 
-def make_graph(spark, nodes, edges):
+NODE = "depth bigint, knots bigint, tons bigint, note string, open boolean"
+EDGE = "days bigint, stops array<string>"
+
+
+def make_graph(spark, nodes, edges, node=NODE, edge=EDGE):
     from quiverql import PropertyGraph
 
-    own, link = "level text score enabled occurrences".split(), "weight evidence".split()
+    own, link = ([c.split()[0] for c in x.split(", ")] for x in (node, edge))
+    as_struct = lambda x: ", ".join(": ".join(c.split()) for c in x.split(", "))
     n = [(i, label, t, k, tuple(p.get(x) for x in own)) for k, (i, label, t, p) in enumerate(nodes)]
     e = [(i, s, t, kind, k, tuple(p.get(x) for x in link)) for k, (i, s, t, kind, p) in enumerate(edges)]
     return PropertyGraph(
-        spark.createDataFrame(n, "id string, label string, type string, ord bigint, properties struct<level: bigint, text: string, score: bigint, enabled: boolean, occurrences: bigint>").coalesce(1).cache(),
-        spark.createDataFrame(e, "id string, source string, target string, type string, ord bigint, properties struct<weight: bigint, evidence: array<string>>").coalesce(1).cache(),
+        spark.createDataFrame(n, f"id string, label string, type string, ord bigint, properties struct<{as_struct(node)}>").coalesce(1).cache(),
+        spark.createDataFrame(e, f"id string, source string, target string, type string, ord bigint, properties struct<{as_struct(edge)}>").coalesce(1).cache(),
     )

@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import pytest
+from conftest import make_graph
 
 from quiverql.operators import analytics, extraction, tools
 from quiverql.sources import docx, graph_json
@@ -18,20 +19,30 @@ def word(body, **parts):
     return out.getvalue()
 
 
-BODY = f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Services</w:t></w:r></w:p><w:p><w:r><w:t>Alpha uses</w:t><w:tab/><w:t>Beta.</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>Beta</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>Platform</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl></w:body></w:document>'
+def paragraph(*texts, style=None):
+    runs = "<w:tab/>".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in texts)
+    return f'<w:p>{f"""<w:pPr><w:pStyle w:val="{style}"/></w:pPr>""" if style else ""}{runs}</w:p>'
+
+
+def row(*cells):
+    return "<w:tr>" + "".join(f"<w:tc>{paragraph(c) if c else '<w:p/>'}</w:tc>" for c in cells) + "</w:tr>"
+
+
+BODY = f'<w:document {W}><w:body>{paragraph("Currents shape harbours.")}{paragraph("Tides", style="Heading2")}<w:tbl>{row("Pilot", "", "Neap tide")}{row("Buoy")}{row("")}</w:tbl>{paragraph("Pilots", "read currents.")}</w:body></w:document>'
 
 
 def test_docx_to_graph(spark, tmp_path):
-    (tmp_path / "a.docx").write_bytes(word(BODY))
+    (tmp_path / "log.docx").write_bytes(word(BODY))
     blocks = docx.read_docx(spark, str(tmp_path)).cache()
-    assert [(r.position, r.text, r.kind, r.level, r.row) for r in blocks.orderBy("position").collect()] == [(1, "Services", "paragraph", 1, None), (2, "Alpha uses Beta.", "paragraph", None, None), (3, "Beta | Platform", "table_row", None, 1)]
+    want = [(1, "Currents shape harbours.", "paragraph", None, None), (2, "Tides", "paragraph", 2, None), (3, "Pilot |  | Neap tide", "table_row", None, 1), (4, "Buoy", "table_row", None, 2), (5, "Pilots read currents.", "paragraph", None, None)]
+    assert [(r.position, r.text, r.kind, r.level, r.row) for r in blocks.orderBy("position").collect()] == want
     made = extraction.build_graph(blocks)
     graph_json.validate(made)
-    assert {r.type: r["count"] for r in made.nodes.groupBy("type").count().collect()} == {"Document": 1, "Section": 1, "Passage": 2, "Concept": 4}
-    beta = made.nodes.where("label = 'beta'").first()
-    assert beta.properties.occurrences == 2 and beta.properties.passage_count == 2
+    assert {r.type: r["count"] for r in made.nodes.groupBy("type").count().collect()} == {"Document": 1, "Section": 1, "Passage": 4, "Concept": 10}
+    currents = made.nodes.where("label = 'currents'").first()
+    assert currents.properties.occurrences == 2 and currents.properties.passage_count == 2
     links = made.edges.where("type = 'CO_OCCURS_WITH'").collect()
-    assert len(links) == 2 and all(r.properties.weight == 1 == len(r.properties.evidence) for r in links)
+    assert len(links) == 9 and all(r.properties.weight == 1 == len(r.properties.evidence) for r in links)
 
 
 @pytest.mark.parametrize("raw", [b"", b"no zip", word("<broken"), word(f"<!DOCTYPE x>{BODY}"), word(('<?xml version="1.0" encoding="UTF-16"?><!DOCTYPE x [<!ENTITY a "b">]>' + BODY).encode("utf-16")), word(f"<w:document {W}/>"), word(f"<w:document {W}><w:body/></w:document>")])
@@ -57,14 +68,14 @@ def test_section_parents(spark):
 def test_scores_by_hand(spark):
     import math
 
-    lines = ["Alpha beta alpha", "beta Gamma", "the and AlphaX"]
+    lines = ["Pilot buoy pilot", "buoy Tide", "the and PilotX"]
     blocks = extraction.placed(spark.createDataFrame([("f", "d", k, t, "paragraph", None, None, None) for k, t in enumerate(lines, 1)], docx.BLOCKS))
     counts = extraction.term_counts(blocks)
     terms = {r.term: r for r in extraction.scored(counts, blocks).collect()}
-    assert set(terms) == {"alpha", "beta", "gamma", "alphax"} and terms["alphax"].label == "AlphaX" and terms["alpha"].label == "alpha"
-    assert terms["alpha"].score == pytest.approx((1 + math.log(2)) * (1 + math.log(4 / 2))) and terms["beta"].score == pytest.approx((1 + math.log(2)) * (1 + math.log(4 / 3)))
+    assert set(terms) == {"pilot", "buoy", "tide", "pilotx"} and terms["pilotx"].label == "PilotX" and terms["pilot"].label == "pilot"
+    assert terms["pilot"].score == pytest.approx((1 + math.log(2)) * (1 + math.log(4 / 2))) and terms["buoy"].score == pytest.approx((1 + math.log(2)) * (1 + math.log(4 / 3)))
     found = extraction.mentions(counts, extraction.scored(counts, blocks), per_passage=1)
-    assert {(r.position, r.term) for r in found.collect()} == {(1, "alpha"), (2, "gamma"), (3, "alphax")}
+    assert {(r.position, r.term) for r in found.collect()} == {(1, "pilot"), (2, "tide"), (3, "pilotx")}
 
 
 BAD = ['{"schema_version": 2, "nodes": [], "edges": []}', '{"schema_version": 1, "nodes": [], "edges": []}', '{"schema_version": 1, "nodes": [{"id": "a", "label": "a", "type": "T"}]}', '{"schema_version": 1, "nodes": [{"id": "a", "label": "a", "type": "T"}, {"id": "a", "label": "b", "type": "T"}], "edges": []}', '{"schema_version": 1, "nodes": [{"id": "a", "label": " ", "type": "T"}], "edges": []}', '{"schema_version": 1, "nodes": [{"id": "a", "label": "a", "type": "T"}], "edges": [{"id": "e", "source": "a", "target": "b", "type": "T"}]}', '{"schema_version": 1, "nodes": [{"id": "a", "label": "a", "type": "T", "properties": {"x": NaN}}], "edges": []}', '{"schema_version": 1, "nodes": [{"id": 1, "label": "a", "type": "T"}], "edges": []}', "{broken", "[]"]
@@ -77,6 +88,16 @@ def test_bad_json(spark, tmp_path, text):
         graph_json.load_json(spark, str(tmp_path / "g.json"))
 
 
+def test_json_values_that_look_like_none(spark, tmp_path):
+    for k, (label, number, good) in enumerate([("Infinity", "1", True), ("NaN, -Infinity", "-2.5", True), ('a \\" 1e999', "3", True), ("x", "1e999", False), ("x", "[1, -2e400]", False)]):
+        (tmp_path / f"{k}.json").write_text(f'{{"schema_version": 1, "nodes": [{{"id": "a", "label": "{label}", "type": "Infinity", "properties": {{"x": {number}}}}}], "edges": []}}')
+        if good:
+            assert graph_json.load_json(spark, str(tmp_path / f"{k}.json")).nodes.first().type == "Infinity"
+        else:
+            with pytest.raises(ValueError):
+                graph_json.load_json(spark, str(tmp_path / f"{k}.json"))
+
+
 def test_round_trips(spark, graph, tmp_path):
     graph_json.save(graph, str(tmp_path / "p"))
     again = graph_json.load(spark, str(tmp_path / "p"))
@@ -84,36 +105,55 @@ def test_round_trips(spark, graph, tmp_path):
     graph_json.export_json(graph, str(tmp_path / "j"))
     (file,) = (tmp_path / "j").glob("part-*.txt")
     read = graph_json.load_json(spark, str(file))
-    assert read.nodes.count() == 7 and read.edges.where("id = 'ab'").first().properties.evidence == ["first"]
-
-
-def test_analytics(graph):
-    assert analytics.shortest_path(graph, "doc", "beta") == ["doc", "section", "first", "beta"]
-    assert analytics.shortest_path(graph, "beta", "doc", directed=True) == [] == analytics.shortest_path(graph, "doc", "orphan")
-    assert analytics.shortest_path(graph, "beta", "alpha", directed=True) == ["beta", "alpha"] and analytics.shortest_path(graph, "doc", "doc") == ["doc"]
-    assert {r.id: r.depth for r in analytics.k_hop(graph, "alpha", 1).collect()} == {"alpha": 0, "beta": 1, "first": 1, "second": 1}
-    assert {r.id: r.cluster for r in analytics.clusters(graph).collect()} == {"doc": None, "section": "section", "first": "section", "second": "section", "alpha": "section", "beta": "section", "orphan": None}
-    assert [r.depth for r in analytics.bands(graph).collect()] == [0, 1, 2, 2, 3, 3, 4]
-    assert [r.id for r in analytics.top_degrees(graph, 2).collect()] == ["first", "section"]
-    assert analytics.heaviest(graph).first().weight == 2 and [r.id for r in analytics.evidence(graph, "ab").collect()] == ["first"]
-    assert analytics.enabled_edges(graph, None, 3).count() == 6 and analytics.preset(graph, "concepts").edges.count() == 1
-    assert analytics.display(graph, 3).edges.count() == 2 and [r.id for r in analytics.connections(graph, "alpha").collect()][0] == "ab"
-    texts = graph.spark.createDataFrame([(1, "see [node:alpha] and [node:gone]")], "k int, text string")
-    assert [(r.node_id, r.known) for r in analytics.citations(graph, texts).orderBy("position").collect()] == [("alpha", True), ("gone", False)]
-    assert analytics.linked_text("see [node:alpha] and [node:gone]", {"alpha": "Alpha"}) == "see [Alpha] and [node:gone]"
-    assert {r.id for r in analytics.matching_text(graph, "STORES").collect()} == {"second"}
-
-
-def test_tools(graph):
+    assert read.nodes.count() == 9 and read.edges.where("id = 'r1'").first().properties.stops == ["Aarhus"]
+
+
+@pytest.fixture(scope="module")
+def papers(spark):
+    """A report whose second section lies in the first; one concept is nowhere mentioned."""
+    nodes = [
+        ("report", "Harbour report", "Document", {}), ("intro", "Intro", "Section", {}), ("p1", "Opening", "Passage", {"text": "Currents shape harbours."}), ("tides", "Tides", "Section", {}),
+        ("p2", "Ebb", "Passage", {"text": "Spring tides need pilots."}), ("p3", "Flood", "Passage", {"text": "PILOTS read currents."}),
+        ("currents", "currents", "Concept", {}), ("pilots", "pilots", "Concept", {}), ("harbours", "harbours", "Concept", {}), ("kelp", "kelp", "Concept", {}),
+    ]
+    edges = [
+        ("a1", "report", "intro", "CONTAINS", {}), ("a2", "intro", "p1", "CONTAINS", {}), ("a3", "intro", "tides", "CONTAINS", {}), ("a4", "tides", "p2", "CONTAINS", {}), ("a5", "tides", "p3", "CONTAINS", {}),
+        ("m1", "p1", "currents", "MENTIONS", {}), ("m2", "p1", "harbours", "MENTIONS", {}), ("m3", "p2", "pilots", "MENTIONS", {}), ("m4", "p3", "pilots", "MENTIONS", {}), ("m5", "p3", "currents", "MENTIONS", {}),
+        ("w1", "currents", "harbours", "CO_OCCURS_WITH", {"evidence": ["p1"]}), ("w2", "pilots", "currents", "CO_OCCURS_WITH", {"weight": 3, "evidence": ["p3", "p2"]}),
+    ]
+    return make_graph(spark, nodes, edges, "text string, score bigint", "weight bigint, evidence array<string>")
+
+
+def test_analytics(papers):
+    g = papers
+    assert analytics.shortest_path(g, "report", "pilots") == ["report", "intro", "p1", "currents", "pilots"]
+    assert analytics.shortest_path(g, "pilots", "report", directed=True) == [] == analytics.shortest_path(g, "report", "kelp")
+    assert analytics.shortest_path(g, "harbours", "pilots", directed=True) == ["harbours", "currents", "pilots"] and analytics.shortest_path(g, "p2", "p2") == ["p2"]
+    assert {r.id: r.depth for r in analytics.k_hop(g, "tides", 2).collect()} == {"tides": 0, "intro": 1, "p2": 1, "p3": 1, "report": 2, "p1": 2, "pilots": 2, "currents": 2}
+    # currents is mentioned once in either section
+    assert {r.id: r.cluster for r in analytics.clusters(g).collect()} == {"report": None, "intro": "intro", "p1": "intro", "tides": "tides", "p2": "tides", "p3": "tides", "currents": "intro", "pilots": "tides", "harbours": "intro", "kelp": None}
+    assert [(r.id, r.depth) for r in analytics.bands(g).collect()] == [("report", 0), ("intro", 1), ("p1", 2), ("tides", 2), ("currents", 3), ("harbours", 3), ("p2", 3), ("p3", 3), ("pilots", 4), ("kelp", 5)]
+    assert [r.id for r in analytics.top_degrees(g, 3).collect()] == ["currents", "p3", "intro"]
+    assert analytics.heaviest(g).first().weight == 3 and [r.id for r in analytics.evidence(g, "w2").collect()] == ["p3", "p2"]
+    assert analytics.enabled_edges(g, None, 2).count() == 11 and analytics.enabled_edges(g, ["CO_OCCURS_WITH"], 3).count() == 1 and analytics.preset(g, "structure").edges.count() == 5
+    assert analytics.display(g, 4).edges.count() == 3 and [r.id for r in analytics.connections(g, "currents").collect()] == ["w2", "m1", "m5", "w1"]
+    assert [r.id for r in analytics.page(analytics.connections(g, "currents"), 1, 3).collect()] == ["w1"]
+    texts = g.spark.createDataFrame([(1, "[node:kelp] not [node:algae] but [node:p3]")], "k int, text string")
+    assert [(r.node_id, r.label, r.known) for r in analytics.citations(g, texts).orderBy("position").collect()] == [("kelp", "kelp", True), ("algae", None, False), ("p3", "Flood", True)]
+    assert analytics.linked_text("[node:kelp] not [node:algae]", {"kelp": "Kelp"}) == "[Kelp] not [node:algae]"
+    assert {r.id for r in analytics.matching_text(g, "pilots").collect()} == {"p2", "p3", "pilots"}
+
+
+def test_tools(papers):
     import json
 
-    own = tools.GraphTools(graph)
+    own = tools.GraphTools(papers)
     schema = json.loads(own.get_graph_schema())
-    assert schema["node_types"]["Concept"] == {"count": 3, "properties": ["occurrences"]} and {d["n"] for d in schema["directions"]} == {1, 2, 3}
-    assert json.loads(own.run_graph_query("MATCH (c:Concept) RETURN c.id"))["rows"] == [["alpha"], ["beta"], ["orphan"]]
-    assert json.loads(own.run_graph_query("RETURN x"))["error"]["line"] == 1
-    assert json.loads(own.read_graph_node("first"))["properties"]["score"] == 10 and "error" in json.loads(own.read_graph_node("gone"))
+    assert schema["node_types"]["Passage"] == {"count": 3, "properties": ["text"]} and {d["n"] for d in schema["directions"]} == {1, 2, 3, 5}
+    assert json.loads(own.run_graph_query("MATCH (s:Section) RETURN s.id"))["rows"] == [["intro"], ["tides"]]
+    assert json.loads(own.run_graph_query("RETURN tide"))["error"]["line"] == 1
+    assert json.loads(own.read_graph_node("p2"))["properties"]["text"].startswith("Spring") and "error" in json.loads(own.read_graph_node("algae"))
     own.left = 0
     with pytest.raises(Exception):
-        own.read_graph_node("first")
+        own.read_graph_node("p2")
     assert tools.preview({"a": "x" * 700, "b": list(range(20))})["a"].endswith("…")
