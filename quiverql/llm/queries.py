@@ -17,7 +17,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.classes(table(spark, sf_dir, "documents")).drop("print")
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -319,6 +320,50 @@ def test_near_duplicates_against_all_pairs(spark):
     assert order_minhash.classes(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.15, 0.19])
+@pytest.mark.parametrize("kind", ["words", "runs"])
+def test_alike_texts_share_a_sample(rate, kind):
+    """Replaced words, and replaced runs of ten words, up to the least similarity that counts."""
+    rng, known, hits = random.Random(int(100 * rate)), order_minhash.Words(), []
+    while len(hits) < 80:
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([100, 400]))]
+        other = list(words)
+        if kind == "words":
+            other = [w if rng.random() >= rate else f"n{rng.random()}" for w in words]
+        else:
+            for at in rng.sample(range(len(words) // 10), int(rate * len(words) / 10)):
+                other[10 * at : 10 * at + 10] = [f"n{rng.random()}" for _ in range(10)]
+        a, b = " ".join(words).encode(), " ".join(other).encode()
+        if order_minhash.alike(a, b):
+            hits.append((order_minhash.sketch(a, known) == order_minhash.sketch(b, known)).any())
+    assert np.mean(hits) >= 0.9
+
+
+def test_very_long_texts():
+    rng = np.random.default_rng(2)
+    words = [b"w%d" % k for k in rng.integers(0, 3000, 150_000)]
+    other = list(words)
+    for k in rng.integers(0, len(words), 3000).tolist():
+        other[k] = b"new"
+    # few words in all: nothing stands once, so an alignment has to tell; shuffled, pairs of neighbours do
+    shuffled = [words[k] for k in rng.permutation(len(words))]
+    tracemalloc.start()
+    assert order_minhash.alike(b" ".join(words), b" ".join(other)) and not order_minhash.alike(b" ".join(words), b" ".join(shuffled))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_any_other_columns(spark):
+    names = ["node", "row", "root", "first_id", "first_print", "own_print", "own_id", "print", "bucket", "a", "b"]
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(5, text, *[1] * 11), (3, text + " more", *[2] * 11), (None, text, *[3] * 11), (None, None, *[4] * 11), (-7, "", *[5] * 11), (8, "", *[6] * 11), (8, "", *[7] * 11)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{c} int" for c in names))
+    found = [(r.doc_id, r.class_id, r.is_first) for r in order_minhash.classes(frame).collect()]
+    assert sorted(found, key=repr) == sorted([(5, 3, False), (3, 3, True), (None, 3, False), (None, None, True), (-7, -7, True), (8, -7, False), (8, -7, False)], key=repr)
+    kept = order_minhash.firsts(frame)
+    assert kept.columns == frame.columns and sorted((r.doc_id or 0, r.node) for r in kept.collect()) == [(-7, 5), (0, 4), (3, 2)]
+
+
 def test_near_copies_among_texts_that_share_a_passage(spark):
     rng = random.Random(4)
     passage, texts, pairs = [f"p{k}" for k in range(55)], [], []
