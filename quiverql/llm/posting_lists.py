@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids of a bounded sample, kept in balance while they are fitted, stand in memory with a neighbourhood
-graph that is searched for the lists near a vector. Every vector is stored in its nearest list and, if it lies
-near a boundary, in the next ones too. A query reads the lists whose centroid is within a ratio of the
-nearest one's distance. Long lists are split over tasks, so is a list's share of queries.
+Centroids in two levels, coarse ones of the whole table and the lists of each coarse cell, are fitted in balance
+on bounded samples and stand in memory with a neighbourhood graph that is searched for those near a vector. As
+many lists are made as hold PER_LIST vectors each, so they grow in number with the table and not in length.
+Every vector is stored in its nearest list and, if it lies near a boundary, in the next ones too. A query reads
+the lists whose centroid is within a ratio of the nearest one's distance, however many these are: a few where
+vectors lie in clusters, nearly all where they have no structure. Lists that lie side by side are read
+together; what holds too many vectors or queries is split over tasks.
 """
 
 from __future__ import annotations
@@ -18,18 +21,20 @@ from pyspark.sql import functions as F
 
 from .base import Workspace
 
-#: Numbers in the sample that centroids are fitted on, at most; vectors of a list on average; most lists.
-SAMPLE, PER_LIST, LISTS = 2_000_000, 128, 4096
-#: Lists that may store a vector and how much farther than the nearest they may be.
-REPLICAS, BOUNDARY = 6, 1.15
-#: Lists that a query may read, how much farther than the nearest they may be, and stored vectors that it reads at least.
-PROBES, RATIO, ENOUGH = 48, 1.6, 1000
-#: Rows of a distance matrix on the driver.
+#: Numbers in the sample that coarse centroids are fitted on, at most; vectors that a cell's lists are fitted on for each of them, and at least.
+SAMPLE, FIT, FIT_LEAST = 2_000_000, 8, 4096
+#: Vectors of a list on average, lists of a cell on average and at most, cells at most: lists get longer only beyond the product of the first and the last two.
+PER_LIST, FAN, FAN_MOST, CELLS = 64, 256, 2048, 4096
+#: Lists or cells that may store a vector and how much farther than the nearest they may be.
+REPLICAS, BOUNDARY = 4, 1.15
+#: How much farther than the nearest list or cell those that a query reads may be.
+RATIO = 1.5
+#: Rows of a distance matrix.
 ROWS = 2048
-#: Neighbours in the graph, width of a search, vectors searched at once.
+#: Neighbours in the graph, first width of a search, vectors searched at once.
 DEGREE, BEAM, BATCH = 16, 64, 256
-#: Stored vectors and queries that one task holds at a time.
-CELL_VECTORS, CELL_QUERIES = 8000, 2000
+#: Lists read together; stored vectors and queries of a task's group; vectors of a cell that get their lists in one task.
+TOGETHER, GROUP_VECTORS, GROUP_QUERIES, PART = 8, 1024, 1024, 32_768
 
 
 def usable(frame: DataFrame, column: str = "embedding") -> DataFrame:
@@ -41,11 +46,34 @@ def usable(frame: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.where(F.size("vector") == (common.d if common else 0)).dropDuplicates(["vec_id", "vector"])
 
 
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float) if len(column) else np.empty((0, 0))
+
+
 @dataclass
 class Centroids:
     points: np.ndarray
     links: np.ndarray
 
+    def reach(self, vectors: np.ndarray, ratio: float = RATIO) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the places of all centroids found within the ratio of the nearest one's distance, and their distances."""
+        out: list = [None] * len(vectors)
+        todo, width = np.arange(len(vectors)), BEAM
+        while len(todo):
+            near, far = self.search(vectors[todo], width) if 2 * width < len(self.points) else self.measured(vectors[todo])
+            ends = (far <= ratio * far[:, :1]).sum(axis=1)
+            whole = (ends < far.shape[1]) | (far.shape[1] == len(self.points))
+            for k in np.flatnonzero(whole):
+                out[todo[k]] = near[k, : ends[k]], far[k, : ends[k]]
+            todo, width = todo[~whole], 4 * width
+        return out
+
+    def measured(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids and their distances, nearest first."""
+        far = np.vstack([((vectors[k : k + 1] - self.points) ** 2).sum(axis=1) for k in range(len(vectors))])
+        near = np.argsort(far, axis=1, kind="stable")
+        return near, np.sqrt(np.take_along_axis(far, near, axis=1))
+
     def search(self, vectors: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """For each vector the places of the nearest centroids found by the graph and their distances, nearest first."""
         n, width = len(self.points), min(width, len(self.points))
@@ -115,16 +143,10 @@ def balanced(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return points
 
 
-def fitted(rows: DataFrame) -> Centroids | None:
-    """Centroids of the vectors with the lowest hash of vec_id, as many as hold SAMPLE numbers."""
-    first = rows.first()
-    if first is None:
-        return None
-    bound = max(256, SAMPLE // len(first.vector))
-    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("vector").toArrow().column("vector").combine_chunks()
-    sample = np.unique(found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1), axis=0)
-    lists = int(np.clip(rows.count() // PER_LIST, 1, min(LISTS, max(1, len(sample) // 4))))
-    points = balanced(sample, lists)
+def made(sample: np.ndarray, lists: int) -> Centroids:
+    """Centroids of a sample, a fourth of its different vectors at most."""
+    sample = np.unique(sample, axis=0)
+    points = balanced(sample, max(1, min(lists, len(sample) // 4)))
     return Centroids(points, linked(points))
 
 
@@ -142,78 +164,151 @@ def stored_in(near: np.ndarray, far: np.ndarray, points: np.ndarray) -> list[np.
     return out
 
 
-def read_by(near: np.ndarray, far: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The lists that each query reads: within the ratio, PROBES at most; more than that while they hold fewer than ENOUGH vectors."""
-    out = []
-    for ids, gaps in zip(near, far, strict=True):
-        n = min(PROBES, int(np.searchsorted(gaps, RATIO * gaps[0], side="right")))
-        enough = int(np.searchsorted(np.cumsum(sizes[ids]), ENOUGH)) + 1
-        out.append(ids[: max(n, enough)])
-    return out
+@dataclass
+class Index:
+    """coarse: the cells. cells: cell, size, lists, parts and rate, a row a cell, at most CELLS. models: the lists' centroids and graph of each cell. stored: cell, list, vec_id, vector."""
+
+    coarse: Centroids
+    cells: DataFrame
+    models: DataFrame
+    stored: DataFrame
+    space: Workspace
+
+
+MODEL = "cell int, dim int, points array<double>, links array<int>"
+
+
+def build(rows: DataFrame, space: Workspace) -> Index | None:
+    """The index of vectors (vec_id, vector). To the driver come the sample and a number a cell."""
+    spark, n = rows.sparkSession, rows.count()
+    if not n:
+        return None
+    bound = max(256, SAMPLE // len(rows.first().vector))
+    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("vector").toArrow().column("vector").combine_chunks()
+    coarse = made(found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1), int(np.clip(n // (PER_LIST * FAN), 1, CELLS)))
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                chosen = stored_in(*coarse.search(matrix(batch["vector"]), 2 * REPLICAS), coarse.points)
+                yield batch.loc[batch.index.repeat([len(c) for c in chosen])].assign(cell=np.concatenate(chosen).astype(np.int32))
+
+    dealt = space.save(rows.mapInPandas(to_cells, "vec_id bigint, vector array<double>, cell int"), "cells")
+    sizes = [(cell, size, int(np.clip(size // PER_LIST, 1, FAN_MOST))) for cell, size in dealt.groupBy("cell").count().collect()]
+    known = [(cell, size, lists, -(-size // PART), min(1.0, max(FIT * lists, FIT_LEAST) / size)) for cell, size, lists in sizes]
+    cells = spark.createDataFrame(known, "cell int, size bigint, lists int, parts int, rate double")
+    sample = dealt.join(F.broadcast(cells.select("cell", "lists", "rate")), "cell").where(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = made(matrix(pdf["vector"]), int(pdf["lists"].iloc[0]))
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "dim": [own.points.shape[1]], "points": [own.points.ravel()], "links": [own.links.ravel()]})
 
-def _lists(rows: DataFrame, centroids: Centroids, choose, width: int, name: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    models = space.save(sample.groupBy("cell").applyInPandas(fit, MODEL), "lists")
+
+    def to_lists(vectors: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(model):
+            return pd.DataFrame({"cell": [], "list": [], "vec_id": [], "vector": []})
+        own = centroids(model)
+        chosen = stored_in(*own.search(matrix(vectors["vector"]), 2 * REPLICAS), own.points)
+        out = vectors.loc[vectors.index.repeat([len(c) for c in chosen])].assign(list=np.concatenate(chosen).astype(np.int32))
+        return out[["cell", "list", "vec_id", "vector"]]
+
+    stored = cogrouped(dealt, "vec_id", models, cells, to_lists, "cell int, list int, vec_id bigint, vector array<double>")
+    return Index(coarse, cells, models, space.save(stored, "stored"), space)
+
+
+def centroids(model: pd.DataFrame) -> Centroids:
+    row = model.iloc[0]
+    points = np.asarray(row["points"], float).reshape(-1, row["dim"])
+    return Centroids(points, np.asarray(row["links"], np.int64).reshape(len(points), -1))
+
+
+def cogrouped(rows: DataFrame, key: str, models: DataFrame, cells: DataFrame, do, schema: str) -> DataFrame:
+    """Rows of cells, each with the model of its cell; a large cell is dealt to parts by the hash of the key."""
+    parts = F.broadcast(cells.select("cell", "parts"))
+    left = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("parts")
+    right = models.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).drop("parts")
+    return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(do, schema)
+
+
+def reading(index: Index, asked: DataFrame) -> DataFrame:
+    """query_id, vector, cell and list of every list that each of the queries (query_id, vector) reads."""
+    coarse = index.coarse
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                near, far = centroids.search(np.array(batch["vector"].tolist(), float), width)
-                chosen = choose(near, far)
-                yield batch.loc[batch.index.repeat([len(c) for c in chosen])].assign(list=np.concatenate(chosen).astype(np.int32))
+                chosen = [ids for ids, _ in coarse.reach(matrix(batch["vector"]))]
+                yield batch.loc[batch.index.repeat([len(c) for c in chosen])].assign(cell=np.concatenate(chosen).astype(np.int32))
+
+    def to_lists(queries: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(model):
+            return pd.DataFrame({"query_id": [], "vector": [], "cell": [], "lists": [], "gaps": []})
+        chosen = centroids(model).reach(matrix(queries["vector"]))
+        return queries[["query_id", "vector", "cell"]].assign(lists=[ids.astype(np.int32) for ids, _ in chosen], gaps=[gaps for _, gaps in chosen])
+
+    cells = asked.mapInPandas(to_cells, "query_id bigint, vector array<double>, cell int")
+    lists = cogrouped(cells, "query_id", index.models, index.cells, to_lists, "query_id bigint, vector array<double>, cell int, lists array<int>, gaps array<double>")
+    # of all cells' lists those within the ratio of the nearest of all; a vector of a query may be there in several cells
+    nearest = F.min(F.array_min("gaps")).over(Window.partitionBy("query_id", "vector"))
+    lists = lists.withColumn("most", nearest * RATIO)
+    inside = F.filter(F.arrays_zip("lists", "gaps"), lambda x: x["gaps"] <= F.col("most"))
+    return lists.select("query_id", "vector", "cell", F.transform(inside, lambda x: x["lists"]).alias("lists")).where(F.size("lists") > 0)
+
+
+def nearest(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id and score of the k nearest stored vectors in the lists read together, for each query and group."""
+    group = F.floor(F.col("list") / TOGETHER).cast("int").alias("place")
+    stored = index.stored.select("*", group)
+    read = index.space.save(reading(index, asked), "reading").select("query_id", "vector", "cell", F.explode("lists").alias("list"))
+    read = read.select("*", group).groupBy("query_id", "vector", "cell", "place").agg(F.collect_list("list").alias("lists"))
+    place = ["cell", "place"]
+    size = lambda t, most, name: t.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / most).cast("bigint").alias(name))
+    # a group's vectors are dealt to `down` parts and its queries to `across`; each meeting is one task's group
+    shape = size(stored, GROUP_VECTORS, "downs").join(size(read, GROUP_QUERIES, "acrosss"), place)
+
+    def dealt(table: DataFrame, key: str, mine: str, theirs: str):
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{theirs}s") - 1))
+        own = table.join(shape, place).withColumn(mine, F.pmod(F.xxhash64(key), F.col(f"{mine}s"))).withColumn(theirs, every)
+        return own.drop("downs", "acrosss").groupBy(*place, "down", "across")
+
+    def measured(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(queries):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        order = np.argsort(vectors["vec_id"].to_numpy(), kind="stable")
+        ids, space, own, out = vectors["vec_id"].to_numpy()[order], matrix(vectors["vector"])[order], vectors["list"].to_numpy()[order], []
+        for query_id, vector, lists in zip(queries["query_id"], queries["vector"], queries["lists"], strict=True):
+            at = np.flatnonzero(np.isin(own, lists) & (ids != query_id))
+            far = np.sqrt(((space[at] - np.asarray(vector, float)) ** 2).sum(axis=1))
+            # of an id's vectors the nearest counts; then by distance and id
+            at, far = at[(near := np.lexsort((far, ids[at])))], far[near]
+            first = np.concatenate([[True], np.diff(ids[at]) != 0])[: len(at)]
+            at, far = at[first], far[first]
+            best = np.lexsort((ids[at], far))[:k]
+            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][best], "score": far[best]}))
+        return pd.concat(out)
 
-    return rows.mapInPandas(run, f"{name} bigint, vector array<double>, list int")
+    return dealt(stored, "vec_id", "down", "across").cogroup(dealt(read, "query_id", "across", "down")).applyInPandas(measured, "query_id bigint, vec_id bigint, score double")
 
 
 def neighbours(frame: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found, for the vectors whose id is divisible by every.
 
-    Null, zero and non-finite vectors and those of other dimensions take no part. Of equal vectors only the
-    k + 1 with the least ids can be among a query's k nearest, so only those are stored. Ties go to the smaller
-    id; a query with fewer candidates than k gets all of them; no vectors give no rows. To the driver come the
-    sample and two numbers a list.
+    Null, zero and non-finite vectors and those of other dimensions take no part; neither do vectors without an
+    id. Rows equal in id and vector are one. An id with several vectors is one item: its distance to another is
+    the least between any two of theirs, and it is never its own neighbour. Of equal vectors only the k + 1 with
+    the least ids can be among a query's k nearest, so only those are stored. Ties go to the smaller id; a query
+    with fewer candidates than k gets all that it finds; no vectors give no rows.
     """
     spark = frame.sparkSession
-    rows = usable(frame)
-    centroids = fitted(rows)
-    if centroids is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    space = Workspace(spark, "posting-lists")
+    rows = space.save(usable(frame).where("vec_id is not null"), "vectors")
     copies = Window.partitionBy("vector").orderBy("vec_id")
     kept = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
-    n, points = len(centroids.points), centroids.points
-    space = Workspace(spark, "posting-lists")
-    stored = space.save(_lists(kept, centroids, lambda near, far: stored_in(near, far, points), 2 * REPLICAS, "vec_id"), "stored")
-    sizes = np.zeros(n, np.int64)
-    for number, count in stored.groupBy("list").count().collect():
-        sizes[number] = count
+    index = build(space.save(kept, "kept"), space)
+    if index is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
-    reading = space.save(_lists(asked, centroids, lambda near, far: read_by(near, far, sizes), BEAM, "query_id"), "reading")
-    readers = np.zeros(n, np.int64)
-    for number, count in reading.groupBy("list").count().collect():
-        readers[number] = count
-    # a list's vectors are dealt to `down` parts and its queries to `across`; each meeting is one cell
-    down, across = np.maximum(1, -(-sizes // CELL_VECTORS)).tolist(), np.maximum(1, -(-readers // CELL_QUERIES)).tolist()
-
-    def dealt(table: DataFrame, key: str, own: list[int], other: list[int], mine: str, theirs: str) -> DataFrame:
-        mine_n, their_n = (F.element_at(F.array(*map(F.lit, x)), F.col("list") + 1) if len(set(x)) > 1 else F.lit(x[0]) for x in (own, other))
-        return table.withColumn(mine, F.pmod(F.xxhash64(key), mine_n).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), their_n - 1)))
-
-    cells = ["list", "down", "across"]
-    left = dealt(stored, "vec_id", down, across, "down", "across").groupBy(*cells)
-    right = dealt(reading, "query_id", across, down, "across", "down").groupBy(*cells)
-
-    def nearest(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, space, out = vectors["vec_id"].to_numpy(), np.array(vectors["vector"].tolist(), float), []
-        for query_id, vector in zip(queries["query_id"], queries["vector"], strict=True):
-            far = np.sqrt(((space - np.asarray(vector, float)) ** 2).sum(axis=1))
-            far[ids == query_id] = np.inf
-            edge = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
-            at = np.flatnonzero((far <= edge) & np.isfinite(far))
-            at = at[np.lexsort((ids[at], far[at]))][:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at], "score": far[at]}))
-        return pd.concat(out)
-
-    found = left.cogroup(right).applyInPandas(nearest, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = nearest(index, asked, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

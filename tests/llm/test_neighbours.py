@@ -64,8 +64,8 @@ def test_long_lists_are_split(spark, vectors, monkeypatch):
     rows = [(k, v.tolist()) for k, v in enumerate(vectors[:600])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     whole = sorted(p.neighbours(frame, every=10).collect())
-    monkeypatch.setattr(p, "CELL_VECTORS", 50)
-    monkeypatch.setattr(p, "CELL_QUERIES", 3)
+    monkeypatch.setattr(p, "GROUP_VECTORS", 50)
+    monkeypatch.setattr(p, "GROUP_QUERIES", 3)
     assert sorted(p.neighbours(frame, every=10).collect()) == whole
 
 
