@@ -77,11 +77,14 @@ def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[
 
     A null source is a source of its own; null texts have no words and are not taken. Streams are prefix sums
     in two steps, over buckets of a source's seeded order and within them, so that a source with most of the
-    rows is spread over many tasks. Rows equal in id, source and size may change places. No documents give no rows.
+    rows, or rows of one id, are spread over many tasks; rows equal in id and text stay together. Rows equal in id,
+    text, source and size may change places. A block has a word for every 65,536 of the whole corpus, 1 at least and
+    1024 at most, or as many as block says. No documents give no rows.
     """
     space = Workspace(frame.sparkSession, "mixing")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sized(frame, *[F.struct("*").alias("row")] * carry).withColumn("key", key).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    # rows without an id, or with the same one, are told apart by their texts
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    rows = sized(frame, key.alias("key"), *[F.struct("*").alias("row")] * carry).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     saved = space.save(rows, "sizes")
     digits = max(1, math.ceil(math.log(max(saved.count(), 1) / BUCKET + 1, 16)))
     saved = saved.withColumn("bucket", F.substring("key", 1, digits))

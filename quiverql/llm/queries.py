@@ -62,7 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: op4: the same apportionment and block order over one prefix sum a source.
 MIXING_SQL = r"""
-with sized as (select doc_id, source, coalesce('=' || source, 'null') k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size, md5('mix:' || coalesce(doc_id::varchar, '')) seed from documents),
+with sized as (select doc_id, source, coalesce('=' || source, 'null') k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size, md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) seed from documents),
 per_source as (select k, max(source) source, sum(size)::bigint source_size from sized group by k),
 weighed as (select *, row_number() over (order by source nulls last) nth, (sum(source_size) over ())::bigint total, source_size * 2.0::double most, ([3, 1, 2])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double weight from per_source),
 levels as (select *, (1.5::double * total - (sum(most) over w - most)) / (sum(weight) over () - (sum(weight) over w - weight)) lvl from weighed window w as (order by most / weight, nth rows between unbounded preceding and current row)),
