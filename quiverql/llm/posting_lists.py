@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids in two levels, coarse ones of the whole table and the lists of each coarse cell, are fitted in balance
-on bounded samples and stand in memory with a neighbourhood graph that is searched for those near a vector. As
+on bounded samples and stand in memory with a neighbourhood graph that is searched for those near a vector, from the
+nearest of STARTS of them. As
 many lists are made as hold PER_LIST vectors each, so they grow in number with the table and not in length.
 Every vector is stored in its nearest list and, if it lies near a boundary, in the next ones too. A query reads
 the lists whose centroid is within a ratio of the nearest one's distance, however many these are: a few where
@@ -23,18 +24,20 @@ from .base import Workspace
 
 #: Numbers in the sample that coarse centroids are fitted on, at most; vectors that a cell's lists are fitted on for each of them, and at least.
 SAMPLE, FIT, FIT_LEAST = 2_000_000, 8, 4096
-#: Vectors of a list on average, lists of a cell on average and at most, cells at most: lists get longer only beyond the product of the first and the last two.
-PER_LIST, FAN, FAN_MOST, CELLS = 64, 256, 2048, 4096
+#: Vectors of a list on average, cells at most, lists of a cell at most. Up to PER_LIST * CELLS vectors a cell is a list; lists get longer only beyond PER_LIST * CELLS * FAN_MOST.
+PER_LIST, CELLS, FAN_MOST = 64, 4096, 2048
 #: Lists or cells that may store a vector and how much farther than the nearest they may be.
 REPLICAS, BOUNDARY = 4, 1.15
 #: How much farther than the nearest list or cell those that a query reads may be.
 RATIO = 1.5
 #: Rows of a distance matrix.
 ROWS = 2048
-#: Neighbours in the graph, first width of a search, vectors searched at once.
-DEGREE, BEAM, BATCH = 16, 64, 256
-#: Lists read together; stored vectors and queries of a task's group; vectors of a cell that get their lists in one task.
-TOGETHER, GROUP_VECTORS, GROUP_QUERIES, PART = 8, 1024, 1024, 32_768
+#: Parts of a split.
+SPLIT = 8
+#: Neighbours in the graph, centroids that a search starts from the nearest of, its first width, vectors searched at once.
+DEGREE, STARTS, BEAM, BATCH = 16, 2048, 64, 256
+#: Lists read together; stored vectors and queries of a task's group; vectors that get their lists in one task.
+TOGETHER, GROUP_VECTORS, GROUP_QUERIES, PART = 16, 1024, 1024, 16_384
 
 
 def usable(frame: DataFrame, column: str = "embedding") -> DataFrame:
@@ -52,16 +55,19 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 @dataclass
 class Centroids:
+    """scale: the median distance of a vector from its centroid."""
+
     points: np.ndarray
     links: np.ndarray
+    scale: float
 
     def reach(self, vectors: np.ndarray, ratio: float = RATIO) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each vector the places of all centroids found within the ratio of the nearest one's distance, and their distances."""
+        """For each vector the places of all centroids found within the ratio of the nearest one's distance (of scale, if that is more), and their distances."""
         out: list = [None] * len(vectors)
         todo, width = np.arange(len(vectors)), BEAM
         while len(todo):
             near, far = self.search(vectors[todo], width) if 2 * width < len(self.points) else self.measured(vectors[todo])
-            ends = (far <= ratio * far[:, :1]).sum(axis=1)
+            ends = (far <= ratio * np.maximum(far[:, :1], self.scale)).sum(axis=1)
             whole = (ends < far.shape[1]) | (far.shape[1] == len(self.points))
             for k in np.flatnonzero(whole):
                 out[todo[k]] = near[k, : ends[k]], far[k, : ends[k]]
@@ -82,12 +88,14 @@ class Centroids:
 
     def _search(self, q: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(len(q))[:, None]
-        start = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
-        ids = np.full((len(q), width + len(start)), -1)
-        far = np.full(ids.shape, np.inf)
-        seen, done = np.zeros((len(q), n + 1), bool), np.ones(ids.shape, bool)
-        ids[:, : len(start)], done[:, : len(start)], seen[:, start] = start, False, True
-        far[:, : len(start)] = ((q[:, None] - self.points[start]) ** 2).sum(axis=2)
+        start = np.unique(np.linspace(0, n - 1, min(n, STARTS)).astype(int))
+        gap = np.maximum(0, (q**2).sum(axis=1)[:, None] - 2 * q @ self.points[start].T + (self.points[start] ** 2).sum(axis=1))
+        best = np.argpartition(gap, min(width, len(start)) - 1, axis=1)[:, : min(width, len(start))]
+        ids, far = np.full((len(q), width), -1), np.full((len(q), width), np.inf)
+        ids[:, : best.shape[1]] = start[best]
+        far[:, : best.shape[1]] = ((q[:, None] - self.points[start[best]]) ** 2).sum(axis=2)
+        seen, done = np.zeros((len(q), n + 1), bool), ids < 0
+        seen[:, start] = True
         while True:
             order = np.argsort(far, axis=1, kind="stable")[:, :width]
             ids, far, done = ids[rows, order], far[rows, order], done[rows, order]
@@ -121,33 +129,53 @@ def linked(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def balanced(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
-    """Centroids by Lloyd's rounds in which full lists are farther away; empty ones restart at the points worst served."""
-    rng = np.random.default_rng(7)
-    points = sample[rng.choice(len(sample), lists, replace=False)]
-    sizes, scale = np.full(lists, len(sample) / lists), 0.0
+def nearest_of(rows: np.ndarray, points: np.ndarray, push: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the place of the nearest point, farther by push, and its squared distance; some rows of distances at a time."""
+    own, gaps = np.empty(len(rows), np.int64), np.empty(len(rows))
+    for k in range(0, len(rows), ROWS):
+        part = slice(k, k + ROWS)
+        gap = np.maximum(0, (rows[part] ** 2).sum(axis=1)[:, None] - 2 * rows[part] @ points.T + (points**2).sum(axis=1))
+        own[part] = (gap + push).argmin(axis=1)
+        gaps[part] = gap[np.arange(len(gap)), own[part]]
+    return own, gaps
+
+
+def lloyd(sample: np.ndarray, points: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids after some rounds in which full lists are farther away, and each row's list; empty lists restart at the rows worst served."""
+    n = len(points)
+    sizes, scale = np.full(n, len(sample) / n), 0.0
     for _ in range(rounds):
-        push, own, gaps, best = 0.3 * scale * np.maximum(0, sizes / sizes.mean() - 1), np.empty(len(sample), np.int64), np.empty(len(sample)), np.empty(len(sample))
-        for k in range(0, len(sample), ROWS):  # some rows of the distance matrix at a time
-            part = slice(k, k + ROWS)
-            gap = np.maximum(0, (sample[part] ** 2).sum(axis=1)[:, None] - 2 * sample[part] @ points.T + (points**2).sum(axis=1))
-            own[part] = (gap + push).argmin(axis=1)
-            gaps[part], best[part] = gap[np.arange(len(gap)), own[part]], gap.min(axis=1)
-        scale = float(np.median(best))
-        sizes = np.bincount(own, minlength=lists).astype(float)
+        own, gaps = nearest_of(sample, points, 0.3 * scale * np.maximum(0, sizes / sizes.mean() - 1))
+        scale, sizes = float(np.median(gaps)), np.bincount(own, minlength=n).astype(float)
         sums = np.zeros_like(points)
         np.add.at(sums, own, sample)
         points = sums / np.maximum(sizes, 1)[:, None]
-        worst = np.argsort(-gaps)[: int((sizes == 0).sum())]
-        points[sizes == 0] = sample[worst]
-    return points
+        points[sizes == 0] = sample[np.argsort(-gaps, kind="stable")[: int((sizes == 0).sum())]]
+    return points, own
+
+
+def balanced(sample: np.ndarray, lists: int) -> np.ndarray:
+    """About as many centroids: the sample is split into SPLIT balanced parts, and each part again, until none has more than its share."""
+    rng, share, done, waiting = np.random.default_rng(7), len(sample) / lists, [], [sample]
+    while waiting:
+        rows = waiting.pop()
+        parts = min(SPLIT, -(-len(rows) // max(1, int(share))))
+        if parts < 2 or len(rows) <= share:
+            done.append(rows.mean(axis=0))
+            continue
+        _, own = lloyd(rows, rows[rng.choice(len(rows), parts, replace=False)])
+        found = [rows[own == k] for k in range(parts)]
+        # what can't be told apart stays together
+        waiting += [f for f in found if 0 < len(f) < len(rows)]
+        done += [f.mean(axis=0) for f in found if len(f) == len(rows)]
+    return np.array(done)
 
 
 def made(sample: np.ndarray, lists: int) -> Centroids:
     """Centroids of a sample, a fourth of its different vectors at most."""
     sample = np.unique(sample, axis=0)
     points = balanced(sample, max(1, min(lists, len(sample) // 4)))
-    return Centroids(points, linked(points))
+    return Centroids(points, linked(points), float(np.sqrt(np.median(nearest_of(sample, points)[1]))))
 
 
 def stored_in(near: np.ndarray, far: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
@@ -166,111 +194,140 @@ def stored_in(near: np.ndarray, far: np.ndarray, points: np.ndarray) -> list[np.
 
 @dataclass
 class Index:
-    """coarse: the cells. cells: cell, size, lists, parts and rate, a row a cell, at most CELLS. models: the lists' centroids and graph of each cell. stored: cell, list, vec_id, vector."""
+    """coarse: the cells. block, parts and base: by cell, the block of cells that get their lists together, its parts, and the number of the cell's first list. models: block and the lists' centroids and graph of each cell. stored: list, vec_id, vector."""
 
     coarse: Centroids
-    cells: DataFrame
+    block: np.ndarray
+    parts: np.ndarray
+    base: np.ndarray
     models: DataFrame
     stored: DataFrame
     space: Workspace
 
 
-MODEL = "cell int, dim int, points array<double>, links array<int>"
+MODEL = "cell int, dim int, points array<double>, links array<int>, scale double"
+
+
+def centroids(row) -> Centroids:
+    points = np.asarray(row.points, float).reshape(-1, row.dim)
+    return Centroids(points, np.asarray(row.links, np.int64).reshape(len(points), -1), float(row.scale))
 
 
 def build(rows: DataFrame, space: Workspace) -> Index | None:
-    """The index of vectors (vec_id, vector). To the driver come the sample and a number a cell."""
+    """The index of vectors (vec_id, vector). To the driver come the sample and two numbers a cell."""
     spark, n = rows.sparkSession, rows.count()
     if not n:
         return None
     bound = max(256, SAMPLE // len(rows.first().vector))
     found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("vector").toArrow().column("vector").combine_chunks()
-    coarse = made(found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1), int(np.clip(n // (PER_LIST * FAN), 1, CELLS)))
+    coarse = made(found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1), int(np.clip(n // PER_LIST, 1, CELLS)))
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                chosen = stored_in(*coarse.search(matrix(batch["vector"]), 2 * REPLICAS), coarse.points)
+                chosen = stored_in(*coarse.search(matrix(batch["vector"]), BEAM // 4), coarse.points)
                 yield batch.loc[batch.index.repeat([len(c) for c in chosen])].assign(cell=np.concatenate(chosen).astype(np.int32))
 
     dealt = space.save(rows.mapInPandas(to_cells, "vec_id bigint, vector array<double>, cell int"), "cells")
-    sizes = [(cell, size, int(np.clip(size // PER_LIST, 1, FAN_MOST))) for cell, size in dealt.groupBy("cell").count().collect()]
-    known = [(cell, size, lists, -(-size // PART), min(1.0, max(FIT * lists, FIT_LEAST) / size)) for cell, size, lists in sizes]
-    cells = spark.createDataFrame(known, "cell int, size bigint, lists int, parts int, rate double")
-    sample = dealt.join(F.broadcast(cells.select("cell", "lists", "rate")), "cell").where(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    sizes = np.zeros(len(coarse.points), np.int64)
+    for cell, size in dealt.groupBy("cell").count().collect():
+        sizes[cell] = size
+    lists = np.clip(sizes // PER_LIST, 1, FAN_MOST)
+    parts = np.maximum(1, -(-sizes // PART))
+    # neighbours in number share a block up to PART vectors; a larger cell is one of its own, in parts
+    block, held = np.zeros(len(sizes), np.int64), 0
+    for k in range(1, len(sizes)):
+        held += sizes[k - 1]
+        apart = held + sizes[k] > PART
+        block[k], held = block[k - 1] + apart, 0 if apart else held
+    rate = np.minimum(1.0, np.maximum(FIT * lists, FIT_LEAST) / np.maximum(sizes, 1))
+    known = spark.createDataFrame(list(zip(range(len(sizes)), lists.tolist(), block.tolist(), parts.tolist(), rate.tolist(), strict=True)), "cell int, lists int, block bigint, parts bigint, rate double")
+    dealt = dealt.join(F.broadcast(known), "cell")
+    sample = dealt.where(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = made(matrix(pdf["vector"]), int(pdf["lists"].iloc[0]))
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "dim": [own.points.shape[1]], "points": [own.points.ravel()], "links": [own.links.ravel()]})
-
-    models = space.save(sample.groupBy("cell").applyInPandas(fit, MODEL), "lists")
-
-    def to_lists(vectors: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(model):
-            return pd.DataFrame({"cell": [], "list": [], "vec_id": [], "vector": []})
-        own = centroids(model)
-        chosen = stored_in(*own.search(matrix(vectors["vector"]), 2 * REPLICAS), own.points)
-        out = vectors.loc[vectors.index.repeat([len(c) for c in chosen])].assign(list=np.concatenate(chosen).astype(np.int32))
-        return out[["cell", "list", "vec_id", "vector"]]
-
-    stored = cogrouped(dealt, "vec_id", models, cells, to_lists, "cell int, list int, vec_id bigint, vector array<double>")
-    return Index(coarse, cells, models, space.save(stored, "stored"), space)
-
-
-def centroids(model: pd.DataFrame) -> Centroids:
-    row = model.iloc[0]
-    points = np.asarray(row["points"], float).reshape(-1, row["dim"])
-    return Centroids(points, np.asarray(row["links"], np.int64).reshape(len(points), -1))
-
-
-def cogrouped(rows: DataFrame, key: str, models: DataFrame, cells: DataFrame, do, schema: str) -> DataFrame:
-    """Rows of cells, each with the model of its cell; a large cell is dealt to parts by the hash of the key."""
-    parts = F.broadcast(cells.select("cell", "parts"))
-    left = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("parts")
-    right = models.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).drop("parts")
-    return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(do, schema)
+        out = []
+        for cell, own in pdf.groupby("cell"):
+            one = made(matrix(own["vector"]), int(own["lists"].iloc[0]))
+            # a cell that is one list may have but one vector
+            scale = one.scale if len(one.points) > 1 else coarse.scale
+            out.append((cell, one.points.shape[1], one.points.ravel(), one.links.ravel(), scale))
+        return pd.DataFrame(out, columns=["cell", "dim", "points", "links", "scale"])
+
+    models = space.save(sample.groupBy("block").applyInPandas(fit, MODEL), "lists").join(F.broadcast(known.select("cell", "block", "parts")), "cell")
+    base = np.zeros(len(sizes) + 1, np.int64)
+    for cell, count in models.select("cell", (F.size("points") / F.col("dim")).cast("int")).collect():
+        base[cell + 1] = count
+    base = np.cumsum(base)
+
+    def to_lists(vectors: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"list": [], "vec_id": [], "vector": []})]
+        for row in own.itertuples():
+            mine, model = vectors[vectors["cell"] == row.cell], centroids(row)
+            if len(mine):
+                chosen = stored_in(*model.search(matrix(mine["vector"]), BEAM // 4), model.points)
+                out.append(mine.loc[mine.index.repeat([len(c) for c in chosen])].assign(list=base[row.cell] + np.concatenate(chosen))[["list", "vec_id", "vector"]])
+        return pd.concat(out[1:] or out)
+
+    left = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).select(F.col("block").alias("block"), "part", "cell", "vec_id", "vector")
+    stored = left.groupBy("block", "part").cogroup(by_part(models)).applyInPandas(to_lists, "list bigint, vec_id bigint, vector array<double>")
+    return Index(coarse, block, parts, base, models, space.save(stored, "stored"), space)
+
+
+def by_part(models: DataFrame):
+    """The models of each block, for each of its parts."""
+    return models.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts").groupBy("block", "part")
 
 
 def reading(index: Index, asked: DataFrame) -> DataFrame:
-    """query_id, vector, cell and list of every list that each of the queries (query_id, vector) reads."""
-    coarse = index.coarse
+    """query_id, vector and lists: the lists that each of the queries (query_id, vector) reads, in some rows."""
+    coarse, block, parts, base = index.coarse, index.block, index.parts, index.base
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                chosen = [ids for ids, _ in coarse.reach(matrix(batch["vector"]))]
-                yield batch.loc[batch.index.repeat([len(c) for c in chosen])].assign(cell=np.concatenate(chosen).astype(np.int32))
-
-    def to_lists(queries: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(model):
-            return pd.DataFrame({"query_id": [], "vector": [], "cell": [], "lists": [], "gaps": []})
-        chosen = centroids(model).reach(matrix(queries["vector"]))
-        return queries[["query_id", "vector", "cell"]].assign(lists=[ids.astype(np.int32) for ids, _ in chosen], gaps=[gaps for _, gaps in chosen])
-
-    cells = asked.mapInPandas(to_cells, "query_id bigint, vector array<double>, cell int")
-    lists = cogrouped(cells, "query_id", index.models, index.cells, to_lists, "query_id bigint, vector array<double>, cell int, lists array<int>, gaps array<double>")
-    # of all cells' lists those within the ratio of the nearest of all; a vector of a query may be there in several cells
-    nearest = F.min(F.array_min("gaps")).over(Window.partitionBy("query_id", "vector"))
-    lists = lists.withColumn("most", nearest * RATIO)
+            rows = []
+            for query_id, vector, (cells, _) in zip(batch["query_id"], batch["vector"], coarse.reach(matrix(batch["vector"])) if len(batch) else [], strict=True):
+                at = block[cells]
+                rows += [(query_id, vector, b, query_id % parts[cells[at == b][0]], cells[at == b].astype(np.int32)) for b in np.unique(at)]
+            yield pd.DataFrame(rows, columns=["query_id", "vector", "block", "part", "cells"])
+
+    def to_lists(queries: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        lists: list[list] = [[] for _ in range(len(queries))]
+        nearest, most, space = np.full(len(queries), np.inf), np.zeros(len(queries)), matrix(queries["vector"])
+        for row in models.itertuples():
+            own = np.flatnonzero([row.cell in cells for cells in queries["cells"]])
+            model = centroids(row)
+            for k, (ids, gaps) in zip(own, model.reach(space[own]) if len(own) else [], strict=True):
+                lists[k].append((base[row.cell] + ids, gaps))
+                if gaps[0] < nearest[k]:
+                    nearest[k], most[k] = gaps[0], RATIO * max(gaps[0], model.scale)
+        at = [k for k, found in enumerate(lists) if found]
+        rows = [(queries["query_id"].iloc[k], queries["vector"].iloc[k], *map(np.concatenate, zip(*lists[k], strict=True)), nearest[k], most[k]) for k in at]
+        return pd.DataFrame(rows, columns=["query_id", "vector", "lists", "gaps", "nearest", "most"])
+
+    cells = asked.mapInPandas(to_cells, "query_id bigint, vector array<double>, block bigint, part bigint, cells array<int>")
+    lists = cells.groupBy("block", "part").cogroup(by_part(index.models)).applyInPandas(to_lists, "query_id bigint, vector array<double>, lists array<bigint>, gaps array<double>, nearest double, most double")
+    # of all lists those that the cell with the nearest one would read
+    most = F.min(F.struct("nearest", "most")).over(Window.partitionBy("query_id", "vector"))["most"]
+    lists = lists.withColumn("most", most)
     inside = F.filter(F.arrays_zip("lists", "gaps"), lambda x: x["gaps"] <= F.col("most"))
-    return lists.select("query_id", "vector", "cell", F.transform(inside, lambda x: x["lists"]).alias("lists")).where(F.size("lists") > 0)
+    return lists.select("query_id", "vector", F.transform(inside, lambda x: x["lists"]).alias("lists")).where(F.size("lists") > 0)
 
 
 def nearest(index: Index, asked: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id and score of the k nearest stored vectors in the lists read together, for each query and group."""
-    group = F.floor(F.col("list") / TOGETHER).cast("int").alias("place")
-    stored = index.stored.select("*", group)
-    read = index.space.save(reading(index, asked), "reading").select("query_id", "vector", "cell", F.explode("lists").alias("list"))
-    read = read.select("*", group).groupBy("query_id", "vector", "cell", "place").agg(F.collect_list("list").alias("lists"))
-    place = ["cell", "place"]
-    size = lambda t, most, name: t.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / most).cast("bigint").alias(name))
+    place = [F.floor(F.col("list") / TOGETHER).alias("place")]
+    stored = index.stored.select("*", *place)
+    read = index.space.save(reading(index, asked), "reading").select("query_id", "vector", F.explode("lists").alias("list"))
+    read = read.select("*", *place).groupBy("query_id", "vector", "place").agg(F.collect_list("list").alias("lists"))
+    size = lambda t, most, name: t.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / most).cast("bigint").alias(name))
     # a group's vectors are dealt to `down` parts and its queries to `across`; each meeting is one task's group
-    shape = size(stored, GROUP_VECTORS, "downs").join(size(read, GROUP_QUERIES, "acrosss"), place)
+    shape = size(stored, GROUP_VECTORS, "downs").join(size(read, GROUP_QUERIES, "acrosss"), "place")
 
     def dealt(table: DataFrame, key: str, mine: str, theirs: str):
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{theirs}s") - 1))
-        own = table.join(shape, place).withColumn(mine, F.pmod(F.xxhash64(key), F.col(f"{mine}s"))).withColumn(theirs, every)
-        return own.drop("downs", "acrosss").groupBy(*place, "down", "across")
+        own = table.join(shape, "place").withColumn(mine, F.pmod(F.xxhash64(key), F.col(f"{mine}s"))).withColumn(theirs, every)
+        return own.drop("downs", "acrosss").groupBy("place", "down", "across")
 
     def measured(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):

@@ -52,8 +52,11 @@ def test_few_vectors(spark, vectors, n):
 
 
 def test_graph_search_finds_near_centroids(vectors):
-    points = p.balanced(np.unique(vectors.astype(float), axis=0), 200)
-    made = p.Centroids(points, p.linked(points))
+    made = p.made(vectors.astype(float), 200)
+    points = made.points
+    assert 150 < len(points) < 600
+    everything = p.made(vectors[:300].astype(float), 60).reach(vectors[:5].astype(float), 100.0)
+    assert all(len(ids) == len(set(ids.tolist())) == len(everything[0][0]) for ids, _ in everything)
     near, far = made.search(vectors[:100].astype(float), 32)
     exact = np.argsort(((vectors[:100, None].astype(float) - points) ** 2).sum(axis=2), axis=1)[:, :8]
     assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(near.tolist(), exact.tolist(), strict=True)]) > 0.95
@@ -69,6 +72,32 @@ def test_long_lists_are_split(spark, vectors, monkeypatch):
     assert sorted(p.neighbours(frame, every=10).collect()) == whole
 
 
+def test_few_of_many_lists_are_read(spark):
+    from pyspark.sql import functions as F
+
+    from quiverql.llm.base import Workspace
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(150, 24))
+    space = (centres[rng.integers(0, 150, 12_000)] + 0.4 * rng.normal(size=(12_000, 24))).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(space)], "vec_id bigint, embedding array<float>").repartition(4)
+    found = p.neighbours(frame).toPandas()
+    hits = sum(len(set(brute(np.arange(12_000), space.astype(float), q, 10)[0]) & set(own.vec_id)) for q, own in found.groupby("query_id"))
+    assert found.query_id.nunique() == 120 and hits > 0.95 * 1200
+    index = p.build(p.usable(frame), Workspace(spark, "t"))
+    assert {r.vec_id for r in index.stored.select("vec_id").distinct().collect()} == set(range(12_000))
+    asked = p.usable(frame).where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    read = p.reading(index, asked).select(F.explode("lists").alias("list")).join(index.stored.groupBy("list").count(), "list").agg(F.sum("count")).first()[0]
+    assert read < 0.1 * 120 * index.stored.count()
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 3.0]), (1, [1.0, 0.5]), (2, [0.0, 3.25]), (2, [9.0, 9.0]), (3, [5.0, 5.0]), (3, [5.0, 5.0]), (None, [1.0, 0.0])]
+    found = p.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=3).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in found] == [(0, 1, 2), (0, 2, 1), (0, 3, 3)]
+    assert [r.score for r in found] == pytest.approx([0.25, 0.5, np.sqrt(29)])
+
+
 def test_pipeline_on_a_table(spark, data):
     import re
 
