@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
@@ -22,13 +23,32 @@ PRESETS = {"overview": {"without": (LINK,)}, "concepts": {"nodes": ("Concept",),
 CITATION = r"\[node:([^\]\s]+)\]"
 
 
-def kept(frame: DataFrame) -> DataFrame:
-    """The frame from a checkpoint in the shared folder; in local mode one is made if none is set."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir or set as the checkpoint folder; in local mode a temporary one, which goes when Python ends."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quiverql-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            global _own
+            _own = tempfile.TemporaryDirectory(prefix="quiverql-")
+            named = _own.name
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+_own: tempfile.TemporaryDirectory | None = None
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame from a checkpoint in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

@@ -1,15 +1,16 @@
-"""Queries for operators of the inventory, with the SQL that gives the same rows; presets, cluster vote, display, evidence, levels, connections, citations and provenance ids have none."""
+"""Queries for the operators of the inventory, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import GraphEngine
 from .graph import PropertyGraph
 from .operators import analytics, extraction, tools
+from .sources import graph_json
 from .sources.tables import commerce_graph
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,13 +187,86 @@ def k_hop(graph):
     return analytics.k_hop(graph, "region:0", 3, edges)
 
 
-@graph_query()
+@graph_query("""with o as (select o_custkey c, c_nationkey n, n_regionkey r from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderkey = 1),
+ k as (select min(n_nationkey) m from nation, o where n_regionkey = r and n_nationkey <> n)
+ select 0 step, 'order:1' id union all select 1, 'customer:' || c from o union all select 2, 'nation:' || n from o union all select 3, 'region:' || r from o union all select 4, 'nation:' || m from k""")
 def shortest_path(graph):
+    """From an order up to its customer's region and down to another nation there."""
     edges = analytics.enabled_edges(graph, ["IN_REGION", "IN_NATION", "PLACED"])
-    path = analytics.shortest_path(graph, "order:1", "region:0", edges=edges)
+    near = analytics.k_hop(graph, "order:1", 4, edges).where("depth = 4 and id like 'nation:%'")
+    other = near.orderBy(F.split("id", ":")[1].cast("int")).first().id
+    path = analytics.shortest_path(graph, "order:1", other, edges=edges)
     return graph.spark.createDataFrame([(k, n) for k, n in enumerate(path)], "step int, id string")
 
 
+def _places(graph: PropertyGraph) -> PropertyGraph:
+    """Regions, nations and who is there."""
+    return PropertyGraph(graph.nodes.where("type in ('Region', 'Nation', 'Customer', 'Supplier')"), graph.edges.where("type in ('IN_REGION', 'IN_NATION')"), graph.metadata)
+
+
+PLACES = f"(select * from {NODES} where type in ('Region', 'Nation', 'Customer', 'Supplier'))"
+
+
+@graph_query(f"""with up as (select s, t from {REGION_OF} union all select s, t from {NATION_OF}), one as (select s id from up where t = 'region:1'), two as (select s id from up where t in (select id from one)),
+ found as (select 'region:1' id, 0 depth union all select id, 1 from one union all select id, 2 from two)
+ select id, label, type, coalesce(depth, 3)::int depth from {PLACES} left join found using (id)""")
+def level_bands(graph):
+    return analytics.bands(_places(graph), "region:1").select("id", "label", "type", "depth")
+
+
+@graph_query("""select 'in_region:3' id, 'nation:3' source, 'region:' || n_regionkey target, 'IN_REGION' type, 0::double weight, true enabled from nation where n_nationkey = 3
+ union all select 'in_nation:' || c_custkey, 'customer:' || c_custkey, 'nation:3', 'IN_NATION', 0, false from customer where c_nationkey = 3 union all select 'in_nation:s' || s_suppkey, 'supplier:' || s_suppkey, 'nation:3', 'IN_NATION', 0, false from supplier where s_nationkey = 3""")
+def node_connections(graph):
+    return analytics.connections(graph, "nation:3", ["IN_REGION"], n=1 << 30)
+
+
+@graph_query("select c_custkey::varchar key, c_name label from customer order by 'customer:' || c_custkey limit 50 offset 100")
+def directory_page(graph):
+    ordered = graph.nodes.where("type = 'Customer'").orderBy("id")
+    return analytics.page(ordered.select(F.split("id", ":")[1].alias("key"), "label", "id"), 2).select("key", "label")
+
+
+@graph_query(f"select id from {NODES} where type in ('Nation', 'Region') union all select 'in_region:' || n_nationkey from nation")
+def provenance_ids(graph):
+    """What supports a grouped result: all that was matched for its rows."""
+    found = GraphEngine(graph).execute("MATCH (n:Nation)-[e:IN_REGION]->(r:Region) WITH DISTINCT r.label AS region RETURN count(region)")["graph"]
+    return graph.spark.createDataFrame([(i,) for i in found["node_ids"] + found["edge_ids"]], "id string")
+
+
+@graph_query(f"select id, label, type from {NODES} where type in ('Region', 'Nation') union all select s || ' ' || t, 'IN_REGION', 'edge' from {REGION_OF}")
+def json_round_trip(graph):
+    """A graph written as one JSON file and read again."""
+    small = PropertyGraph(graph.nodes.where("type in ('Region', 'Nation')"), graph.edges.where("type = 'IN_REGION'"), {"title": "places"})
+    folder = analytics.shared_path(graph.spark, "json")
+    graph_json.export_json(small, folder)
+    again = graph_json.load_json(graph.spark, f"{folder}/part-*.txt")
+    return again.nodes.select("id", "label", "type").unionByName(again.edges.select(F.concat_ws(" ", "source", "target").alias("id"), F.col("type").alias("label"), F.lit("edge").alias("type")))
+
+
+@graph_query(f"select type, count(*) n, coalesce(sum(acctbal), 0) > 0 positive from (select type, acctbal from {PLACES} left join (select 'customer:' || c_custkey id, c_acctbal acctbal from customer union all select 'supplier:' || s_suppkey, s_acctbal from supplier) using (id)) group by 1")
+def parquet_round_trip(graph):
+    folder = analytics.shared_path(graph.spark, "graph")
+    graph_json.save(_places(graph), folder)
+    return GraphEngine(graph_json.load(graph.spark, folder)).query("MATCH (n) RETURN n.type AS type, count(*) AS n, sum(n.acctbal) > 0 AS positive")
+
+
+ask("null_arguments", "MATCH (r:Region) RETURN r.id AS id, size(r.gone) AS a, toUpper(r.gone) AS b, abs(r.gone) AS c, coalesce(r.gone, 3 * 4 - 2) AS d, toLower(r.label) AS e, r.gone[0] IS NULL AS f",
+    "select 'region:' || r_regionkey id, null::bigint a, null::varchar b, null::bigint c, 10::bigint d, lower(r_name) e, true f from region")
+ask("products", "MATCH (o:Order)-[i:HAS_ITEM]->(p:Part {size: 3}) RETURN o.id AS id, i.quantity * p.size * 2 AS product, p.size * -3 AS whole",
+    "select 'order:' || l_orderkey id, l_quantity * p_size * 2 product, (p_size * -3)::bigint whole from lineitem join part on l_partkey = p_partkey where p_size = 3")
+ask("exact_numbers", "MATCH (r:Region) RETURN r.id AS id, {a: 9007199254740993} = {a: 9007199254740992} AS same, 9007199254740993 > 9007199254740992.0 AS more, [1, 2][4294967296] AS beyond",
+    "select 'region:' || r_regionkey id, false same, true more, null::bigint beyond from region")
+
+
+def cited_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(F.lit("see [node:customer:"), "o_custkey", F.lit("] and [node:order "), "o_orderkey", F.lit("] or [node:region:9]")).alias("text"))
+    return analytics.citations(commerce_graph(spark, sf_dir), texts).select("o_orderkey", F.col("position").cast("int").alias("position"), "node_id", "label", "known")
+
+
+FOUND["cited_nodes"] = cited_nodes
+SQL["cited_nodes"] = "select o_orderkey, 0 as position, 'customer:' || o_custkey node_id, c_name label, true known from orders join customer on o_custkey = c_custkey union all select o_orderkey, 1, 'region:9', null, false from orders"
+
+
 # documents
 
 LINES = r"""docs as (select sha256(text) d, any_value(text) x from documents group by 1),
@@ -270,6 +344,52 @@ SQL |= {
 }
 
 
+def graph_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = document_graph(spark, sf_dir)
+    views = [analytics.type_distribution(analytics.preset(graph, name)).withColumn("preset", F.lit(name)) for name in ("overview", "concepts", "structure")]
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
+def heavy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.enabled_edges(document_graph(spark, sf_dir), ["CO_OCCURS_WITH", "MENTIONS"], 3).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def link_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages behind the heaviest link, of equals the one with the least id."""
+    graph = document_graph(spark, sf_dir)
+    link = graph.edges.where(F.col("type") == analytics.LINK).orderBy(F.desc("properties.weight"), "id").first().id
+    return analytics.evidence(graph, link).select(F.lit(link).alias("edge"), "id", "text")
+
+
+def titled_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """As document_graph, each document's first line that isn't blank being its title."""
+    blocks = extraction.passages_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    title = F.col("position") == F.min("position").over(Window.partitionBy("digest"))
+    return extraction.build_graph(blocks.withColumn("level", F.when(title, F.lit(1).cast("bigint"))), most_blocks=None)
+
+
+def cluster_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.clusters(titled_graph(spark, sf_dir)).select("id", "type", "cluster")
+
+
+FOUND |= {f.__name__: f for f in (graph_presets, heavy_edges, link_evidence, cluster_vote)}
+PAIRS = "links as (select a.term one, b.term two, count(*) w from mentions a join mentions b on a.d = b.d and a.p = b.p and a.term < b.term group by 1, 2)"
+SQL |= {
+    "graph_presets": f"""with {LINES}, {PAIRS}, docs_n as (select count(distinct d) n from passages), passages_n as (select count(*) n from passages), concepts_n as (select count(distinct term) n from mentions)
+ select 'overview' preset, 'node' what, 'Document' type, n from docs_n union all select 'overview', 'node', 'Passage', n from passages_n union all select 'overview', 'node', 'Concept', n from concepts_n
+ union all select 'overview', 'edge', 'CONTAINS', n from passages_n union all select 'overview', 'edge', 'MENTIONS', count(*) from mentions
+ union all select 'concepts', 'node', 'Concept', n from concepts_n union all select 'concepts', 'edge', 'CO_OCCURS_WITH', count(*) from links
+ union all select 'structure', 'node', 'Document', n from docs_n union all select 'structure', 'node', 'Passage', n from passages_n union all select 'structure', 'edge', 'CONTAINS', n from passages_n""",
+    "heavy_edges": f"with {LINES}, {PAIRS} select 'MENTIONS' type, count(*) n from mentions union all select 'CO_OCCURS_WITH', count(*) from links where w >= 3",
+    "link_evidence": f"""with {LINES}, {PAIRS}, named as (select one, two, w, 'edge_' || substr(sha256('concept_' || substr(sha256(one), 1, 20) || ':CO_OCCURS_WITH:' || 'concept_' || substr(sha256(two), 1, 20)), 1, 20) edge from links),
+ first as (select * from named order by w desc, edge limit 1) select edge, 'passage_' || substr(sha256(p.d || ':' || p.p), 1, 20) id, p.t as text from first join mentions a on a.term = one join mentions b on b.term = two and a.d = b.d and a.p = b.p join passages p on p.d = a.d and p.p = a.p""",
+    "cluster_vote": f"""with {LINES}, heads as (select d, min(p) h, 'section_' || substr(sha256(d || ':' || min(p)), 1, 20) section from passages group by d),
+ votes as (select term, section, count(*) n from mentions join heads using (d) group by 1, 2), chosen as (select term, section from (select *, row_number() over (partition by term order by n desc, section) k from votes) where k = 1)
+ select 'document_' || substr(sha256(d), 1, 20) id, 'Document' type, null cluster from heads union all select section, 'Section', section from heads
+ union all select 'passage_' || substr(sha256(d || ':' || p), 1, 20), 'Passage', section from passages join heads using (d) where p <> h union all select 'concept_' || substr(sha256(term), 1, 20), 'Concept', section from chosen""",
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which nations' customers buy which brands most: a pattern over five types of nodes."""
     return FOUND["with_chain"](spark, sf_dir)
