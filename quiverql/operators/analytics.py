@@ -135,7 +135,8 @@ def levels(ways: DataFrame, start: DataFrame, most: int | None = None) -> DataFr
         frontier = kept(next_level(frontier, seen, ways, depth))
         if frontier.isEmpty():
             break
-        seen = kept(seen.unionByName(frontier))
+        # each level is written once
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -162,7 +163,7 @@ def shortest_path(graph: PropertyGraph, start: str, goal: str, directed: bool =
         frontier = kept(next_level(frontier, seen, ways, depth))
         if frontier.isEmpty():
             return []
-        seen = kept(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
         found = not frontier.where(F.col("id") == goal).isEmpty()
     if seen.where(F.col("id") == goal).isEmpty():
         return []

@@ -377,23 +377,35 @@ class Compiler:
         return here, hop
 
     def expand_many(self, rows: Rows, start: str, pattern: EdgePattern, backwards: bool, used: list) -> tuple[str, dict]:
-        """Trails of bounded length: one join for each hop, and the union of the lengths asked for."""
+        """Trails of bounded length, by one join for each hop.
+
+        Before a hop, trails that are long enough are there twice, once to stop and once to go on; the ones that
+        stop have a key that no edge has, and a left join lets them through.
+        """
         low, high = pattern.hops
-        here, edges, nodes, nth = self.fresh("n"), self.fresh("t"), self.fresh("t"), self.fresh("o")
+        here, edges, nodes, nth, stop, key = self.fresh("n"), self.fresh("t"), self.fresh("t"), self.fresh("o"), self.fresh("s"), self.fresh("k")
         kept = rows.frame.columns
-        trail = rows.frame.withColumns({here: F.col(start), edges: F.array().cast("array<string>"), nodes: F.array().cast("array<string>"), **({nth: F.array().cast("array<bigint>")} if self.order else {})})
-        lengths = [trail] if low == 0 else []
+        trail = rows.frame.withColumns({here: F.col(start), edges: F.array().cast("array<string>"), nodes: F.array().cast("array<string>"), stop: F.lit(False), **({nth: F.array().cast("array<bigint>")} if self.order else {})})
         for hop in range(1, high + 1):
             edge, away, to, o = self.fresh("e"), self.fresh("j"), self.fresh("n"), self.fresh("o")
             found, _ = self.steps(pattern, backwards, edge, away, to, o)
-            condition = (F.col(here) == F.col(away)) & self.unused(used, edge, pattern.types)
+            splits = hop > low
+            if splits:
+                ways = F.when(F.col(stop), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+                trail = trail.withColumn(key, F.explode(ways)).withColumn(stop, F.col(key)).withColumn(key, F.when(F.col(stop), F.concat(F.lit("\0"), F.col(here))).otherwise(F.col(here)))
+            condition = (F.col(key if splits else here) == F.col(away)) & self.unused(used, edge, pattern.types)
             if hop > 1:
                 condition &= ~F.array_contains(edges, F.col(edge))
-            trail = trail.join(found, condition).withColumns({edges: F.array_append(edges, F.col(edge)), nodes: F.array_append(nodes, F.col(to)), here: F.col(to), **({nth: F.array_append(nth, F.col(o))} if self.order else {})})
-            trail = trail.select(*kept, here, edges, nodes, *([nth] if self.order else []))
-            if hop >= low:
-                lengths.append(trail)
-        rows.frame = reduce(DataFrame.unionByName, lengths)
+            trail = trail.join(found, condition, "left" if splits else "inner")
+            if splits:
+                trail = trail.where(F.col(stop) | F.col(edge).isNotNull())
+
+            def longer(column: str, item: str) -> Column:
+                return F.when(F.col(stop), F.col(column)).otherwise(F.array_append(column, F.col(item)))
+
+            trail = trail.withColumns({edges: longer(edges, edge), nodes: longer(nodes, to), here: F.when(F.col(stop), F.col(here)).otherwise(F.col(to)), **({nth: longer(nth, o)} if self.order else {})})
+            trail = trail.select(*kept, here, edges, nodes, stop, *([nth] if self.order else []))
+        rows.frame = trail.drop(stop)
         used.append((edges, True, pattern.types))
         hop = {"many": True, "edges": edges, "nodes": nodes, "ord": nth, "most": high}
         if pattern.name:
