@@ -101,5 +101,20 @@ def documents(frame: DataFrame, *more: str) -> DataFrame:
     return frame.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+#: Bits of a filter of keys, 8 MB in all.
+BITS = 1 << 26
+
+
+def with_key_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in the column of that name of keys. The keys' hashes are broadcast as BITS bits, so few other rows move, and none is lost."""
+    keys = keys.select(F.col(key).alias("__key")).distinct()
+    place = lambda column: F.pmod(F.xxhash64(column), F.lit(BITS))
+    bits = keys.groupBy(F.bitmap_bucket_number(place("__key")).alias("__at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("__key"))).alias("__bits"))
+    bit = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = rows.withColumn("__at", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "__at").where(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1)
+    return likely.join(keys.hint("merge"), F.col(key) == F.col("__key"), "left_semi").drop("__at", "__bits")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

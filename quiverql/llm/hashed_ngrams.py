@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import documents, slices
+from .base import documents, slices, with_key_among
 
 ORDER, CELLS, UNIT = 3, 1 << 16, 1 << 20
+#: Trusted documents that a target model is counted on at most, those with the lowest hash of doc_id; None: all there are, whose texts then move.
+TRUSTED = 50_000
 #: Words of the n-grams whose occurrences are told apart.
 WORDS = 3
 
@@ -102,18 +104,22 @@ def counted(frame: DataFrame, words: bool = False) -> DataFrame:
     return parts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def with_trust(frame: DataFrame, labels: DataFrame, bound: int | None = None) -> DataFrame:
-    """text and trusted: whether a label of the document has quality 1.
+def good_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("good_id")).where("good_id is not null").distinct()
 
-    Without a bound all labels are joined as Spark sees fit; with one, at most bound ids of them (those with
-    the lowest hash) are broadcast, and the texts stay where they are.
-    """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("good_id")).where("good_id is not null").distinct()
-    if bound is not None:
-        good = F.broadcast(good.orderBy(F.xxhash64("good_id"), "good_id").limit(bound))
+
+def with_trust(frame: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """text and trusted: whether a label of the document has quality 1; at most bound ids of documents that are there, those with the lowest hash, are broadcast, and the texts stay where they are."""
+    there = documents(frame).select(F.col("doc_id").alias("good_id"))
+    good = F.broadcast(good_ids(labels).join(there, "good_id", "left_semi").orderBy(F.xxhash64("good_id"), "good_id").limit(bound))
     return documents(frame).join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("trusted"))
 
 
+def trusted(frame: DataFrame, labels: DataFrame) -> DataFrame:
+    """text of all documents with a label of quality 1. Hardly any other texts move."""
+    return with_key_among(documents(frame), "doc_id", good_ids(labels).withColumnRenamed("good_id", "doc_id")).select("text")
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float) -> np.ndarray:
     """The log ratio of two multinomials in UNITs.
 
@@ -127,10 +133,20 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float) -> np.ndarray:
     return np.round((ratio - np.log((target.sum() + smooth * len(target)) / (raw.sum() * share + smooth * len(target)))) * UNIT).astype(np.int64)
 
 
-def fitted(frame: DataFrame, labels: DataFrame, bound: int | None = None, words: bool = False, smooth: float = 50.0) -> np.ndarray:
-    """The model; with words its last two cells are those of occurrences. To the driver come as many rows as there are cells; without trusted texts it is zero."""
+def fitted(frame: DataFrame, labels: DataFrame, bound: int | None = TRUSTED, words: bool = False, smooth: float = 50.0) -> np.ndarray:
+    """The model, of all trusted documents or of bound ones; with words its last two cells are those of occurrences.
+
+    To the driver come as many rows as there are cells; without trusted texts the model is zero.
+    """
     raw, target = np.zeros(CELLS + 2), np.zeros(CELLS + 2)
-    for cell, n, m in counted(with_trust(frame, labels, bound), words).collect():
-        raw[cell], target[cell] = n, m
+    if bound is None:
+        flagged = lambda texts, flag: counted(texts.select("text", F.lit(flag).alias("trusted")), words)
+        for cell, n, _ in flagged(documents(frame), False).collect():
+            raw[cell] = n
+        for cell, n, _ in flagged(trusted(frame, labels), True).collect():
+            target[cell] = n
+    else:
+        for cell, n, m in counted(with_trust(frame, labels, bound), words).collect():
+            raw[cell], target[cell] = n, m
     own = log_ratio(target[:CELLS], raw[:CELLS], smooth)
     return np.concatenate([own, log_ratio(target[CELLS:], raw[CELLS:], smooth)]) if words else own

@@ -22,8 +22,6 @@ from . import hashed_ngrams
 from .base import Workspace, documents, slices
 from .hashed_ngrams import CELLS, ORDER, UNIT
 
-#: Trusted documents that the target model is fitted on at most, those with the lowest hash of doc_id.
-TRUSTED = 50_000
 #: Keys are compared as whole numbers of this part.
 PART = 10**6
 
@@ -91,7 +89,7 @@ def good_share(frame: DataFrame, labels: DataFrame) -> float:
 
 def fit(frame: DataFrame, labels: DataFrame, share: float | None = None, seed: str = "resample") -> tuple[Resampler, DataFrame]:
     """The resampler of these documents and their scores (a written table)."""
-    model = hashed_ngrams.fitted(frame, labels, TRUSTED, words=True)
+    model = hashed_ngrams.fitted(frame, labels, words=True)
     saved = Workspace(frame.sparkSession, "resampling").save(scored(frame, model, seed), "scores")
     k = round((good_share(frame, labels) if share is None else share) * saved.count())
     return Resampler(model, highest(saved, "sample_key", k), seed), saved
