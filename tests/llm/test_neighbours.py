@@ -133,3 +133,26 @@ def test_pipeline_on_a_table(spark, data):
     for r in found:
         sequences[r.sequence_id] = sequences.get(r.sequence_id, 0) + r.length
     assert max(sequences.values()) <= 2048 and len(sequences) <= -(-tokens // 2048) + 2
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows(spark, tmp_path, empty):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["ab", "cde", "fg", "hijk", "lm"]) + rng.choice(["an", "er", "on", "it"]) + str(rng.randint(0, 99)) for _ in range(n))
+    whole = text(60)
+    rows = [(k, text(30 + k), "en", f"s{k % 2}", 5, "x", 1) for k in range(20)]
+    rows += [(30, whole, "en", "s0", 5, None, 2), (31, whole + " more", None, None, None, "y", 3), (30, whole, "en", "s0", 5, None, 2), (None, whole, "en", "s1", 5, "z", 4)]
+    rows += [(40, None, "en", "s0", 0, "x", 5), (41, "", "en", "s1", 0, "x", 6), (42, "few words", "en", "s1", 9, "x", 7), (43, "again and again " * 50, "en", "s0", 9, "x", 8), (44, text(8000), None, None, None, None, None)]
+    frame = spark.createDataFrame(rows[:0] if empty else rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `row` string, print int")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 20, 2)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, frame, str(tmp_path)).columns == frame.columns
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {r.doc_id for r in found}
+    assert got == (set() if empty else {*range(20), 30, 44}) and all(r.length <= 2048 for r in found)
