@@ -318,8 +318,16 @@ def nearest(index: Index, asked: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id and score of the k nearest stored vectors in the lists read together, for each query and group."""
     place = [F.floor(F.col("list") / TOGETHER).alias("place")]
     stored = index.stored.select("*", *place)
-    read = index.space.save(reading(index, asked), "reading").select("query_id", "vector", F.explode("lists").alias("list"))
-    read = read.select("*", *place).groupBy("query_id", "vector", "place").agg(F.collect_list("list").alias("lists"))
+
+    def to_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for query_id, vector, lists in zip(batch["query_id"], batch["vector"], batch["lists"], strict=True):
+                places, at = np.unique(np.asarray(lists) // TOGETHER, return_inverse=True)
+                rows += [(query_id, vector, place, np.asarray(lists)[at == k]) for k, place in enumerate(places.tolist())]
+            yield pd.DataFrame(rows, columns=["query_id", "vector", "place", "lists"])
+
+    read = index.space.save(reading(index, asked).mapInPandas(to_places, "query_id bigint, vector array<double>, place bigint, lists array<bigint>"), "reading")
     size = lambda t, most, name: t.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / most).cast("bigint").alias(name))
     # a group's vectors are dealt to `down` parts and its queries to `across`; each meeting is one task's group
     shape = size(stored, GROUP_VECTORS, "downs").join(size(read, GROUP_QUERIES, "acrosss"), "place")
