@@ -86,7 +86,7 @@ def test_limits(graph):
     assert GraphEngine(graph, QueryLimits(max_intermediate_rows=81, timeout_seconds=60)).execute("MATCH (a), (b) RETURN count(*)")["rows"] == [[81]]
     assert found["stats"]["work"] == 18 and found["stats"]["peak_intermediate_rows"] == 9
     with pytest.raises(QueryLimitError):
-        GraphEngine(graph, QueryLimits(max_steps=17)).execute("MATCH (n) WITH n MATCH (m {id: n.id}) RETURN count(*)")
+        GraphEngine(graph, QueryLimits(max_steps=17)).execute("MATCH (n) WITH n MATCH (m) WHERE m.id = n.id RETURN count(*)")
     for wrong in ([1], {"a": float("nan")}, {1: 2}, {"a": object()}):
         with pytest.raises(QueryError):
             engine.execute("RETURN 1", wrong)
