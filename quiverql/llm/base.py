@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of texts that an operator turns into Python objects at a time; a longer text stands alone.
@@ -105,15 +105,37 @@ def documents(frame: DataFrame, *more: str) -> DataFrame:
 BITS = 1 << 26
 
 
-def with_key_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose key is in the column of that name of keys. The keys' hashes are broadcast as BITS bits, so few other rows move, and none is lost."""
+def likely_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in the column of that name of keys, and few others: the keys' hashes are broadcast as BITS bits."""
     keys = keys.select(F.col(key).alias("__key")).distinct()
     place = lambda column: F.pmod(F.xxhash64(column), F.lit(BITS))
     bits = keys.groupBy(F.bitmap_bucket_number(place("__key")).alias("__at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("__key"))).alias("__bits"))
     bit = F.bitmap_bit_position(place(key))
     byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    likely = rows.withColumn("__at", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "__at").where(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1)
-    return likely.join(keys.hint("merge"), F.col(key) == F.col("__key"), "left_semi").drop("__at", "__bits")
+    return rows.withColumn("__at", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "__at").where(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1).drop("__at", "__bits")
+
+
+def with_key_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in the column of that name of keys; few other rows move, and none is lost."""
+    keys = keys.select(F.col(key).alias("__key")).distinct()
+    return likely_among(rows, key, keys.withColumnRenamed("__key", key)).join(keys.hint("merge"), F.col(key) == F.col("__key"), "left_semi")
+
+
+#: Keys that salted_join deals out at most, the rows that such a key has at least, and to how many places.
+HEAVY, HEAVY_ROWS, SALTS = 4096, 1000, 64
+
+
+def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """rows joined with found, which is saved, has each key once and the number n of its rows (dropped).
+
+    A key with more than one in HEAVY of all those rows is dealt out by the salt: there are at most HEAVY such
+    keys, which are broadcast, and their rows of found stand in all SALTS places.
+    """
+    limit = max(HEAVY_ROWS, (found.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    heavy = found.where(F.col("n") > limit).select(*keys, F.lit(True).alias("__heavy"))
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(salt, F.lit(SALTS)).cast("int")).otherwise(0)).drop("__heavy")
+    places = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(found.withColumn("__salt", F.explode(places)).drop("n"), [*keys, "__salt"], how).drop("__salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
