@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import doubling, mixing, order_minhash, packing, patched_frames, posting_lists, prefix_counts, resampling, rules, sharding, toxicity
+from . import doubling, mixing, order_minhash, packing, patched_frames, posting_lists, prefix_counts, prefix_trie, resampling, rules, sharding, toxicity
 from .base import table
 
 
@@ -56,12 +56,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), cap=2048, end_id=0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), group=20, most=4)
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.deduplicated(table(spark, sf_dir, "documents"), window=13)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_nearest_neighbours, op10_packing, op13_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_nearest_neighbours, op10_packing, op11_prefix_trie, op13_substring_dedup)}
 
 
 #: op4: the same apportionment and block order over one prefix sum a source.
@@ -84,6 +88,19 @@ select doc_id, any_value(source) source, any_value(size) size, any_value(source_
 from each group by doc_id"""
 
 
+#: op11: nodes by their whole sequences of turns; a subtree is all nodes that begin with one. Turns of one place in a conversation are told apart by role and text.
+TRIE_SQL = r"""
+with own as (select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) turns from conversations where conv_id is not null group by conv_id),
+h as (select conv_id, turns, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 h from own),
+rebuilt as (select a.conv_id, list_concat(coalesce(b.turns, [])[:a.h], a.turns[a.h + 1:]) turns from h a left join own b on b.conv_id = a.conv_id - a.conv_id % 20),
+steps as (select conv_id, depth, turns[:depth] path, len(turns) = depth as ended from (select conv_id, turns, unnest(generate_series(0, len(turns))) depth from rebuilt)),
+nodes as (select path, any_value(depth) depth, min(conv_id) conv_id, count(*) n_convs, string_agg(case when ended then conv_id::varchar end, ',' order by conv_id) ends from steps group by path),
+kids as (select path[:depth - 1] path, count(*) n from nodes where depth > 0 group by 1),
+each as (select nodes.*, coalesce(kids.n, 0) n_children, (n_convs - 1) * coalesce(len(regexp_extract_all(path[-1].text, '[^\x20\x09-\x0D]+')), 0) saves from nodes left join kids using (path)),
+sums as (select a.path, count(*) filter (b.n_children = 0) leaves, sum(b.saves) saved from each a join each b on b.path[:a.depth] = a.path group by a.path)
+select e.conv_id, e.depth::bigint depth, p.conv_id parent_conv_id, e.n_convs, e.n_children, leaves n_leaves, coalesce(saved, 0)::bigint saved_tokens, sha256(coalesce(e.ends, '')) ends_sha256
+from each e join sums using (path) left join nodes p on e.depth > 0 and p.path = e.path[:e.depth - 1]"""
+
 #: op13: all windows at once, and longer ones from the repeated ones level by level.
 SUBSTRING_SQL = r"""
 with recursive split as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
@@ -100,4 +117,4 @@ from split left join kept using (doc_id) left join (select doc_id, count(*) n fr
 
 def oracle_sql() -> dict[str, str]:
     """The other operators' results can't be had in SQL; tests hold them against brute force."""
-    return {"op4_mixing": MIXING_SQL, "op13_substring_dedup": SUBSTRING_SQL}
+    return {"op4_mixing": MIXING_SQL, "op11_prefix_trie": TRIE_SQL, "op13_substring_dedup": SUBSTRING_SQL}
