@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,11 @@ class Workspace:
         out._quiverql_path = path
         return out
 
+    def tidy(self) -> None:
+        """Has the driver look for what is no longer in use, upon which Spark removes its shuffle files; else that waits until memory runs short."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, frame: DataFrame | None = None) -> None:
         path = self.root if frame is None else frame._quiverql_path
         try:

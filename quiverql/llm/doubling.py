@@ -30,8 +30,7 @@ BASE, BACK = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 BYTES = np.random.Generator(np.random.PCG64(13)).integers(1, 2**63, 256, np.uint64)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Two chains of hashes, of 64 and of 32 bits; both must be equal.
-SEEDS = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
+SEED = U(0xD6E8FEB86659FD93)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -40,16 +39,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def joined(a: np.ndarray, b: np.ndarray, seed: np.uint64) -> np.ndarray:
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of two windows that follow, or overlap, one another."""
-    return mixed(a * seed + ((b << U(23)) | (b >> U(41))))
+    return mixed(a * SEED + ((b << U(23)) | (b >> U(41))))
 
 
-def grown(h: np.ndarray, have: int, want: int, seed: np.uint64) -> np.ndarray:
+def grown(h: np.ndarray, have: int, want: int) -> np.ndarray:
     """Hashes of windows of want words from those of have words, doubled and then overlapped."""
     while have < want:
         step = min(have, want - have)
-        h, have = joined(h[:-step] if step < len(h) else h[:0], h[step:], seed), have + step
+        h, have = joined(h[:-step] if step < len(h) else h[:0], h[step:]), have + step
     return h
 
 
@@ -98,7 +97,7 @@ def anchors(words: np.ndarray, window: int) -> np.ndarray:
     n = len(words) - window + 1
     if n <= 0:
         return np.empty(0, U)
-    h = grown(words, 1, half, SEEDS[0])
+    h = grown(words, 1, half)
     out = h[:n]
     for k in range(1, window - half + 1):
         out = np.minimum(out, h[k : k + n])
@@ -136,7 +135,7 @@ def read_once(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, oid bigint, rid bigint, n_words bigint, sha string, anchors array<bigint>")
 
 
-WINDOWS = "oid bigint, rid bigint, start array<int>, h1 array<bigint>, h2 array<int>"
+WINDOWS = "oid bigint, sub bigint, start array<int>, h array<bigint>"
 
 
 def candidates(rows: DataFrame, window: int) -> DataFrame:
@@ -144,50 +143,67 @@ def candidates(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            starts, first, second = [], [], []
+            starts, hashes = [], []
             for raw, wanted in zip(batch.column("text").to_pylist(), batch.column("anchors"), strict=True):
                 words = word_hashes(raw)
                 at = np.flatnonzero(np.isin(anchors(words, window), wanted.values.to_numpy().view(U)))
                 starts.append(at)
-                first.append(grown(words, 1, window, SEEDS[0])[at])
-                second.append(grown(words, 1, window, SEEDS[1])[at])
+                hashes.append(grown(words, 1, window)[at])
             counts = [len(s) for s in starts]
-            columns = [batch.column("oid"), batch.column("rid"), lists(together(starts, np.int32), counts, pa.int32()), lists(together(first, U).view(np.int64), counts, pa.int64()), lists(together(second, np.uint32).view(np.int32), counts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["oid", "rid", "start", "h1", "h2"])
+            columns = [batch.column("oid"), batch.column("sub"), lists(together(starts, np.int32), counts, pa.int32()), lists(together(hashes, U).view(np.int64), counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["oid", "sub", "start", "h"])
 
     return rows.mapInArrow(run, WINDOWS)
 
 
-def doubled(level: DataFrame, length: int) -> DataFrame:
-    """The windows of twice the length of those of a level; documents without any are left out."""
+LEVEL = "oid bigint, sub bigint, removed array<int>, start array<int>, h array<bigint>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("windows")
-            inner = column.flatten()
-            start, h1, h2 = (inner.field(k).to_numpy() for k in range(3))
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(column.value_lengths()))
-            key, once = np.unique((row << 32) + start, return_index=True)
-            second = np.searchsorted(key, key + length)
-            good = (second < len(key)) & (key[np.minimum(second, len(key) - 1)] == key + length)
-            a, b = once[good], once[second[good]]
-            if not len(a):
-                continue
-            own, counts = np.unique(row[a], return_counts=True)
-            long = joined(h1[a].view(U), h1[b].view(U), SEEDS[0])
-            short = joined(h2[a].view(np.uint32).astype(U), h2[b].view(np.uint32).astype(U), SEEDS[1])
-            columns = [batch.column("oid").take(pa.array(own)), batch.column("rid").take(pa.array(own)), lists(start[a], counts, pa.int32()), lists(long.view(np.int64), counts, pa.int64()), lists(short.astype(np.uint32).view(np.int32), counts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["oid", "rid", "start", "h1", "h2"])
 
-    return level.select("oid", "rid", "windows").mapInArrow(run, WINDOWS)
+def doubled(hits: DataFrame, length: int) -> DataFrame:
+    """One row for each document with hits: the starts of those to remove, and its windows of twice the length, made of two hits end to end.
 
+    hits are sorted by document; a task holds one document and one batch at a time.
+    """
 
-def repeated(windows: DataFrame, space: Workspace, name: str) -> DataFrame:
-    """A level: oid, rid and windows (start, h1, h2, removed) of all windows that stand in documents with different ids; removed: in one with a lesser id."""
-    flat = windows.select("oid", "rid", F.explode(F.arrays_zip("start", "h1", "h2")).alias("w")).select("oid", "rid", "w.start", "w.h1", "w.h2")
-    found = flat.groupBy("h1", "h2").agg(F.min("oid").alias("first"), F.max("oid").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("h1", "h2", "first", "n")
-    met = salted_join(flat, space.save(found, f"found-{name}"), ["h1", "h2"], F.xxhash64("rid", "start"))
-    return space.save(met.groupBy("oid", "rid").agg(F.collect_list(F.struct("start", "h1", "h2", (F.col("oid") > F.col("first")).alias("removed"))).alias("windows")), f"level-{name}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 4 + [np.empty(0, bool)]
+        for batch in batches:
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("oid", "sub", "start", "h", "removed")]
+            oid, sub, *_ = rows = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+            if not len(oid):
+                continue
+            last = np.flatnonzero((oid != oid[-1]) | (sub != sub[-1]))
+            upto = int(last[-1]) + 1 if len(last) else 0
+            held = [c[upto:] for c in rows]
+            if upto:
+                yield level(*(c[:upto] for c in rows))
+        if len(held[0]):
+            yield level(*held)
+
+    def level(oid: np.ndarray, sub: np.ndarray, start: np.ndarray, h: np.ndarray, removed: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate([[True], (oid[1:] != oid[:-1]) | (sub[1:] != sub[:-1])])
+        heads, row = np.flatnonzero(new), np.cumsum(new) - 1
+        key, once = np.unique((row << 32) + start, return_index=True)
+        second = np.searchsorted(key, key + length)
+        good = (second < len(key)) & (key[np.minimum(second, len(key) - 1)] == key + length)
+        a, b, gone = once[good], once[second[good]], once[removed[once]]
+        counts = [np.bincount(row[x], minlength=len(heads)) for x in (gone, a)]
+        long = joined(h[a].view(U), h[b].view(U))
+        columns = [pa.array(oid[heads]), pa.array(sub[heads]), lists(start[gone].astype(np.int32), counts[0], pa.int32()), lists(start[a].astype(np.int32), counts[1], pa.int32()), lists(long.view(np.int64), counts[1], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["oid", "sub", "removed", "start", "h"])
+
+    return hits.repartition("oid", "sub").sortWithinPartitions("oid", "sub", "start").mapInArrow(run, LEVEL)
+
+
+def next_level(windows: DataFrame, space: Workspace, length: int) -> DataFrame:
+    """The documents with windows of this length that stand in documents with other ids too; removed: where one has a lesser id. start and h: their windows of twice the length."""
+    flat = windows.select("oid", "sub", F.explode(F.arrays_zip("start", "h")).alias("w")).select("oid", "sub", "w.start", "w.h")
+    found = space.save(flat.groupBy("h").agg(F.min("oid").alias("first"), F.max("oid").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("h", "first", "n"), f"found-{length}")
+    hits = salted_join(flat, found, ["h"], F.xxhash64("oid", "start")).select("oid", "sub", F.col("start").cast("bigint").alias("start"), "h", (F.col("oid") > F.col("first")).alias("removed"))
+    out = space.save(doubled(hits, length), f"level-{length}")
+    space.drop(found)
+    space.tidy()
+    return out
 
 
 def cut(rows: DataFrame, window: int) -> DataFrame:
@@ -223,40 +239,53 @@ def deduplicated(frame: DataFrame, window: int = WINDOW) -> DataFrame:
     A null text has no words; a null id comes before all others; rows of one id remove nothing from one
     another, and equal rows get equal results; no documents give no rows. Exact copies of a text with a lesser id
     go whole, if they have a window, and take no part in the levels, where the first of them stands for all.
+    Windows are compared by hashes of 64 bits.
     """
     space, rows = Workspace(frame.sparkSession, "doubling"), texts(frame)
     read = space.save(read_once(rows, window), "read")
     groups = space.save(read.groupBy("sha").agg(F.min("oid").alias("first"), F.max("oid").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"), "copies")
-    whole = salted_join(read.drop("anchors"), groups, ["sha"], F.col("rid"), "left").withColumn("copy", F.coalesce(F.col("oid") > F.col("first"), F.lit(False)) & (F.col("n_words") >= window))
-
-    flat = read.select("rid", F.explode("anchors").alias("anchor"))
-    found = space.save(flat.groupBy("anchor").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", "n"), "anchors")
-    met = salted_join(likely_among(flat, "anchor", found), found, ["anchor"], F.col("rid")).groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
-    own = whole.where(~F.col("copy")).select("oid", "rid").distinct().join(met, "rid")
-    windows = space.save(candidates(with_texts(rows, space.save(own, "anchored")), window), "windows")
-
-    levels, length = [], window
-    while True:
-        levels.append(repeated(windows, space, str(length)))
+    whole = space.save(salted_join(read.drop("anchors"), groups, ["sha"], F.col("rid"), "left").withColumn("copy", F.coalesce(F.col("oid") > F.col("first"), F.lit(False)) & (F.col("n_words") >= window)), "whole")
+
+    # copies of one text are no reason to look at it again
+    flat = read.select("rid", F.xxhash64("sha").alias("text_id"), F.explode("anchors").alias("anchor"))
+    found = space.save(flat.groupBy("anchor").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", "n"), "anchors")
+    met = salted_join(likely_among(flat.select("rid", "anchor"), "anchor", found), found, ["anchor"], F.col("rid")).groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
+    # texts of one id are told apart by rid, and all others need no second key
+    several = whole.groupBy("oid").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("oid", F.lit(True).alias("several"))
+    own = whole.where(~F.col("copy")).select("oid", "rid").distinct().join(several, "oid", "left").select("oid", "rid", F.when(F.col("several"), F.col("rid")).otherwise(0).cast("bigint").alias("sub"))
+    anchored = space.save(own.join(met, "rid"), "anchored")
+    space.drop(read)
+    space.tidy()
+    windows = space.save(candidates(with_texts(rows, anchored), window), "windows")
+    known = space.save(anchored.select("oid", "rid", "sub"), "known")
+    space.drop(anchored)
+    space.tidy()
+
+    length, top, starts = window, None, None
+    while not windows.isEmpty():
+        level = next_level(windows, space, length)
+        space.drop(windows)
         if length == window:
-            starts = space.save(levels[0].select("oid", "rid", F.expr("transform(filter(windows, w -> w.removed), w -> w.start)").alias("starts")).where(F.size("starts") > 0), "starts")
-        windows = space.save(doubled(levels[-1], length), f"windows-{2 * length}")
-        if windows.isEmpty():
-            break
+            starts = space.save(level.where(F.size("removed") > 0).select("oid", "sub", F.col("removed").alias("starts")).join(known, ["oid", "sub"]).select("oid", "rid", "starts"), "starts")
+        tall = space.save(level.select("oid", "sub", F.lit(length).cast("bigint").alias("longest")), f"tall-{length}")
+        top = tall if top is None else top.unionByName(tall)
+        windows = space.save(level.where(F.size("start") > 0).select("oid", "sub", "start", "h"), f"windows-{2 * length}")
+        space.drop(level)
         length *= 2
-    tops = [level.select("oid", "rid", F.lit(window << k).cast("bigint").alias("longest")) for k, level in enumerate(levels)]
-    top = tops[0]
-    for other in tops[1:]:
-        top = top.unionByName(other)
-    less = cut(with_texts(rows, starts), window).dropDuplicates(["oid", "rid"])
-    changed = top.groupBy("oid", "rid").agg(F.max("longest").alias("longest")).join(less, ["oid", "rid"], "left")
-    out = whole.join(changed, ["oid", "rid"], "left")
+    out = whole.withColumns({"n_removed": F.lit(0), "kept_sha256": F.col("sha"), "longest": F.lit(0)}) if top is None else joined_results(whole, top, known, cut(with_texts(rows, starts), window))
     long = (F.col("n_words") >= window) & F.col("first").isNotNull()
     as_copy = F.when(long, F.expr(f"shiftleft({window}L, length(bin(n_words div {window})) - 1)"))
     return out.select(
         "doc_id",
         "n_words",
-        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.coalesce(F.greatest(as_copy, F.col("longest")), F.lit(0)).cast("bigint").alias("longest"),
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.col("n_removed")).cast("bigint").alias("n_removed"),
+        F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.greatest(F.coalesce(as_copy, F.lit(0)), F.col("longest")).cast("bigint").alias("longest"),
     )
+
+
+def joined_results(whole: DataFrame, top: DataFrame, known: DataFrame, less: DataFrame) -> DataFrame:
+    """whole with n_removed, kept_sha256 and longest."""
+    tall = top.groupBy("oid", "sub").agg(F.max("longest").alias("longest")).join(known, ["oid", "sub"]).drop("sub")
+    changed = tall.join(less.dropDuplicates(["oid", "rid"]), ["oid", "rid"], "left")
+    return whole.join(changed, ["oid", "rid"], "left").withColumns({"n_removed": F.coalesce("n_removed", F.lit(0)), "kept_sha256": F.coalesce("kept_sha256", "sha"), "longest": F.coalesce("longest", F.lit(0))})
