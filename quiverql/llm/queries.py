@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import doubling, mixing, order_minhash, packing, patched_frames, posting_lists, prefix_counts, prefix_trie, resampling, rules, sharding, toxicity
+from . import doubling, mixing, order_minhash, packing, patched_frames, posting_lists, prefix_counts, prefix_trie, repair, resampling, rules, sharding, toxicity
 from .base import table
 
 
@@ -60,12 +60,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"), group=20, most=4)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.deduplicated(table(spark, sf_dir, "documents"), window=13)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_nearest_neighbours, op10_packing, op11_prefix_trie, op13_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_mixing, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_nearest_neighbours, op10_packing, op11_prefix_trie, op12_conversation_repair, op13_substring_dedup)}
 
 
 #: op4: the same apportionment and block order over one prefix sum a source.
