@@ -28,9 +28,11 @@ MOST_PARAMETERS = 64_000
 class QueryLimits:
     """Of execute, whose results are small. query has none of these limits but max_hops.
 
-    More rows than max_intermediate_rows after a clause, or than max_steps after all clauses together, are an
-    error; None for the first: they aren't counted, which saves a job a clause. A job alone may take a second,
-    so the time allowed is longer than an engine in memory would allow.
+    More rows than max_intermediate_rows after a clause, or than max_steps after all scans, joins and clauses
+    together, are an error. The job that computes the result counts them, and each scan or join stops at one row
+    more than max_steps, whatever WHERE would leave of its rows. max_intermediate_rows None: nothing is counted or
+    stopped, and WHERE may filter before the joins. A job alone may take a second, so the time allowed is longer
+    than an engine in memory would allow.
     """
 
     max_hops: int = MOST_HOPS
@@ -72,8 +74,8 @@ class GraphEngine:
         clauses, parameters = self.checked(text, parameters)
         return self.compiled(clauses, parameters, self.order_matters(clauses), False).named()
 
-    def compiled(self, clauses: list[Scoped], parameters: dict, order: bool, provenance: bool, most_rows: int | None = None) -> Result:
-        return Compiler(self.graph, parameters, order, provenance, most_rows).compile(clauses)
+    def compiled(self, clauses: list[Scoped], parameters: dict, order: bool, provenance: bool, most: tuple[int, int] | None = None) -> Result:
+        return Compiler(self.graph, parameters, order, provenance, most).compile(clauses)
 
     @staticmethod
     def order_matters(clauses: list[Scoped]) -> bool:
@@ -97,11 +99,11 @@ class GraphEngine:
         started = time.monotonic()
         try:
             clauses, parameters = self.checked(text, parameters)
-            result = self.within_time(lambda: self.compiled(clauses, parameters, True, True, self.limits.max_intermediate_rows))
-            if sum(result.counted) > self.limits.max_steps:
-                raise QueryLimitError("The clauses make too many rows in all; filter earlier.")
-            rows, total = self.within_time(lambda: self.collected(result))
-            return self.envelope(result, rows, total, started)
+            most = self.limits.max_intermediate_rows
+            limits = None if most is None else (self.limits.max_steps, most)
+            result = self.within_time(lambda: self.compiled(clauses, parameters, True, True, limits))
+            rows, total, made = self.within_time(lambda: self.collected(result))
+            return self.envelope(result, rows, total, made, started)
         except RecursionError as e:
             raise QueryLimitError("The query or its data are nested too deep.") from e
         except PySparkException as e:
@@ -110,11 +112,25 @@ class GraphEngine:
                 raise
             raise found from e
 
-    def collected(self, result: Result) -> tuple[list, int]:
-        rows = result.frame.limit(self.limits.max_rows + 1).collect()
-        if len(rows) <= self.limits.max_rows:
-            return rows, len(rows)
-        return rows[:-1], result.frame.count()
+    def collected(self, result: Result) -> tuple[list, int, dict[bool, list[int]]]:
+        """The rows to return and one more at most, how many there are, and the rows counted after joins (False) and clauses (True)."""
+        most, keep = self.limits.max_intermediate_rows, self.limits.max_rows
+        if most is None:
+            rows = result.frame.limit(keep + 1).collect()
+            return rows[:keep], len(rows) if len(rows) <= keep else result.frame.count(), {}
+        frame = result.frame.limit(most + 1)
+        rows = frame.collect()
+        metrics = frame._jdf.queryExecution().observedMetrics()
+        made: dict[bool, list[int]] = {False: [], True: [len(rows)]}
+        for name, after_clause in result.counted.items():
+            # what the optimizer leaves out has no rows
+            found = metrics.get(name)
+            made[after_clause].append(found.get().getLong(0) if found.isDefined() else 0)
+        if max(made[True]) > most:
+            raise QueryLimitError("A clause makes too many rows; filter earlier.")
+        if sum(made[True]) + sum(made[False]) > self.limits.max_steps:
+            raise QueryLimitError("The query makes too many rows in all; filter earlier.")
+        return rows[:keep], len(rows), made
 
     def within_time(self, job):
         if self.limits.timeout_seconds is None:
@@ -133,7 +149,7 @@ class GraphEngine:
             timer.cancel()
             context.removeJobTag(tag)
 
-    def envelope(self, result: Result, rows: list, total: int, started: float) -> dict:
+    def envelope(self, result: Result, rows: list, total: int, made: dict[bool, list[int]], started: float) -> dict:
         ids = {NODE: set(), EDGE: set()}
         for row in rows:
             for k, (_, kind) in enumerate(result.columns):
@@ -151,9 +167,8 @@ class GraphEngine:
             nodes.update(row[SEEN_NODES])
             edges.update(row[SEEN_EDGES])
         stats = {"rows": len(out), "total_rows": total, "elapsed_ms": round(1000 * (time.monotonic() - started), 2)}
-        if self.limits.max_intermediate_rows is not None:
-            made = [*result.counted, total]
-            stats |= {"work": sum(made), "peak_intermediate_rows": max(made)}
+        if made:
+            stats |= {"work": sum(made[True]) + sum(made[False]), "peak_intermediate_rows": max(made[True])}
         return {"language": self.language, "columns": [n for n, _ in result.columns], "rows": out, "graph": {"node_ids": sorted(nodes), "edge_ids": sorted(edges)}, "truncated": len(out) < total, "stats": stats}
 
     def looked_up(self, kind: Kind, ids: set[str]) -> dict[str, dict]:

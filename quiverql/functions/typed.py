@@ -65,7 +65,7 @@ def of_type(col: Column, type_: T.DataType) -> Typed:
     elif kind is STRING and not isinstance(type_, T.StringType):
         col = col.cast("string")
     elif kind is ANY:
-        col = F.when(~F.is_variant_null(col), col)
+        col = known(col)
     return Typed(col, kind)
 
 
@@ -151,6 +151,11 @@ def wrong(values: list[Typed], message: str, at: int, kind: Kind = NULL) -> Type
 # values of kind any
 
 
+def known(col: Column) -> Column:
+    """A VARIANT, null if it is a null inside."""
+    return F.when(~F.is_variant_null(col), col)
+
+
 def group_of(value: Typed) -> Column:
     """The group of each row's value, for kind any."""
     name = F.schema_of_variant(value.col)
@@ -161,7 +166,9 @@ def as_group(value: Typed, group: str) -> Column:
     """The value of a row known to be of that group, else null."""
     if value.kind is not ANY:
         return value.col
-    return F.try_variant_get(value.col, "$", {"number": "double", "string": "string", "boolean": "boolean"}[group])
+    if group == "number":
+        return F.try_variant_get(value.col, "$", "double")
+    return F.when(group_of(value) == group, F.try_variant_get(value.col, "$", group))
 
 
 def narrowed(value: Typed, group: str, message: str, at: int) -> Typed:
@@ -188,6 +195,44 @@ def is_whole(value: Typed) -> Column:
     return F.schema_of_variant(value.col).rlike("^(TINYINT|SMALLINT|INT|BIGINT)")
 
 
+def whole_of(value: Typed) -> Column:
+    """A number as bigint where it is a whole number of the language, else null."""
+    if value.kind is ANY:
+        return F.when(is_whole(value), F.try_variant_get(value.col, "$", "bigint"))
+    return value.col if value.kind is INTEGER else F.lit(None).cast("bigint")
+
+
+def real_of(value: Typed) -> Column:
+    """A number as double where it is a float, else null."""
+    if value.kind is ANY:
+        return F.when((group_of(value) == "number") & ~is_whole(value), F.try_variant_get(value.col, "$", "double"))
+    return value.col if value.kind is FLOAT else F.lit(None).cast("double")
+
+
+def number_key(value: Typed) -> Column:
+    """near and off, in the order of the numbers themselves: the nearest double and how far a whole number is from it. Null for what is no number."""
+    whole, real = whole_of(value), real_of(value)
+    near = whole.cast("double")
+    # the double nearest to a whole number may be 2^63 itself
+    off = F.when(near >= WHOLE, whole - F.lit(2**63 - 1) - 1).otherwise(whole - F.when(near < WHOLE, near).cast("bigint"))
+    return F.when(whole.isNotNull(), F.struct(near.alias("near"), off.alias("off"))).when(real.isNotNull(), F.struct(real.alias("near"), F.lit(0).cast("bigint").alias("off")))
+
+
+def sort_key(value: Typed) -> Column:
+    """For kind any: a key in the order of values of one group, from which the value can be made again."""
+    parts = F.struct(number_key(value).alias("number"), whole_of(value).alias("whole"), real_of(value).alias("real"), as_group(value, "string").alias("string"), as_group(value, "boolean").alias("boolean"))
+    return F.when(value.col.isNotNull(), parts)
+
+
+def from_key(key: Column) -> Column:
+    return F.coalesce(*(key[k].cast("variant") for k in ("whole", "real", "string", "boolean")))
+
+
+def unordered(group_low: Column, group_high: Column, count: Column) -> Column:
+    """Whether values of these groups (the least and greatest name) can't be put in an order: they are of several, or lists or maps and more than one."""
+    return (group_low != group_high) | group_low.isin("list", "map") & (count > 1)
+
+
 def canonical(value: Typed) -> Column:
     """Text that is equal for equal values only, whatever their kinds; null for null."""
     name = value.kind.name
@@ -251,7 +296,8 @@ def ordered(op: str, a: Typed, b: Typed, at: int) -> Typed:
         out = F.when(groups[0].eqNullSafe(groups[1]) & F.lit(False), F.lit(None).cast("boolean"))
         for group in ("number", "string", "boolean"):
             if all(v.kind is ANY or v.kind.group == group for v in (a, b)):
-                out = out.when((groups[0] == group) & (groups[1] == group), do(as_group(a, group), as_group(b, group)))
+                keys = [number_key(v) if group == "number" else as_group(v, group) for v in (a, b)]
+                out = out.when((groups[0] == group) & (groups[1] == group), do(*keys))
         return Typed(null_if_any([a, b], out.otherwise(error(message, at))), BOOLEAN, True)
     if {a.kind, b.kind} == {INTEGER, FLOAT}:
         return Typed(exactly(op, a, b), BOOLEAN, a.fails or b.fails)
@@ -264,13 +310,17 @@ def contained(a: Typed, b: Typed, at: int) -> Typed:
     """a IN b."""
     if NULL in (a.kind, b.kind):
         return Typed(F.lit(None).cast("boolean"), BOOLEAN)
+    message = "IN needs a list on its right."
+    if b.kind is ANY:
+        inside = F.exists(b.col.try_cast("array<variant>"), lambda x: equal(a, Typed(known(x), ANY)).col)
+        return Typed(null_if_any([a, b], F.when(group_of(b) == "list", inside).otherwise(error(message, at))), BOOLEAN, True)
     if b.kind.name != "list":
-        return wrong([a, b], "IN needs a list on its right.", at, BOOLEAN)
+        return wrong([a, b], message, at, BOOLEAN)
     if b.parts is not None:
         each = [equal(a, part).col for part in b.parts]
         return Typed(null_if_any([a], reduce(Column.__or__, each, F.lit(False))), BOOLEAN, a.fails or b.fails)
     item = b.kind.item
-    return Typed(null_if_any([a, b], F.exists(b.col, lambda x: equal(a, Typed(x, item)).col if item is not NULL else F.lit(None).cast("boolean"))), BOOLEAN, a.fails or b.fails)
+    return Typed(null_if_any([a, b], F.exists(b.col, lambda x: equal(a, Typed(known(x) if item is ANY else x, item)).col if item is not NULL else F.lit(None).cast("boolean"))), BOOLEAN, a.fails or b.fails)
 
 
 def text_test(op: str, a: Typed, b: Typed, at: int) -> Typed:
@@ -298,21 +348,47 @@ def computed(op: str, a: Typed, b: Typed, at: int) -> Typed:
         size = F.length(a.col) + F.length(b.col)
         return Typed(F.when(size <= LONGEST, F.concat(a.col, b.col)).when(size > LONGEST, error("The string gets too long.", at, True)), STRING, True)
     message = "Only numbers can be computed with; + joins two strings too."
-    if op == "+" and ANY in (a.kind, b.kind) and {a.kind, b.kind} <= {ANY, STRING}:
-        groups = [group_of(v) if v.kind is ANY else F.lit("string") for v in (a, b)]
-        out = F.when((groups[0] == "string") & (groups[1] == "string"), F.concat(as_group(a, "string"), as_group(b, "string")).cast("variant"))
-        if STRING not in (a.kind, b.kind):
-            out = out.when((groups[0] == "number") & (groups[1] == "number"), (as_group(a, "number") + as_group(b, "number")).cast("variant"))
-        return Typed(null_if_any([a, b], out.otherwise(error(message, at))), ANY, True)
+    if ANY in (a.kind, b.kind) and NULL not in (a.kind, b.kind):
+        return computed_any(op, a, b, message, at)
     a, b = (narrowed(v, "number", message, at) for v in (a, b))
     kind = INTEGER if a.kind is INTEGER and b.kind is INTEGER and op != "/" else FLOAT
     x, y = (v.col if kind is INTEGER else v.col.cast("double") for v in (a, b))
+    out = Typed(arithmetic(op, x, y, at), kind, True)
+    return finite(out, at) if kind is FLOAT else out
+
+
+def arithmetic(op: str, x: Column, y: Column, at: int) -> Column:
+    """Of two columns of one type, bigint or double."""
     if op in "+-*":
-        out = {"+": x + y, "-": x - y, "*": x * y}[op]
-    else:
-        nonzero = F.when(y == 0, error("Nothing can be divided by zero.", at)).otherwise(y)
-        out = x / nonzero if op == "/" else ((x % nonzero) + y) % y
-    return finite(Typed(out, kind, True), at) if kind is FLOAT else Typed(out, kind, True)
+        return {"+": x + y, "-": x - y, "*": x * y}[op]
+    nonzero = F.when(y == 0, error("Nothing can be divided by zero.", at)).otherwise(y)
+    return x / nonzero if op == "/" else ((x % nonzero) + y) % y
+
+
+def computed_any(op: str, a: Typed, b: Typed, message: str, at: int) -> Typed:
+    """Each row by the kinds of its own values: whole numbers stay whole, and + joins two strings."""
+    numbers = [group_of(v) == "number" if v.kind is ANY else F.lit(v.kind.group == "number") for v in (a, b)]
+    wholes, reals = ([F.coalesce(whole_of(v).cast("double"), real_of(v)) if real else whole_of(v) for v in (a, b)] for real in (False, True))
+    real = finite(Typed(arithmetic(op, *reals, at), FLOAT, True), at).col
+    if op == "/":
+        return Typed(null_if_any([a, b], F.when(numbers[0] & numbers[1], real).otherwise(error(message, at))), FLOAT, True)
+    out = F.when(wholes[0].isNotNull() & wholes[1].isNotNull(), arithmetic(op, *wholes, at).cast("variant")).when(numbers[0] & numbers[1], real.cast("variant"))
+    if op == "+" and {a.kind, b.kind} <= {ANY, STRING}:
+        texts = [as_group(v, "string") for v in (a, b)]
+        long = F.length(texts[0]) + F.length(texts[1]) > LONGEST
+        both = texts[0].isNotNull() & texts[1].isNotNull()
+        out = out.when(both & long, error("The string gets too long.", at, True).cast("variant")).when(both, F.concat(*texts).cast("variant"))
+    return Typed(null_if_any([a, b], out.otherwise(error(message, at).cast("variant"))), ANY, True)
+
+
+def by_number(a: Typed, do: Callable[[Column], Column], message: str, at: int) -> Typed:
+    """A function of one number that keeps whole numbers whole."""
+    if a.kind is not ANY:
+        a = narrowed(a, "number", message, at)
+        return Typed(do(a.col), a.kind, a.fails or a.kind is INTEGER)
+    whole, real = whole_of(a), real_of(a)
+    out = F.when(whole.isNotNull(), do(whole).cast("variant")).when(real.isNotNull(), do(real).cast("variant"))
+    return Typed(null_if_any([a], out.otherwise(error(message, at).cast("variant"))), ANY, True)
 
 
 def finite(value: Typed, at: int) -> Typed:
@@ -321,8 +397,7 @@ def finite(value: Typed, at: int) -> Typed:
 
 
 def signed(op: str, a: Typed, at: int) -> Typed:
-    a = narrowed(a, "number", "A sign needs a number.", at)
-    return Typed(-a.col if op == "-" else a.col, a.kind, a.fails)
+    return by_number(a, (lambda c: -c) if op == "-" else (lambda c: c), "A sign needs a number.", at)
 
 
 def indexed(a: Typed, index: Typed, at: int) -> Typed:
@@ -419,8 +494,14 @@ def scalar(name: str, args: list[Typed], at: int) -> Typed:
         a = narrowed(a, "string", f"{name} needs a string.", at)
         return Typed((F.lower if "lower" in name else F.upper)(a.col), STRING, a.fails)
     if name == "abs":
-        a = narrowed(a, "number", "abs needs a number.", at)
-        return Typed(F.abs(a.col), a.kind, True)
+        return by_number(a, F.abs, "abs needs a number.", at)
+    if name == "size" and a.kind is ANY:
+        group = group_of(a)
+        sizes = {"string": F.length(as_group(a, "string")), "list": F.size(a.col.try_cast("array<variant>")), "map": F.size(F.map_keys(a.col.try_cast("map<string,variant>")))}
+        out = F.when(F.lit(False), F.lit(0))
+        for kind, size in sizes.items():
+            out = out.when(group == kind, size)
+        return Typed(null_if_any([a], out.otherwise(error("size can't be had of this value.", at).cast("int"))).cast("bigint"), INTEGER, True)
     if name == "size" and a.kind.name in ("string", "list", "map"):
         if a.kind.name == "map" and a.kind.fields is not None:
             return Typed(null_if_any([a], F.lit(len(a.kind.fields))).cast("bigint"), INTEGER, a.fails)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import QueryError, QueryLimitError
+from ..errors import QueryError
 from ..functions import typed as V
 from ..functions.typed import BOOLEAN, EDGE, INTEGER, NODE, NULL, PATH, STRING, Kind, Typed
 from ..graph import ORD, PROPERTIES, PropertyGraph
@@ -40,20 +40,21 @@ class Rows:
 
 @dataclass
 class Result:
-    """frame: the rows in order, with a column c0, c1, ... for each name, and the extras asked for. counted: the rows after each clause but the last, if they were counted."""
+    """frame: the rows in order, with a column c0, c1, ... for each name, and the extras asked for. counted: names of the metrics that the job takes, and whether each is of rows after a clause (else after a join)."""
 
     frame: DataFrame
     columns: list[tuple[str, Kind]]
-    counted: list[int]
+    counted: dict[str, bool]
 
     def named(self) -> DataFrame:
         return self.frame.select(*(F.col(f"c{k}").alias(name) for k, (name, _) in enumerate(self.columns)))
 
 
 class Compiler:
-    def __init__(self, graph: PropertyGraph, parameters: dict, order: bool, provenance: bool, most_rows: int | None = None):
-        self.graph, self.spark, self.parameters, self.order, self.provenance, self.most_rows, self.made = graph, graph.spark, parameters, order, provenance, most_rows, 0
-        self.counted: list[int] = []
+    def __init__(self, graph: PropertyGraph, parameters: dict, order: bool, provenance: bool, most: tuple[int, int] | None = None):
+        """most: the rows after a scan or join, and after a clause, that are let through, and one more; None: all, and none are counted."""
+        self.graph, self.spark, self.parameters, self.order, self.provenance, self.most, self.made = graph, graph.spark, parameters, order, provenance, most, 0
+        self.counted: dict[str, bool] = {}
         self.wanted: dict[str, set[str]] = {}
 
     def fresh(self, kind: str) -> str:
@@ -74,15 +75,19 @@ class Compiler:
         rows = Rows(None, extras=extras)
         for scoped in clauses:
             rows = self.match(rows, scoped) if isinstance(scoped.clause, Match) else self.project(rows, scoped)
-            # the last clause has no more rows than the one before it
-            if self.most_rows is not None and scoped is not clauses[-1]:
-                self.counted.append(rows.frame.limit(self.most_rows + 1).count())
-                if self.counted[-1] > self.most_rows:
-                    raise QueryLimitError("A clause makes too many rows; filter earlier.")
+            if scoped is not clauses[-1]:
+                self.count(rows, after_clause=True)
         columns = [(name, value.kind) for name, value in rows.names.items()]
         frame = rows.frame.select(*(value.col.alias(f"c{k}") for k, value in enumerate(rows.names.values())), *extras)
         return Result(frame, columns, self.counted)
 
+    def count(self, rows: Rows, after_clause: bool = False) -> None:
+        """Lets through one row more than are allowed at most, so that the job stops early, and has it count them."""
+        if self.most is not None:
+            name = f"{self.fresh('count')}-{id(self)}"
+            self.counted[name] = after_clause
+            rows.frame = rows.frame.limit(self.most[after_clause] + 1).observe(name, F.count(F.lit(1)).alias("n"))
+
     # attributes
 
     def start(self, rows: Rows) -> None:
@@ -288,6 +293,7 @@ class Compiler:
             rows.frame = found.select("*", *(F.array().cast(kinds.get(x, "array<string>")).alias(x) for x in rows.extras))
         else:
             rows.frame = rows.frame.crossJoin(found)
+        self.count(rows)
         rows.attributes |= places
         if self.order:
             rows.attributes[here, ORD] = self.at(f"{here}_ord", INTEGER)
@@ -353,6 +359,7 @@ class Compiler:
                 rows.frame = found.where(condition) if rows.frame is None else rows.frame.join(found, condition)
             else:
                 rows.frame = rows.frame.join(found, condition).drop(away)
+            self.count(rows)
             rows.attributes |= places
             if pattern.name and pattern.name not in rows.names:
                 rows.names[pattern.name] = self.at(edge, EDGE)
@@ -404,7 +411,9 @@ class Compiler:
                 return F.when(F.col(stop), F.col(column)).otherwise(F.array_append(column, F.col(item)))
 
             trail = trail.withColumns({edges: longer(edges, edge), nodes: longer(nodes, to), here: F.when(F.col(stop), F.col(here)).otherwise(F.col(to)), **({nth: longer(nth, o)} if self.order else {})})
-            trail = trail.select(*kept, here, edges, nodes, stop, *([nth] if self.order else []))
+            step = Rows(trail.select(*kept, here, edges, nodes, stop, *([nth] if self.order else [])))
+            self.count(step)
+            trail = step.frame
         rows.frame = trail.drop(stop)
         used.append((edges, True, pattern.types))
         hop = {"many": True, "edges": edges, "nodes": nodes, "ord": nth, "most": high}
@@ -430,18 +439,20 @@ class Compiler:
             rows.having(keep.col)
         if clause.distinct:
             rows = self.distinct(rows)
-        keys = []
+        paged = clause.skip is not None or clause.limit is not None
+        keys, before_key = [], []
         known = rows.names if grouping or clause.distinct else before.names | rows.names
-        for e, down in clause.order:
+        for e, down in clause.order if paged or clause.final or self.order else ():
             value = self.value_with(rows, known, e)
             if value.kind.group not in ("number", "string", "boolean", "null", "any"):
                 value = V.wrong([value], "Only numbers, strings and booleans can be ordered.", e.at, STRING)
-            if value.kind is V.ANY:
-                value = V.narrowed(value, "number", "Only values of one kind can be ordered.", e.at)
             col = value.col.cast("string") if value.kind is NULL else value.col
+            if value.kind is V.ANY:
+                value = self.kept(rows, value)
+                col = self.any_key(rows, value, before_key, e.at)
+            before_key.append(V.canonical(value) if value.kind is V.ANY else col)
             keys.append(col.desc_nulls_first() if down else col.asc_nulls_last())
-        paged = clause.skip is not None or clause.limit is not None
-        if keys and (paged or clause.final or self.order):
+        if keys:
             rows.frame = rows.frame.orderBy(*keys, *([F.col(ORDER).asc()] if self.order else []))
         elif paged and self.order or clause.final and self.order:
             rows.frame = rows.frame.orderBy(ORDER)
@@ -456,6 +467,13 @@ class Compiler:
             rows.frame = rows.frame.withColumn(ORDER, F.array(F.row_number().over(Window.orderBy(*keys, F.col(ORDER).asc())).cast("bigint")))
         return rows
 
+    def any_key(self, rows: Rows, value: Typed, earlier: list[Column], at: int) -> Column:
+        """The key to sort values of several kinds by. It is an error if such values meet, which those do that are equal in all keys before; one row of a table aside says so."""
+        here, group = self.fresh("k"), V.group_of(value)
+        met = rows.frame.where(value.col.isNotNull()).groupBy(*(c.alias(f"__before{k}") for k, c in enumerate(earlier))).agg(F.min(group).alias("low"), F.max(group).alias("high"), F.count(F.lit(1)).alias("n"))
+        rows.frame = rows.frame.crossJoin(F.broadcast(met.agg(F.max(V.unordered(F.col("low"), F.col("high"), F.col("n"))).alias(here))))
+        return F.when(F.col(here), V.error("Only numbers, strings and booleans can be ordered, among themselves.", at)).otherwise(V.sort_key(value))
+
     def value_with(self, rows: Rows, known: dict[str, Typed], e: Expr) -> Typed:
         own, rows.names = rows.names, known
         value = self.value(rows, e)
@@ -470,7 +488,7 @@ class Compiler:
 
     def page(self, e: Expr) -> int:
         value = self.value(Rows(None), e)
-        found = self.spark.range(1).select(value.col).first()[0] if value.kind is INTEGER else None
+        found = self.spark.range(1).select(V.whole_of(value)).first()[0] if value.kind in (INTEGER, V.ANY) else None
         if found is None or found < 0:
             raise QueryError("SKIP and LIMIT need a whole number, 0 or more.", e.at)
         return min(found, 2**31 - 1)
@@ -540,6 +558,8 @@ class Compiler:
                 return F.count(value.col), lambda c: Typed(c, INTEGER)
             plain = value.kind.group in ("number", "string", "boolean", "node", "edge", "null")
             return F.count_distinct(value.col if plain else V.canonical(value)), lambda c: Typed(c, INTEGER)
+        if name in ("sum", "avg", "min", "max") and value.kind is V.ANY:
+            return self.aggregate_any(call, value)
         if name in ("sum", "avg"):
             value = V.narrowed(value, "number", f"{name} needs numbers.", at)
             if name == "avg":
@@ -550,8 +570,6 @@ class Compiler:
             zero = F.lit(0).cast("bigint" if value.kind is INTEGER else "double")
             return F.coalesce(out, zero), lambda c: Typed(c, INTEGER) if value.kind is INTEGER else V.finite(Typed(c, V.FLOAT), at)
         if name in ("min", "max"):
-            if value.kind is V.ANY:
-                value = V.narrowed(value, "number", f"{name} needs values of one kind.", at)
             if value.kind.group not in ("number", "string", "boolean", "null"):
                 value = V.wrong([value], f"{name} needs numbers, strings or booleans.", at, STRING)
             return (F.min if name == "min" else F.max)(value.col), lambda c: Typed(c, value.kind)
@@ -573,6 +591,39 @@ class Compiler:
 
         return lists, listed
 
+    @staticmethod
+    def aggregate_any(call: Call, value: Typed):
+        """sum, avg, min and max of values of several kinds: whole numbers are summed as such, and the sum is a float if one of them is."""
+        name, at, group = call.name, call.at, V.group_of(value)
+        groups = [F.min(group).alias("low"), F.max(group).alias("high"), F.count(value.col).alias("n")]
+        if name in ("min", "max"):
+            key = (F.min if name == "min" else F.max)(V.sort_key(value)).alias("key")
+
+            def least(c: Column) -> Typed:
+                bad = V.unordered(c["low"], c["high"], c["n"]) | c["low"].isin("list", "map")
+                return Typed(F.when(bad, V.error(f"{name} needs numbers, strings or booleans of one kind.", at).cast("variant")).otherwise(V.from_key(c["key"])), V.ANY, True)
+
+            return F.struct(*groups, key), least
+        whole, real = V.whole_of(value), V.real_of(value)
+        if call.distinct:
+            # a float that is a whole number is the same value
+            same = F.when((F.rint(real) == real) & (F.abs(real) < V.WHOLE), real).cast("bigint")
+            sums = [F.sum_distinct(F.coalesce(whole, same)), F.sum_distinct(F.when(same.isNull(), real)), F.count_distinct(V.canonical(value))]
+        else:
+            sums = [F.sum(whole), F.sum(real), F.count(value.col)]
+        parts = [c.alias(k) for c, k in zip([*sums, F.count(real)], ("whole", "real", "count", "reals"), strict=True)]
+
+        def total(c: Column) -> Typed:
+            both = F.coalesce(c["whole"].cast("double"), F.lit(0.0)) + F.coalesce(c["real"], F.lit(0.0))
+            wrong = F.when((c["low"] != "number") | (c["high"] != "number"), V.error(f"{name} needs numbers.", at))
+            as_float = V.finite(Typed(both, V.FLOAT), at).col
+            if name == "avg":
+                return Typed(F.when(wrong.isNull() & (c["count"] > 0), as_float / c["count"]).otherwise(wrong.cast("double")), V.FLOAT, True)
+            exact = F.when(c["reals"] > 0, as_float.cast("variant")).otherwise(F.coalesce(c["whole"], F.lit(0).cast("bigint")).cast("variant"))
+            return Typed(F.when((c["low"] != "number") | (c["high"] != "number"), V.error(f"{name} needs numbers.", at).cast("variant")).otherwise(exact), V.ANY, True)
+
+        return F.struct(*groups, *parts), total
+
     # expressions
 
     def value(self, rows: Rows, e: Expr, made: dict[Call, Typed] | None = None) -> Typed:
@@ -637,9 +688,10 @@ class Compiler:
         if not of:
             counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias(here)).withColumnRenamed("id", there)
             rows.frame = rows.frame.join(counts, F.col(name) == F.col(there), "left").drop(there)
-        elif of[0].kind is not STRING:
+        elif of[0].kind is not STRING and of[0].kind is not V.ANY:
             return Typed(V.null_if_any([node], V.error("The type in degree must be a string.", at)).cast("bigint"), INTEGER, True)
         else:
+            of = [self.kept(rows, V.narrowed(of[0], "string", "The type in degree must be a string.", at))]
             kind, type_ = self.column(rows, of[0]), self.fresh("j")
             counts = ends.groupBy("id", "edge_type").agg(F.count(F.lit(1)).alias(here)).withColumnsRenamed({"id": there, "edge_type": type_})
             rows.frame = rows.frame.join(counts, (F.col(name) == F.col(there)) & (F.col(kind) == F.col(type_)), "left").drop(there, type_)

@@ -64,7 +64,7 @@ def common(names: set[str]) -> str:
     simple = {"number" if n.startswith("DECIMAL") or n in ("DOUBLE", "FLOAT") else n for n in names}
     if simple <= {"BIGINT"}:
         return "bigint"
-    if simple <= {"BIGINT", "number"}:
+    if simple <= {"number"}:
         return "double"
     if simple in ({"STRING"}, {"BOOLEAN"}):
         return simple.pop().lower()
@@ -72,6 +72,9 @@ def common(names: set[str]) -> str:
         return "array<string>"
     if simple <= {"ARRAY<BIGINT>", "ARRAY<VOID>"}:
         return "array<bigint>"
+    if simple <= {"ARRAY<BOOLEAN>", "ARRAY<VOID>"}:
+        return "array<boolean>"
+    # whole numbers among floats stay whole in a VARIANT
     return "variant"
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from conftest import make_graph
@@ -84,14 +85,38 @@ def test_limits(graph):
     with pytest.raises(QueryLimitError):
         GraphEngine(graph, QueryLimits(max_intermediate_rows=80)).execute("MATCH (a), (b) RETURN count(*)")
     assert GraphEngine(graph, QueryLimits(max_intermediate_rows=81, timeout_seconds=60)).execute("MATCH (a), (b) RETURN count(*)")["rows"] == [[81]]
-    assert found["stats"]["work"] == 18 and found["stats"]["peak_intermediate_rows"] == 9
+    assert found["stats"]["work"] == 27 and found["stats"]["peak_intermediate_rows"] == 9
     with pytest.raises(QueryLimitError):
-        GraphEngine(graph, QueryLimits(max_steps=17)).execute("MATCH (n) WITH n MATCH (m) WHERE m.id = n.id RETURN count(*)")
+        GraphEngine(graph, QueryLimits(max_steps=117)).execute("MATCH (n) WITH n MATCH (m) WHERE m.id = n.id RETURN count(*)")
+    # 9 nodes, twice after a clause, 81 pairs, 9 of them left, and one row
+    assert GraphEngine(graph, QueryLimits(max_steps=118)).execute("MATCH (n) WITH n MATCH (m) WHERE m.id = n.id RETURN count(*)")["stats"]["work"] == 118
     for wrong in ([1], {"a": float("nan")}, {1: 2}, {"a": object()}):
         with pytest.raises(QueryError):
             engine.execute("RETURN 1", wrong)
 
 
+def test_work_inside_a_match_is_bounded(spark):
+    """Rows that a WHERE leaves nothing of are counted, and the join stops at the budget."""
+    many = spark.range(40_000).selectExpr("concat('n', id) id", "'x' label", "'T' type", "id ord", "named_struct('depth', id) properties")
+    none = spark.createDataFrame([], "id string, source string, target string, type string, ord bigint, properties struct<days bigint>")
+    own = type(make_graph(spark, [], []))(many, none)
+    started = time.monotonic()
+    with pytest.raises(QueryLimitError, match="too many rows in all"):
+        GraphEngine(own, QueryLimits(max_intermediate_rows=100_000)).execute("MATCH (a:T), (b:T), (c:T) WHERE a.depth + b.depth + c.depth < 0 RETURN count(*)")
+    assert time.monotonic() - started < 60
+    with pytest.raises(QueryLimitError, match="A clause"):
+        GraphEngine(own).execute("MATCH (a:T) WITH a WHERE a.depth < 25000 RETURN count(*)")
+
+
+def test_work_of_trails_and_optional_matches(graph):
+    engine = GraphEngine(graph)
+    stats = lambda text: engine.execute(text)["stats"]
+    # two ports to start from and every trail of one hop or two
+    assert stats("MATCH (a:Port {id: 'oslo'})-[:ROUTE*1..2]->(b) RETURN b.id")["work"] == 1 + 1 + 2 + 2 + 2
+    assert stats("MATCH (a:Port) OPTIONAL MATCH (a)-[r:ROUTE {days: 2}]->(b) RETURN a.id, b.id")["peak_intermediate_rows"] == 3
+    assert stats("MATCH (a:Nothing)-[:ROUTE]->(b) RETURN b.id")["work"] == 0
+
+
 def trails(edges, start, low, high, directed):
     out = []
 
@@ -131,3 +156,69 @@ def test_mixed_properties(spark, tmp_path):
     assert engine.execute("MATCH (m) RETURN DISTINCT m.v")["rows"] == [[1], ["1"], [None]]
     with pytest.raises(QueryError):
         engine.execute("MATCH (m) RETURN m.v + 1")
+
+
+MIXED = """{"schema_version": 1, "metadata": {}, "edges": [{"id": "e", "source": "a", "target": "b", "type": "N", "properties": {"w": [1, 2.5]}}], "nodes": [
+ {"id": "a", "label": "1", "type": "A", "properties": {"v": 1, "w": 9007199254740993, "f": [0.5, 2], "b": [true, null], "l": [1, "z", null], "m": {"k": [1, 2], "n": null}, "s": "q", "t": "N"}},
+ {"id": "b", "label": "2", "type": "A", "properties": {"v": 2, "w": 9007199254740992.0, "f": [], "b": [], "l": ["y"], "m": {}, "s": "d", "t": 3}},
+ {"id": "c", "label": "3", "type": "B", "properties": {"v": "q", "w": -2.5, "f": "none", "s": [1]}},
+ {"id": "d", "label": "4", "type": "B", "properties": {"v": "d", "w": 7, "s": [2]}},
+ {"id": "e", "label": "5", "type": "C", "properties": {"v": true, "w": 9223372036854775807}},
+ {"id": "f", "label": "6", "type": "C"}]}"""
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    from quiverql.sources import graph_json
+
+    where = tmp_path_factory.mktemp("mixed") / "g.json"
+    where.write_text(MIXED)
+    return GraphEngine(graph_json.load_json(spark, str(where)))
+
+
+EXACT = 9007199254740993
+OF_SEVERAL_KINDS = [
+    ("MATCH (n:A) RETURN n.v + 1, n.v - 1, n.v * 3, n.v / 2, n.v % 2, -n.v, abs(0 - n.v) ORDER BY n.v", [[2, 0, 3, 0.5, 1, -1, 1], [3, 1, 6, 1.0, 0, -2, 2]]),
+    ("MATCH (n:A) RETURN n.w + 0, n.w - 1 ORDER BY n.w", [[9007199254740992.0, 9007199254740991.0], [EXACT, EXACT - 1]]),
+    ("MATCH (n {id: 'c'}) RETURN n.w % 2, n.w % 2.0, -n.w, abs(n.w), n.w * 2, 5 % n.w", [[1.5, 1.5, 2.5, 2.5, -5.0, -0.0]]),
+    ("RETURN [1, 'a'][0] + 1, ['a', 1][0] + 'b', 3 / [2, 'x'][0], [7, 'x'][0] % -4, ['ab', 1][0] + ['c', 2][0], [1, 'a'][0] + 0.5", [[2, "ab", 1.5, -1, "abc", 1.5]]),
+    ("MATCH (n:A) RETURN sum(n.v), avg(n.v), min(n.v), max(n.v), sum(DISTINCT n.v), sum(n.w) > 0", [[3, 1.5, 1, 2, 3, True]]),
+    ("MATCH (n:B) RETURN min(n.v), max(n.v), count(n.v), count(DISTINCT n.w)", [["d", "q", 2, 2]]),
+    ("MATCH (n) RETURN max(n.w), min(n.w), count(n.w)", [[2**63 - 1, -2.5, 5]]),
+    ("MATCH (n:A) RETURN max(n.w), min(n.w), avg(n.w)", [[EXACT, 9007199254740992.0, 9007199254740992.0]]),
+    ("MATCH (n) WHERE n.type = 'A' OR n.id = 'd' RETURN sum(n.w) - 7, sum(DISTINCT n.w) - 7", [[18014398509481984.0, 18014398509481984.0]]),
+    ("MATCH (n:C) RETURN min(n.v), max(n.v)", [[True, True]]),
+    ("MATCH (n:Nothing) RETURN sum(n.v), avg(n.v), min(n.v), max(n.w)", [[0, None, None, None]]),
+    ("MATCH (n:B) RETURN n.v ORDER BY n.v", [["d"], ["q"]]),
+    ("MATCH (n:B) RETURN n.v ORDER BY n.v DESC", [["q"], ["d"]]),
+    ("MATCH (n) RETURN n.id ORDER BY n.w", [["c"], ["d"], ["b"], ["a"], ["e"], ["f"]]),
+    ("MATCH (n) RETURN n.id ORDER BY n.w DESC SKIP 1 LIMIT 2", [["e"], ["a"]]),
+    ("MATCH (n) WHERE n.type <> 'C' RETURN n.id ORDER BY n.type DESC, n.v", [["d"], ["c"], ["a"], ["b"]]),
+    ("MATCH (n) WITH n ORDER BY n.w RETURN collect(n.w) AS w", [[[-2.5, 7, 9007199254740992.0, EXACT, 2**63 - 1]]]),
+    ("MATCH (n:A) RETURN size(n.f), 0.5 IN n.f, 2.0 IN n.f, size(n.b), TRUE IN n.b, 3 IN n.f ORDER BY n.id", [[2, True, True, 2, True, False], [0, False, False, 0, False, False]]),
+    ("MATCH (n {id: 'a'}) RETURN 'z' IN n.l, size(n.l), 1 IN n.l, 5 IN n.l, size(n.m), size(n.m.k), n.m.k[1] + 1, 2 IN n.m.k, n.m.n, FALSE IN n.b", [[True, 3, True, None, 2, 2, 3, True, None, None]]),
+    ("MATCH (n {id: 'c'}) RETURN size(n.f), n.f + '!', toUpper(n.v), n.f CONTAINS 'on'", [[4, "none!", "Q", True]]),
+    ("MATCH (n) WHERE n.w > 9007199254740992 AND n.w < 9007199254740994 RETURN n.id, n.w = 9007199254740993, n.w >= 9007199254740993.0", [["a", True, True]]),
+    ("MATCH (n) WHERE n.w >= 9223372036854775807 RETURN n.id", [["e"]]),
+    ("MATCH ()-[e]->() RETURN e.w[0], e.w[1], e.w[0] + 1, size(e.w), 1.0 IN e.w", [[1, 2.5, 2, 2, True]]),
+    ("MATCH (n {id: 'a'}) RETURN degree(n, n.t)", [[1]]),
+    ("MATCH (n:A) RETURN n.v LIMIT [1, 'x'][0]", [[1]]),
+    ("MATCH (n:C) RETURN n.v AND TRUE, NOT n.v ORDER BY n.id", [[True, False], [None, None]]),
+]
+
+
+@pytest.mark.parametrize(("text", "rows"), OF_SEVERAL_KINDS)
+def test_values_of_several_kinds(mixed, text, rows):
+    found = mixed.execute(text)["rows"]
+    assert found == rows and repr(found) == repr(rows)
+
+
+@pytest.mark.parametrize("text", ["MATCH (n) RETURN n.id ORDER BY n.v", "MATCH (n) RETURN n.id ORDER BY n.type, n.s", "MATCH (n) RETURN min(n.v)", "MATCH (n) RETURN max(n.s)", "MATCH (n) RETURN sum(n.v)", "MATCH (n) RETURN avg(n.s)", "MATCH (n) RETURN n.v + 1", "MATCH (n) RETURN -n.v", "MATCH (n) RETURN abs(n.v)", "MATCH (n) RETURN size(n.w)", "MATCH (n) RETURN 1 IN n.v", "MATCH (n) RETURN n.v < 2", "MATCH (n:A) RETURN n.v % (n.v - 1)", "MATCH (n:A) RETURN degree(n, n.t)", "MATCH (n:B) RETURN n.id LIMIT ['x', 1][0]", "MATCH (n:B) RETURN n.id ORDER BY n.s", "RETURN [9223372036854775807, 'x'][0] + 1"])
+def test_errors_of_several_kinds(mixed, text):
+    with pytest.raises(QueryError):
+        mixed.execute(text)
+
+
+def test_ties_before_a_key_of_several_kinds(mixed):
+    # rows that an earlier key tells apart never meet in the later one
+    assert mixed.execute("MATCH (n) WHERE n.v IS NOT NULL RETURN n.id ORDER BY n.id, n.v")["rows"] == [[x] for x in "abcde"]
