@@ -11,7 +11,8 @@ from .engine import GraphEngine
 from .graph import PropertyGraph
 from .operators import analytics, extraction, tools
 from .sources import graph_json
-from .sources.tables import commerce_graph
+from .functions.typed import ANY, Typed, as_group, real_of, whole_of
+from .sources.tables import commerce_graph, measures_graph
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,7 +102,9 @@ ask("varlen_exact_2", "MATCH (c:Customer)-[:IN_NATION|IN_REGION*2]->(r) RETURN r
     "select r_name region, count(*) n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1")
 ask("varlen_zero", "MATCH (n:Nation)-[e:IN_REGION*0..1]->(x) RETURN n.label AS nation, x.label AS reached, size(e) AS hops",
     "select n_name nation, n_name reached, 0::bigint hops from nation union all select n_name, r_name, 1::bigint from nation join region on n_regionkey = r_regionkey")
-ask("varlen_any_trails", "MATCH (a:Region)-[e:IN_REGION*2]-(b) RETURN count(*) AS trails, count(DISTINCT a) AS regions", "select 0::bigint trails, 0::bigint regions")
+ask("varlen_any_trails", "MATCH (a:Region)-[e:IN_REGION|IN_NATION*1..3]-(b) RETURN type(b) AS type, size(e) AS hops, count(*) AS trails, count(DISTINCT a) AS regions",
+    f"""with one as (select s n, t r from {REGION_OF}), two as (select x.s x, n, r from one join {NATION_OF} x on x.t = n)
+ select 'Nation' type, 1::bigint hops, count(*) trails, count(distinct r) regions from one union all select split_part(x, ':', 1)[1].upper() || split_part(x, ':', 1)[2:], 2, count(*), count(distinct r) from two group by 1""")
 ask("varlen_both_ways", "MATCH (a:Nation)-[e:IN_REGION*2..2]-(b) RETURN a.label AS a, b.label AS b",
     "select a.n_name a, b.n_name b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey")
 ask("named_path_nodes", "MATCH p = (s:Supplier)-[:IN_NATION]->(n)-[:IN_REGION]->(r) RETURN nodes(p)[0].label AS first, nodes(p)[-1].label AS last, length(p) AS hops, relationships(p)[0].type AS kind",
@@ -117,8 +120,10 @@ ask("agg_all", "MATCH (c:Customer) RETURN c.segment AS segment, count(*) AS n, s
     "select c_mktsegment segment, count(*) n, sum(c_acctbal) > 0 positive, min(c_acctbal) low, max(c_name) as last, avg(c_acctbal) > 4000 rich from customer group by 1")
 ask("agg_distinct", "MATCH (p:Part) RETURN p.brand AS brand, count(DISTINCT p.size) AS sizes, sum(DISTINCT p.size) AS total, avg(DISTINCT p.size) AS mean",
     "select p_brand brand, count(distinct p_size) sizes, sum(distinct p_size)::bigint total, avg(distinct p_size) mean from part group by 1")
-ask("agg_empty", "MATCH (x:Nothing) RETURN count(*) AS n, sum(x.size) AS s, avg(x.size) AS a, min(x.size) AS low, size(collect(x)) AS c", "select 0::bigint n, 0::bigint s, null::double a, null::bigint low, 0::bigint c")
-ask("agg_grouped_empty", "MATCH (x:Nothing) RETURN x.id AS id, count(*) AS n", "select 'x' id, 1::bigint n where false")
+ask("agg_empty", "MATCH (x:Part) WHERE x.size < 0 RETURN count(*) AS n, sum(x.size) AS s, avg(x.size) AS a, min(x.size) AS low, size(collect(x)) AS c",
+    "select count(*) n, coalesce(sum(p_size), 0)::bigint s, avg(p_size) a, min(p_size)::bigint low, count(*) c from part where p_size < 0")
+ask("agg_grouped_empty", "MATCH (x:Part) WHERE x.size < 0 RETURN x.id AS id, count(*) AS n",
+    "select 'part:' || p_partkey id, count(*) n from part where p_size < 0 group by 1")
 ask("collect_ordered", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, n ORDER BY n.label DESC RETURN r.label AS region, collect(n.label)[0] AS last, size(collect(DISTINCT n.label)) AS n",
     "select r_name region, max(n_name) as last, count(distinct n_name) n from region join nation on n_regionkey = r_regionkey group by 1")
 ask("agg_wrapped", "MATCH (e:EventType)<-[d:DID]-(u:User) RETURN e.label AS event, count(*) + 1 AS more, size(collect(DISTINCT u)) AS users",
@@ -131,8 +136,8 @@ ask("star_projection", "MATCH (r:Region) WITH r.label AS label, r.id AS id RETUR
 
 # expressions
 
-ask("three_valued_logic", "RETURN NULL AND FALSE AS a, NULL OR TRUE AS b, NULL = NULL AS c, NOT NULL AS d, 1 = TRUE AS e, '1' = 1 AS f, 3 IN [1, NULL] AS g, 1 IN [1, NULL] AS h, NULL IS NULL AS i, 1 < NULL AS j",
-    "select false a, true b, null::boolean c, null::boolean d, false e, false f, null::boolean g, true h, true i, null::boolean j")
+ask("three_valued_logic", "MATCH (n) WHERE type(n) IN ['Region', 'Supplier'] RETURN n.id AS id, n.acctbal > 0 AND FALSE AS a, n.acctbal > 0 OR TRUE AS b, n.acctbal = n.acctbal AS c, NOT n.acctbal > 0 AS d, n.acctbal > 0 = TRUE AS e, n.label = n.acctbal AS f, 3 IN [1, n.acctbal] AS g, 1 IN [1, n.acctbal] AS h, n.acctbal IS NULL AS i, n.acctbal > 0 AND n.acctbal < 5000 AS j",
+    "select id, case when bal > 0 then false else false end a, true b, bal = bal c, not bal > 0 d, (bal > 0) = true e, case when bal is not null then false end f, case when bal is null then null else bal = 3 end g, true h, bal is null i, bal > 0 and bal < 5000 j from (select 'region:' || r_regionkey id, null::double bal from region union all select 'supplier:' || s_suppkey, s_acctbal from supplier)")
 ask("floored_modulo", "MATCH (p:Part) RETURN p.id AS id, (p.size - 25) % 7 AS a, (p.size - 25) % -7 AS b, p.size / 4 AS c, -p.size + 1 AS d",
     "select 'part:' || p_partkey id, (((p_size - 25) % 7 + 7) % 7)::bigint a, (((p_size - 25) % -7 - 7) % -7)::bigint b, p_size / 4.0::double c, (1 - p_size)::bigint d from part")
 ask("string_predicates", "MATCH (p:Part) WHERE p.label CONTAINS 'i' AND (p.brand ENDS WITH '2' OR p.kind STARTS WITH 'S') RETURN p.id AS id, toLower(p.brand) + '/' + upper(p.kind) AS tag, p.label[0] AS first, p.label[-1] AS last",
@@ -151,6 +156,40 @@ ask("degree_typed", "MATCH (p:Part) WHERE p.size < 10 RETURN p.id AS id, degree(
 ask("event_patterns", "MATCH (u:User)-[d:DID]->(e:EventType) WHERE e.label = 'purchase' AND d.value > 100 RETURN u.label AS user, count(d) AS n, max(d.value) AS most",
     "select user_id::varchar as user, count(*) n, max(value) most from events where event_type = 'purchase' and value > 100 group by 1")
 
+# properties of several kinds
+
+
+def measured(text: str, *columns: str, sql: str):
+    """A statement over the graph of measures; columns of several kinds come as one column for each kind of value."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found, out = GraphEngine(measures_graph(spark, sf_dir)).query(text), []
+        for name in found.columns:
+            value = Typed(F.col(name), ANY)
+            parts = {"whole": whole_of, "real": real_of, "text": lambda v: as_group(v, "string")} if name in columns else {}
+            out += [part(value).alias(f"{name}_{kind}") for kind, part in parts.items()] or [F.col(name)]
+        return found.select(*out)
+
+    name = next(n for n in ("mixed_arithmetic", "mixed_extremes", "mixed_order", "mixed_lists", "mixed_equality") if n not in FOUND)
+    FOUND[name], SQL[name] = run, f"with {MEASURES} {sql}"
+
+
+MEASURES = """m as (select 'part:' || p_partkey id, p_name as label, p_size, p_retailprice price, p_brand brand, p_partkey % 4 k, case when p_partkey % 4 < 2 then 'Number' else 'Name' end type,
+ case when p_partkey % 4 = 0 then p_size::bigint end w, case when p_partkey % 4 = 1 then p_retailprice end r, case when p_partkey % 4 = 2 then p_brand when p_partkey % 4 = 3 and p_size % 2 = 0 then p_type end t from part)"""
+measured("MATCH (n:Number) RETURN n.id AS id, n.value + 1 AS more, n.value * n.value - 3 AS square, n.value % 7 AS rest, -n.value AS minus, abs(5 - n.value) AS apart, n.value / 4 AS fourth", "more", "square", "rest", "minus", "apart",
+    sql="""select id, w + 1 more_whole, r + 1 more_real, null::varchar more_text, w * w - 3 square_whole, r * r - 3 square_real, null::varchar square_text, ((w % 7) + 7) % 7 rest_whole, ((r % 7.0::double) + 7) % 7.0::double rest_real, null::varchar rest_text,
+ -w minus_whole, -r minus_real, null::varchar minus_text, abs(5 - w) apart_whole, abs(5 - r) apart_real, null::varchar apart_text, coalesce(w::double, r) / 4 fourth from m where k < 2""")
+measured("MATCH (n) RETURN n.type AS type, n.brand AS brand, count(n.value) AS n, count(DISTINCT n.value) AS values, min(n.value) AS low, max(n.value) AS high", "low", "high",
+    sql="""select type, brand, count(coalesce(w::varchar, r::varchar, t)) n, count(distinct coalesce(t, coalesce(w::double, r)::varchar)) "values", case when min(coalesce(r, 1e300)) > min(w) then min(w) end low_whole, case when min(coalesce(r, 1e300)) < coalesce(min(w), 1e299) then min(r) end low_real, min(t) low_text,
+ case when coalesce(max(r), -1) < max(w) then max(w) end high_whole, case when max(r) > coalesce(max(w), -1) then max(r) end high_real, max(t) high_text from m group by type, brand""")
+measured("MATCH (n:Number) WITH n.label AS label, n.value AS value, n.id AS id ORDER BY value DESC, id LIMIT 500 RETURN id, value", "value",
+    sql="select id, w value_whole, r value_real, null::varchar value_text from m where k < 2 order by coalesce(w::double, r) desc, id limit 500")
+measured("MATCH (n) WHERE n.list IS NOT NULL RETURN n.id AS id, size(n.list) AS n, n.list[0] AS first, n.list[-1] AS last, n.brand IN n.list AS branded, 7 IN n.list AS seven", "first", "last",
+    sql="""select id, case when k = 3 then length(brand) else 2 end::bigint n, case when k < 3 then p_size::bigint end first_whole, null::double first_real, case when k = 3 then brand[1] end first_text,
+ null::bigint last_whole, case when k = 1 then price end last_real, case when k = 3 then brand[-1] when k <> 1 then brand end last_text, k in (0, 2) branded, p_size = 7 seven from m where k < 3""")
+measured("MATCH (a), (b:Number) WHERE a.value = b.value AND a.id < b.id RETURN a.id AS a, b.id AS b, a.value IN [b.value, 'x'] AS inside, a.value >= b.value AS same",
+    sql="select a.id a, b.id b, true inside, true same from m a join m b on coalesce(a.w::double, a.r) = coalesce(b.w::double, b.r) and a.id < b.id where b.k < 2")
+
 # analytics
 
 
@@ -254,8 +293,8 @@ ask("null_arguments", "MATCH (r:Region) RETURN r.id AS id, size(r.gone) AS a, to
     "select 'region:' || r_regionkey id, null::bigint a, null::varchar b, null::bigint c, 10::bigint d, lower(r_name) e, true f from region")
 ask("products", "MATCH (o:Order)-[i:HAS_ITEM]->(p:Part {size: 3}) RETURN o.id AS id, i.quantity * p.size * 2 AS product, p.size * -3 AS whole",
     "select 'order:' || l_orderkey id, l_quantity * p_size * 2 product, (p_size * -3)::bigint whole from lineitem join part on l_partkey = p_partkey where p_size = 3")
-ask("exact_numbers", "MATCH (r:Region) RETURN r.id AS id, {a: 9007199254740993} = {a: 9007199254740992} AS same, 9007199254740993 > 9007199254740992.0 AS more, [1, 2][4294967296] AS beyond",
-    "select 'region:' || r_regionkey id, false same, true more, null::bigint beyond from region")
+ask("exact_numbers", "MATCH (p:Part) RETURN p.id AS id, {a: 9007199254740992 + p.size} = {a: 9007199254740992} AS same, 9007199254740992 + p.size > 9007199254740992.0 AS more, [1, p.size][4294967296] AS beyond",
+    "select 'part:' || p_partkey id, p_size = 0 same, p_size > 0 more, null::bigint beyond from part")
 
 
 def cited_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,15 @@ def commerce_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     ]
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     return PropertyGraph(union(nodes), union(edges), {"title": "commerce"})
+
+
+def measures_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Parts with properties of several kinds, held as VARIANT: value is a whole number, a float, a string or missing, list a list of unlike values or missing."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", F.col("p_partkey") % 4)
+    variant = lambda c: F.col(c).cast("variant")
+    size, k = F.col("p_size").cast("bigint").cast("variant"), F.col("k")
+    value = F.when(k == 0, size).when(k == 1, variant("p_retailprice")).when(k == 2, variant("p_brand")).when(F.col("p_size") % 2 == 0, variant("p_type"))
+    items = F.when(k < 3, F.array(size, F.when(k == 1, variant("p_retailprice")).otherwise(variant("p_brand"))).cast("variant"))
+    nodes = part.select(_id("part", "p_partkey").alias("id"), F.col("p_name").alias("label"), F.when(k < 2, "Number").otherwise("Name").alias("type"), F.struct(value.alias("value"), items.alias("list"), F.col("p_brand").alias("brand")).alias("properties"))
+    edges = spark.createDataFrame([], "id string, source string, target string, type string, ord bigint, properties struct<weight: double>")
+    return PropertyGraph(nodes.withColumn("ord", F.xxhash64("id")), edges, {"title": "measures"})
