@@ -224,6 +224,28 @@ def sort_key(value: Typed) -> Column:
     return F.when(value.col.isNotNull(), parts)
 
 
+def ascending(value: Typed, down: bool) -> Column:
+    """A key in the order of ORDER BY, for use within other keys: null last, or if down backwards and null first."""
+    col = value.col
+    if not down:
+        return F.struct(col.isNull().alias("none"), col.alias("key"))
+    if value.kind is ANY:
+        number = F.struct((-col["number"]["near"]).alias("near"), (-col["number"]["off"]).alias("off"))
+        col = F.when(col.isNotNull(), F.struct(F.when(col["number"].isNotNull(), number).alias("number"), backwards(col["string"]).alias("string"), (~col["boolean"]).alias("boolean")))
+    elif value.kind is INTEGER:
+        col = F.bitwise_not(col)
+    elif value.kind is FLOAT:
+        col = -col
+    else:
+        col = ~col if value.kind is BOOLEAN else backwards(col)
+    return F.struct(col.isNotNull().alias("some"), col.alias("key"))
+
+
+def backwards(text: Column) -> Column:
+    """Text whose order is the reverse of that of the given text: digits of its bytes, each the other way round, and an end after all of them."""
+    return F.concat(F.translate(F.hex(F.encode(text, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+
+
 def from_key(key: Column) -> Column:
     return F.coalesce(*(key[k].cast("variant") for k in ("whole", "real", "string", "boolean")))
 

@@ -22,7 +22,8 @@ from ..graph import ORD, PROPERTIES, PropertyGraph
 from .analysis import Scoped, expressions, has_aggregate, is_aggregate
 from .syntax import (Binary, Call, EdgePattern, Expr, Index, ListOf, Literal, MapOf, Match, NodePattern, Parameter, Pattern, Projection, Property, Unary, Variable)
 
-ORDER, SEEN_NODES, SEEN_EDGES = "__order", "__nodes", "__edges"
+#: PRIOR: what a WITH ... ORDER BY has sorted by and the order before it; ORDER is the order of what was matched since.
+ORDER, PRIOR, SEEN_NODES, SEEN_EDGES, FIRST = "__order", "__prior", "__nodes", "__edges", "__first"
 
 
 @dataclass
@@ -33,6 +34,13 @@ class Rows:
     names: dict[str, Typed] = field(default_factory=dict)
     attributes: dict[tuple[str, str], Typed] = field(default_factory=dict)
     extras: tuple[str, ...] = ()
+    #: All nodes of a type, or all there are, once each.
+    plain: bool = False
+
+    @property
+    def place(self) -> list[Column]:
+        """What rows are ordered by."""
+        return [F.col(x) for x in (PRIOR, ORDER) if x in self.extras]
 
     def having(self, condition: Column) -> None:
         self.frame = self.frame.where(condition)
@@ -50,6 +58,12 @@ class Result:
         return self.frame.select(*(F.col(f"c{k}").alias(name) for k, (name, _) in enumerate(self.columns)))
 
 
+def conjuncts(e: Expr | None) -> list[Expr]:
+    if isinstance(e, Binary) and e.op == "AND":
+        return conjuncts(e.left) + conjuncts(e.right)
+    return [] if e is None else [e]
+
+
 class Compiler:
     def __init__(self, graph: PropertyGraph, parameters: dict, order: bool, provenance: bool, most: tuple[int, int] | None = None):
         """most: the rows after a scan or join, and after a clause, that are let through, and one more; None: all, and none are counted."""
@@ -72,10 +86,17 @@ class Compiler:
                     if isinstance(part, Call) and part.name in ("type", "labels") and isinstance(part.args[0], Variable):
                         self.wanted.setdefault(part.args[0].name, set()).add("type")
         extras = (ORDER,) * self.order + (SEEN_NODES, SEEN_EDGES) * self.provenance
-        rows = Rows(None, extras=extras)
-        for scoped in clauses:
-            rows = self.match(rows, scoped) if isinstance(scoped.clause, Match) else self.project(rows, scoped)
-            if scoped is not clauses[-1]:
+        rows, clauses = Rows(None, extras=extras), list(clauses)
+        for k, scoped in enumerate(clauses):
+            if isinstance(scoped.clause, Projection):
+                rows = self.project(rows, scoped)
+            elif left := self.without_matches(rows, scoped, clauses[k + 1]):
+                rows, clauses[k + 1] = left
+            elif self.only_asks(rows, scoped, clauses[k + 1 :]):
+                rows = self.beside(rows, scoped.clause, "left_semi")
+            else:
+                rows = self.match(rows, scoped)
+            if k < len(clauses) - 1:
                 self.count(rows, after_clause=True)
         columns = [(name, value.kind) for name, value in rows.names.items()]
         frame = rows.frame.select(*(value.col.alias(f"c{k}") for k, value in enumerate(rows.names.values())), *extras)
@@ -160,7 +181,9 @@ class Compiler:
     def match(self, rows: Rows, scoped: Scoped) -> Rows:
         clause: Match = scoped.clause
         if not clause.optional:
-            return self.matched(rows, clause)
+            node = clause.patterns[0].nodes[0]
+            plain = rows.frame is None and len(clause.patterns) == 1 and not clause.patterns[0].edges and not node.properties and not clause.where
+            return replace(self.matched(rows, clause), plain=plain)
         self.start(rows)
         shared = {n for n in self.mentioned(clause) if n in scoped.before}
         if not self.provenance and len(shared) <= 1 and all(rows.names[n].kind is NODE for n in shared):
@@ -170,7 +193,7 @@ class Compiler:
             raise AssertionError("an optional match of this kind needs the order")
         # rows of one place in the order differ in what they bind
         bound = [v.col for v in rows.names.values() if v.kind.group in ("node", "edge", "string", "number", "boolean")]
-        rows.frame = rows.frame.withColumn(key, F.struct(F.col(ORDER), *(c.alias(f"b{k}") for k, c in enumerate(bound))))
+        rows.frame = rows.frame.withColumn(key, F.struct(*rows.place, *(c.alias(f"b{k}") for k, c in enumerate(bound))))
         inner = self.matched(replace(rows, names=dict(rows.names), attributes=dict(rows.attributes)), clause)
         new = {n: v for n, v in inner.names.items() if n not in scoped.before}
         other = self.fresh("k")
@@ -193,20 +216,79 @@ class Compiler:
         # what is asked of the shared node elsewhere, its rows have already
         asked = {n: {p.key for p in (clause.where.all() if clause.where else ()) if isinstance(p, Property) and p.of == Variable(n)} for n in shared}
         self.wanted = wanted | asked
-        inner = self.matched(Rows(None, extras=rows.extras), clause)
+        inner = self.matched(self.around(rows, shared), clause)
         self.wanted = wanted
         new = {n: v for n, v in inner.names.items() if n not in shared}
         here = {n: self.column(inner, v) for n, v in new.items()}
         attributes = {k: v for k, v in inner.attributes.items() if k[0] in here.values()}
-        keep = [*here.values(), *(v.col for v in attributes.values()), *(F.col(x).alias(f"{x}_found") for x in rows.extras)]
+        keep = [*here.values(), *(v.col for v in attributes.values()), *(F.col(x).alias(f"{x}_found") for x in inner.extras)]
         on = [(rows.names[n].col, self.fresh("k"), inner.names[n].col) for n in shared]
         found = inner.frame.select(*keep, *(col.alias(there) for _, there, col in on))
         condition = reduce(Column.__and__, (mine == F.col(there) for mine, there, _ in on), F.lit(True))
         frame = rows.frame.join(found, condition, "left").drop(*(there for _, there, _ in on))
-        for x in rows.extras:
+        for x in inner.extras:
             frame = frame.withColumn(x, F.concat(F.col(x), F.coalesce(F.col(f"{x}_found"), F.array().cast("array<bigint>")))).drop(f"{x}_found")
         return Rows(frame, rows.names | {n: self.at(here[n], v.kind) for n, v in new.items()}, rows.attributes | attributes, rows.extras)
 
+    def around(self, rows: Rows, shared: set[str]) -> Rows:
+        """Where an optional match starts: the distinct nodes that the rows have, or nothing if they have all of a type anyway."""
+        extras = tuple(x for x in rows.extras if x != PRIOR)
+        if rows.plain or not shared:
+            return Rows(None, extras=extras)
+        (name,) = shared
+        here = self.fresh("n")
+        known = rows.frame.select(rows.names[name].col.alias(here)).where(F.col(here).isNotNull()).distinct()
+        kinds = {ORDER: "array<bigint>"}
+        return Rows(known.select("*", *(F.array().cast(kinds.get(x, "array<string>")).alias(x) for x in extras)), {name: self.at(here, NODE)}, {}, extras)
+
+    def shared_node(self, rows: Rows, scoped: Scoped) -> str | None:
+        """The one name that a MATCH shares with the rows, if it is a node and nothing depends on order or provenance."""
+        shared = {n for n in self.mentioned(scoped.clause) if n in scoped.before}
+        if self.order or self.provenance or len(shared) != 1 or rows.frame is None:
+            return None
+        (name,) = shared
+        return name if rows.names[name].kind is NODE else None
+
+    def beside(self, rows: Rows, clause: Match, how: str) -> Rows:
+        """The rows for which the MATCH, which shares one node with them, has matches (left_semi) or none (left_anti)."""
+        (name,) = {n for n in self.mentioned(clause) if n in rows.names}
+        wanted, self.wanted = self.wanted, {n: {p.key for p in (clause.where.all() if clause.where else ()) if isinstance(p, Property) and p.of == Variable(n)} for n in self.mentioned(clause)}
+        inner, there = self.matched(Rows(None), clause), self.fresh("k")
+        self.wanted = wanted
+        found = inner.frame.select(inner.names[name].col.alias(there))
+        frame = rows.frame.join(found, rows.names[name].col == F.col(there), how)
+        return Rows(frame, dict(rows.names), dict(rows.attributes), rows.extras)
+
+    def without_matches(self, rows: Rows, scoped: Scoped, after: Scoped) -> tuple[Rows, Scoped] | None:
+        """OPTIONAL MATCH, then a grouping by its node that keeps groups where the count of what it matched is 0: an anti join, and the groups without the count."""
+        clause, then = scoped.clause, after.clause
+        name = self.shared_node(rows, scoped)
+        if not clause.optional or not isinstance(then, Projection) or then.items is None or name is None:
+            return None
+        new = {n for n in scoped.after if n not in scoped.before}
+        counts = {alias for e, alias, _ in then.items if isinstance(e, Call) and e.name == "count" and not e.star and isinstance(e.args[0], Variable) and e.args[0].name in new}
+        keys = [e for e, alias, _ in then.items if alias not in counts]
+        by_node = any(e in (Variable(name), Property(Variable(name), "id"), Call("id", (Variable(name),))) for e in keys)
+        settled = {p.left.name for p in conjuncts(then.where) if isinstance(p, Binary) and p.op == "=" and isinstance(p.left, Variable) and p.right == Literal(0) and not isinstance(p.right.value, bool)}
+        touched = any(has_aggregate(e) or any(isinstance(p, Variable) and p.name in new for p in e.all()) for e in keys)
+        if not by_node or touched or not counts & settled:
+            return None
+        items = tuple((Literal(0), alias, more) if alias in counts else (e, alias, more) for e, alias, more in then.items)
+        return self.beside(rows, clause, "left_anti"), replace(after, clause=replace(then, items=items, distinct=True))
+
+    def only_asks(self, rows: Rows, scoped: Scoped, later: list[Scoped]) -> bool:
+        """Whether a MATCH only asks if there is something beside its one known node: nothing later names what it finds, and what comes next doesn't see how often."""
+        then = later[0].clause
+        if scoped.clause.optional or not isinstance(then, Projection) or then.items is None or self.shared_node(rows, scoped) is None:
+            return False
+        new = {n for n in scoped.after if n not in scoped.before}
+        if any(isinstance(p, Variable) and p.name in new for e in expressions(then) for p in e.all()):
+            return False
+        calls = [p for e, _, _ in then.items for p in e.all() if is_aggregate(p)]
+        if not calls:
+            return then.distinct
+        return all(p.name in ("min", "max") or p.distinct and p.name in ("count", "sum", "avg") for p in calls)
+
     def matched(self, rows: Rows, clause: Match) -> Rows:
         used: list[tuple[str, bool, tuple[str, ...]]] = []
         for pattern in clause.patterns:
@@ -440,7 +522,7 @@ class Compiler:
         if clause.distinct:
             rows = self.distinct(rows)
         paged = clause.skip is not None or clause.limit is not None
-        keys, before_key = [], []
+        keys, upward, before_key = [], [], []
         known = rows.names if grouping or clause.distinct else before.names | rows.names
         for e, down in clause.order if paged or clause.final or self.order else ():
             value = self.value_with(rows, known, e)
@@ -452,19 +534,21 @@ class Compiler:
                 col = self.any_key(rows, value, before_key, e.at)
             before_key.append(V.canonical(value) if value.kind is V.ANY else col)
             keys.append(col.desc_nulls_first() if down else col.asc_nulls_last())
+            upward.append((Typed(col, value.kind), down))
         if keys:
-            rows.frame = rows.frame.orderBy(*keys, *([F.col(ORDER).asc()] if self.order else []))
+            rows.frame = rows.frame.orderBy(*keys, *rows.place)
         elif paged and self.order or clause.final and self.order:
-            rows.frame = rows.frame.orderBy(ORDER)
+            rows.frame = rows.frame.orderBy(*rows.place)
         if clause.skip is not None:
             rows.frame = rows.frame.offset(self.page(clause.skip))
         if clause.limit is not None:
             rows.frame = rows.frame.limit(self.page(clause.limit))
         if self.order and keys and not clause.final:
-            # later clauses see the rows in this order
-            from pyspark.sql import Window
-
-            rows.frame = rows.frame.withColumn(ORDER, F.array(F.row_number().over(Window.orderBy(*keys, F.col(ORDER).asc())).cast("bigint")))
+            # later clauses see the rows in this order: by the keys, as columns that sort upwards, and then as before
+            ups = [V.ascending(col, down) for col, down in upward]
+            prior = F.struct(*(c.alias(f"k{k}") for k, c in enumerate([*ups, *rows.place])))
+            rows.frame = rows.frame.withColumns({PRIOR: prior, ORDER: F.array().cast("array<bigint>")})
+            rows.extras = (PRIOR, *(x for x in rows.extras if x != PRIOR))
         return rows
 
     def any_key(self, rows: Rows, value: Typed, earlier: list[Column], at: int) -> Column:
@@ -511,7 +595,10 @@ class Compiler:
     def extras_of(self, rows: Rows) -> list[Column]:
         out = []
         for x in rows.extras:
-            out.append(F.min(x).alias(x) if x == ORDER else F.array_distinct(F.flatten(F.collect_list(x))).alias(x))
+            if x == ORDER:
+                out.append(F.min(F.struct(*rows.place)).alias(FIRST))
+            elif x != PRIOR:
+                out.append(F.array_distinct(F.flatten(F.collect_list(x))).alias(x))
         return out
 
     def regrouped(self, rows: Rows, values: list[Typed], more: list[Column]) -> Rows:
@@ -520,6 +607,8 @@ class Compiler:
         names = {v.place for v in values}
         grouped = rows.frame.groupBy(*by)
         frame = grouped.agg(*aggregates) if aggregates else rows.frame.select(*by).distinct()
+        if ORDER in rows.extras:
+            frame = frame.withColumns({x: F.col(FIRST)[x] for x in (PRIOR, ORDER) if x in rows.extras}).drop(FIRST)
         return Rows(frame, {}, {k: a for k, a in rows.attributes.items() if k[0] in names}, rows.extras)
 
     def distinct(self, rows: Rows) -> Rows:
@@ -573,7 +662,7 @@ class Compiler:
             if value.kind.group not in ("number", "string", "boolean", "null"):
                 value = V.wrong([value], f"{name} needs numbers, strings or booleans.", at, STRING)
             return (F.min if name == "min" else F.max)(value.col), lambda c: Typed(c, value.kind)
-        kept = F.when(value.col.isNotNull(), F.struct(F.col(ORDER).alias("o"), value.col.alias("v")) if self.order else F.struct(value.col.alias("v")))
+        kept = F.when(value.col.isNotNull(), F.struct(F.struct(*rows.place).alias("o"), value.col.alias("v")) if self.order else F.struct(value.col.alias("v")))
         lists = F.collect_list(kept)
 
         def listed(c: Column) -> Typed:

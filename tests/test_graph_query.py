@@ -222,3 +222,73 @@ def test_errors_of_several_kinds(mixed, text):
 def test_ties_before_a_key_of_several_kinds(mixed):
     # rows that an earlier key tells apart never meet in the later one
     assert mixed.execute("MATCH (n) WHERE n.v IS NOT NULL RETURN n.id ORDER BY n.id, n.v")["rows"] == [[x] for x in "abcde"]
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("text", [
+    "MATCH (n:Cargo) WITH n ORDER BY n.tons DESC, n.label RETURN collect(n.id) AS ids",
+    "MATCH (n) WITH n ORDER BY n.type DESC, n.label MATCH (n)-[r]->(m) WITH n, m ORDER BY m.label RETURN n.type AS t, collect(n.id + m.id) AS ids, collect(DISTINCT m.id) AS ms",
+    "MATCH (n) WITH n.open AS o, n.label AS l ORDER BY o DESC, l RETURN collect(l) AS ls, collect(o) AS os",
+    "MATCH (n) WITH n.depth AS d, n.id AS i ORDER BY d DESC, i DESC WITH i ORDER BY size(i) RETURN collect(i) AS ids",
+    "MATCH (n:Ship) WITH n ORDER BY n.knots DESC, n.id OPTIONAL MATCH (n)-[c:CALLS]->(p:Port) WHERE c.days > 0 RETURN n.id AS n, collect(p.id) AS ports",
+    "MATCH (a:Ship), (b:Ship) WITH a, b ORDER BY b.id DESC, a.id OPTIONAL MATCH (a)-[:LOADS]->(c)<-[:LOADS]-(b) RETURN collect(a.id + b.id) AS pairs, collect(c.id) AS cs",
+])
+def test_order_needs_no_task_of_its_own(graph, text):
+    """Rows ordered by WITH keep the order, which no window without partitions makes; execute and query agree."""
+    engine = GraphEngine(graph)
+    frame = engine.query(text)
+    assert "Window" not in plan(frame)
+    want = engine.execute(text)["rows"]
+    assert sorted(map(repr, ([*r] for r in frame.collect()))) == sorted(map(repr, want)) and want
+
+
+def test_orders_by_hand(graph):
+    rows = GraphEngine(graph).execute("MATCH (n) WITH n ORDER BY n.type DESC, n.label RETURN collect(n.id) AS ids")["rows"]
+    assert rows == [[["gull", "heron", "tern", "cadiz", "kiel", "oslo", "salt", "tin", "cork"]]]
+    rows = GraphEngine(graph).execute("MATCH (n:Port) WITH n.open AS o, n.id AS i ORDER BY o DESC, i WITH i, o RETURN collect(i) AS ids, collect(o) AS os")["rows"]
+    assert rows == [[["cadiz", "oslo", "kiel"], [True, False]]]
+    rows = GraphEngine(graph).execute("MATCH (n) WITH n.note AS t, n.id AS i ORDER BY t DESC, i DESC LIMIT 8 WITH i SKIP 5 RETURN collect(i) AS ids")["rows"]
+    assert rows == [[["cork", "cadiz", "gull"]]]
+
+
+ANTI = "MATCH (c:Cargo) OPTIONAL MATCH (s:Ship)-[l:LOADS]->(c) {} WITH c, count({}) AS n WHERE n = 0 {} RETURN c.id AS id, n"
+
+
+@pytest.mark.parametrize(("text", "anti"), [
+    (ANTI.format("", "s", ""), True), (ANTI.format("WHERE s.knots > 20", "l", ""), True), (ANTI.format("", "s", "AND c.tons IS NULL"), True), (ANTI.format("", "DISTINCT s", ""), True),
+    (ANTI.format("", "*", ""), False), (ANTI.format("", "s.knots", ""), False), (ANTI.format("", "s", "OR c.tons > 1"), False),
+    ("MATCH (c:Cargo) OPTIONAL MATCH (s:Ship)-[:LOADS]->(c) WITH c.label AS c, count(s) AS n WHERE n = 0 RETURN c AS id, n", False),
+    ("MATCH (c:Cargo) OPTIONAL MATCH (s:Ship)-[:LOADS]->(c) WITH c.id AS c, s.id AS x, count(s) AS n WHERE n = 0 RETURN c AS id, n", False),
+    ("MATCH (c:Cargo), (x:Port) OPTIONAL MATCH (s:Ship)-[:LOADS]->(c) WITH id(c) AS i, x.open AS o, count(s) AS n WHERE n = 0 RETURN i AS id, n", True),
+    ("MATCH (c:Cargo) OPTIONAL MATCH (s)-[ls:LOADS*1..2]->(c) RETURN c.id AS id, count(ls) AS n", False),
+])
+def test_counts_of_nothing_are_anti_joins(graph, text, anti):
+    engine = GraphEngine(graph)
+    frame = engine.query(text)
+    assert ("LeftAnti" in plan(frame)) == anti
+    assert sorted(map(list, frame.collect())) == sorted(engine.execute(text)["rows"])
+
+
+@pytest.mark.parametrize(("text", "semi"), [
+    ("MATCH (s:Ship) MATCH (s)-[:CALLS]->(p:Port) RETURN DISTINCT s.id AS id", True), ("MATCH (s:Ship) MATCH (s)-[c:CALLS]->(p:Port) WHERE c.days > 1 AND p.open = FALSE RETURN DISTINCT s.id AS id", True),
+    ("MATCH (s:Ship) MATCH (s)-[:CALLS]->(p:Port) RETURN max(s.knots) AS id", True), ("MATCH (s:Ship) MATCH (s)-[:CALLS]->(p:Port) WITH count(DISTINCT s) AS n RETURN n AS id", True),
+    ("MATCH (s:Ship) MATCH (s)-[:CALLS]->(p:Port) RETURN s.id AS id", False), ("MATCH (s:Ship) MATCH (s)-[:CALLS]->(p:Port) RETURN DISTINCT p.id AS id", False), ("MATCH (s:Ship) MATCH (s)-[:CALLS]->(p:Port) RETURN count(s) AS id", False),
+    ("MATCH (s:Ship) MATCH (s)-[:CALLS]->(p:Port) WITH DISTINCT s MATCH (s)-[:LOADS]->(c) RETURN c.id AS id", True), ("MATCH (s:Ship) MATCH (s)-[:CALLS]->(p:Port) WITH DISTINCT * RETURN s.id AS id", False),
+])
+def test_matches_that_only_ask_are_semi_joins(graph, text, semi):
+    engine = GraphEngine(graph)
+    frame = engine.query(text)
+    assert ("LeftSemi" in plan(frame)) == semi
+    assert sorted(map(list, frame.collect())) == sorted(engine.execute(text)["rows"])
+
+
+def test_optional_patterns_start_at_the_rows_nodes(graph):
+    """Rows that are few make the optional pattern from their own nodes, distinct ones; all of a type make it once for all."""
+    engine = GraphEngine(graph)
+    for text, around in (("MATCH (s:Ship {id: 'gull'}) OPTIONAL MATCH (s)-[c:CALLS]->(p:Port) RETURN s.id AS s, p.id AS p", True), ("MATCH (s:Ship) OPTIONAL MATCH (s)-[c:CALLS]->(p:Port) RETURN s.id AS s, p.id AS p", False), ("MATCH (s:Ship)-[:LOADS]->() OPTIONAL MATCH (p:Port)<-[c:CALLS]-(s) WHERE c.days IS NULL RETURN s.id AS s, p.id AS p", True)):
+        frame = engine.query(text)
+        assert ("Aggregate" in plan(frame)) == around
+        assert sorted(map(repr, ([*r] for r in frame.collect()))) == sorted(map(repr, engine.execute(text)["rows"]))
