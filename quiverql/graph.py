@@ -16,12 +16,14 @@ class PropertyGraph:
     """nodes: id, label, type, ord (place in the graph's list) and properties, a struct, as well as any further columns.
 
     edges: id, source, target, type, ord, properties and any further columns. Ids are unique among nodes and
-    among edges, and every edge's ends are nodes; validate (in sources.graph_json) checks it.
+    among edges, and every edge's ends are nodes; validate (in sources.graph_json) checks it. by_target: the same
+    edges once more, stored by their target, where edges are stored by their source.
     """
 
     nodes: DataFrame
     edges: DataFrame
     metadata: dict = field(default_factory=dict)
+    by_target: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:

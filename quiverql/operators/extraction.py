@@ -6,6 +6,8 @@ graph it would have alone; concepts are shared, since their id depends on the te
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +59,26 @@ def placed(blocks: DataFrame) -> DataFrame:
     return out.withColumn("parent", F.coalesce(above, "document_id"))
 
 
+@cache
+def folding() -> tuple[dict[str, str], dict[str, str]]:
+    """Full case folding as Python's Unicode data has it: letters that fold to one letter, and those that fold to several."""
+    both = {c: f for c in map(chr, range(0x110000)) if (f := c.casefold()) != c}
+    return {c: f for c, f in both.items() if len(f) == 1}, {c: f for c, f in both.items() if len(f) > 1}
+
+
+def folded(text: Column) -> Column:
+    """Case folded, each letter by itself: one translation, and where there are letters that fold to several, a replacement for each of them."""
+    one, several = folding()
+    out = F.translate(text, "".join(one), "".join(one.values()))
+    many = out
+    for letter, letters in several.items():
+        many = F.replace(many, F.lit(letter), F.lit(letters))
+    return F.when(out.rlike("[" + "".join(several) + "]"), many).otherwise(out)
+
+
 def normalized(word: Column) -> Column:
-    """Case folded as far as it matters in texts: lower case, sharp s as ss, one sigma; hyphens and quotes at the ends go."""
-    return F.btrim(F.replace(F.replace(F.lower(word), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ")), F.lit("-'"))
+    """Case folded; hyphens and quotes at the ends go."""
+    return F.btrim(folded(word), F.lit("-'"))
 
 
 def term_counts(blocks: DataFrame) -> DataFrame:

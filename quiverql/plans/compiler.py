@@ -158,9 +158,9 @@ class Compiler:
     def at(place: str, kind: Kind) -> Typed:
         return Typed(F.col(place), kind, place=place)
 
-    def scanned(self, kind: Kind, name: str | None, identity: str, extra: list[Column] = (), where: tuple[str, ...] = (), properties: tuple = ()) -> tuple[DataFrame, dict]:
+    def scanned(self, kind: Kind, name: str | None, identity: str, extra: list[Column] = (), where: tuple[str, ...] = (), properties: tuple = (), table: DataFrame | None = None) -> tuple[DataFrame, dict]:
         """A scan with the attributes that the name is asked for later, filtered by types and properties, and where those attributes are."""
-        table = self.table(kind)
+        table = self.table(kind) if table is None else table
         if where:
             table = table.where(F.col("type").isin(*where))
         for key, e in properties:
@@ -407,7 +407,9 @@ class Compiler:
         source, target = ("source", "target") if (pattern.direction == "in") == backwards else ("target", "source")
         ord_ = [F.col(ORD).cast("bigint").alias(nth)] if self.order else []
         ends = [F.col(source).alias(away), F.col(target).alias(to)]
-        found, places = self.scanned(EDGE, None if pattern.hops else pattern.name, identity, [*ends, *ord_], pattern.types, pattern.properties)
+        # edges that are stored by the end that they are met at needn't move
+        stored = self.graph.by_target if source == "target" and pattern.direction != "any" else None
+        found, places = self.scanned(EDGE, None if pattern.hops else pattern.name, identity, [*ends, *ord_], pattern.types, pattern.properties, stored)
         if pattern.direction == "any":
             turned = found.where(F.col(away) != F.col(to)).withColumns({away: F.col(to), to: F.col(away)})
             found = found.unionByName(turned)
@@ -436,7 +438,11 @@ class Compiler:
                 condition &= (old.col == F.col(edge)) if old.kind is EDGE else F.lit(False)
             if node.name in rows.names:
                 old = rows.names[node.name]
-                condition &= (old.col == F.col(here)) if old.kind is NODE else F.lit(False)
+                same = old.col == F.col(here)
+                if self.graph.by_target is not None and not begins:
+                    # no key of the join, which edges stored by one end would have to be moved for
+                    same = (old.col <= F.col(here)) & (old.col >= F.col(here))
+                condition &= same if old.kind is NODE else F.lit(False)
             if begins:
                 rows.frame = found.where(condition) if rows.frame is None else rows.frame.join(found, condition)
             else:

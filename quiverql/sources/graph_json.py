@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,7 @@ def load_json(spark: SparkSession, path: str) -> PropertyGraph:
     for key in ("nodes", "edges"):
         if not (getattr(shape, key) or "").startswith("ARRAY"):
             raise ValueError(f"The {key} of a graph are an array.")
-    parsed.createOrReplaceTempView("__quiverql_json")
-    nodes, edges = (spark.sql(f"select pos as {ORD}, value from __quiverql_json, lateral variant_explode(try_variant_get(v, '$.{k}', 'variant'))") for k in ("nodes", "edges"))
+    nodes, edges = (spark.sql(f"select pos as {ORD}, value from {{parsed}}, lateral variant_explode(try_variant_get(v, '$.{k}', 'variant'))", parsed=parsed) for k in ("nodes", "edges"))
     graph = PropertyGraph(typed(nodes, NODE_KEYS), typed(edges, EDGE_KEYS), parsed.select(F.to_json(F.try_variant_get("v", "$.metadata", "variant"))).first()[0] and _metadata(parsed) or {})
     return validate(graph)
 
@@ -80,17 +80,16 @@ def common(names: set[str]) -> str:
 
 def typed(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Columns of the keys and of any further ones, and the struct of properties."""
-    rows.createOrReplaceTempView("__quiverql_rows")
     spark = rows.sparkSession
     if rows.where(~F.schema_of_variant("value").startswith("OBJECT")).limit(1).count():
         raise ValueError("Nodes and edges are objects.")
-    top = types_of(spark.sql("select e.key, e.value from __quiverql_rows, lateral variant_explode(__quiverql_rows.value) e"))
+    top = types_of(spark.sql("select e.key, e.value from {rows} r, lateral variant_explode(r.value) e", rows=rows))
     for key in keys:
         if top.get(key, {"STRING"}) != {"STRING"}:
             raise ValueError(f"{key} is a string that isn't empty.")
     if not all(n.startswith("OBJECT") for n in top.get(PROPERTIES, ())):
         raise ValueError("Properties are an object.")
-    own = types_of(spark.sql(f"select e.key, e.value from __quiverql_rows, lateral variant_explode(try_variant_get(value, '$.{PROPERTIES}', 'variant')) e"))
+    own = types_of(spark.sql(f"select e.key, e.value from {{rows}} r, lateral variant_explode(try_variant_get(r.value, '$.{PROPERTIES}', 'variant')) e", rows=rows))
 
     def taken(path: str, names: set[str]):
         return F.try_variant_get("value", path, common(names))
@@ -121,9 +120,25 @@ def validate(graph: PropertyGraph) -> PropertyGraph:
 
 
 def save(graph: PropertyGraph, folder: str) -> None:
-    """Parquet tables of nodes and edges by type, so a scan of one type reads its files only."""
-    for name, table in (("nodes", graph.nodes), ("edges", graph.edges)):
-        table.write.partitionBy("type").parquet(f"{folder}/{name}")
+    """Parquet tables of nodes and edges by type, so a scan of one type reads its files only.
+
+    The graph is validated first, and written beside the folder, which gets its name when all is there; an error if
+    there is one of that name.
+    """
+    validate(graph)
+    context = graph.spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(folder)
+    aside = context._jvm.org.apache.hadoop.fs.Path(f"{folder}.{uuid.uuid4().hex[:12]}.tmp")
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise ValueError(f"{folder} is there already.")
+    try:
+        for name, table in (("nodes", graph.nodes), ("edges", graph.edges)):
+            table.write.partitionBy("type").parquet(f"{aside}/{name}")
+        if not files.rename(aside, target):
+            raise ValueError(f"{folder} can't be made.")
+    finally:
+        files.delete(aside, True)
 
 
 def load(spark: SparkSession, folder: str) -> PropertyGraph:
@@ -134,6 +149,24 @@ def load(spark: SparkSession, folder: str) -> PropertyGraph:
     return PropertyGraph(read("nodes"), read("edges"))
 
 
+def save_tables(graph: PropertyGraph, name: str, buckets: int = 64, folder: str | None = None, checked: bool = True) -> None:
+    """Three tables of the catalog: nodes in buckets by id, edges by source and once more by target. Patterns over them join without moving the edges.
+
+    A bucket of a type is one file; choose buckets so that one holds some 100 MB. The files go to the folder, else
+    to the warehouse. The graph is validated first if it is to be checked.
+    """
+    if checked:
+        validate(graph)
+    for part, table, key in (("nodes", graph.nodes, "id"), ("edges_out", graph.edges, "source"), ("edges_in", graph.edges, "target")):
+        writer = table.repartition(buckets, key).write.partitionBy("type").bucketBy(buckets, key).sortBy(key)
+        (writer.option("path", f"{folder}/{part}") if folder else writer).saveAsTable(f"{name}_{part}")
+
+
+def load_tables(spark: SparkSession, name: str) -> PropertyGraph:
+    nodes, out, back = (spark.table(f"{name}_{part}") for part in ("nodes", "edges_out", "edges_in"))
+    return PropertyGraph(nodes, out, {}, back)
+
+
 def export_json(graph: PropertyGraph, folder: str) -> None:
     """The graph as one JSON object in one text file of the folder, entities in their order; null properties are left out. For graphs within MOST_BYTES."""
     import json

@@ -1,9 +1,12 @@
 import io
+import re
 import zipfile
 
 import pytest
 from conftest import make_graph
+from pyspark.sql import functions as F
 
+from quiverql import GraphEngine
 from quiverql.operators import analytics, extraction, tools
 from quiverql.sources import docx, graph_json
 
@@ -157,3 +160,57 @@ def test_tools(papers):
     with pytest.raises(Exception):
         own.read_graph_node("p2")
     assert tools.preview({"a": "x" * 700, "b": list(range(20))})["a"].endswith("…")
+
+
+def test_folding_is_pythons(spark):
+    """Each letter by itself, as Python folds it."""
+    rows = [(chr(k),) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and (chr(k).casefold() != chr(k) or k % 97 == 0)] + [("Straße ΜΆΪΟΣ İz ﬁne",), ("",), (None,)]
+    found = spark.createDataFrame(rows, "c string").select("c", extraction.folded(F.col("c")).alias("f")).collect()
+    assert [r for r in found if (None if r.c is None else r.c.casefold()) != r.f] == [] and len(found) > 12_000
+
+
+def test_saving_is_all_or_nothing(spark, graph, tmp_path):
+    broken = type(graph)(graph.nodes, graph.edges.withColumn("target", F.when(F.col("id") == "r2", "nowhere").otherwise(F.col("target"))))
+    with pytest.raises(ValueError, match="r2"):
+        graph_json.save(broken, str(tmp_path / "g"))
+    assert list(tmp_path.iterdir()) == []
+    graph_json.save(graph, str(tmp_path / "g"))
+    with pytest.raises(ValueError, match="already"):
+        graph_json.save(graph, str(tmp_path / "g"))
+    assert [p.name for p in tmp_path.iterdir()] == ["g"] and sorted(p.name for p in (tmp_path / "g").iterdir()) == ["edges", "nodes"]
+
+
+def between_joins(plan, scanned):
+    """What stands over each scan of a table up to the join that it enters."""
+    lines, out = plan.split("\n"), []
+    depth = lambda x: re.match(r"[ :]*([+:]- )?", x).end()
+    for k, line in enumerate(lines):
+        if scanned in line and "FileScan" in line:
+            at, over = depth(line), []
+            for up in reversed(lines[:k]):
+                if depth(up) < at:
+                    at = depth(up)
+                    if "Join" in up:
+                        break
+                    over.append(up.strip(" :+-*()0123456789").split(" ")[0])
+            out.append(over)
+    return out
+
+
+def test_stored_edges_dont_move(spark, graph, tmp_path):
+    graph_json.save_tables(graph, "ports_and_ships", 4, f"file://{tmp_path}")
+    stored = graph_json.load_tables(spark, "ports_and_ships")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for text in ("MATCH (a:Port)-[:ROUTE]->(b)-[:ROUTE]->(c)-[:ROUTE]->(a) RETURN a.id AS a, c.id AS c", "MATCH (c:Cargo)<-[:LOADS]-(s)-[k:CALLS]->(p:Port) RETURN c.id AS a, p.id AS c"):
+            frame = GraphEngine(stored).query(text)
+            assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, GraphEngine(graph).query(text).collect()))
+            moved = between_joins(frame._jdf.queryExecution().executedPlan().toString(), "ports_and_ships_edges_")
+            assert len(moved) > 1 and not any("Exchange" in over for over in moved)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        for part in ("nodes", "edges_out", "edges_in"):
+            spark.sql(f"drop table ports_and_ships_{part}")
