@@ -20,6 +20,8 @@ SHOWN, DIRECTORY, RANKING, CONNECTIONS, PAGE, CHAT_PAGE = 600, 30, 5, 30, 50, 8
 #: The edge types that each preset leaves out, all but which it keeps, and the node types it keeps.
 LINK = "CO_OCCURS_WITH"
 PRESETS = {"overview": {"without": (LINK,)}, "concepts": {"nodes": ("Concept",), "only": (LINK,)}, "structure": {"only": ("CONTAINS",), "nodes": ("Document", "Section", "Passage")}}
+#: Rounds of pointer doubling: enough for 2^40 levels; nodes that contain one another have no section above.
+MOST_DOUBLINGS = 40
 CITATION = r"\[node:([^\]\s]+)\]"
 
 
@@ -154,23 +156,49 @@ def k_hop(graph: PropertyGraph, start: str, hops: int, edges: DataFrame | None =
 
 
 def shortest_path(graph: PropertyGraph, start: str, goal: str, directed: bool = False, edges: DataFrame | None = None) -> list[str]:
-    """The nodes of a shortest path; empty if there is none. The search ends with the level that has the goal; the path, not the graph, comes to the driver."""
+    """The nodes of a shortest path; empty if there is none. The path, not the graph, comes to the driver, as one row."""
+    found = path_between(graph, start, goal, directed, edges).orderBy("step").select("id").collect()
+    return [row.id for row in found]
+
+
+def path_between(graph: PropertyGraph, start: str, goal: str, directed: bool = False, edges: DataFrame | None = None) -> DataFrame:
+    """step (from 0) and id of a shortest path, no rows if there is none.
+
+    Searches from both ends, a level at a time and the smaller frontier first, until a level meets the other side,
+    so each goes half the way. Of the shortest paths that is the one whose edges come first from the start, as a
+    search from the start alone finds it.
+    """
     ways = steps(graph.edges if edges is None else edges, directed)
-    seen = frontier = kept(levels(ways, graph.nodes.where(F.col("id") == start).select("id"), 0))
-    depth, found = 0, start == goal
-    while not found:
-        depth += 1
-        frontier = kept(next_level(frontier, seen, ways, depth))
-        if frontier.isEmpty():
-            return []
-        seen = seen.unionByName(frontier)
-        found = not frontier.where(F.col("id") == goal).isEmpty()
-    if seen.where(F.col("id") == goal).isEmpty():
-        return []
-    path = [goal]
-    while path[-1] != start:
-        path.append(seen.where(F.col("id") == path[-1]).first().parent)
-    return path[::-1]
+    back = ways.select(F.col("near").alias("far"), F.col("far").alias("near"), "ord")
+    ends = [levels(w, graph.nodes.where(F.col("id") == end).select("id"), 0) for w, end in ((ways, start), (back, goal))]
+    seen, frontier, depth = list(ends), list(ends), [0, 0]
+    schema = "step int, id string"
+    if any(f.isEmpty() for f in ends):
+        return graph.spark.createDataFrame([], schema)
+    while frontier[0].join(seen[1].select("id"), "id", "left_semi").isEmpty():
+        sizes = [f.count() for f in frontier]
+        side = 0 if sizes[0] <= sizes[1] else 1
+        depth[side] += 1
+        frontier[side] = kept(next_level(frontier[side], seen[side], (ways, back)[side], depth[side]))
+        if frontier[side].isEmpty():
+            return graph.spark.createDataFrame([], schema)
+        seen[side] = seen[side].unionByName(frontier[side])
+        if side == 1 and not frontier[1].join(seen[0].select("id"), "id", "left_semi").isEmpty():
+            break
+    return first_path(seen, ways, start, goal, sum(depth))
+
+
+def first_path(seen: list[DataFrame], ways: DataFrame, start: str, goal: str, length: int) -> DataFrame:
+    """The path from the levels of both sides: only nodes on shortest paths are left, and from the start the first way to each wins."""
+    sides = seen[0].select("id", F.col("depth").alias("from_start")).join(seen[1].select("id", (F.lit(length) - F.col("depth")).alias("to_goal")), "id", "outer")
+    on = kept(sides.where("from_start is null or to_goal is null or from_start = to_goal").select("id", F.coalesce("from_start", "to_goal").alias("level")))
+    near, far = (on.select(F.col("id").alias(k), F.col("level").alias(f"{k}_level")) for k in ("near", "far"))
+    links = kept(ways.join(near, "near").join(far, "far").where("far_level = near_level + 1").select("near", "far", "far_level", "ord"))
+    reached = on.where((F.col("id") == start) & (F.col("level") == 0)).select("id", F.array("id").alias("path"), F.array().cast("array<bigint>").alias("place"))
+    for level in range(1, length + 1):
+        met = reached.join(links.where(F.col("far_level") == level), F.col("id") == F.col("near"))
+        reached = met.groupBy("far").agg(F.min(F.struct("place", "ord", "path")).alias("m")).select(F.col("far").alias("id"), F.array_append("m.path", F.col("far")).alias("path"), F.array_append("m.place", F.col("m.ord")).alias("place"))
+    return reached.where(F.col("id") == goal).select(F.posexplode("path").alias("step", "id"))
 
 
 def root(graph: PropertyGraph, selected: str | None = None) -> str | None:
@@ -196,21 +224,32 @@ def clusters(graph: PropertyGraph) -> DataFrame:
     """id, label, type and cluster: a section's own id or that of the nearest one above; for a concept the cluster of most of its mentions, the least id of equals."""
     nodes = graph.nodes.select("id", "label", "type")
     up = graph.edges.where("type = 'CONTAINS'").groupBy(F.col("target").alias("id")).agg(F.min(F.struct("ord", "source")).alias("m")).select("id", F.col("m.source").alias("above"))
-    now = kept(nodes.where("type <> 'Concept'").select("id", "type").join(up, "id", "left").select("id", F.when(F.col("type") == "Section", F.col("id")).alias("cluster"), "above"))
-    kinds = nodes.select(F.col("id").alias("above"), F.col("type").alias("above_type"))
-    parents = up.select(F.col("id").alias("above"), F.col("above").alias("next"))
-    while not now.where("cluster is null and above is not null").isEmpty():
-        now = kept(now.join(kinds, "above", "left").join(parents, "above", "left").select("id", F.coalesce("cluster", F.when(F.col("above_type") == "Section", F.col("above"))).alias("cluster"), F.when(F.col("cluster").isNull(), F.col("next")).alias("above")))
+    kinds = nodes.select(F.col("id").alias("above"), (F.col("type") == "Section").alias("heading"))
+    # far: a section, or the node that is farthest up so far; each round doubles the way, so a deep tree takes few
+    start = nodes.where("type <> 'Concept'").select("id", (F.col("type") == "Section").alias("own")).join(up, "id", "left").join(kinds, "above", "left")
+    own = F.coalesce("own", F.lit(False))
+    now = kept(start.select("id", F.when(own, F.col("id")).when(F.col("heading"), F.col("above")).alias("cluster"), F.when(~own & ~F.coalesce("heading", F.lit(False)), F.col("above")).alias("far")))
+    rounds = 0
+    while rounds < MOST_DOUBLINGS and not now.where("far is not null").isEmpty():
+        rounds += 1
+        there = now.select(F.col("id").alias("far"), F.col("cluster").alias("far_cluster"), F.col("far").alias("farther"))
+        now = kept(now.join(there, "far", "left").select("id", F.coalesce("cluster", "far_cluster").alias("cluster"), F.when(F.coalesce("cluster", "far_cluster").isNull(), F.col("farther")).alias("far")))
     votes = graph.edges.where("type = 'MENTIONS'").join(now.select(F.col("id").alias("source"), "cluster"), "source").where("cluster is not null")
     most = votes.groupBy(F.col("target").alias("id"), "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.min_by("cluster", F.struct(-F.col("n"), F.col("cluster"))).alias("cluster"))
     known = now.select("id", "cluster").unionByName(most.join(nodes.where("type = 'Concept'").select("id"), "id", "left_semi"))
     return nodes.join(known, "id", "left")
 
 
-def evidence(graph: PropertyGraph, edge_id: str) -> DataFrame:
-    """The passages behind a co-occurrence, in their order: position, id, label and text."""
-    ids = graph.edges.where(F.col("id") == edge_id).select(F.posexplode(properties(graph.edges, "evidence")).alias("position", "id"))
-    return ids.join(graph.nodes.select("id", "label", properties(graph.nodes, "text").alias("text")), "id").select("position", "id", "label", "text").orderBy("position")
+def evidence(graph: PropertyGraph, edge_id: str, table: DataFrame | None = None) -> DataFrame:
+    """The passages behind a co-occurrence, in their order: position, id, label and text.
+
+    table: extraction.evidence_of, in which the position is that in the passage's document; else the link's own list.
+    """
+    if table is None:
+        ids, order = graph.edges.where(F.col("id") == edge_id).select(F.posexplode(properties(graph.edges, "evidence")).alias("position", "id")), ["position"]
+    else:
+        ids, order = table.where(F.col("edge_id") == edge_id).select("digest", "position", F.col("node_id").alias("id")), ["digest", "position"]
+    return ids.join(graph.nodes.select("id", "label", properties(graph.nodes, "text").alias("text")), "id").orderBy(*order).select("position", "id", "label", "text")
 
 
 def heaviest(graph: PropertyGraph) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
+from .analytics import kept
 
 #: Words that are no concepts.
 STOP_WORDS = """
@@ -112,37 +113,62 @@ def mentions(counts: DataFrame, terms: DataFrame, concepts: int = 80, per_passag
     return own.withColumn("nth", F.row_number().over(there)).where(F.col("nth") <= per_passage).select("digest", "position", "node_id", "term", "tf", F.col("own").alias("score"))
 
 
-def co_occurrences(found: DataFrame) -> DataFrame:
-    """digest, one, two (terms in order), weight (passages with both) and evidence (those passages, in order).
+def pairs_of(found: DataFrame) -> DataFrame:
+    """digest, one, two (terms in order), position and node_id of each passage with both.
 
     A passage has at most per_passage terms, so their pairs are made from one list a passage, without a join.
     """
     lists = found.groupBy("digest", "position", "node_id").agg(F.array_sort(F.collect_list("term")).alias("t"))
     pairs = F.flatten(F.transform("t", lambda a, k: F.transform(F.slice("t", k + 2, F.size("t")), lambda b: F.struct(a.alias("one"), b.alias("two")))))
-    each = lists.select("digest", "position", "node_id", F.explode(pairs).alias("p")).select("digest", "position", "node_id", "p.*")
-    return each.groupBy("digest", "one", "two").agg(F.count(F.lit(1)).alias("weight"), F.transform(F.array_sort(F.collect_list(F.struct("position", "node_id"))), lambda x: x["node_id"]).alias("evidence"))
+    return lists.select("digest", "position", "node_id", F.explode(pairs).alias("p")).select("digest", "position", "node_id", "p.*")
+
+
+def co_occurrences(found: DataFrame) -> DataFrame:
+    """digest, one, two and weight (passages with both); the counts of frequent pairs are summed before they are shuffled."""
+    return pairs_of(found).groupBy("digest", "one", "two").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def evidence_of(found: DataFrame) -> DataFrame:
+    """The passages behind each link as a table of its own, a row each: edge_id, digest, position and node_id. A link of any number of passages stays spread over tasks."""
+    return pairs_of(found).select(link_id(concept_id("one"), concept_id("two")).alias("edge_id"), "digest", "position", "node_id")
+
+
+def concept_id(term: str) -> Column:
+    return stable_id("concept", F.col(term))
+
+
+def link_id(one: Column, two: Column, kind: str = "CO_OCCURS_WITH") -> Column:
+    return stable_id("edge", F.concat_ws(":", one, F.lit(kind), two))
+
+
+def mentioned(blocks: DataFrame, concepts: int = 80, per_passage: int = 6) -> tuple[DataFrame, DataFrame]:
+    """scored terms and mentions of placed blocks. Words are taken from the texts once: their counts, which both need, come from a checkpoint."""
+    counts = kept(term_counts(blocks))
+    terms = scored(counts, blocks)
+    return terms, mentions(counts, terms, concepts, per_passage)
 
 
 def short_label(text: Column) -> Column:
     return F.when(F.length(text) <= LABEL, text).otherwise(F.concat(F.substring(text, 1, LABEL - 3), F.lit("…")))
 
 
-def build_graph(blocks: DataFrame, concepts: int = 80, per_passage: int = 6, most_blocks: int | None = MOST_BLOCKS) -> PropertyGraph:
-    """The graph of all documents in blocks. A document with more than most_blocks blocks is an error (None: none is)."""
+def build_graph(blocks: DataFrame, concepts: int = 80, per_passage: int = 6, most_blocks: int | None = MOST_BLOCKS, lists: bool = True) -> PropertyGraph:
+    """The graph of all documents in blocks. A document with more than most_blocks blocks is an error (None: none is).
+
+    lists: links have their evidence as a property, one list each, which is for some documents; for a corpus leave
+    it out and take evidence_of(mentions).
+    """
     if most_blocks is not None and blocks.groupBy("digest").count().where(F.col("count") > most_blocks).first():
         raise ValueError(f"A document may have {most_blocks:,} blocks.")
     blocks = placed(blocks)
-    counts = term_counts(blocks)
-    terms = scored(counts, blocks)
-    found = mentions(counts, terms, concepts, per_passage)
-    pairs = co_occurrences(found)
+    terms, found = mentioned(blocks, concepts, per_passage)
 
     def rows(frame: DataFrame, fields: dict[str, str], own: dict[str, Column], order: Column, **columns: Column) -> DataFrame:
         properties = F.struct(*((own[k] if k in own else F.lit(None)).cast(t).alias(k) for k, t in fields.items()))
         apart = F.pmod(F.xxhash64(columns["id"]), F.lit(1 << 40))
         return frame.select(*(c.alias(k) for k, c in columns.items()), properties.alias("properties"), (F.shiftleft(order, 41) + apart).alias("ord"))
 
-    edge_id = lambda s, kind, t: stable_id("edge", F.concat_ws(":", s, F.lit(kind), t))
+    edge_id = lambda s, kind, t: link_id(F.col(s) if isinstance(s, str) else s, F.col(t) if isinstance(t, str) else t, kind)
     # documents come first, then blocks in place, then concepts and links; equal places are told apart by hash
     first, last = F.lit(0).cast("bigint"), F.lit(1 << 21).cast("bigint")
     docs = blocks.groupBy("digest", "document_id").agg(F.min("filename").alias("filename"))
@@ -153,8 +179,9 @@ def build_graph(blocks: DataFrame, concepts: int = 80, per_passage: int = 6, mos
         rows(blocks, NODE_FIELDS, {k: F.col(k) for k in ("text", "kind", "position", "document_id", "level", "table", "row")}, F.col("position"), id=F.col("node_id"), label=short_label(F.col("text")), type=F.col("type")),
         rows(concept, NODE_FIELDS, {"normalized": F.col("term"), "occurrences": F.col("total"), "passage_count": F.col("passages"), "extraction": F.lit("keyword")}, last, id=stable_id("concept", F.col("term")), label=F.col("label"), type=F.lit("Concept")),
     ]
-    links = pairs.groupBy("one", "two").agg(F.sum("weight").alias("weight"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("digest", "evidence"))), lambda x: x["evidence"])).alias("evidence"))
-    one, two = stable_id("concept", F.col("one")), stable_id("concept", F.col("two"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("digest", "position", "node_id"))), lambda x: x["node_id"]) if lists else F.max(F.lit(None).cast("array<string>"))
+    links = pairs_of(found).groupBy("one", "two").agg(F.count(F.lit(1)).alias("weight"), listed.alias("evidence"))
+    one, two = concept_id("one"), concept_id("two")
     edges = [
         rows(blocks, EDGE_FIELDS, {}, F.col("position"), id=edge_id("parent", "CONTAINS", "node_id"), source=F.col("parent"), target=F.col("node_id"), type=F.lit("CONTAINS")),
         rows(found, EDGE_FIELDS, {"occurrences": F.col("tf")}, F.lit(1 << 20) + F.col("position"), id=edge_id("node_id", "MENTIONS", stable_id("concept", F.col("term"))), source=F.col("node_id"), target=stable_id("concept", F.col("term")), type=F.lit("MENTIONS")),

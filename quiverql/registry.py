@@ -247,8 +247,7 @@ def shortest_path(graph):
     edges = analytics.enabled_edges(graph, ["IN_REGION", "IN_NATION", "PLACED"])
     near = analytics.k_hop(graph, "order:1", 4, edges).where("depth = 4 and id like 'nation:%'")
     other = near.orderBy(F.split("id", ":")[1].cast("int")).first().id
-    path = analytics.shortest_path(graph, "order:1", other, edges=edges)
-    return graph.spark.createDataFrame([(k, n) for k, n in enumerate(path)], "step int, id string")
+    return analytics.path_between(graph, "order:1", other, edges=edges)
 
 
 def _places(graph: PropertyGraph) -> PropertyGraph:
@@ -334,30 +333,26 @@ LINES = r"""docs as (select sha256(text) d, any_value(text) x from documents gro
  mentions as (select * from (select *, row_number() over (partition by d, p order by round(s, 9) desc, term) k from own) where k <= 6)""".replace("STOP", ", ".join("'" + w.replace("'", "''") + "'" for w in extraction.STOP_WORDS))
 
 
-def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    blocks = extraction.placed(extraction.passages_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    counts = extraction.term_counts(blocks)
-    return blocks, counts, extraction.scored(counts, blocks)
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.placed(extraction.passages_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, terms = _extracted(spark, sf_dir)
+    terms, _ = extraction.mentioned(_blocks(spark, sf_dir))
     return terms.select("digest", "term", "total", "df", "n", F.round("score", 6).alias("score"))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts, terms = _extracted(spark, sf_dir)
-    return extraction.mentions(counts, terms).select("digest", "position", "term", "tf")
+    return extraction.mentioned(_blocks(spark, sf_dir))[1].select("digest", "position", "term", "tf")
 
 
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts, terms = _extracted(spark, sf_dir)
-    return extraction.co_occurrences(extraction.mentions(counts, terms)).select("digest", "one", "two", "weight", F.size("evidence").cast("bigint").alias("passages"))
+    found = extraction.mentioned(_blocks(spark, sf_dir))[1]
+    return extraction.co_occurrences(found).select("digest", "one", "two", "weight", F.col("weight").alias("passages"))
 
 
 def passage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, _, _ = _extracted(spark, sf_dir)
-    return blocks.select("node_id", "document_id", extraction.short_label(F.col("text")).alias("label"))
+    return _blocks(spark, sf_dir).select("node_id", "document_id", extraction.short_label(F.col("text")).alias("label"))
 
 
 FOUND |= {f.__name__: f for f in (concept_scores, mentions, co_occurrence, passage_labels)}
@@ -370,7 +365,7 @@ SQL |= {
 
 
 def document_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    return extraction.build_graph(extraction.passages_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), most_blocks=None)
+    return extraction.build_graph(extraction.passages_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), most_blocks=None, lists=False)
 
 
 def document_graph_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,14 +405,15 @@ def link_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages behind the heaviest link, of equals the one with the least id."""
     graph = document_graph(spark, sf_dir)
     link = graph.edges.where(F.col("type") == analytics.LINK).orderBy(F.desc("properties.weight"), "id").first().id
-    return analytics.evidence(graph, link).select(F.lit(link).alias("edge"), "id", "text")
+    table = extraction.evidence_of(extraction.mentioned(_blocks(spark, sf_dir))[1])
+    return analytics.evidence(graph, link, table).select(F.lit(link).alias("edge"), "id", "text")
 
 
 def titled_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """As document_graph, each document's first line that isn't blank being its title."""
     blocks = extraction.passages_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     title = F.col("position") == F.min("position").over(Window.partitionBy("digest"))
-    return extraction.build_graph(blocks.withColumn("level", F.when(title, F.lit(1).cast("bigint"))), most_blocks=None)
+    return extraction.build_graph(blocks.withColumn("level", F.when(title, F.lit(1).cast("bigint"))), most_blocks=None, lists=False)
 
 
 def cluster_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
