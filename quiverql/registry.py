@@ -410,10 +410,11 @@ def link_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titled_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """As document_graph, each document's first line that isn't blank being its title."""
+    """As document_graph, with headings of three levels: each document's first line that isn't blank, and of every six lines the fourth and the sixth."""
     blocks = extraction.passages_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    title = F.col("position") == F.min("position").over(Window.partitionBy("digest"))
-    return extraction.build_graph(blocks.withColumn("level", F.when(title, F.lit(1).cast("bigint"))), most_blocks=None, lists=False)
+    nth = F.row_number().over(Window.partitionBy("digest").orderBy("position")) - 1
+    level = F.when(nth == 0, 1).when(nth % 6 == 3, 2).when(nth % 6 == 5, 3).cast("bigint")
+    return extraction.build_graph(blocks.withColumn("level", level), most_blocks=None, lists=False)
 
 
 def cluster_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,10 +432,12 @@ SQL |= {
     "heavy_edges": f"with {LINES}, {PAIRS} select 'MENTIONS' type, count(*) n from mentions union all select 'CO_OCCURS_WITH', count(*) from links where w >= 3",
     "link_evidence": f"""with {LINES}, {PAIRS}, named as (select one, two, w, 'edge_' || substr(sha256('concept_' || substr(sha256(one), 1, 20) || ':CO_OCCURS_WITH:' || 'concept_' || substr(sha256(two), 1, 20)), 1, 20) edge from links),
  first as (select * from named order by w desc, edge limit 1) select edge, 'passage_' || substr(sha256(p.d || ':' || p.p), 1, 20) id, p.t as text from first join mentions a on a.term = one join mentions b on b.term = two and a.d = b.d and a.p = b.p join passages p on p.d = a.d and p.p = a.p""",
-    "cluster_vote": f"""with {LINES}, heads as (select d, min(p) h, 'section_' || substr(sha256(d || ':' || min(p)), 1, 20) section from passages group by d),
- votes as (select term, section, count(*) n from mentions join heads using (d) group by 1, 2), chosen as (select term, section from (select *, row_number() over (partition by term order by n desc, section) k from votes) where k = 1)
- select 'document_' || substr(sha256(d), 1, 20) id, 'Document' type, null cluster from heads union all select section, 'Section', section from heads
- union all select 'passage_' || substr(sha256(d || ':' || p), 1, 20), 'Passage', section from passages join heads using (d) where p <> h union all select 'concept_' || substr(sha256(term), 1, 20), 'Concept', section from chosen""",
+    "cluster_vote": f"""with {LINES}, counted as (select d, p, row_number() over (partition by d order by p) - 1 k from passages),
+ placed as (select d, p, k = 0 or k % 6 in (3, 5) heading, max(case when k = 0 or k % 6 in (3, 5) then p end) over (partition by d order by p) h from counted),
+ named as (select d, p, heading, 'section_' || substr(sha256(d || ':' || h), 1, 20) section, 'passage_' || substr(sha256(d || ':' || p), 1, 20) passage from placed),
+ votes as (select term, section, count(*) n from mentions join named using (d, p) group by 1, 2), chosen as (select term, section from (select *, row_number() over (partition by term order by n desc, section) k from votes) where k = 1)
+ select distinct 'document_' || substr(sha256(d), 1, 20) id, 'Document' type, null cluster from named union all select case when heading then section else passage end, case when heading then 'Section' else 'Passage' end, section from named
+ union all select 'concept_' || substr(sha256(term), 1, 20), 'Concept', section from chosen""",
 }
 
 

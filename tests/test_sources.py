@@ -1,4 +1,5 @@
 import io
+import random
 import re
 import zipfile
 
@@ -214,3 +215,52 @@ def test_stored_edges_dont_move(spark, graph, tmp_path):
             spark.conf.set(k, v)
         for part in ("nodes", "edges_out", "edges_in"):
             spark.sql(f"drop table ports_and_ships_{part}")
+
+
+def plain_path(edges, start, goal):
+    """By a search from the start alone: of the shortest paths that whose edges come first."""
+    before, level = {start: None}, [start]
+    while level and goal not in before:
+        found = []
+        for near in level:
+            for _, a, b in edges:
+                for x, y in ((a, b), (b, a)):
+                    if x == near and y not in before:
+                        before[y] = near
+                        found.append(y)
+        level = found
+    path = [goal] if goal in before else []
+    while path and path[-1] != start:
+        path.append(before[path[-1]])
+    return path[::-1]
+
+
+def test_paths_from_both_ends(spark):
+    rng = random.Random(11)
+    names = [f"n{k}" for k in range(40)]
+    edges = [(f"e{k}", *rng.sample(names, 2)) for k in range(55)]
+    own = make_graph(spark, [(n, n, "T", {}) for n in names], [(i, a, b, "X", {}) for i, a, b in edges])
+    asked = [tuple(rng.sample(names, 2)) for _ in range(5)] + [("n1", "n1"), ("n1", "nowhere")]
+    found = [analytics.shortest_path(own, a, b) for a, b in asked]
+    assert found == [plain_path(edges, a, b) if b in names else [] for a, b in asked] and max(map(len, found)) > 3
+
+
+def test_clusters_of_a_deep_tree(spark, monkeypatch):
+    """A thousand passages in one another under nested headings take some ten rounds."""
+    nodes = [("d", "d", "Document", {}), ("s1", "s1", "Section", {}), ("s2", "s2", "Section", {}), ("lost", "lost", "Passage", {}), ("x", "x", "Passage", {}), ("y", "y", "Passage", {})] + [(f"p{k}", "p", "Passage", {}) for k in range(1000)]
+    edges = [("a", "d", "s1", "CONTAINS", {}), ("b", "s1", "s2", "CONTAINS", {}), ("c", "s2", "p0", "CONTAINS", {}), ("l", "d", "lost", "CONTAINS", {}), ("xy", "x", "y", "CONTAINS", {}), ("yx", "y", "x", "CONTAINS", {})] + [(f"e{k}", f"p{k - 1}", f"p{k}", "CONTAINS", {}) for k in range(1, 1000)]
+    rounds = []
+    plain = analytics.kept
+    monkeypatch.setattr(analytics, "kept", lambda frame: rounds.append(1) or plain(frame))
+    monkeypatch.setattr(analytics, "MOST_DOUBLINGS", 14)
+    found = {r.id: r.cluster for r in analytics.clusters(make_graph(spark, nodes, edges, "text string", "weight bigint")).collect()}
+    assert found == {"d": None, "lost": None, "x": None, "y": None, "s1": "s1", "s2": "s2"} | {f"p{k}": "s2" for k in range(1000)} and len(rounds) <= 15
+
+
+def test_evidence_as_a_table(spark):
+    blocks = extraction.placed(extraction.passages_of(spark.createDataFrame([(1, "harbour pilots meet\npilots steer harbour boats\nboats"), (2, "pilots of the harbour")], "doc_id bigint, text string")))
+    _, found = extraction.mentioned(blocks)
+    lists = extraction.build_graph(blocks.drop("document_id", "node_id", "type", "parent"))
+    table = extraction.evidence_of(found)
+    for link in lists.edges.where("type = 'CO_OCCURS_WITH'").collect():
+        assert [r.id for r in analytics.evidence(lists, link.id, table).collect()] == link.properties.evidence and len(link.properties.evidence) == link.properties.weight
