@@ -333,6 +333,7 @@ def placed(frame: DataFrame) -> DataFrame:
         texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("print")))
         found = space.save(verified(pairs, texts), "links")
         space.drop(texts)
+        space.tidy()
         return found
 
     links, stars, tried = None, None, None
@@ -343,6 +344,7 @@ def placed(frame: DataFrame) -> DataFrame:
         found = linked(pairs)
         links = found if links is None else links.unionByName(found)
         stars = components(links, space)
+        space.tidy()
     now, before = sampled(groups, 0, SKETCHES), None
     while True:
         pairs, pivots = apart(now, stars, space)
@@ -352,6 +354,7 @@ def placed(frame: DataFrame) -> DataFrame:
             texts = texts_of(pivots.select(F.explode(F.array("print", "pivot")).alias("print")))
             now = before = space.save(dealt(pivots, texts, before), "dealt")
             space.drop(texts)
+            space.tidy()
             pairs = pairs.unionByName(unjoined(candidates(now), stars)).distinct()
         pairs = space.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
