@@ -19,6 +19,7 @@ from .plans.analysis import Scoped, analyse, expressions
 from .plans.compiler import ORDER, SEEN_EDGES, SEEN_NODES, Compiler, Result
 from .plans.parser import MOST_HOPS, parse
 from .plans.syntax import Call, Match, Projection
+from .sources.results import export
 
 #: Fixed value: characters of parameters as JSON.
 MOST_PARAMETERS = 64_000
@@ -74,6 +75,11 @@ class GraphEngine:
         clauses, parameters = self.checked(text, parameters)
         return self.compiled(clauses, parameters, self.order_matters(clauses), False).named()
 
+    def export(self, text: str, folder: str, parameters: dict | None = None) -> None:
+        """The result as JSON lines in a new folder, nodes, edges and paths as objects; it may be of any size."""
+        clauses, parameters = self.checked(text, parameters)
+        export(self.compiled(clauses, parameters, self.order_matters(clauses), False), self.graph, folder)
+
     def compiled(self, clauses: list[Scoped], parameters: dict, order: bool, provenance: bool, most: tuple[int, int] | None = None) -> Result:
         return Compiler(self.graph, parameters, order, provenance, most).compile(clauses)
 

@@ -301,6 +301,33 @@ def parquet_round_trip(graph):
     return GraphEngine(graph_json.load(graph.spark, folder)).query("MATCH (n) RETURN n.type AS type, count(*) AS n, sum(n.acctbal) > 0 AS positive")
 
 
+ENTITY = "struct<id: string, label: string, type: string, source: string, target: string, `$type`: string, properties: struct<acctbal: double, segment: string>>"
+
+
+def exported(spark: SparkSession, sf_dir: str, text: str, schema: str) -> DataFrame:
+    """A result written as JSON lines and read again."""
+    graph = commerce_graph(spark, sf_dir)
+    folder = analytics.shared_path(spark, "rows")
+    GraphEngine(graph).export(text, folder)
+    return spark.read.schema(schema).json(folder)
+
+
+def exported_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exported(spark, sf_dir, "MATCH (c:Customer)-[e:IN_NATION]->(n:Nation) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.total > 400000 RETURN c, e, n, count(o) AS big, max(o.total) AS most", f"c {ENTITY}, e {ENTITY}, n {ENTITY}, big bigint, most double")
+    return rows.select("c.id", "c.label", "c.type", "c.properties.segment", "c.properties.acctbal", F.col("c.$type").alias("of"), F.col("e.target").alias("target"), F.col("e.$type").alias("link"), F.col("n.label").alias("nation"), "big", "most")
+
+
+def exported_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exported(spark, sf_dir, "MATCH p = (s:Supplier)-[es*2]->(r:Region) RETURN p, es, length(p) AS hops", f"p struct<`$type`: string, nodes: array<{ENTITY}>, relationships: array<{ENTITY}>>, es array<{ENTITY}>, hops bigint")
+    return rows.select(F.col("p.$type").alias("of"), F.col("p.nodes")[0]["id"].alias("first"), F.col("p.nodes")[1]["label"].alias("second"), F.col("p.nodes")[2]["label"].alias("third"), F.col("p.relationships")[1]["type"].alias("link"), F.col("es")[0]["source"].alias("source"), F.size("es").cast("bigint").alias("n"), "hops")
+
+
+FOUND |= {f.__name__: f for f in (exported_entities, exported_paths)}
+SQL |= {
+    "exported_entities": """select 'customer:' || c_custkey id, c_name as label, 'Customer' type, c_mktsegment segment, c_acctbal acctbal, 'node' "of", 'nation:' || c_nationkey target, 'relationship' link, n_name nation, count(o_orderkey) big, max(o_totalprice) most
+ from customer join nation on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey and o_totalprice > 400000 group by all""",
+    "exported_paths": """select 'path' "of", 'supplier:' || s_suppkey as first, n_name as second, r_name third, 'IN_REGION' link, 'supplier:' || s_suppkey source, 2::bigint n, 2::bigint hops from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
+}
 ask("null_arguments", "MATCH (r:Region) RETURN r.id AS id, size(r.gone) AS a, toUpper(r.gone) AS b, abs(r.gone) AS c, coalesce(r.gone, 3 * 4 - 2) AS d, toLower(r.label) AS e, r.gone[0] IS NULL AS f",
     "select 'region:' || r_regionkey id, null::bigint a, null::varchar b, null::bigint c, 10::bigint d, lower(r_name) e, true f from region")
 ask("products", "MATCH (o:Order)-[i:HAS_ITEM]->(p:Part {size: 3}) RETURN o.id AS id, i.quantity * p.size * 2 AS product, p.size * -3 AS whole",

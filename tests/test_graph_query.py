@@ -1,3 +1,4 @@
+import json
 import random
 import time
 
@@ -292,3 +293,13 @@ def test_optional_patterns_start_at_the_rows_nodes(graph):
         frame = engine.query(text)
         assert ("Aggregate" in plan(frame)) == around
         assert sorted(map(repr, ([*r] for r in frame.collect()))) == sorted(map(repr, engine.execute(text)["rows"]))
+
+
+def test_export_of_entities_lists_and_paths(graph, tmp_path):
+    """Lines hold what execute returns, in any order."""
+    engine = GraphEngine(graph)
+    for k, text in enumerate(["MATCH p = (s:Ship)-[:CALLS]->(:Port)-[:ROUTE*0..1]->(x) RETURN p, s, nodes(p) AS ns, x.label AS label", "MATCH (c:Cargo) OPTIONAL MATCH (c)<-[l:LOADS]-(s) RETURN c, l, s.knots AS k", "MATCH (c:Cargo) OPTIONAL MATCH q = (c)<-[ls:LOADS*1..2]-(s {id: 'heron'}) RETURN c.id AS i, q, ls, collect(s) AS all", "MATCH (n:Nothing) RETURN n"]):
+        engine.export(text, str(tmp_path / str(k)))
+        rows = [json.loads(line) for file in (tmp_path / str(k)).glob("part-*") for line in file.read_text().splitlines()]
+        found = engine.execute(text)
+        assert sorted((json.dumps(r, sort_keys=True) for r in rows)) == sorted(json.dumps(dict(zip(found["columns"], r, strict=True)), sort_keys=True) for r in found["rows"])
