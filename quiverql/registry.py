@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .engine import GraphEngine
 from .graph import PropertyGraph
 from .operators import analytics, extraction, tools
-from .sources import graph_json
+from .sources import docx, graph_json
 from .functions.typed import ANY, Typed, as_group, real_of, whole_of
 from .sources.tables import commerce_graph, measures_graph
 
@@ -418,6 +418,23 @@ SQL |= {
 }
 
 
+def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Word files, a line a paragraph and each first line a heading, and their blocks read again."""
+    spark.dataSource.register(docx.DocxSource)
+    folder = analytics.shared_path(spark, "docx")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x09-\x0D\x1C-\x20]"))
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.col("doc_id"), F.lit(".docx")).alias("filename"), lines.alias("lines")).where(F.size("lines") > 0)
+    blocks = F.transform("lines", lambda x, k: F.struct(x.alias("text"), F.when(k == 0, F.lit(1).cast("bigint")).alias("level")))
+    own.select("filename", blocks.alias("blocks")).write.format("docx").mode("append").save(folder)
+    read = spark.read.format("docx").load(folder)
+    return read.select(F.split("filename", r"\.")[0].cast("bigint").alias("doc_id"), "position", "kind", "level", F.md5("text").alias("text_md5"))
+
+
+FOUND["docx_round_trip"] = docx_round_trip
+SQL["docx_round_trip"] = r"""with lines as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^\x09-\x0D\x1C-\x20]'))) line, generate_subscripts(list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^\x09-\x0D\x1C-\x20]')), 1) k from documents)
+ select doc_id, k::bigint as position, 'paragraph' kind, case when k = 1 then 1::bigint end as level, md5(trim(regexp_replace(line, '[\x09-\x0D\x1C-\x20]+', ' ', 'g'))) text_md5 from lines"""
+
+
 def graph_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = document_graph(spark, sf_dir)
     views = [analytics.type_distribution(analytics.preset(graph, name)).withColumn("preset", F.lit(name)) for name in ("overview", "concepts", "structure")]

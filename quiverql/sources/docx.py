@@ -9,9 +9,13 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as X
+from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: The name space of the format, bytes of a part, parts of an archive.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -104,3 +108,125 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(found, columns=columns).astype({c: "Int64" for c in ("position", "level", "table", "row")})
 
     return files.select("path", "content").mapInPandas(run, BLOCKS)
+
+
+# documents as files of a folder, by the data source API
+
+#: What a minimal package of the format has.
+PACKAGE = {
+    "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+    "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+}
+#: Characters that XML has no way to write.
+UNWRITABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
+#: Bytes of files that a task of a reader opens, about.
+TASK_BYTES = 32 << 20
+#: The columns to write: a row is a document, its blocks in order; level makes a heading.
+DOCUMENT = "filename string, blocks array<struct<text: string, level: bigint>>"
+
+
+def packed(blocks: list[tuple[str, int | None]]) -> bytes:
+    """The bytes of a document with these paragraphs; characters that XML can't hold are left out."""
+    body = []
+    for text, level in blocks:
+        style = f'<w:pPr><w:pStyle w:val="Heading{level}"/></w:pPr>' if level else ""
+        body.append(f'<w:p>{style}<w:r><w:t xml:space="preserve">{escape(UNWRITABLE.sub("", text or ""))}</w:t></w:r></w:p>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in PACKAGE.items():
+            archive.writestr(zipfile.ZipInfo(name), text)
+        archive.writestr(zipfile.ZipInfo("word/document.xml"), f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W[1:-1]}"><w:body>{"".join(body)}</w:body></w:document>')
+    return out.getvalue()
+
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it; a path without a scheme is a local one."""
+    return fs.FileSystem.from_uri(path) if re.match(r"\w+:/", path) else (fs.LocalFileSystem(), path)
+
+
+class Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class DocxReader(DataSourceReader):
+    """Tasks have files of about TASK_BYTES in all, so a folder of many small documents takes few of them."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def partitions(self) -> list[Files]:
+        files, root = store(self.path)
+        found = [files.get_file_info(root)] if files.get_file_info(root).is_file else files.get_file_info(fs.FileSelector(root, recursive=True))
+        out, size = [Files([])], 0
+        for info in sorted((f for f in found if f.is_file and f.path.lower().endswith(".docx") and not f.base_name.startswith((".", "_"))), key=lambda f: f.path):
+            if out[-1].paths and size + info.size > TASK_BYTES:
+                out.append(Files([]))
+                size = 0
+            out[-1].paths.append(info.path)
+            size += info.size
+        return out
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        files, _ = store(self.path)
+        for path in partition.paths:
+            with files.open_input_stream(path) as stream:
+                raw = stream.read()
+            digest, name = hashlib.sha256(raw).hexdigest(), path.rsplit("/", 1)[-1]
+            for n, b in enumerate(blocks(raw), 1):
+                yield name, digest, n, b["text"], b["kind"], b.get("level"), b.get("table"), b.get("row")
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class DocxWriter(DataSourceWriter):
+    """A file for each row. It gets its name when it is whole, so a task that is run again leaves no halves."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def write(self, rows: Iterator) -> Written:
+        files, root = store(self.path)
+        files.create_dir(root, recursive=True)
+        done, attempt = [], TaskContext.get().taskAttemptId()
+        for row in rows:
+            name = f"{root}/{row.filename}"
+            with files.open_output_stream(f"{root}/.{attempt}-{row.filename}") as stream:
+                stream.write(packed([(b.text, b.level) for b in row.blocks]))
+            files.move(f"{root}/.{attempt}-{row.filename}", name)
+            done.append(name)
+        return Written(done)
+
+    def commit(self, messages: list) -> None:
+        files, root = store(self.path)
+        with files.open_output_stream(f"{root}/_SUCCESS") as stream:
+            stream.write(b"")
+
+    def abort(self, messages: list) -> None:
+        files, _ = store(self.path)
+        for message in messages:
+            for path in message.paths if message else ():
+                files.delete_file(path)
+
+
+class DocxSource(DataSource):
+    """spark.read.format("docx").load(folder) gives BLOCKS, frame.write.format("docx").mode("append").save(folder) takes DOCUMENT.
+
+    For stores that pyarrow opens; read_docx reads from any that Spark does.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "docx"
+
+    def schema(self) -> str:
+        return BLOCKS
+
+    def reader(self, schema) -> DocxReader:
+        return DocxReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DocxWriter:
+        return DocxWriter(self.options)

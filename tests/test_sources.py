@@ -264,3 +264,26 @@ def test_evidence_as_a_table(spark):
     table = extraction.evidence_of(found)
     for link in lists.edges.where("type = 'CO_OCCURS_WITH'").collect():
         assert [r.id for r in analytics.evidence(lists, link.id, table).collect()] == link.properties.evidence and len(link.properties.evidence) == link.properties.weight
+
+
+def test_docx_by_format(spark, tmp_path, monkeypatch):
+    """Files written and read by the data source; what XML can't hold goes, and read_docx finds the same."""
+    spark.dataSource.register(docx.DocxSource)
+    texts = {"a": [("Title & <co>", 1), ("one\ttwo  three", None), ("bell\x07 and Ünïcödé \U0001f600", None), ("Under", 3)], "b.c": [("x " * 3000, None)], "Überschrift 1": [("only", None)]}
+    rows = [(f"{name}.docx", [{"text": t, "level": level} for t, level in own]) for name, own in texts.items()]
+    frame = spark.createDataFrame(rows, docx.DOCUMENT).repartition(2)
+    folder = f"{tmp_path}/out"
+    frame.write.format("docx").mode("append").save(folder)
+    frame.write.format("docx").mode("append").save(folder)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted([f"{n}.docx" for n in texts] + ["_SUCCESS"])
+    want = sorted((f"{name}.docx", k, " ".join(t.replace("\x07", "").split()), level) for name, own in texts.items() for k, (t, level) in enumerate(own, 1))
+    for path in (folder, f"file://{folder}"):
+        found = spark.read.format("docx").load(path)
+        assert sorted((r.filename, r.position, r.text, r.level) for r in found.collect()) == want
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, docx.read_docx(spark, folder).collect()))
+    assert [r.text for r in spark.read.format("docx").load(f"{folder}/b.c.docx").collect()] == [" ".join(["x"] * 3000)]
+    monkeypatch.setattr(docx, "TASK_BYTES", 1)
+    assert [len(p.paths) for p in docx.DocxReader({"path": folder}).partitions()] == [1, 1, 1]
+    (tmp_path / "out" / "bad.docx").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="can't be read"):
+        spark.read.format("docx").load(folder).collect()
