@@ -51,6 +51,26 @@ def directions(graph: PropertyGraph):
     return joined.groupBy("source_type", "type", "target_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_within(value: dict, most: int, *places: tuple[str, ...]) -> str:
+    """JSON of at most that many characters: the longest list or map at one of the places gives up its later entries, a half at a time, and truncated says so."""
+    while len(text := json.dumps(value, ensure_ascii=False)) > most:
+        lists = []
+        for place in places:
+            holder = value
+            for key in place[:-1]:
+                holder = holder.get(key, {})
+            if found := holder.get(place[-1]):
+                lists.append((len(json.dumps(found, ensure_ascii=False)), place, holder))
+        if not lists:
+            return json.dumps({"truncated": True})
+        _, place, holder = max(lists, key=lambda x: x[0])
+        found = holder[place[-1]]
+        half = len(found) // 2
+        holder[place[-1]] = dict(list(found.items())[:half]) if isinstance(found, dict) else found[:half]
+        value["truncated"] = True
+    return text
+
+
 class GraphTools:
     """get_graph_schema, run_graph_query and read_graph_node as JSON texts, CALLS of them at most."""
 
@@ -65,7 +85,7 @@ class GraphTools:
 
     def get_graph_schema(self) -> str:
         self.call()
-        return json.dumps(schema_of(self.graph), ensure_ascii=False)[:SCHEMA_CHARACTERS]
+        return text_within(schema_of(self.graph), SCHEMA_CHARACTERS, ("node_types",), ("relationship_types",), ("directions",))
 
     def run_graph_query(self, text: str, parameters: dict | None = None) -> str:
         self.call()
@@ -74,9 +94,7 @@ class GraphTools:
         except QueryError as e:
             return json.dumps({"error": e.details(text)}, ensure_ascii=False)
         shown = {k: found[k] for k in ("columns", "truncated", "stats", "graph")} | {"rows": [preview(r) for r in found["rows"][:SHOWN_ROWS]]}
-        while len(out := json.dumps(shown, ensure_ascii=False)) > SHOWN_CHARACTERS and shown["rows"]:
-            shown["rows"] = shown["rows"][:-1]
-        return out[:SHOWN_CHARACTERS]
+        return text_within(shown, SHOWN_CHARACTERS, ("rows",), ("graph", "node_ids"), ("graph", "edge_ids"), ("columns",))
 
     def read_graph_node(self, node_id: str) -> str:
         self.call()

@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import re
 import zipfile
@@ -287,3 +288,15 @@ def test_docx_by_format(spark, tmp_path, monkeypatch):
     (tmp_path / "out" / "bad.docx").write_bytes(b"no archive")
     with pytest.raises(Exception, match="can't be read"):
         spark.read.format("docx").load(folder).collect()
+
+
+def test_tools_answer_in_whole_json(papers, monkeypatch):
+    """What is too long loses whole entries, and says so."""
+    monkeypatch.setattr(tools, "SCHEMA_CHARACTERS", 300)
+    monkeypatch.setattr(tools, "SHOWN_CHARACTERS", 260)
+    own = tools.GraphTools(papers)
+    schema = own.get_graph_schema()
+    assert len(schema) <= 300 and json.loads(schema)["truncated"] and json.loads(schema)["node_types"]
+    found = own.run_graph_query("MATCH (n)-[e]-(m) RETURN n, m.label ORDER BY n.id, m.id")
+    assert len(found) <= 260 and json.loads(found)["truncated"] and json.loads(found)["columns"] == ["n", "m.label"]
+    assert json.loads(tools.text_within({"a": "x" * 50}, 20, ("b",))) == {"truncated": True}
