@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +32,26 @@ def preview(value: object, depth: int = 0) -> object:
     return value
 
 
+def property_counts(graph: PropertyGraph) -> DataFrame:
+    """what (node or edge), type, n, property and known: entities of each type and those of them that have each property, one row a pair; a property null where a type has none."""
+
+    def counted(table: DataFrame, what: str) -> DataFrame:
+        inner = table.schema["properties"].dataType if "properties" in table.columns else T.StructType()
+        each = table.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.col("properties")[k]).alias(f"p{i}") for i, k in enumerate(inner.names)))
+        pairs = [F.struct(F.lit(k).alias("property"), F.col(f"p{i}").alias("known")) for i, k in enumerate(inner.names)]
+        known = F.filter(F.array(*pairs), lambda x: x["known"] > 0) if pairs else F.array().cast("array<struct<property: string, known: bigint>>")
+        return each.select(F.lit(what).alias("what"), "type", "n", F.inline_outer(known))
+
+    return counted(graph.nodes, "node").unionByName(counted(graph.edges, "edge"))
+
+
 def schema_of(graph: PropertyGraph) -> dict:
     """Numbers of nodes and edges by type, property names by type, and numbers of edges by the types they join."""
-    out: dict = {}
-    for name, table in (("node_types", graph.nodes), ("relationship_types", graph.edges)):
-        inner = table.schema["properties"].dataType if "properties" in table.columns else T.StructType()
-        keys = [F.count(F.col("properties")[k]).alias(f"p{n}") for n, k in enumerate(inner.names)]
-        rows = table.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *keys).collect()
-        out[name] = {r["type"]: {"count": r["n"], "properties": [k for n, k in enumerate(inner.names) if r[f"p{n}"]]} for r in sorted(rows)}
+    out: dict = {"node_types": {}, "relationship_types": {}}
+    for row in sorted(property_counts(graph).collect(), key=lambda r: r.type):
+        types = out["node_types" if row.what == "node" else "relationship_types"]
+        own = types.setdefault(row.type, {"count": row.n, "properties": []})
+        own["properties"] += [row.property] if row.property else []
     out["directions"] = [r.asDict() for r in directions(graph).orderBy(F.desc("n"), "source_type", "type", "target_type").collect()]
     return out
 

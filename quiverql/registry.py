@@ -301,6 +301,36 @@ def parquet_round_trip(graph):
     return GraphEngine(graph_json.load(graph.spark, folder)).query("MATCH (n) RETURN n.type AS type, count(*) AS n, sum(n.acctbal) > 0 AS positive")
 
 
+OF_TYPE = {"customer": {"acctbal": "c_acctbal", "segment": "c_mktsegment"}, "supplier": {"acctbal": "s_acctbal"}, "part": {"brand": "p_brand", "kind": "p_type", "size": "p_size", "price": "p_retailprice"}, "orders": {"status": "o_orderstatus", "total": "o_totalprice", "priority": "o_orderpriority", "year": "o_orderdate"}}
+OF_EDGES = {"HAS_ITEM": ("lineitem", {"line": "l_linenumber", "quantity": "l_quantity", "extendedprice": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "returnflag": "l_returnflag"}), "DID": ("events", {"value": "value"})}
+
+
+@graph_query(
+    " union all ".join(f"select 'node' what, '{'Order' if t == 'orders' else t.title()}' type, (select count(*) from {t}) n, '{p}' property, (select count({c}) from {t}) known" for t, own in OF_TYPE.items() for p, c in own.items())
+    + "".join(f" union all select 'edge', '{kind}', (select count(*) from {t}), '{p}', (select count({c}) from {t})" for kind, (t, own) in OF_EDGES.items() for p, c in own.items())
+    + f" union all select 'node', type, count(*), null, null from {NODES} where type in ('Region', 'Nation', 'User', 'EventType') group by type"
+    + f" union all select 'edge', type, count(*), null, null from {EDGES} where type in ('IN_REGION', 'IN_NATION', 'PLACED', 'SUPPLIED_BY') group by type"
+)
+def schema_properties(graph):
+    return tools.property_counts(graph)
+
+
+@graph_query("""with places as (select 'nation:' || n_nationkey id, n_name as label, n_nationkey ord from nation union all select 'customer:' || c_custkey, c_name, 1000 + c_custkey from customer), shown as (select * from places order by ord, id limit 600)
+ select id, label, null source from shown union all select 'in_nation:' || c_custkey, 'nation:' || c_nationkey, 'customer:' || c_custkey from customer where 'customer:' || c_custkey in (select id from shown) and 'nation:' || c_nationkey in (select id from shown)""")
+def display_graph(graph):
+    """The first nodes by place, which is here that of nations and then of customers by their keys, and the edges between them."""
+    places = graph.nodes.where("type in ('Nation', 'Customer')").withColumn("ord", F.split("id", ":")[1].cast("bigint") + F.when(F.col("type") == "Customer", 1000).otherwise(0))
+    shown = analytics.display(PropertyGraph(places, graph.edges.where("type = 'IN_NATION'"), graph.metadata))
+    return shown.nodes.select("id", "label", F.lit(None).cast("string").alias("source")).unionByName(shown.edges.select("id", F.col("target").alias("label"), "source"))
+
+
+@graph_query("select 'order:' || o_orderkey id, o_totalprice total from orders order by o_totalprice desc, id limit 8 offset 24")
+def chat_page(graph):
+    """The fourth page of a chat's result."""
+    ordered = GraphEngine(graph).query("MATCH (o:Order) RETURN o.id AS id, o.total AS total ORDER BY total DESC, id")
+    return analytics.page(ordered, 3, analytics.CHAT_PAGE)
+
+
 ENTITY = "struct<id: string, label: string, type: string, source: string, target: string, `$type`: string, properties: struct<acctbal: double, segment: string>>"
 
 
@@ -382,8 +412,17 @@ def passage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("node_id", "document_id", extraction.short_label(F.col("text")).alias("label"))
 
 
-FOUND |= {f.__name__: f for f in (concept_scores, mentions, co_occurrence, passage_labels)}
+def concept_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each document's terms are shown: as first spelled in the last passage that has them, if there is a capital after the first letter."""
+    return extraction.mentioned(_blocks(spark, sf_dir))[0].select("digest", "term", "label")
+
+
+FOUND |= {f.__name__: f for f in (concept_scores, mentions, co_occurrence, passage_labels, concept_labels)}
+STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in extraction.STOP_WORDS)
 SQL |= {
+    "concept_labels": f"""with {LINES}, spelled as (select d, p, unnest(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{Nl}}\\p{{No}}][\\p{{L}}\\p{{N}}_]*(?:[-''][\\p{{L}}\\p{{Nl}}\\p{{No}}][\\p{{L}}\\p{{N}}_]*)*'), lambda w, i: {{'w': w, 'i': i}})) x from passages),
+ firsts as (select d, p, trim(replace(replace(lower(x.w), 'ß', 'ss'), 'ς', 'σ'), '-''') term, arg_min(x.w, x.i) w from spelled group by 1, 2, 3)
+ select d digest, term, arg_max(case when substr(w, 2) <> lower(substr(w, 2)) then w else term end, p) as label from firsts where length(term) >= 3 and term not in ({STOPPED}) group by 1, 2""",
     "concept_scores": f"with {LINES} select d digest, term, total, df, n, round(score, 6) score from scores",
     "mentions": f"with {LINES} select d digest, p as position, term, tf from mentions",
     "co_occurrence": f"with {LINES} select a.d digest, a.term one, b.term two, count(*) weight, count(*) passages from mentions a join mentions b on a.d = b.d and a.p = b.p and a.term < b.term group by 1, 2, 3",
