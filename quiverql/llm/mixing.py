@@ -49,7 +49,8 @@ def apportioned(sources: DataFrame, share: float, shards: int, block: int | None
     Of each source only the seats near its exact share are ranked; all seats before those are won, all after
     lost, for rounding moves the sum of all sources by half their number at most.
     """
-    per_block = f"cast({block} as bigint)" if block else "greatest(1, least(1024, total div 65536))"
+    # a source misses its target by two blocks at most, so the smallest one has many
+    per_block = f"cast({block} as bigint)" if block else "greatest(1, least(1024, total div 65536, coalesce(min(nullif(source_size, 0)) over (), 0) div 64))"
     base = sources.selectExpr("*", f"{per_block} as block", "count(1) over () as n").selectExpr("*", f"cast(floor({share}D * total / block) as bigint) as seats")
     each = base.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards)))).selectExpr("*", f"seats * shard div {shards} as upto", f"target / greatest(1D, {share}D * total) as part")
     each = each.selectExpr("*", "cast(greatest(0, floor(part * (upto - n / 2 - 1) + 0.5D)) as bigint) as won", "cast(case when part > 0 then ceil(part * (upto + n / 2 + 1)) + 1 else 0 end as bigint) as last")
@@ -73,13 +74,13 @@ def place(b: Column) -> Column:
 
 
 def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), shards: int = 16, seed: str = "mix", block: int | None = None, detail: bool = False, carry: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document; with detail also its picked blocks and their shards, with carry its whole row.
+    """doc_id, source, size, source_size, target, taken, block (its words) and quota (blocks that the source gets) of every document; with detail also its picked blocks and their shards, with carry its whole row.
 
     A null source is a source of its own; null texts have no words and are not taken. Streams are prefix sums
     in two steps, over buckets of a source's seeded order and within them, so that a source with most of the
     rows, or rows of one id, are spread over many tasks; rows equal in id and text stay together. Rows equal in id,
-    text, source and size may change places. A block has a word for every 65,536 of the whole corpus, 1 at least and
-    1024 at most, or as many as block says. No documents give no rows.
+    text, source and size may change places. A block has a word for every 65,536 of the whole corpus, 1024 at most and
+    no more than a 64th of the smallest source that has words, 1 at least, or as many as block says. No documents give no rows.
     """
     space = Workspace(frame.sparkSession, "mixing")
     # rows without an id, or with the same one, are told apart by their texts
@@ -89,7 +90,11 @@ def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[
     digits = max(1, math.ceil(math.log(max(saved.count(), 1) / BUCKET + 1, 16)))
     saved = saved.withColumn("bucket", F.substring("key", 1, digits))
     buckets = saved.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"), F.max("source").alias("source"))
-    buckets = space.save(buckets.selectExpr("*", "sum(words) over (partition by source_key order by bucket rows between unbounded preceding and current row) - words as base"), "buckets")
+    # sums before each bucket in two steps, over groups of buckets and within them, so that no task has all buckets of a source
+    buckets = buckets.withColumn("part", F.substring("bucket", 1, (digits + 1) // 2))
+    parts = buckets.groupBy("source_key", "part").agg(F.sum("words").alias("part_words")).selectExpr("source_key", "part", "sum(part_words) over (partition by source_key order by part rows between unbounded preceding and current row) - part_words as part_base")
+    inside = buckets.selectExpr("*", "sum(words) over (partition by source_key, part order by bucket rows between unbounded preceding and current row) - words as inner_base")
+    buckets = space.save(inside.join(parts, ["source_key", "part"]).withColumn("base", F.col("part_base") + F.col("inner_base")).drop("part", "part_base", "inner_base"), "buckets")
     sources = buckets.groupBy("source_key").agg(F.sum("words").alias("source_size"), F.max("source").alias("source"))
     known = apportioned(targets(sources, share, most, weights), share, shards, block)
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "source_key")), 1, 8), 16, 10).cast("bigint")
@@ -105,7 +110,7 @@ def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[
 
     taken = F.when(F.col("size") > 0, F.aggregate(span, F.lit(0).cast("bigint"), lambda sofar, b: sofar + overlap(b) * picks(b))).otherwise(F.lit(0).cast("bigint"))
     out = placed.withColumn("taken", taken)
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"] + ["row"] * carry
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "block", "quota"] + ["row"] * carry
     if detail:
         def seat(b: Column, turn: Column) -> Column:
             at = turn * F.col("blocks") + place(b)

@@ -67,7 +67,7 @@ def highest_quotients(targets, seats):
     return won
 
 
-@pytest.mark.parametrize("rows", [ODD, [(k, "word " * (1 + k % 90), ["a", "b", "B", "ä", None][min(4, k % 9)]) for k in range(500)], []])
+@pytest.mark.parametrize("rows", [ODD, [(k, "word " * (1 + k % 90), ["a", "b", "B", "ä", None][min(4, k % 9)]) for k in range(500)], [], [(k, "w " * 40_000, "big") for k in range(20)] + [(100 + k, "t " * 20, "tiny") for k in range(10)]])
 def test_mix(spark, rows):
     found = mixing.mix(docs(spark, rows)).collect()
     again = mixing.mix(docs(spark, rows).coalesce(1)).collect()
@@ -78,12 +78,20 @@ def test_mix(spark, rows):
         sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     want = water(dict(sizes), 1.5, 2.0, {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}) if rows else {}
-    block = max(1, min(1024, sum(sizes.values()) // 65536))
+    block = max(1, min(1024, sum(sizes.values()) // 65536, min([n for n in sizes.values() if n], default=0) // 64))
     taken: Counter = Counter()
     for r in found:
         assert 0 <= r.taken <= 2 * r["size"] and r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
         taken[r.source] += r.taken
-    assert len(found) == len(rows) and all(abs(taken[s] - want[s]) <= 2 * block for s in sizes)
+    assert len(found) == len(rows) and all(abs(taken[s] - want[s]) <= 2 * block for s in sizes) and {r.block for r in found} <= {block}
+
+
+def test_sums_in_two_steps(spark, monkeypatch):
+    """Buckets of many digits give the same streams as one bucket."""
+    rows = [(k, "word " * (1 + k % 30), f"s{k % 2}") for k in range(300)]
+    one = sorted(map(tuple, mixing.mix(docs(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "BUCKET", 1)
+    assert sorted(map(tuple, mixing.mix(docs(spark, rows)).collect())) == one
 
 
 def test_seats_are_those_of_highest_quotients(spark):
