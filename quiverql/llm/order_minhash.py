@@ -247,19 +247,20 @@ def sampled(texts: DataFrame, low: int, high: int) -> DataFrame:
     return texts.select("print", F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda k: F.xxhash64(k, F.get("sketch", k))).alias("buckets"))
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """a, b: each text with the first and the last of every bucket that it shares with others."""
-    rows = texts.select("print", F.explode("buckets").alias("bucket"))
-    ends = rows.groupBy("bucket").agg(F.min("print").alias("one"), F.max("print").alias("two")).where("one <> two")
-    pairs = rows.join(ends, "bucket").select(F.explode(F.array(F.struct(F.col("print").alias("a"), F.col("one").alias("b")), F.struct(F.col("two").alias("a"), F.col("print").alias("b")))).alias("e")).select("e.*")
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def rooted(texts: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """texts with the root of their component, their own print if they are in none."""
+    if stars is None:
+        return texts.withColumn("root", F.col("print"))
+    return texts.join(stars.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
 
 
-def unjoined(pairs: DataFrame, stars: DataFrame) -> DataFrame:
-    """The pairs whose texts are in different components."""
-    at = stars.select(F.col("node").alias("a"), F.col("root").alias("x"))
-    bt = stars.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    return pairs.join(at, "a", "left").join(bt, "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
+def candidates(texts: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+    """a, b: each text with the first and the last of every bucket that it shares with others, where they aren't in one component already."""
+    rows = rooted(texts, stars).select("print", "root", F.explode("buckets").alias("bucket"))
+    place = F.struct("print", "root")
+    ends = rows.groupBy("bucket").agg(F.min(place).alias("one"), F.max(place).alias("two"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
+    met = rows.join(ends, "bucket").select(F.explode(F.array(F.struct(F.col("print").alias("a"), F.col("one.print").alias("b"), (F.col("root") == F.col("one.root")).alias("joined")), F.struct(F.col("two.print").alias("a"), F.col("print").alias("b"), (F.col("root") == F.col("two.root")).alias("joined")))).alias("e")).select("e.*")
+    return met.where("not joined").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def apart(texts: DataFrame, stars: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -267,8 +268,7 @@ def apart(texts: DataFrame, stars: DataFrame, space: Workspace) -> tuple[DataFra
 
     A text is left if it is in neither component of the two; in a bucket of few texts all are.
     """
-    rooted = texts.join(stars.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    rows = rooted.select("print", "root", F.explode("buckets").alias("bucket"))
+    rows = rooted(texts, stars).select("print", "root", F.explode("buckets").alias("bucket"))
     place = F.struct("print", "root")
     ends = rows.groupBy("bucket").agg(F.min(place).alias("one"), F.max(place).alias("two"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 3 and low <> high").drop("low", "high")
     left = rows.join(ends, "bucket").where(f"n <= {FEW} or (root <> one.root and root <> two.root)").select("bucket", "print", "root", F.col("one.print").alias("pivot"))
@@ -338,8 +338,7 @@ def placed(frame: DataFrame) -> DataFrame:
 
     links, stars, tried = None, None, None
     for low, high in ((0, FIRST), (FIRST, SKETCHES)):
-        pairs = candidates(sampled(groups, low, high))
-        pairs = space.save(pairs if stars is None else unjoined(pairs, stars), "pairs")
+        pairs = space.save(candidates(sampled(groups, low, high), stars), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = linked(pairs)
         links = found if links is None else links.unionByName(found)
@@ -355,7 +354,7 @@ def placed(frame: DataFrame) -> DataFrame:
             now = before = space.save(dealt(pivots, texts, before), "dealt")
             space.drop(texts)
             space.tidy()
-            pairs = pairs.unionByName(unjoined(candidates(now), stars)).distinct()
+            pairs = pairs.unionByName(candidates(now, stars)).distinct()
         pairs = space.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
