@@ -1,10 +1,9 @@
 """Hashed n-gram multinomials of a target and a raw corpus, counted over all documents.
 
-The n-grams are those of 1 to ORDER neighbouring bytes of a text's UTF-8, hashed into one table of CELLS
-cells; they need no word list and hold for every language. A model is one whole number for each cell: the log
-of the target's over the raw corpus' probability, in UNITs, so that sums agree however texts are batched.
-On request a second multinomial of two cells follows: three-word n-grams of a text that are its first of their
-kind, and those that came before in it.
+The n-grams are those of 1 to ORDER neighbouring bytes of a text's UTF-8, or on request of 1 and 2 neighbouring
+words, hashed into one table of CELLS cells; they need no word list and hold for every language. A model is one
+whole number for each cell: the log of the target's over the raw corpus' probability, in UNITs, so that sums
+agree however texts are batched.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +21,10 @@ from .base import documents, slices, with_key_among
 ORDER, CELLS, UNIT = 3, 1 << 16, 1 << 20
 #: Trusted documents that a target model is counted on at most, those with the lowest hash of doc_id; None: all there are, whose texts then move.
 TRUSTED = 50_000
-#: Words of the n-grams whose occurrences are told apart.
-WORDS = 3
+#: Orders of the n-grams of words.
+WORD_ORDERS = 2
+#: Words whose hash a worker remembers; a full table is emptied.
+MEMO = 200_000
 
 
 def spread(joined: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,35 +67,64 @@ def means(texts: list[str | None], model: np.ndarray) -> np.ndarray:
     return total / np.maximum(count, 1) / UNIT
 
 
-def occurrences(text: str | None) -> tuple[int, int]:
-    """How many of a text's n-grams of words are the first of their kind in it, and how many are not."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    n = max(0, len(words) - WORDS + 1)
-    new = len(set(zip(*(words[k:] for k in range(WORDS)), strict=False)))
-    return new, n - new
+class Words(dict):
+    """Hashes of words; a full table is emptied, which costs time and changes nothing."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+    def cells(self, text: str | None) -> np.ndarray:
+        """The cells of a text's words and of its pairs of neighbouring words."""
+        if len(self) > MEMO:
+            self.clear()
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        one = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        two = one[:-1] * np.uint64(0x100000001B3) ^ (one[1:] + np.uint64(WORD_ORDERS))
+        return ((np.concatenate([one, two]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int32)
+
+    def totals(self, texts: list[str | None], model: np.ndarray) -> np.ndarray:
+        """The sum of the model over a text's n-grams of words, for each text."""
+        return np.array([model[self.cells(t)].sum() for t in texts], np.int64)
+
+
+def word_counts(texts: list[str | None], known: Words, size: int = 1 << 18) -> np.ndarray:
+    """How often the n-grams of words of these texts fall into each cell; short texts are counted together, about size n-grams at a time."""
+    found, held, n = np.zeros(CELLS, np.int64), [], 0
+    for at, text in enumerate(texts):
+        held.append(known.cells(text))
+        n += len(held[-1])
+        if n >= size or at == len(texts) - 1:
+            found += np.bincount(np.concatenate(held), minlength=CELLS)
+            held, n = [], 0
+    return found
+
+
+def byte_counts(texts: list[str | None]) -> np.ndarray:
+    """How often the n-grams of bytes of these texts fall into each cell."""
+    found = np.zeros(CELLS, np.int64)
+    for _, sizes, joined in chunks(texts):
+        ends, alive = np.cumsum(sizes), np.ones(len(joined) + 1, bool)
+        for n, at in spread(joined):
+            if n > 1:
+                alive[(ends - n + 1)[sizes >= n - 1]] = False
+            found += np.bincount(at[alive[: len(at)]], minlength=CELLS)
+    return found
 
 
 def counted(frame: DataFrame, words: bool = False) -> DataFrame:
     """cell, raw and target: n-grams in all texts and in those with trusted = true. A task sends each cell once at most.
 
-    With words, cells CELLS and CELLS + 1 have the first and the further occurrences of n-grams of words.
+    With words, the n-grams are those of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(CELLS + 2, np.int64), np.zeros(CELLS + 2, np.int64)
+        raw, target, known = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64), Words()
         for batch in slices(batches):
             texts, trusted = batch.column("text").to_pylist(), batch.column("trusted").to_pylist()
             for flag in (True, False):
                 mine = [t for t, own in zip(texts, trusted, strict=True) if own is flag]
-                found = np.zeros(CELLS + 2, np.int64)
-                for _, sizes, joined in chunks(mine):
-                    ends, alive = np.cumsum(sizes), np.ones(len(joined) + 1, bool)
-                    for n, at in spread(joined):
-                        if n > 1:
-                            alive[(ends - n + 1)[sizes >= n - 1]] = False
-                        found[:CELLS] += np.bincount(at[alive[: len(at)]], minlength=CELLS)
-                if words and mine:
-                    found[CELLS:] = np.array([occurrences(t) for t in mine]).sum(axis=0)
+                found = word_counts(mine, known) if words else byte_counts(mine)
                 raw += found
                 if flag:
                     target += found
@@ -134,11 +165,11 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float) -> np.ndarray:
 
 
 def fitted(frame: DataFrame, labels: DataFrame, bound: int | None = TRUSTED, words: bool = False, smooth: float = 50.0) -> np.ndarray:
-    """The model, of all trusted documents or of bound ones; with words its last two cells are those of occurrences.
+    """The model, of all trusted documents or of bound ones; with words that of n-grams of words.
 
     To the driver come as many rows as there are cells; without trusted texts the model is zero.
     """
-    raw, target = np.zeros(CELLS + 2), np.zeros(CELLS + 2)
+    raw, target = np.zeros(CELLS), np.zeros(CELLS)
     if bound is None:
         flagged = lambda texts, flag: counted(texts.select("text", F.lit(flag).alias("trusted")), words)
         for cell, n, _ in flagged(documents(frame), False).collect():
@@ -148,5 +179,4 @@ def fitted(frame: DataFrame, labels: DataFrame, bound: int | None = TRUSTED, wor
     else:
         for cell, n, m in counted(with_trust(frame, labels, bound), words).collect():
             raw[cell], target[cell] = n, m
-    own = log_ratio(target[:CELLS], raw[:CELLS], smooth)
-    return np.concatenate([own, log_ratio(target[CELLS:], raw[CELLS:], smooth)]) if words else own
+    return log_ratio(target, raw, smooth)

@@ -1,8 +1,7 @@
 """Quality classifier by importance resampling: the ratio of hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 A document's importance weight is the ratio of two generative models of it, target over raw: hashed n-grams of
-bytes, whose ORDER overlapping orders count as one reading of the text, and first and further occurrences of
-n-grams of words. The k documents with the highest log weight plus standard Gumbel noise are a sample of k
+one and two words, whose overlapping orders count as one reading of the text. The k documents with the highest log weight plus standard Gumbel noise are a sample of k
 without replacement by weight. k is a share of the corpus: a parameter, or else the share of quality 1 among
 the labelled documents.
 """
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import hashed_ngrams
 from .base import Workspace, documents, slices
-from .hashed_ngrams import CELLS, ORDER, UNIT
+from .hashed_ngrams import UNIT, WORD_ORDERS, Words
 
 #: Keys are compared as whole numbers of this part.
 PART = 10**6
@@ -33,15 +32,14 @@ def noise(doc_id: int | None, text: str, seed: str) -> float:
     return -np.log(-np.log(u))
 
 
-def log_weights(texts: list[str | None], model: np.ndarray) -> np.ndarray:
+def log_weights(texts: list[str | None], model: np.ndarray, known: Words) -> np.ndarray:
     """Log of the importance weights; 0 for null and empty texts."""
-    again = np.array([hashed_ngrams.occurrences(t) for t in texts], np.int64).reshape(-1, 2)
-    return (hashed_ngrams.totals(texts, model[:CELLS])[0] / ORDER + again @ model[CELLS:]) / UNIT
+    return known.totals(texts, model) / WORD_ORDERS / UNIT
 
 
-def keys(doc_ids: list, texts: list, model: np.ndarray, seed: str) -> tuple[np.ndarray, list[int | None]]:
+def keys(doc_ids: list, texts: list, model: np.ndarray, known: Words, seed: str) -> tuple[np.ndarray, list[int | None]]:
     """Log weights and sampling keys; null and empty texts have no key."""
-    weight = log_weights(texts, model)
+    weight = log_weights(texts, model, known)
     return weight, [int(round((w + noise(d, t, seed)) * PART)) if t else None for d, t, w in zip(doc_ids, texts, weight.tolist(), strict=True)]
 
 
@@ -55,8 +53,9 @@ class Resampler:
 def scored(frame: DataFrame, model: np.ndarray, seed: str) -> DataFrame:
     """doc_id, log_weight and sample_key of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in slices(batches):
-            weight, key = keys(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), model, seed)
+            weight, key = keys(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), model, known, seed)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight), pa.array(key, pa.int64())], names=["doc_id", "log_weight", "sample_key"])
 
     return documents(frame).mapInArrow(run, "doc_id bigint, log_weight double, sample_key bigint")
@@ -114,8 +113,9 @@ def kept(frame: DataFrame, labels: DataFrame, share: float | None = None, seed:
     model, lowest = found.model, found.lowest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in slices(batches):
-            _, key = keys(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text").to_pylist(), model, seed)
+            _, key = keys(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text").to_pylist(), model, known, seed)
             yield batch.filter(pa.array([k is not None and lowest is not None and k >= lowest for k in key], pa.bool_()))
 
     return frame.mapInArrow(run, frame.schema)

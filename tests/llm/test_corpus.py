@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from quiverql.llm import hashed_ngrams, mixing, order_minhash, resampling, rules, sharding, toxicity
 
@@ -153,33 +154,26 @@ def test_quality_operators_keep_what_is_clean(spark, quality):
     assert resampling.kept(frame.limit(0), known).count() == 0 == resampling.resample(frame, known, share=0.0).where("kept").count()
 
 
-def grams(text):
-    """The cells of each n-gram of bytes, one n-gram at a time, and the words' n-grams with whether they came before."""
-    raw, words, seen, out = (text or "").encode(), (text or "").split(), set(), []
-    for n in (1, 2, 3):
-        out += [int(dict(hashed_ngrams.spread(np.frombuffer(raw[k : k + n], np.uint8)))[n][0]) for k in range(len(raw) - n + 1)]
-    for k in range(len(words) - 2):
-        gram = tuple(words[k : k + 3])
-        out.append(hashed_ngrams.CELLS + (gram in seen))
-        seen.add(gram)
-    return out
+def grams(text, words):
+    """The cells of each n-gram of bytes, or of one and two words, one n-gram at a time."""
+    raw = (text or "").encode()
+    if not words:
+        return [int(dict(hashed_ngrams.spread(np.frombuffer(raw[k : k + n], np.uint8)))[n][0]) for n in (1, 2, 3) for k in range(len(raw) - n + 1)]
+    own = [xxhash.xxh3_64_intdigest(w) for w in raw.split()]
+    pairs = [(x * 0x100000001B3 % 2**64) ^ ((y + 2) % 2**64) for x, y in zip(own, own[1:], strict=False)]
+    return [(x * 0x9E3779B97F4A7C15 % 2**64) >> 48 for x in own + pairs]
 
 
-def plain_model(rows, trusted):
-    """Log ratios by cell of the two multinomials, counted text by text."""
+def plain_model(rows, trusted, words):
+    """Log ratios by cell of the multinomial, counted text by text."""
     raw, target = Counter(), Counter()
     for i, t, *_ in rows:
-        own = Counter(grams(t))
+        own = Counter(grams(t, words))
         raw.update(own)
         if i in trusted:
             target.update(own)
-    out = {}
-    for low, high in ((0, hashed_ngrams.CELLS), (hashed_ngrams.CELLS, hashed_ngrams.CELLS + 2)):
-        t, r, n = sum(v for c, v in target.items() if low <= c < high), sum(v for c, v in raw.items() if low <= c < high), high - low
-        for c in raw:
-            if low <= c < high:
-                out[c] = np.log((target[c] + 50) / (raw[c] * t / r + 50)) - np.log((t + 50 * n) / (r * t / r + 50 * n))
-    return out
+    t, r, n = sum(target.values()), sum(raw.values()), hashed_ngrams.CELLS
+    return {c: np.log((target[c] + 50) / (raw[c] * t / r + 50)) - np.log((t + 50 * n) / (r * t / r + 50 * n)) for c in raw}
 
 
 def test_ratios_and_samples_by_brute_force(spark):
@@ -187,13 +181,10 @@ def test_ratios_and_samples_by_brute_force(spark):
     rows = [(k, " ".join(rng.choice(["ab", "cd", "é", "x#"]) for _ in range(rng.randint(0, 40))), "x") for k in range(60)]
     rows += [(60, None, "x"), (61, "", "x"), (3, rows[3][1], "x"), (None, "ab cd", "x")]
     known, trusted = labels(spark, [(k, int(k % 3 > 0), 0) for k in range(0, 60, 2)]), {k for k in range(0, 60, 2) if k % 3}
-    model = plain_model(rows, trusted)
-    want = {}
+    of_bytes, of_words, want = plain_model(rows, trusted, False), plain_model(rows, trusted, True), {}
     for i, t, _ in rows:
-        own = grams(t)
-        by = [sum(model[c] for c in own if (c >= hashed_ngrams.CELLS) == words) for words in (False, True)]
-        n = sum(c < hashed_ngrams.CELLS for c in own)
-        want[i] = (by[0] / max(1, n), by[0] / 3 + by[1])
+        own = grams(t, False)
+        want[i] = (sum(of_bytes[c] for c in own) / max(1, len(own)), sum(of_words[c] for c in grams(t, True)) / 2)
     for r in rules.rules(docs(spark, rows), known).collect():
         assert r.mean_log_ratio == pytest.approx(want[r.doc_id][0], abs=1e-5)
         assert r.kept == (not r.base_failed and r.mean_log_ratio >= rules.THRESHOLD)
@@ -234,6 +225,26 @@ def test_sample_is_no_threshold_and_leaves_bad_documents(spark, data):
     assert kept[0] < 0.03 and kept[1] > 0.97 and abs(found.kept.mean() - (found.quality.sum() / found.quality.count())) < 0.001
 
 
+def test_word_models_separate_documents_they_were_not_fitted_on(spark, data):
+    data = data.replace("sf0.001", "sf0.1")
+    known = spark.read.parquet(f"{data}/labels.parquet").where("quality in (0, 1)")
+    apart = known.where("crc32(cast(doc_id as string)) % 2 = 0")
+    model = hashed_ngrams.fitted(spark.read.parquet(f"{data}/documents.parquet"), known.where("crc32(cast(doc_id as string)) % 2 = 1"), words=True)
+    found = resampling.scored(spark.read.parquet(f"{data}/documents.parquet"), model, "held out").join(apart, "doc_id").toPandas()
+    cut = found.sample_key.quantile(1 - found.quality.mean())
+    kept = (found.sample_key >= cut).groupby(found.quality).mean()
+    assert kept[0] < 0.1 and kept[1] > 0.97
+
+
+def test_word_grams_dont_depend_on_batches():
+    texts = ["", None, "one", "one two", "two one two\tone", "\xa0 x\ny" * 9, "w " * 5000]
+    model = np.random.default_rng(4).integers(-1000, 1000, hashed_ngrams.CELLS)
+    known = hashed_ngrams.Words()
+    assert known.totals(texts, model).tolist() == [int(hashed_ngrams.Words().totals([t], model)[0]) for t in texts] == [sum(int(model[c]) for c in grams(t, True)) for t in texts]
+    assert (hashed_ngrams.word_counts(texts, known, 3) == np.bincount([c for t in texts for c in grams(t, True)], minlength=hashed_ngrams.CELLS)).all()
+    assert not hashed_ngrams.word_counts([], known).any()
+
+
 def test_every_trusted_text_is_counted(spark):
     rng = random.Random(5)
     ids = [*range(-40, 200), *(rng.randint(-(2**63), 2**63 - 1) for _ in range(200))]
