@@ -63,9 +63,14 @@ class PrefixCounter:
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        """The counts of whole texts: sums over pieces, of which each new one goes through the table once."""
+        """The counts of whole texts."""
+        return self.measured(texts, None)[0]
+
+    def measured(self, texts: list[str | None], limit: int | None) -> tuple[list[int], list[list[int]]]:
+        """The counts of whole texts, sums over pieces of which each new one goes through the table once, and their cuts (none without a limit)."""
         if not self.exact:
-            return [len(self.tokenizer.encode(t, add_special_tokens=False).ids) if t else 0 for t in texts]
+            counts = [len(self.tokenizer.encode(t, add_special_tokens=False).ids) if t else 0 for t in texts]
+            return counts, [cuts(self.prefixes(t), limit) if limit and n > limit else [] for t, n in zip(texts, counts, strict=True)]
         odd = [not t or bool(bpe.PLAIN.search(t) or self.special and self.special.search(t)) for t in texts]
         split = [[] if x else self.pieces_of(t) for t, x in zip(texts, odd, strict=True)]
         if len(self.pieces) > MEMO:
@@ -73,8 +78,32 @@ class PrefixCounter:
         self.learn(list(set().union(*split).difference(self.pieces)))
         self.words.tidy()
         self.agree.tidy()
-        known = self.pieces.__getitem__
-        return [int(self.prefixes(t)[-1]) if x else sum(map(known, own)) for t, x, own in zip(texts, odd, split, strict=True)]
+        known, counts, found = self.pieces.__getitem__, [], []
+        for text, x, own in zip(texts, odd, split, strict=True):
+            if x:
+                table = self.prefixes(text)
+                counts.append(int(table[-1]))
+                found.append(cuts(table, limit) if limit else [])
+                continue
+            each = list(map(known, own))
+            counts.append(sum(each))
+            found.append(self.piece_cuts(own, each, limit) if limit and counts[-1] > limit else [])
+        return counts, found
+
+    def piece_cuts(self, pieces: list[str], each: list[int], limit: int) -> list[int]:
+        """The cuts of a text, from its pieces and their counts.
+
+        A prefix that reaches into a piece has more tokens than the pieces before, but for one that ends in the
+        first blank after a blank: it has more than those before both. So the longest prefix within a budget ends
+        in the piece that goes beyond the budget or the next one, and the piece before has a say in it.
+        """
+        sums, ends, out = np.cumsum([0, *each]), np.cumsum([0, *map(len, pieces)]), []
+        for budget in range(limit, int(sums[-1]), limit):
+            over = int(np.searchsorted(sums, budget, "right")) - 1
+            first = max(0, over - 1)
+            table = self.prefixes("".join(pieces[first : over + 2]))
+            out.append(int(ends[first] + np.flatnonzero(table <= budget - sums[first])[-1]))
+        return out
 
     def learn(self, pieces: list[str]) -> None:
         words, ends = [], []
@@ -122,6 +151,11 @@ class PrefixCounter:
         return out
 
 
+def cuts(table: np.ndarray, limit: int) -> list[int]:
+    """For each multiple of limit below the whole count the most code points whose prefix has at most so many tokens, from the table of all prefixes."""
+    return [int(np.flatnonzero(table <= budget)[-1]) for budget in range(limit, int(table[-1]), limit)]
+
+
 class Lookup:
     """From distinct 64-bit keys to small numbers, for whole arrays: a slot and a few that follow it."""
 
@@ -261,23 +295,31 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(frame: DataFrame, path: str, limit: int = 512, index: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and, with index, prefix_tokens: the counts of all code point prefixes, from the empty one on.
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars, cuts and, with index, prefix_tokens.
 
-    A null or empty text has 0 bytes and tokens (and one prefix). Rows with a null doc_id or equal rows are
-    kept as they are; other columns are left out. One pass, no shuffle; a text is held whole by one task.
+    fit_chars is the most code points of the text whose prefix has at most limit tokens, cuts the same for every multiple
+    of limit that the text has more tokens than; prefix_tokens are the counts of all code point prefixes, from the
+    empty one on. All come from the prefix table, and no prefix is encoded again. A null or empty text has 0 bytes, tokens
+    and fitting code points, no cuts and one prefix. Rows with a null doc_id or equal rows are kept as they are; other columns are
+    left out. One pass, no shuffle; a text is held whole by one task.
     """
-    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean" + ", prefix_tokens array<int>" * index
+    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint, cuts array<bigint>" + ", prefix_tokens array<int>" * index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = counter(path)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            tables = [made.prefixes(t) for t in texts] if index else None
-            counts = np.array([t[-1] for t in tables] if index else made.counts(texts), np.int64)
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts), pa.array(counts > limit)]
+            if index:
+                tables = [made.prefixes(t) for t in texts]
+                counts, found = [t[-1] for t in tables], [cuts(t, limit) for t in tables]
+            else:
+                counts, found = made.measured(texts, limit)
+            counts = np.array(counts, np.int64)
+            fit = [c[0] if c else len(t or "") for c, t in zip(found, texts, strict=True)]
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts), pa.array(counts > limit), pa.array(fit, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
             if index:
                 columns.append(pa.array(tables, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"] + ["prefix_tokens"] * index)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "cuts"] + ["prefix_tokens"] * index)
 
     sized = documents(frame).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
     return sized.mapInArrow(run, schema)

@@ -37,6 +37,17 @@ def test_counts_and_prefixes_are_the_librarys(library):
         assert made.prefixes(text).tolist() == [len(ids(library, text[:k])) for k in range(len(text) + 1)]
 
 
+def test_cuts_are_the_longest_prefixes_that_fit(library):
+    made, rng = prefix_counts.counter(PATH), random.Random(6)
+    blanks = ["".join(rng.choice(["a", "foo", "!", "'s", " ", "  ", "   ", "\n", "\n\n", "\t", " it's"]) for _ in range(rng.randint(5, 30))) for _ in range(250)]
+    texts = [t for t in [*TEXTS, *words(), *blanks, " " * 40 + "x" + " " * 90, "one line of some words\nand another, it's short\n" * 4]]
+    tables = [[len(ids(library, t[:k])) for k in range(len(t) + 1)] for t in texts]
+    for limit in (1, 2, 3, 7):
+        counts, found = made.measured(texts, limit)
+        assert counts == [t[-1] for t in tables]
+        assert found == [[max(k for k, n in enumerate(t) if n <= budget) for budget in range(limit, t[-1], limit)] for t in tables]
+
+
 def test_encoder_is_the_library(library):
     made = bpe.encoder(PATH)
     assert made.core is not None
@@ -58,6 +69,9 @@ def test_op8_on_a_table(spark, library):
         text = "no id" if r.doc_id is None else texts[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), len(ids(library, text)), len(ids(library, text)) > 10)
         assert len(r.prefix_tokens) == len(text) + 1 and r.prefix_tokens[-1] == r.n_tokens
+        assert r.fit_chars == max(k for k, n in enumerate(r.prefix_tokens) if n <= 10) and r.cuts[:1] == [r.fit_chars] * r.over_limit
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.fit_chars, r.cuts)
+    assert sorted(map(key, prefix_counts.token_counts(frame(spark, texts), PATH, limit=10).collect()), key=str) == sorted(map(key, found), key=str)
     one = prefix_counts.token_counts(frame(spark, ["one two three four five"]), PATH, index=True).where("doc_id = 0")
     assert one.select(prefix_counts.longest_prefix("prefix_tokens", 2)).first()[0] == len("one two")
     assert prefix_counts.token_counts(frame(spark, texts).limit(0), PATH).count() == 0
