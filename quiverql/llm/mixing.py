@@ -74,7 +74,7 @@ def place(b: Column) -> Column:
 
 
 def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), shards: int = 16, seed: str = "mix", block: int | None = None, detail: bool = False, carry: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, block (its words) and quota (blocks that the source gets) of every document; with detail also its picked blocks and their shards, with carry its whole row.
+    """doc_id, source, size, source_size, target, taken, block (its words), quota (blocks that the source gets) and shard_quotas (how many of them in each shard, comma-joined) of every document; with detail also its picked blocks and their shards, with carry its whole row.
 
     A null source is a source of its own; null texts have no words and are not taken. Streams are prefix sums
     in two steps, over buckets of a source's seeded order and within them, so that a source with most of the
@@ -99,8 +99,9 @@ def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[
     known = apportioned(targets(sources, share, most, weights), share, shards, block)
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "source_key")), 1, 8), 16, 10).cast("bigint")
     stride = reduce(lambda rest, p: F.when(F.col("blocks") % p != 0, p).otherwise(rest), reversed(STRIDES[:-1]), F.lit(STRIDES[-1]))
+    per_shard = F.array_join(F.transform("quotas", lambda q, at: (q - F.coalesce(F.get("quotas", at - 1), F.lit(0))).cast("string")), ",")
     known = known.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block"))).cast("bigint"))
-    known = known.select("source_key", "source_size", "target", "block", "blocks", "quotas", F.element_at("quotas", -1).alias("quota"), shift.alias("shift"), stride.cast("bigint").alias("stride"))
+    known = known.select("source_key", "source_size", "target", "block", "blocks", "quotas", F.element_at("quotas", -1).alias("quota"), per_shard.alias("shard_quotas"), shift.alias("shift"), stride.cast("bigint").alias("stride"))
     streams = saved.selectExpr("*", "sum(size) over (partition by source_key, bucket order by key, doc_id, size rows between unbounded preceding and current row) - size as within")
     placed = streams.join(buckets.select("source_key", "bucket", "base").join(known, "source_key"), ["source_key", "bucket"]).withColumn("first", F.col("base") + F.col("within"))
     span = F.sequence(F.expr("first div block"), F.expr("(first + size - 1) div block"))
@@ -110,7 +111,7 @@ def mix(frame: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[
 
     taken = F.when(F.col("size") > 0, F.aggregate(span, F.lit(0).cast("bigint"), lambda sofar, b: sofar + overlap(b) * picks(b))).otherwise(F.lit(0).cast("bigint"))
     out = placed.withColumn("taken", taken)
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "block", "quota"] + ["row"] * carry
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "block", "quota", "shard_quotas"] + ["row"] * carry
     if detail:
         def seat(b: Column, turn: Column) -> Column:
             at = turn * F.col("blocks") + place(b)

@@ -80,14 +80,18 @@ weighed as (select *, row_number() over (order by source nulls last) nth, (sum(s
 levels as (select *, (1.5::double * total - (sum(most) over w - most)) / (sum(weight) over () - (sum(weight) over w - weight)) lvl from weighed window w as (order by most / weight, nth rows between unbounded preceding and current row)),
 targets as (select k, nth, source_size, least(most, max(lvl) over () * weight) target, total, greatest(1, least(1024, total // 65536, coalesce(min(nullif(source_size, 0)) over (), 0) // 64))::bigint block, count(*) over () n from levels),
 parts as (select *, floor(1.5::double * total / block)::bigint seats, target / greatest(1::double, 1.5::double * total) part from targets),
-bounds as (select *, greatest(0, floor(part * (seats - n / 2 - 1) + 0.5))::bigint won, (case when part > 0 then ceil(part * (seats + n / 2 + 1)) + 1 else 0 end)::bigint most_seats from parts),
-ranked as (select nth, row_number() over (order by target / (2 * seat - 1) desc, nth) place from (select nth, target, unnest(generate_series(won + 1, most_seats)) seat from bounds where most_seats > won)),
-gained as (select nth, count(*) g from ranked where place <= (select any_value(seats) - sum(won) from bounds) group by nth),
-quotas as (select b.*, won + coalesce(g, 0) quota, greatest(1, ceil(source_size / block))::bigint blocks, ('0x' || substr(md5('mix:' || k), 1, 8))::bigint shift from bounds b left join gained using (nth)),
+bounds as (select *, greatest(0, floor(part * (upto - n / 2 - 1) + 0.5))::bigint won, (case when part > 0 then ceil(part * (upto + n / 2 + 1)) + 1 else 0 end)::bigint most_seats from (select *, seats * shard // 16 upto from parts, (select unnest(generate_series(1, 16)) shard))),
+ranked as (select shard, nth, row_number() over (partition by shard order by target / (2 * seat - 1) desc, nth) place from (select shard, nth, target, unnest(generate_series(won + 1, most_seats)) seat from bounds where most_seats > won)),
+open_seats as (select shard, any_value(upto) - sum(won) n_open from bounds group by shard),
+gained as (select shard, nth, count(*) g from ranked join open_seats using (shard) where place <= n_open group by shard, nth),
+upto_shard as (select nth, shard, won + coalesce(g, 0) seats_upto from bounds left join gained using (shard, nth)),
+per_shard as (select *, seats_upto - lag(seats_upto, 1, 0) over (partition by nth order by shard) own from upto_shard),
+lists as (select nth, max(seats_upto) filter (shard = 16) quota, string_agg(own::bigint::varchar, ',' order by shard) shard_quotas from per_shard group by nth),
+quotas as (select p.*, quota, shard_quotas, greatest(1, ceil(source_size / block))::bigint blocks, ('0x' || substr(md5('mix:' || k), 1, 8))::bigint shift from parts p join lists using (nth)),
 known as (select *, case when blocks % 1000003 <> 0 then 1000003 when blocks % 1000033 <> 0 then 1000033 when blocks % 1000037 <> 0 then 1000037 else 1000039 end stride from quotas),
 placed as (select s.doc_id, s.source, s.size, known.*, (sum(s.size) over (partition by s.k order by seed, s.doc_id nulls first, s.size rows between unbounded preceding and current row) - s.size)::bigint f from sized s join known on s.k = known.k),
 each as (select *, unnest(case when size > 0 then generate_series(f // block, (f + size - 1) // block) else [-1::bigint] end) b from placed)
-select doc_id, any_value(block) block, any_value(quota)::bigint quota, any_value(source) source, any_value(size) size, any_value(source_size) source_size, any_value(target) target,
+select doc_id, any_value(block) block, any_value(quota)::bigint quota, any_value(shard_quotas) shard_quotas, any_value(source) source, any_value(size) size, any_value(source_size) source_size, any_value(target) target,
  sum(case when b < 0 then 0 else (least(f + size, (b + 1) * block) - greatest(f, b * block)) * least(2, quota // blocks + ((stride * b + shift) % blocks < quota % blocks)::int) end)::bigint taken
 from each group by doc_id"""
 

@@ -107,6 +107,15 @@ def test_seats_are_those_of_highest_quotients(spark):
             assert {s: q[k] for s, q in quotas.items()} == highest_quotients(targets, seats * (k + 1) // 5)
 
 
+def test_shards_have_as_many_blocks_as_their_quotas(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(k % 23)), f"s{k % 4}") for k in range(120)]
+    found = mixing.mix(docs(spark, rows), block=7, shards=5, detail=True).collect()
+    quotas = {r.source: list(map(int, r.shard_quotas.split(","))) for r in found}
+    picked = {(r.source, p.block, p.turn, p.shard) for r in found for p in r.picked or []}
+    assert all(sum(quotas[r.source]) == r.quota and len(quotas[r.source]) == 5 for r in found)
+    assert quotas == {s: [sum(p[0] == s and p[3] == k for p in picked) for k in range(1, 6)] for s in quotas}
+
+
 def test_mixed_texts_have_the_taken_words(spark):
     rows = [(k, "\n".join(f"w{k}_{j}  x" for j in range(k % 23)), f"s{k % 4}") for k in range(120)]
     taken = {r.doc_id: r.taken for r in mixing.mix(docs(spark, rows), block=7).collect()}
