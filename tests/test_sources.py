@@ -300,3 +300,17 @@ def test_tools_answer_in_whole_json(papers, monkeypatch):
     found = own.run_graph_query("MATCH (n)-[e]-(m) RETURN n, m.label ORDER BY n.id, m.id")
     assert len(found) <= 260 and json.loads(found)["truncated"] and json.loads(found)["columns"] == ["n", "m.label"]
     assert json.loads(tools.text_within({"a": "x" * 50}, 20, ("b",))) == {"truncated": True}
+
+
+def test_words_are_no_rows(spark):
+    """Each text moves once, and nothing of its words is moved, joined or ranked across rows; equal lines, documents and a document without words."""
+    texts = ["pilots of PILOTS harbour\nBuoy tide Tide\nbuoy", "the and", "", "neap NeaP neap\nNeaP neap", "pilots of PILOTS harbour\nBuoy tide Tide\nbuoy"]
+    counts = extraction.term_counts(extraction.placed(extraction.passages_of(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))))
+    found = extraction.found_in(counts)
+    for frame in (extraction.scored(counts), extraction.mentions(counts), extraction.co_occurrences(found)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan and "ExistingRDD" not in plan.replace("Scan ExistingRDD[doc_id", "")
+    assert sorted((r.term, r.total, r.df, r.n, r.label) for r in extraction.scored(counts).collect()) == [("buoy", 2, 2, 3, "buoy"), ("harbour", 1, 1, 3, "harbour"), ("neap", 5, 2, 2, "NeaP"), ("pilots", 2, 1, 3, "pilots"), ("tide", 2, 1, 3, "tide")]
+    assert sorted((r.position, r.term, r.tf) for r in extraction.mentions(counts).collect()) == [(1, "harbour", 1), (1, "neap", 3), (1, "pilots", 2), (2, "buoy", 1), (2, "neap", 2), (2, "tide", 2), (3, "buoy", 1)]
+    assert sorted((r.one, r.two, r.weight) for r in extraction.co_occurrences(found).collect()) == [("buoy", "tide", 1), ("harbour", "pilots", 1)]
+    assert {(r.position, r.term) for r in extraction.mentions(counts, per_passage=1).collect()} == {(1, "pilots"), (1, "neap"), (2, "tide"), (2, "neap"), (3, "buoy")}
