@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .base import documents, slices, with_key_among
 
 ORDER, CELLS, UNIT = 3, 1 << 16, 1 << 20
-#: Trusted documents that a target model is counted on at most, those with the lowest hash of doc_id; None: all there are, whose texts then move.
-TRUSTED = 50_000
+#: Ids of trusted documents that are broadcast at most, so that no texts move; if there are more, or with None, the trusted texts move. The target model is counted on all of them either way.
+TRUSTED = 1_000_000
 #: Orders of the n-grams of words.
 WORD_ORDERS = 2
 #: Words whose hash a worker remembers; a full table is emptied.
@@ -139,10 +139,13 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("good_id")).where("good_id is not null").distinct()
 
 
-def with_trust(frame: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """text and trusted: whether a label of the document has quality 1; at most bound ids of documents that are there, those with the lowest hash, are broadcast, and the texts stay where they are."""
-    there = documents(frame).select(F.col("doc_id").alias("good_id"))
-    good = F.broadcast(good_ids(labels).join(there, "good_id", "left_semi").orderBy(F.xxhash64("good_id"), "good_id").limit(bound))
+def with_trust(frame: DataFrame, labels: DataFrame, bound: int | None = None) -> DataFrame:
+    """text and trusted: whether a label of the document has quality 1; the ids that have, or bound of those that are there, with the lowest hash, are broadcast, and the texts stay where they are."""
+    good = good_ids(labels)
+    if bound is not None:
+        there = documents(frame).select(F.col("doc_id").alias("good_id"))
+        good = good.join(there, "good_id", "left_semi").orderBy(F.xxhash64("good_id"), "good_id").limit(bound)
+    good = F.broadcast(good)
     return documents(frame).join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("trusted"))
 
 
@@ -165,18 +168,18 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float) -> np.ndarray:
 
 
 def fitted(frame: DataFrame, labels: DataFrame, bound: int | None = TRUSTED, words: bool = False, smooth: float = 50.0) -> np.ndarray:
-    """The model, of all trusted documents or of bound ones; with words that of n-grams of words.
+    """The model, counted on all documents and on all trusted ones; with words that of n-grams of words. More trusted ids than bound (None: any) aren't broadcast.
 
     To the driver come as many rows as there are cells; without trusted texts the model is zero.
     """
     raw, target = np.zeros(CELLS), np.zeros(CELLS)
-    if bound is None:
+    if bound is None or good_ids(labels).limit(bound + 1).count() > bound:
         flagged = lambda texts, flag: counted(texts.select("text", F.lit(flag).alias("trusted")), words)
         for cell, n, _ in flagged(documents(frame), False).collect():
             raw[cell] = n
         for cell, n, _ in flagged(trusted(frame, labels), True).collect():
             target[cell] = n
     else:
-        for cell, n, m in counted(with_trust(frame, labels, bound), words).collect():
+        for cell, n, m in counted(with_trust(frame, labels), words).collect():
             raw[cell], target[cell] = n, m
     return log_ratio(target, raw, smooth)

@@ -51,9 +51,9 @@ def judged(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def rules(frame: DataFrame, labels: DataFrame, bound: int | None = hashed_ngrams.TRUSTED) -> DataFrame:
-    """The counts, base_failed, mean_log_ratio and kept of every document; two passes, in neither are texts moved (but trusted ones without a bound).
+    """The counts, base_failed, mean_log_ratio and kept of every document; two passes, in neither are texts moved (but trusted ones, if their ids are more than bound).
 
-    The raw model is counted on all documents, the target model on bound trusted ones at most (None: on all).
+    The raw model is counted on all documents, the target model on all trusted ones.
     Null and empty texts have no words and fail. Repeated rows are judged alike. Without labels of quality 1
     the ratio is 0 and the base alone decides; no documents give no rows.
     """

@@ -528,3 +528,11 @@ def test_held_out_accuracy(spark, data):
     hit, flagged = found[found.toxic == 1].predicted.mean(), found[found.predicted == 1].toxic.mean()
     # a constant has a balanced accuracy of 0.5
     assert hit > 0.85 and flagged > 0.85 and (hit + 1 - found[found.toxic == 0].predicted.mean()) / 2 > 0.92
+
+
+def test_the_target_model_has_all_trusted_texts(spark):
+    """However few ids may be broadcast."""
+    rows, known = [(i, f"t{i} " * (i + 1), "x") for i in range(60)], labels(spark, [(i, 1, 0) for i in range(0, 60, 2)])
+    for words in (False, True):
+        whole = hashed_ngrams.fitted(docs(spark, rows), known, None, words)
+        assert whole.any() and (hashed_ngrams.fitted(docs(spark, rows), known, 5, words) == whole).all() and (hashed_ngrams.fitted(docs(spark, rows), known, 30, words) == whole).all()
