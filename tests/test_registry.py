@@ -32,3 +32,13 @@ def test_query(spark, data, name):
 def test_entry(spark, data):
     assert entry.entry(spark).columns == ["nation", "buyers", "most"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def planned(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_variants_are_read_before_they_meet(spark, data):
+    joins = [line for line in planned(registry.FOUND["mixed_equality"](spark, data)).split("\n") if "Join" in line]
+    assert joins and not any("variant" in line.lower() for line in joins)
+
