@@ -42,3 +42,6 @@ def test_variants_are_read_before_they_meet(spark, data):
     joins = [line for line in planned(registry.FOUND["mixed_equality"](spark, data)).split("\n") if "Join" in line]
     assert joins and not any("variant" in line.lower() for line in joins)
 
+
+def test_rows_that_meet_all_others_are_dealt_out(spark, data):
+    assert f"Repartition {4 * spark.sparkContext.defaultParallelism}, true" in planned(registry.FOUND["theta_filter"](spark, data))
