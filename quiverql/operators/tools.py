@@ -60,8 +60,9 @@ def directions(graph: PropertyGraph):
     """source_type, type, target_type and n: which types edges join, one row each."""
     kinds = graph.nodes.select("id", F.col("type").alias("t"))
     edges = graph.edges.select("source", "target", "type")
-    joined = edges.join(kinds.withColumnsRenamed({"id": "source", "t": "source_type"}), "source").join(kinds.withColumnsRenamed({"id": "target", "t": "target_type"}), "target")
-    return joined.groupBy("source_type", "type", "target_type").agg(F.count(F.lit(1)).alias("n"))
+    # edges of one type at one target are counted together before they move again
+    sources = edges.join(kinds.withColumnsRenamed({"id": "source", "t": "source_type"}), "source").groupBy("source_type", "type", "target").agg(F.count(F.lit(1)).alias("n"))
+    return sources.join(kinds.withColumnsRenamed({"id": "target", "t": "target_type"}), "target").groupBy("source_type", "type", "target_type").agg(F.sum("n").alias("n"))
 
 
 def text_within(value: dict, most: int, *places: tuple[str, ...]) -> str:

@@ -45,3 +45,9 @@ def test_variants_are_read_before_they_meet(spark, data):
 
 def test_rows_that_meet_all_others_are_dealt_out(spark, data):
     assert f"Repartition {4 * spark.sparkContext.defaultParallelism}, true" in planned(registry.FOUND["theta_filter"](spark, data))
+
+
+def test_directions_count_before_the_second_join(spark, data):
+    plan = planned(registry.FOUND["schema_directions"](spark, data))
+    at = plan.index("Join Inner")
+    assert plan.index("Join Inner", at + 1) > plan.index("Aggregate [source_type", at) > at
