@@ -303,3 +303,33 @@ def test_export_of_entities_lists_and_paths(graph, tmp_path):
         rows = [json.loads(line) for file in (tmp_path / str(k)).glob("part-*") for line in file.read_text().splitlines()]
         found = engine.execute(text)
         assert sorted((json.dumps(r, sort_keys=True) for r in rows)) == sorted(json.dumps(dict(zip(found["columns"], r, strict=True)), sort_keys=True) for r in found["rows"])
+
+
+@pytest.mark.parametrize(
+    ("first", "second", "asked"),
+    [
+        ("(p:Port)<-[:CALLS]-(s:Ship)", "(p)-[:ROUTE]->(q:Port)", "p.id AS a, count(*) AS n, count(q.depth) AS k, sum(s.knots / 2 + q.depth / 4) AS t, sum(q.depth / 4 - s.knots / 2) AS u, min(q.label) AS l, max(s.knots) AS m"),
+        ("(s:Ship)-[c:CALLS]->(p:Port)", "(s)-[l:LOADS]->(g)", "g.id AS a, count(c) AS n, count(g.tons) AS k, sum(p.depth / 3 - g.tons / 7) AS t, sum(g.tons / 7) AS u, max(p.id) AS l, min(c.days) AS m"),
+        ("(p)<-[:CALLS]-(s:Ship)", "(p)<-[:ROUTE]-(q:Port {open: FALSE})", "1 AS a, count(*) AS n, count(s) AS k, sum(q.depth / 4) AS t, sum(s.knots / 4) AS u, min(q.depth) AS l, max(s.note) AS m"),
+        ("(p:Port)<-[:CALLS]-(s {note: 'none'})", "(p)-[:ROUTE]->(q)", "count(*) AS a, count(q.depth) AS n, 1 AS k, sum(s.knots / 2 + q.depth / 4) AS t, 2 AS u, min(q.id) AS l, 3 AS m"),
+    ],
+)
+def test_patterns_that_are_only_counted_make_no_pairs(graph, first, second, asked):
+    engine, order = GraphEngine(graph), " ORDER BY a"
+    folded = engine.query(f"MATCH {first}, {second} RETURN {asked}")
+    pairs = engine.query(f"MATCH {first} MATCH {second} RETURN {asked}{order}")
+    got, wanted = ([[pytest.approx(v) if isinstance(v, float) else v for v in r] for r in f.orderBy("a").collect()] for f in (folded, pairs))
+    assert got == wanted
+    assert folded._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+@pytest.mark.parametrize("text", ["MATCH (p:Port)<-[:CALLS]-(s), (p)<-[:CALLS]-(t) RETURN p.id AS p, count(*) AS n", "MATCH (p:Port)<-[:CALLS]-(s:Ship), (p)-[:ROUTE]->(q) RETURN s.id AS s, q.id AS q, count(*) AS n", "MATCH (p:Port)<-[:CALLS]-(s:Ship), (p)-[:ROUTE]->(q) RETURN p.id AS p, sum(s.knots * q.depth) AS n"])
+def test_patterns_whose_pairs_count_are_made(graph, text):
+    rows = [list(r) for r in GraphEngine(graph).query(text).orderBy(*(["p"] if "AS p" in text else ["s", "q"])).collect()]
+    assert rows == GraphEngine(graph).execute(text + (" ORDER BY p" if "AS p" in text else " ORDER BY s, q"))["rows"]
+
+
+def test_a_sum_of_folded_pairs_fails_where_a_pair_does(spark):
+    big = make_graph(spark, [("n", "N", "Hub", {}), ("a", "A", "Left", {"w": 1.7e308}), ("b", "B", "Right", {"w": 1.7e308}), ("c", "C", "Right", {"w": -1.7e308})], [("x", "a", "n", "IN", {}), ("y", "b", "n", "IN", {}), ("z", "c", "n", "IN", {})], "w double")
+    with pytest.raises(Exception, match="too large"):
+        GraphEngine(big).query("MATCH (n)<-[:IN]-(l:Left), (n)<-[:IN]-(r:Right) RETURN sum(l.w + r.w) AS t").collect()
