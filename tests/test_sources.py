@@ -336,3 +336,33 @@ def test_exported_entities_are_read_by_their_types_or_hashes(spark, graph, tmp_p
         assert r["w"]["nodes"] == r["ns"] and r["w"]["relationships"] == r["es"] and r["ns"][0] == r["s"] and r["ns"][-1] == r["p"]
         assert [e["source"] for e in r["es"]] == [n["id"] for n in r["ns"][:-1]] and {n["id"] for n in r["ns"]} <= ids
         assert (r["l"] is None) == (r["g"] is None) and (r["g"] is None or r["l"]["target"] == r["g"]["id"])
+
+
+@pytest.mark.parametrize("hashes", [1, 3, 1 << 21])
+def test_only_repeated_texts_are_moved(spark, monkeypatch, hashes):
+    monkeypatch.setattr(extraction, "HASHES", hashes)
+    rows = [(5, "one\n\n two "), (2, "one\n\n two "), (9, "three"), (1, None), (4, " \n"), (3, ""), (7, "Übung\tmacht"), (8, "three"), (8, "three"), (6, "\t")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = extraction.gathered_of(documents)
+    got = {r.filename: [(b.position, b.text, b.kind, b.level) for b in r.blocks] for r in found.collect()}
+    line = lambda k, text: (k, text, "paragraph", None)
+    assert got == {"2": [line(1, "one"), line(2, "two")], "8": [line(1, "three")], "7": [line(1, "Übung\tmacht")], "6": [line(1, "\t")]} and found.count() == 4
+    digests = {r.digest for r in documents.where("trim(translate(text, '\n', '')) <> ''").select(F.sha2("text", 256).alias("digest")).collect()}
+    assert digests == {r.digest for r in found.collect()} == {r.digest for r in extraction.passages_of(documents).collect()}
+    # a text meets an exchange by its digest only where it is repeated
+    text = extraction.texts_of(documents)
+    assert text._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [digest") == 1 and "LeftAnti" in text._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_documents_give_the_graph_of_their_blocks(spark, data):
+    documents = spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 4 = 0")
+    one, two = (extraction.build_graph(f(documents), most_blocks=None, lists=False) for f in (extraction.gathered_of, extraction.passages_of))
+    for a, b in ((one.nodes, two.nodes), (one.edges, two.edges)):
+        assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+    with pytest.raises(ValueError):
+        extraction.build_graph(extraction.gathered_of(documents), most_blocks=1)
+
+
+def test_a_preset_of_all_nodes_joins_no_edges(graph):
+    plan = analytics.preset(graph, "overview").edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and analytics.preset(graph, "overview").edges.count() == graph.edges.count()
