@@ -363,6 +363,17 @@ def test_rows_of_documents_give_the_graph_of_their_blocks(spark, data):
         extraction.build_graph(extraction.gathered_of(documents), most_blocks=1)
 
 
+def test_a_graph_without_texts_reads_them_only_where_they_are_asked_for(spark, data):
+    documents = extraction.gathered_of(spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 4 = 0"))
+    one, two = (extraction.build_graph(documents, most_blocks=None, lists=False, texts=t) for t in (True, False))
+    for a, b in ((one.nodes, two.nodes), (one.edges, two.edges)):
+        assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+    # what is written has no texts, and nothing joins them to what doesn't ask
+    assert "text" not in extraction.extracted(documents, most_blocks=None, texts=False).schema["blocks"].dataType.elementType.names
+    for frame in (analytics.type_distribution(two), analytics.heaviest(two), two.nodes.select("id", "type")):
+        assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_preset_of_all_nodes_joins_no_edges(graph):
     plan = analytics.preset(graph, "overview").edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and analytics.preset(graph, "overview").edges.count() == graph.edges.count()
