@@ -113,9 +113,10 @@ BITS = 1 << 26
 
 def likely_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key is in the column of that name of keys, and few others: the keys' hashes are broadcast as BITS bits."""
-    keys = keys.select(F.col(key).alias("__key")).distinct()
     place = lambda column: F.pmod(F.xxhash64(column), F.lit(BITS))
-    bits = keys.groupBy(F.bitmap_bucket_number(place("__key")).alias("__at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("__key"))).alias("__bits"))
+    # places are dealt before they become bits, so that no parts of the filter are shuffled
+    at = keys.select(F.bitmap_bucket_number(place(key)).alias("__at"), F.bitmap_bit_position(place(key)).alias("__bit")).repartition("__at")
+    bits = at.groupBy("__at").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
     bit = F.bitmap_bit_position(place(key))
     byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return rows.withColumn("__at", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "__at").where(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1).drop("__at", "__bits")
@@ -135,9 +136,12 @@ def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], salt: Column
     """rows joined with found, which is saved, has each key once and the number n of its rows (dropped).
 
     A key with more than one in HEAVY of all those rows is dealt out by the salt: there are at most HEAVY such
-    keys, which are broadcast, and their rows of found stand in all SALTS places.
+    keys, which are broadcast, and their rows of found stand in all SALTS places. Without such keys it is a plain join.
     """
-    limit = max(HEAVY_ROWS, (found.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    total, most = found.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HEAVY_ROWS, (total or 0) // HEAVY)
+    if (most or 0) <= limit:
+        return rows.join(found.drop("n"), keys, how)
     heavy = found.where(F.col("n") > limit).select(*keys, F.lit(True).alias("__heavy"))
     dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(salt, F.lit(SALTS)).cast("int")).otherwise(0)).drop("__heavy")
     places = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

@@ -135,7 +135,13 @@ def read_once(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, oid bigint, rid bigint, n_words bigint, sha string, anchors array<bigint>")
 
 
-WINDOWS = "oid bigint, sub bigint, start array<int>, h array<bigint>"
+WINDOWS = "oid bigint, sub bigint, w array<struct<start: int, h: bigint>>"
+
+
+def windows_of(starts: np.ndarray, hashes: np.ndarray, counts: list[int]) -> pa.ListArray:
+    """w: the windows of each text."""
+    own = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(hashes.view(np.int64), pa.int64())], names=["start", "h"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)), own)
 
 
 def candidates(rows: DataFrame, window: int) -> DataFrame:
@@ -150,29 +156,28 @@ def candidates(rows: DataFrame, window: int) -> DataFrame:
                 starts.append(at)
                 hashes.append(grown(words, 1, window)[at])
             counts = [len(s) for s in starts]
-            columns = [batch.column("oid"), batch.column("sub"), lists(together(starts, np.int32), counts, pa.int32()), lists(together(hashes, U).view(np.int64), counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["oid", "sub", "start", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("oid"), batch.column("sub"), windows_of(together(starts, np.int32), together(hashes, U), counts)], names=["oid", "sub", "w"])
 
     return rows.mapInArrow(run, WINDOWS)
 
 
-LEVEL = "oid bigint, sub bigint, removed array<int>, start array<int>, h array<bigint>"
+LEVEL = "oid bigint, sub bigint, removed array<int>, w array<struct<start: int, h: bigint>>"
 
 
 def doubled(hits: DataFrame, length: int) -> DataFrame:
     """One row for each document with hits: the starts of those to remove, and its windows of twice the length, made of two hits end to end.
 
-    hits are sorted by document; a task holds one document and one batch at a time.
+    hits are sorted by id, one number; a task holds the documents of one id and one batch at a time, and orders them itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 4 + [np.empty(0, bool)]
         for batch in batches:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("oid", "sub", "start", "h", "removed")]
-            oid, sub, *_ = rows = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+            oid, *_ = rows = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
             if not len(oid):
                 continue
-            last = np.flatnonzero((oid != oid[-1]) | (sub != sub[-1]))
+            last = np.flatnonzero(oid != oid[-1])
             upto = int(last[-1]) + 1 if len(last) else 0
             held = [c[upto:] for c in rows]
             if upto:
@@ -181,6 +186,9 @@ def doubled(hits: DataFrame, length: int) -> DataFrame:
             yield level(*held)
 
     def level(oid: np.ndarray, sub: np.ndarray, start: np.ndarray, h: np.ndarray, removed: np.ndarray) -> pa.RecordBatch:
+        if sub.any():
+            order = np.lexsort((sub, oid))
+            oid, sub, start, h, removed = (c[order] for c in (oid, sub, start, h, removed))
         new = np.concatenate([[True], (oid[1:] != oid[:-1]) | (sub[1:] != sub[:-1])])
         heads, row = np.flatnonzero(new), np.cumsum(new) - 1
         key, once = np.unique((row << 32) + start, return_index=True)
@@ -189,15 +197,15 @@ def doubled(hits: DataFrame, length: int) -> DataFrame:
         a, b, gone = once[good], once[second[good]], once[removed[once]]
         counts = [np.bincount(row[x], minlength=len(heads)) for x in (gone, a)]
         long = joined(h[a].view(U), h[b].view(U))
-        columns = [pa.array(oid[heads]), pa.array(sub[heads]), lists(start[gone].astype(np.int32), counts[0], pa.int32()), lists(start[a].astype(np.int32), counts[1], pa.int32()), lists(long.view(np.int64), counts[1], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["oid", "sub", "removed", "start", "h"])
+        columns = [pa.array(oid[heads]), pa.array(sub[heads]), lists(start[gone].astype(np.int32), counts[0], pa.int32()), windows_of(start[a].astype(np.int32), long, counts[1])]
+        return pa.RecordBatch.from_arrays(columns, names=["oid", "sub", "removed", "w"])
 
-    return hits.repartition("oid", "sub").sortWithinPartitions("oid", "sub", "start").mapInArrow(run, LEVEL)
+    return hits.repartition("oid").sortWithinPartitions("oid").mapInArrow(run, LEVEL)
 
 
 def next_level(windows: DataFrame, space: Workspace, length: int) -> DataFrame:
-    """The documents with windows of this length that stand in documents with other ids too; removed: where one has a lesser id. start and h: their windows of twice the length."""
-    flat = windows.select("oid", "sub", F.explode(F.arrays_zip("start", "h")).alias("w")).select("oid", "sub", "w.start", "w.h")
+    """The documents with windows of this length that stand in documents with other ids too; removed: where one has a lesser id. w: their windows of twice the length."""
+    flat = windows.select("oid", "sub", F.explode("w").alias("w")).select("oid", "sub", "w.start", "w.h")
     found = space.save(flat.groupBy("h").agg(F.min("oid").alias("first"), F.max("oid").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("h", "first", "n"), f"found-{length}")
     hits = salted_join(flat, found, ["h"], F.xxhash64("oid", "start")).select("oid", "sub", F.col("start").cast("bigint").alias("start"), "h", (F.col("oid") > F.col("first")).alias("removed"))
     out = space.save(doubled(hits, length), f"level-{length}")
@@ -261,17 +269,17 @@ def deduplicated(frame: DataFrame, window: int = WINDOW) -> DataFrame:
     space.drop(anchored)
     space.tidy()
 
-    length, top, starts = window, None, None
+    length, top, starts, held = window, None, None, windows
     while not windows.isEmpty():
         level = next_level(windows, space, length)
-        space.drop(windows)
+        space.drop(held)
         if length == window:
             starts = space.save(level.where(F.size("removed") > 0).select("oid", "sub", F.col("removed").alias("starts")).join(known, ["oid", "sub"]).select("oid", "rid", "starts"), "starts")
         tall = space.save(level.select("oid", "sub", F.lit(length).cast("bigint").alias("longest")), f"tall-{length}")
         top = tall if top is None else top.unionByName(tall)
-        windows = space.save(level.where(F.size("start") > 0).select("oid", "sub", "start", "h"), f"windows-{2 * length}")
-        space.drop(level)
+        windows, held = level.where(F.size("w") > 0).select("oid", "sub", "w"), level
         length *= 2
+    space.drop(held)
     out = whole.withColumns({"n_removed": F.lit(0), "kept_sha256": F.col("sha"), "longest": F.lit(0)}) if top is None else joined_results(whole, top, known, cut(with_texts(rows, starts), window))
     long = (F.col("n_words") >= window) & F.col("first").isNotNull()
     as_copy = F.when(long, F.expr(f"shiftleft({window}L, length(bin(n_words div {window})) - 1)"))

@@ -6,6 +6,8 @@ import random
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from quiverql.llm import doubling, queries
 
 DOCS = "doc_id bigint, text string, anchors string, n string"
@@ -95,3 +97,13 @@ def test_sql(spark, data):
     names = [d[0] for d in asked.description]
     want = [tuple(dict(zip(names, r, strict=True))[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "longest")) for r in asked.fetchall()]
     assert found == sorted(want, key=repr) and sum(r[2] for r in found) > 0
+
+
+def test_a_join_without_frequent_keys_is_not_salted(spark):
+    from quiverql.llm.base import HEAVY_ROWS, salted_join
+
+    rows = spark.range(3 * HEAVY_ROWS).selectExpr("id", "if(id < 2000, 7, id) k")
+    for frame, salted in ((rows, True), (rows.where("id >= 1999"), False)):
+        joined = salted_join(frame, frame.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], F.col("id"))
+        assert ("__salt" in joined._jdf.queryExecution().optimizedPlan().toString()) == salted
+        assert joined.exceptAll(frame.select("k", "id")).isEmpty() and joined.count() == frame.count()
