@@ -290,6 +290,15 @@ def test_docx_by_format(spark, tmp_path, monkeypatch):
         spark.read.format("docx").load(folder).collect()
 
 
+def test_docx_in_folders(spark, tmp_path):
+    spark.dataSource.register(docx.DocxSource)
+    frame = spark.createDataFrame([(f"{k % 2}/{k}.docx", [{"text": f"line {k}", "level": None}]) for k in range(4)], docx.DOCUMENT)
+    frame.write.format("docx").mode("append").save(f"{tmp_path}/out")
+    for found in (spark.read.format("docx").load(f"{tmp_path}/out"), docx.read_docx(spark, f"{tmp_path}/out")):
+        assert sorted((r.filename, r.text) for r in found.collect()) == [(f"{k}.docx", f"line {k}") for k in range(4)]
+    assert sorted(p.name for p in (tmp_path / "out" / "1").iterdir()) == ["1.docx", "3.docx"]
+
+
 def test_tools_answer_in_whole_json(papers, monkeypatch):
     """What is too long loses whole entries, and says so."""
     monkeypatch.setattr(tools, "SCHEMA_CHARACTERS", 300)
