@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import Workspace
@@ -12,22 +12,26 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """node and root (the least node of its component) of every node of the edges a, b, but for the roots themselves.
 
     Large stars hang each node's larger neighbours, small stars its smaller ones, to the least node nearby,
-    until nothing changes; then every edge joins a node to its root. Rounds grow with the logarithm of the
-    number of nodes. Each round is written out; minima are taken before the shuffle.
+    until no node has two roots or is itself a root; then every edge joins a node to its root. Rounds grow with
+    the logarithm of the number of nodes. Each round is written out; minima of large stars are taken before the
+    shuffle, small ones have few rows a node.
     """
-    now = space.save(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct(), "edges")
-    state = None
+    now, before = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root"), None
     while True:
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.where("root > node").join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).where("node <> root").distinct()
-        down = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = large.join(down, "node").select(F.explode(F.array(F.struct("node", F.col("m").alias("root")), F.struct(F.col("root").alias("node"), F.col("m").alias("root")))).alias("e")).select("e.*").where("node <> root").distinct()
-        after = space.save(small, "stars")
-        # the same edges have the same number and sum of hashes
-        seen = after.select(F.xxhash64("node", "root").cast("decimal(20,0)").alias("h")).agg(F.count("h"), F.sum("h")).first()
-        space.drop(now)
-        now = after
-        if seen == state:
+        large = both.where("root > node").join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).where("node <> root")
+        down = large.withColumn("m", F.min("root").over(Window.partitionBy("node")))
+        small = down.select(F.explode(F.array(F.struct("node", F.col("m").alias("root")), F.struct(F.col("root").alias("node"), F.col("m").alias("root")))).alias("e")).select("e.*").where("node <> root").distinct()
+        now = space.save(small, "stars")
+        if before is not None:
+            space.drop(before)
+        before = now
+        if starry(now):
             return now
-        state = seen
+
+
+def starry(edges: DataFrame) -> bool:
+    """Whether every node has one root, which is no node itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("node").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("top")), F.struct(F.col("root").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("top")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up + top > 1").isEmpty()

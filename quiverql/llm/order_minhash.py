@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Workspace, documents, slices
+from .base import Workspace, documents, likely_among, slices
 from .components import components
 
 SHINGLE, SKETCHES, PER, SIMILAR = 5, 24, 2, 0.8
@@ -317,6 +317,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "one", "two").mapInArrow(run, "a binary, b binary")
 
 
+def known_links(stars: DataFrame) -> DataFrame:
+    """Links that make the same components."""
+    return stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def placed(frame: DataFrame) -> DataFrame:
     """doc_id, print, class_id, n_links and is_first of every row whose text isn't null."""
     space = Workspace(frame.sparkSession, "near-duplicates")
@@ -325,8 +330,9 @@ def placed(frame: DataFrame) -> DataFrame:
     groups = space.save(groups.select("print", F.col("least.doc_id").alias("doc_id"), F.col("least.sketch").alias("sketch")), "texts")
 
     def texts_of(prints: DataFrame) -> DataFrame:
-        used = prints.distinct().join(groups.select("print", "doc_id"), "print")
-        texts = printed(frame).join(used.withColumnsRenamed({"print": "used", "doc_id": "used_id"}), (F.col("print") == F.col("used")) & F.col("doc_id").eqNullSafe(F.col("used_id")))
+        # the row that stands for a text, and few others by chance, are all that move
+        used = groups.join(prints.distinct(), "print", "left_semi").select(F.xxhash64("print", "doc_id").alias("row"))
+        texts = likely_among(printed(frame).withColumn("row", F.xxhash64("print", "doc_id")), "row", used)
         return space.save(texts.select("print", "text").dropDuplicates(["print"]), "candidate-texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -342,7 +348,7 @@ def placed(frame: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = linked(pairs)
         links = found if links is None else links.unionByName(found)
-        stars = components(links, space)
+        stars = components(found if stars is None else known_links(stars).unionByName(found), space)
         space.tidy()
     now, before = sampled(groups, 0, SKETCHES), None
     while True:
@@ -360,7 +366,7 @@ def placed(frame: DataFrame) -> DataFrame:
             tried = tried.unionByName(pairs)
             found = linked(pairs)
             links = links.unionByName(found)
-            stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), space)
+            stars = components(known_links(stars).unionByName(found), space)
         if not more:
             break
     counts = links.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n_links"))
