@@ -3,6 +3,7 @@ import json
 import random
 import re
 import zipfile
+from dataclasses import replace
 
 import pytest
 from conftest import make_graph
@@ -386,3 +387,15 @@ def test_a_graph_without_texts_reads_them_only_where_they_are_asked_for(spark, d
 def test_a_preset_of_all_nodes_joins_no_edges(graph):
     plan = analytics.preset(graph, "overview").edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and analytics.preset(graph, "overview").edges.count() == graph.edges.count()
+
+
+def test_presets_of_document_graphs_join_no_edges_whose_ends_are_known(spark, data):
+    documents = extraction.gathered_of(spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 4 = 0"))
+    graph = extraction.build_graph(documents, most_blocks=None, lists=False, texts=False)
+    for name in ("concepts", "structure"):
+        view, joined = analytics.preset(graph, name), analytics.preset(replace(graph, between={}), name)
+        assert "LeftSemi" in joined.edges._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" not in view.edges._jdf.queryExecution().optimizedPlan().toString()
+        assert view.edges.count() == joined.edges.count() > 0 and view.edges.exceptAll(joined.edges).isEmpty()
+    # an edge that may lead to a node of another type still meets its ends
+    assert analytics.preset(replace(graph, between={"CONTAINS": (("Document",), ("Concept",))}), "structure").edges.count() == view.edges.count()
