@@ -12,11 +12,11 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """node and root (the least node of its component) of every node of the edges a, b, but for the roots themselves.
 
     Large stars hang each node's larger neighbours, small stars its smaller ones, to the least node nearby,
-    until nothing changes; then every edge joins a node to its root. Rounds grow with the logarithm of the
-    number of nodes. Each round is written out; minima are taken before the shuffle.
+    until all edges are stars: every node has one root, and no root is a node. Then every edge joins a node to
+    its root. Rounds grow with the logarithm of the number of nodes. Each round is written out; minima are taken
+    before the shuffle.
     """
     now = space.save(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct(), "edges")
-    state = None
     while True:
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("m"))
@@ -24,10 +24,13 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
         down = large.groupBy("node").agg(F.min("root").alias("m"))
         small = large.join(down, "node").select(F.explode(F.array(F.struct("node", F.col("m").alias("root")), F.struct(F.col("root").alias("node"), F.col("m").alias("root")))).alias("e")).select("e.*").where("node <> root").distinct()
         after = space.save(small, "stars")
-        # the same edges have the same number and sum of hashes
-        seen = after.select(F.xxhash64("node", "root").cast("decimal(20,0)").alias("h")).agg(F.count("h"), F.sum("h")).first()
         space.drop(now)
         now = after
-        if seen == state:
+        if are_stars(now):
             return now
-        state = seen
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges node, root has one root, and no root is a node; node and root differ."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("node").alias("at"), F.lit(1).alias("roots"), F.lit(0).alias("nodes")), F.struct(F.col("root").alias("at"), F.lit(0).alias("roots"), F.lit(1).alias("nodes")))).alias("e")).select("e.*")
+    return ends.groupBy("at").agg(F.sum("roots").alias("roots"), F.max("nodes").alias("nodes")).where("roots + nodes > 1").isEmpty()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Workspace, documents, slices
+from .base import Workspace, documents, likely_among, slices
 from .components import components
 
 SHINGLE, SKETCHES, PER, SIMILAR = 5, 24, 2, 0.8
@@ -325,8 +325,9 @@ def placed(frame: DataFrame) -> DataFrame:
     groups = space.save(groups.select("print", F.col("least.doc_id").alias("doc_id"), F.col("least.sketch").alias("sketch")), "texts")
 
     def texts_of(prints: DataFrame) -> DataFrame:
-        used = prints.distinct().join(groups.select("print", "doc_id"), "print")
-        texts = printed(frame).join(used.withColumnsRenamed({"print": "used", "doc_id": "used_id"}), (F.col("print") == F.col("used")) & F.col("doc_id").eqNullSafe(F.col("used_id")))
+        used = prints.distinct().join(groups.select("print", "doc_id"), "print").select("print", F.xxhash64("print", "doc_id").alias("row"))
+        # rows of no pair, and further copies of a text, stay where they were read; the others move once, by their print
+        texts = likely_among(printed(frame).withColumn("row", F.xxhash64("print", "doc_id")), "row", used).drop("row").join(used.drop("row"), "print")
         return space.save(texts.select("print", "text").dropDuplicates(["print"]), "candidate-texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -342,7 +343,7 @@ def placed(frame: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = linked(pairs)
         links = found if links is None else links.unionByName(found)
-        stars = components(links, space)
+        stars = components(found if stars is None else found.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), space)
         space.tidy()
     now, before = sampled(groups, 0, SKETCHES), None
     while True:

@@ -536,3 +536,42 @@ def test_the_target_model_has_all_trusted_texts(spark):
     for words in (False, True):
         whole = hashed_ngrams.fitted(docs(spark, rows), known, None, words)
         assert whole.any() and (hashed_ngrams.fitted(docs(spark, rows), known, 5, words) == whole).all() and (hashed_ngrams.fitted(docs(spark, rows), known, 30, words) == whole).all()
+
+
+def test_components_end_with_the_first_round_of_stars(spark):
+    from quiverql.llm.base import Workspace
+    from quiverql.llm.components import are_stars, components
+
+    class Counted(Workspace):
+        rounds = 0
+
+        def save(self, frame, name):
+            self.rounds += name == "stars"
+            return super().save(frame, name)
+
+    for edges, stars in (([(1, 9), (2, 9), (3, 9), (5, 6)], True), ([(1, 2), (2, 3)], False), ([(1, 9), (9, 12)], False), ([(1, 9), (2, 8)], True)):
+        frame = spark.createDataFrame([(b, a) for a, b in edges], "root bigint, node bigint")
+        assert are_stars(frame) == stars
+    space = Counted(spark, "t")
+    found = components(spark.createDataFrame([(4, k) for k in range(5, 30)] + [(1, 2)], "a bigint, b bigint"), space)
+    assert sorted(map(tuple, found.select("node", "root").collect())) == [(2, 1), *((k, 4) for k in range(5, 30))] and space.rounds == 1
+
+
+def test_texts_of_near_duplicates_move_only_where_a_pair_asks_for_them(spark, monkeypatch):
+    from quiverql.llm import order_minhash
+
+    moved, verified = [], order_minhash.verified
+
+    def seen(pairs, texts):
+        moved.append(texts.count())
+        return verified(pairs, texts)
+
+    filtered, among = [], order_minhash.likely_among
+    monkeypatch.setattr(order_minhash, "verified", seen)
+    monkeypatch.setattr(order_minhash, "likely_among", lambda rows, key, keys: filtered.append(out := among(rows, key, keys)) or out)
+    rng = random.Random(5)
+    rows = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(40)) for _ in range(60)]
+    rows += [rows[0] + " more", rows[1] + " more", *[rows[0]] * 20]
+    found = order_minhash.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    assert {r.class_id for r in found if r.doc_id in (0, 60, 62, 81)} == {0} and len({r.class_id for r in found}) == 60
+    assert filtered and max(f.count() for f in filtered) <= 6 and moved[0] == 4
