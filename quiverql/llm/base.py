@@ -109,6 +109,8 @@ def documents(frame: DataFrame, *more: str) -> DataFrame:
 
 #: Bits of a filter of keys, 8 MB in all.
 BITS = 1 << 26
+#: Words of 64 bits in each part of the filter: Spark's bitmaps have 4 KB.
+PART_WORDS = 512
 
 
 def likely_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -117,9 +119,13 @@ def likely_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     # places are dealt before they become bits, so that no parts of the filter are shuffled
     at = keys.select(F.bitmap_bucket_number(place(key)).alias("__at"), F.bitmap_bit_position(place(key)).alias("__bit")).repartition("__at")
     bits = at.groupBy("__at").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    bit = F.bitmap_bit_position(place(key))
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.withColumn("__at", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "__at").where(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1).drop("__at", "__bits")
+    # numbers instead of bytes, made once for each part, so that a row looks its bit up without strings
+    word = lambda k: F.conv(F.hex(F.substring("__bits", k * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
+    words = bits.select("__at", F.transform(F.sequence(F.lit(0), F.lit(PART_WORDS - 1)), word).alias("__words"))
+    bit = F.bitmap_bit_position(place(key)).cast("int")
+    # a word's first byte is its highest
+    held = F.getbit(F.get("__words", F.shiftright(bit, 6)), bit.bitwiseXOR(F.lit(56)).bitwiseAND(F.lit(63)))
+    return rows.withColumn("__at", F.bitmap_bucket_number(place(key))).join(F.broadcast(words), "__at").where(held == 1).drop("__at", "__words")
 
 
 def with_key_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -137,15 +143,16 @@ def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], salt: Column
 
     A key with more than one in HEAVY of all those rows is dealt out by the salt: there are at most HEAVY such
     keys, which are broadcast, and their rows of found stand in all SALTS places. Without such keys it is a plain join.
+    found, of one row a key, is hashed in each task, so that neither side is sorted.
     """
     total, most = found.agg(F.sum("n"), F.max("n")).first()
     limit = max(HEAVY_ROWS, (total or 0) // HEAVY)
     if (most or 0) <= limit:
-        return rows.join(found.drop("n"), keys, how)
+        return rows.join(found.drop("n").hint("shuffle_hash"), keys, how)
     heavy = found.where(F.col("n") > limit).select(*keys, F.lit(True).alias("__heavy"))
     dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(salt, F.lit(SALTS)).cast("int")).otherwise(0)).drop("__heavy")
     places = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(found.withColumn("__salt", F.explode(places)).drop("n"), [*keys, "__salt"], how).drop("__salt")
+    return dealt.join(found.withColumn("__salt", F.explode(places)).drop("n").hint("shuffle_hash"), [*keys, "__salt"], how).drop("__salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

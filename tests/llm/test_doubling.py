@@ -107,3 +107,23 @@ def test_a_join_without_frequent_keys_is_not_salted(spark):
         joined = salted_join(frame, frame.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], F.col("id"))
         assert ("__salt" in joined._jdf.queryExecution().optimizedPlan().toString()) == salted
         assert joined.exceptAll(frame.select("k", "id")).isEmpty() and joined.count() == frame.count()
+
+
+def test_a_filter_of_keys_loses_none_and_reads_no_strings(spark):
+    from quiverql.llm.base import likely_among
+
+    rows, keys = spark.range(-3000, 3000).selectExpr("id k"), spark.range(-6000, 90_000, 7).selectExpr("id k")
+    found = likely_among(rows, "k", keys)
+    want = rows.join(keys, "k", "left_semi")
+    assert want.exceptAll(found).isEmpty() and 0 <= found.count() - want.count() < 60 and likely_among(rows, "k", keys.limit(0)).isEmpty()
+    # a row's bit is looked up in numbers: what makes numbers of bytes stands below the join, once for each part of the filter
+    join = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+    assert "getbit" in join and "hex(" not in join
+
+
+def test_a_join_with_one_row_a_key_sorts_neither_side(spark):
+    from quiverql.llm.base import salted_join
+
+    rows = spark.range(5000).selectExpr("id", "id % 900 k")
+    joined = salted_join(rows, rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], F.col("id"))
+    assert "ShuffledHashJoin" in joined._jdf.queryExecution().sparkPlan().toString() and joined.exceptAll(rows.select("k", "id")).isEmpty()
