@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.typed import variant_path
 from ..graph import ORD, PROPERTIES, PropertyGraph
+from ..operators.analytics import tidy
 
 #: Bytes of a JSON graph, and its version.
 MOST_BYTES, VERSION = 50 * 1024 * 1024, 1
@@ -153,13 +154,23 @@ def save_tables(graph: PropertyGraph, name: str, buckets: int = 64, folder: str
     """Three tables of the catalog: nodes in buckets by id, edges by source and once more by target. Patterns over them join without moving the edges.
 
     A bucket of a type is one file; choose buckets so that one holds some 100 MB. The files go to the folder, else
-    to the warehouse. The graph is validated first if it is to be checked.
+    to the warehouse. The graph is validated first if it is to be checked. Edges are moved one type after the other, and
+    what moved is dropped once it is written, so disk is needed for the tables and one type's rows; the third
+    table is made from the second, so that the graph is computed once.
     """
     if checked:
         validate(graph)
-    for part, table, key in (("nodes", graph.nodes, "id"), ("edges_out", graph.edges, "source"), ("edges_in", graph.edges, "target")):
-        writer = table.repartition(buckets, key).write.partitionBy("type").bucketBy(buckets, key).sortBy(key)
-        (writer.option("path", f"{folder}/{part}") if folder else writer).saveAsTable(f"{name}_{part}")
+    spark, kind = graph.spark, F.col("type")
+    types = list(graph.between) or [t for (t,) in graph.edges.select("type").distinct().collect()]
+    # edges of types that aren't known to whoever made the graph
+    of_type = [*(kind.eqNullSafe(t) for t in types), *([~kind.isin(types) | kind.isNull()] if graph.between or not types else [])]
+    for part, table, key, parts in (("nodes", lambda: graph.nodes, "id", [F.lit(True)]), ("edges_out", lambda: graph.edges, "source", of_type), ("edges_in", lambda: spark.table(f"{name}_edges_out"), "target", of_type)):
+        for k, own in enumerate(parts):
+            writer = table().where(own).repartition(buckets, key).write.option("compression", "zstd").partitionBy("type").bucketBy(buckets, key).sortBy(key)
+            if folder and not k:
+                writer = writer.option("path", f"{folder}/{part}")
+            writer.mode("append" if k else "error").saveAsTable(f"{name}_{part}")
+            tidy(spark)
 
 
 def load_tables(spark: SparkSession, name: str) -> PropertyGraph:

@@ -53,6 +53,25 @@ def test_directions_count_before_the_second_join(spark, data):
     assert plan.index("Join Inner", at + 1) > plan.index("Aggregate [source_type", at) > at
 
 
+def test_stored_cycles_are_closed_by_both_ends(spark, data, monkeypatch):
+    """No row meets all suppliers of its part, the edges that close are read by the ends that they meet at, and nothing is stored that the pattern doesn't ask for."""
+    from quiverql.plans.compiler import Compiler
+    from quiverql.sources import graph_json
+
+    closed, loaded, plain, load = [], [], Compiler.close, graph_json.load_tables
+    monkeypatch.setattr(Compiler, "close", lambda self, *a: closed.append(1) or plain(self, *a))
+    monkeypatch.setattr(graph_json, "load_tables", lambda *a: loaded.append(load(*a)) or loaded[0])
+    frame = registry.FOUND["stored_cycle"](spark, data)
+    assert closed == [1]
+    assert "edges_in" in next(line for line in frame._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line and "SUPPLIED_BY" in line)
+    stored, whole = loaded[0], registry.commerce_graph(spark, data)
+    assert stored.nodes.columns == ["id", "label", "type"] and set(stored.edges.columns) == {"id", "source", "target", "type"}
+    for own, table in ((stored.nodes, whole.nodes), (stored.edges, whole.edges), (stored.by_target, whole.edges)):
+        assert sorted(map(tuple, own.groupBy("type").count().collect())) == sorted(map(tuple, table.groupBy("type").count().collect()))
+    # no two edges of one type stand in the pattern but these
+    assert stored.edges.where("id is null").select("type").distinct().where("type = 'IN_NATION'").isEmpty()
+
+
 def test_cycles_are_closed_by_both_ends(spark, data, graph, monkeypatch):
     from quiverql import GraphEngine
     from quiverql.plans.compiler import Compiler

@@ -219,6 +219,23 @@ def test_stored_edges_dont_move(spark, graph, tmp_path):
             spark.sql(f"drop table ports_and_ships_{part}")
 
 
+def test_stored_edges_move_by_type(spark, graph, tmp_path, monkeypatch):
+    """What moved for one type is dropped before the next is written; types that the graph's maker left out of between are stored too."""
+    there = []
+    for name, between, seen in (("typed", {}, [0, 1, 2, 3, 4, 5, 6, 7, 8]), ("known", {"ROUTE": (("Port",), ("Port",))}, [0, 1, 4, 5, 8])):
+        folder = tmp_path / name
+        there.clear()
+        monkeypatch.setattr(graph_json, "tidy", lambda spark, at=folder: there.append(len(list(at.glob("edges_*/type=*")))), raising=False)
+        graph_json.save_tables(replace(graph, between=between), name, 4, str(folder))
+        assert there == seen
+        stored = graph_json.load_tables(spark, name)
+        for table in (stored.edges, stored.by_target):
+            assert sorted(map(repr, table.select(*graph.edges.columns).collect())) == sorted(map(repr, graph.edges.collect()))
+        assert sorted(map(repr, stored.nodes.select(*graph.nodes.columns).collect())) == sorted(map(repr, graph.nodes.collect()))
+        for part in ("nodes", "edges_out", "edges_in"):
+            spark.sql(f"drop table {name}_{part}")
+
+
 def plain_path(edges, start, goal):
     """By a search from the start alone: of the shortest paths that whose edges come first."""
     before, level = {start: None}, [start]
