@@ -333,3 +333,26 @@ def test_a_sum_of_folded_pairs_fails_where_a_pair_does(spark):
     big = make_graph(spark, [("n", "N", "Hub", {}), ("a", "A", "Left", {"w": 1.7e308}), ("b", "B", "Right", {"w": 1.7e308}), ("c", "C", "Right", {"w": -1.7e308})], [("x", "a", "n", "IN", {}), ("y", "b", "n", "IN", {}), ("z", "c", "n", "IN", {})], "w double")
     with pytest.raises(Exception, match="too large"):
         GraphEngine(big).query("MATCH (n)<-[:IN]-(l:Left), (n)<-[:IN]-(r:Right) RETURN sum(l.w + r.w) AS t").collect()
+
+
+def test_equal_values_meet_in_lists(spark, monkeypatch):
+    """Rows of a frequent value meet in several places and as lists; a scan that WHERE asks nothing equal of meets all, and so do whole numbers and floats."""
+    from quiverql.plans import compiler
+
+    monkeypatch.setattr(compiler, "FEW", 5)
+    monkeypatch.setattr(compiler, "RUN", 2)
+    values = [None if k % 11 == 0 else k % 7 if k % 3 else 0 for k in range(60)]
+    nodes = [(f"n{k}", f"N{k % 4}", "A" if k % 2 else "B", {"depth": v, "note": None if v is None else f"x{v}"}) for k, v in enumerate(values)]
+    graph = make_graph(spark, nodes, [])
+    engine = GraphEngine(graph)
+
+    def asked(text):
+        frame = engine.query(text)
+        return sorted(map(tuple, frame.collect())), "inline(" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+    pairs = [(a, b) for a in nodes for b in nodes if a[3]["depth"] is not None and a[3]["depth"] == b[3]["depth"]]
+    for key in ("depth", "note"):
+        assert asked(f"MATCH (a), (b:A) WHERE a.{key} = b.{key} AND a.id < b.id RETURN a.id AS a, b.id AS b, b.label AS c") == (sorted((a[0], b[0], b[1]) for a, b in pairs if b[2] == "A" and a[0] < b[0]), True)
+    assert asked("MATCH (a:B) MATCH (b:A) WHERE b.depth = a.depth RETURN a.id AS a, b.id AS b") == (sorted((a[0], b[0]) for a, b in pairs if (a[2], b[2]) == ("B", "A")), True)
+    assert asked("MATCH (a:B), (b:A) WHERE a.depth = b.depth OR a.id = b.id RETURN a.id AS a, b.id AS b") == (sorted((a[0], b[0]) for a, b in pairs if (a[2], b[2]) == ("B", "A")), False)
+    assert len(asked("MATCH (a:B), (b:A) WHERE a.depth < b.depth RETURN a.id AS a")[0]) == sum(a[2] == "B" and b[2] == "A" and None not in (x := (a[3]["depth"], b[3]["depth"])) and x[0] < x[1] for a in nodes for b in nodes)
